@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .op01_quality_gam import op1_quality_gam
+from .op06_token_output import op6_token_output
 from .op08_quality_rules import op8_quality_rules
+from .op09_packing import op9_packing
+from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op6_token_output, op8_quality_rules, op9_packing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}
