@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from .op01_quality_gam import op1_quality_gam
+from .op02_simhash_golay import op2_simhash_golay
 from .op06_token_output import op6_token_output
+from .op07_decontamination import op7_decontamination
 from .op08_quality_rules import op8_quality_rules
 from .op09_packing import op9_packing
 from .op10_toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op6_token_output, op8_quality_rules, op9_packing, op10_toxicity)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_gam, op2_simhash_golay, op6_token_output, op7_decontamination, op8_quality_rules, op9_packing, op10_toxicity)
+}
 
 ORACLES: dict[str, str] = {}
