@@ -4,8 +4,8 @@ Each document becomes a row of text statistics. Boosting goes round the features
 tree to the gradients of one feature's bins and adds it to that feature's lookup table, then the same is done
 for the strongest pairs of features. A score is the sum of table entries at the document's bins.
 
-Statistics are computed over all documents in one narrow pass and staged; scoring is one vectorised pass.
-The fit alone sees a bounded sample: at most about max_rows labelled rows, chosen by hash of the id.
+Scoring is one narrow pass over all documents. The fit alone sees a bounded sample: about max_rows labelled rows at
+most, chosen by hash of the id, whose ids (a bounded table) are sent to the tasks and whose statistics come back.
 
 Nulls and empty texts are texts of no words and get a score like any other. Null ids are scored, never learned
 from. Repeated rows are each scored. Of several labels of one document the smallest counts; null labels are
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, small_batches, stage
+from .common import read, small_batches
 
 #: Labelled rows that the fit sees at most (about; a hash of the id chooses them).
 MAX_ROWS = 60_000
@@ -74,17 +74,18 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and the array x of statistics, for every row."""
+def text_statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id and the array x of statistics, for every row, with more columns kept."""
     small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text", *more)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = [describe(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64())), *b.columns[2:]], names=["doc_id", "x", *more])
 
-    docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<double>{kept}")
 
 
 @dataclass
@@ -196,28 +197,36 @@ def remainder(doc_id: str, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % by
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, keep: Column, max_rows: int) -> pd.DataFrame:
-    """About max_rows labelled rows at most, by hash of the id; y is the smallest label of a document."""
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep).groupBy("doc_id").agg(F.min(label).alias("y"))
+def sampled_marks(labels: DataFrame, label: str, keep: Column, max_rows: int, pick=F.min) -> DataFrame:
+    """(doc_id, y) of about max_rows labelled documents at most, by hash of the id; small enough to be sent to every task."""
+    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(keep).groupBy("doc_id").agg(pick(label).alias("y"))
     n = marks.count()
-    if n > max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    return stats.join(marks, "doc_id").select("doc_id", "x", "y").orderBy("doc_id").toPandas()
+    return marks if n <= max_rows else marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Additive:
+    """A model from the labelled documents of the learning folds; only their statistics reach the driver."""
+    marks = sampled_marks(labels, "quality", remainder("doc_id", 5) != 0, max_rows)
+    stats = text_statistics(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), "y")
+    rows = stats.orderBy("doc_id").toPandas()
+    return fit(np.array(rows.x.tolist(), float).reshape(len(rows), -1), rows.y.to_numpy(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score of label 1 and the number of words, for every document."""
-    stats = stage(text_statistics(docs), "quality-stats")
-    rows = labelled_sample(stats, labels, "quality", remainder("doc_id", 5) != 0, max_rows)
-    model = fit(np.array(rows.x.tolist(), float).reshape(len(rows), -1), rows.y.to_numpy(float))
+    """All columns of docs, and quality_score: how likely label 1 is."""
+    small_batches(docs.sparkSession)
+    model = fit_quality(docs, labels, max_rows)
 
     @F.pandas_udf("double")
-    def scored(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array(x.tolist(), float).reshape(len(x), -1)))
+    def scored(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([describe(t) for t in text], float).reshape(len(text), -1)))
 
-    return stats.select("doc_id", (F.coalesce(remainder("doc_id", 5), F.lit(-1)) == 0).alias("held_out"), scored("x").alias("score"))
+    return docs.drop("quality_score").withColumn("quality_score", scored("text"))
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score_quality(docs, read(spark, sf_dir, "labels")).select(
+        "doc_id", (F.coalesce(remainder("doc_id", 5), F.lit(-1)) == 0).alias("held_out"), F.col("quality_score").alias("score")
+    )
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

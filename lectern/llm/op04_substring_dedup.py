@@ -76,9 +76,10 @@ def window_prints(x: np.ndarray) -> np.ndarray:
     return low
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and copy (a hash of the whole text), without rows of null doc_id."""
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"))
+def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, copy (a hash of the whole text) and the columns of keep, without rows of null doc_id."""
+    more = [F.col(c).alias(f"keep_{c}") for c in keep]
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"), *more)
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -194,8 +195,8 @@ def keep_words(text: str | None, at: list[int], is_copy: bool) -> tuple[int, int
     return n, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), b"".join(out).decode("utf-8", "replace")
 
 
-def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, for every row of docs."""
+def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, for every row of docs, with the columns of keep."""
     small_batches(docs.sparkSession)
     texts = keyed(docs)
     windows = matching_windows(docs, candidates)
@@ -206,8 +207,11 @@ def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False) ->
     marks = hits.select("doc_id", "copy", "at", F.lit(False).alias("is_copy")).union(
         copies.select("doc_id", "copy", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("is_copy"))
     )
-    marked = texts.join(marks, ["doc_id", "copy"], "left").select("doc_id", "text", "at", "is_copy")
-    rest = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("boolean").alias("is_copy"))
+    kept = [f"keep_{c}" for c in keep]
+    marked = keyed(docs, keep).join(marks, ["doc_id", "copy"], "left").select("doc_id", "text", "at", "is_copy", *kept)
+    none = [F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("boolean").alias("is_copy")]
+    rest = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *none, *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kinds = "".join(f", {c} {marked.schema[c].dataType.simpleString()}" for c in kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -215,13 +219,13 @@ def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False) ->
             cols = list(zip(*rows)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             out = [pa.array(c if k < 3 or with_text else [None] * len(c), t) for k, (c, t) in enumerate(zip(cols, kinds))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *out], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *out, *b.columns[4:]], names=["doc_id", "n_words", "n_removed", "kept_sha256", "text", *kept])
 
-    done = marked.union(rest).mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
-    return done if with_text else done.drop("text")
+    done = marked.union(rest).mapInArrow(work, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string" + kinds)
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if with_text else []), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = 2, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Feed the documents to a new index in batches of ascending doc_id, then decide on all of them."""
     cuts = docs.where("doc_id is not null").agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
     index, candidates, low = FingerprintIndex(docs.sparkSession), None, None
@@ -231,7 +235,7 @@ def substring_dedup(docs: DataFrame, batches: int = 2, with_text: bool = False)
         candidates = found if candidates is None else candidates.union(found)
         index.compact()
         low = cut
-    return removed(docs, candidates, with_text)
+    return removed(docs, candidates, with_text, keep)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,11 @@ finds nothing. Extra columns are not used, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,37 +184,45 @@ class Phrases:
         return out
 
 
-SPANS = "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>, text string"
+SPANS = "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
-def _judge(docs: DataFrame, phrases: Phrases, with_text: bool) -> DataFrame:
+def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Spans of every row, with the columns of keep beside them."""
     small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"keep_{c}") for c in keep])
+    kept = [f"keep_{c}" for c in keep]
+    names = [x.split()[0] for x in SPANS.split(", ")] + kept
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, words, size = [], [], 0
+        held, words, size = [], [], 0
 
         def done():
             found = phrases.spans(words)
             cols = [
-                pa.array([r[0] for r in rows], pa.int64()), pa.array([len(w) for w in words], pa.int64()),
-                pa.array([[a for a, _ in s] for s, _ in found], pa.list_(pa.int64())), pa.array([[b for _, b in s] for s, _ in found], pa.list_(pa.int64())),
-                pa.array([sorted(i) for _, i in found], pa.list_(pa.string())), pa.array([r[1] if with_text else None for r in rows], pa.string()),
-            ]
-            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SPANS.split(", ")])
+                pa.array([len(w) for w in words], pa.int64()),
+                pa.array([[a for a, _ in s] for s, _ in found], pa.list_(pa.int64())),
+                pa.array([[b for _, b in s] for s, _ in found], pa.list_(pa.int64())),
+                pa.array([sorted(i) for _, i in found], pa.list_(pa.string())),
+            ]
+            rows = pa.Table.from_batches(held).combine_chunks()
+            table = pa.table([rows.column("doc_id"), *cols, *[rows.column(c) for c in kept]], names=names)
+            return table.to_batches()
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words_of(text)
-                rows.append((doc_id, text))
-                words.append(w)
-                size += len(w)
-                if size >= SHARD_WORDS:
-                    yield done()
-                    rows, words, size = [], [], 0
-        if rows:
-            yield done()
+            held.append(b.select(["doc_id", *kept]))
+            new = [words_of(t) for t in b.column("text").to_pylist()]
+            words += new
+            size += sum(map(len, new))
+            if size >= SHARD_WORDS:
+                yield from done()
+                held, words, size = [], [], 0
+        if words:
+            yield from done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, SPANS)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    out = docs.mapInArrow(work, SPANS + kinds)
+    return out.select(*names[:5], *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def _blocks(benchmark: DataFrame) -> int:
@@ -221,18 +231,18 @@ def _blocks(benchmark: DataFrame) -> int:
     return 1 + int(n) * WINDOW // BLOCK_WORDS
 
 
-def hit_spans(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, begins, ends (merged spans of hit words), items and, if asked for, the text, for every row."""
+def hit_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, begins, ends (merged spans of hit words) and items for every row, with the columns of keep."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     n = _blocks(items)
     part = lambda k: [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
     if n == 1:
-        return _judge(docs, Phrases(part(0)), with_text)
+        return _judge(docs, Phrases(part(0)), keep)
     # more passes: rows keep their identity by a number that is written once
-    kept = stage(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
+    kept = stage(docs.select("doc_id", "text", *[c for c in keep if c != "text"]).withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
     found = None
     for k in range(n):
-        spans = stage(_judge(kept.select(F.col("row").alias("doc_id"), "text"), Phrases(part(k)), False), "decontamination-spans")
+        spans = stage(_judge(kept.select(F.col("row").alias("doc_id"), "text"), Phrases(part(k))), "decontamination-spans")
         found = spans if found is None else found.unionByName(spans)
     merged = found.groupBy(F.col("doc_id").alias("row")).agg(
         F.first("n_words").alias("n_words"),
@@ -253,17 +263,15 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) ->
         ).otherwise(F.concat(a, F.array(F.struct(s["begins"].alias("begins"), s["ends"].alias("ends"))))),
     )
     out = merged.withColumn("spans", join).join(kept, "row")
-    text = F.col("text") if with_text else F.lit(None).cast("string")
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.col("spans.begins").alias("begins"), F.col("spans.ends").alias("ends"), "items", text.alias("text"))
+    names = [F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.col("spans.begins").alias("begins"), F.col("spans.ends").alias("ends"), "items"]
+    return out.select(*names, *keep)
 
 
 def cut_spans(text: str, begins: list[int], ends: list[int]) -> str:
     """The text without its hit words; what stands between two kept words stays."""
     b = text.encode("utf-8", "replace")
-    plain, out, at, done = b.translate(_KEEP), [], 0, 0
-    import re
-
-    places = [m.span() for m in re.finditer(rb"[^ ]+", plain)]
+    out, done = [], 0
+    places = [m.span() for m in re.finditer(rb"[^ ]+", b.translate(_KEEP))]
     for s, e in zip(begins, ends):
         out.append(b[done : places[s][0]])
         done = places[e - 1][1]
@@ -271,15 +279,15 @@ def cut_spans(text: str, begins: list[int], ends: list[int]) -> str:
     return b"".join(out).decode("utf-8", "replace")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items and text with the hit spans cut out, for every row."""
-    spans = hit_spans(docs, benchmark, with_text=True)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items and text with the hit spans cut out, for every row, with the columns of keep."""
+    spans = hit_spans(docs, benchmark, ("text", *keep))
 
     @F.pandas_udf("string")
-    def cleaned(text, begins, ends):
-        return type(text)([t if t is None or not len(b) else cut_spans(t, list(b), list(e)) for t, b, e in zip(text, begins, ends)], dtype=object)
+    def cleaned(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(b) else cut_spans(t, list(b), list(e)) for t, b, e in zip(text, begins, ends)], dtype=object)
 
-    return spans.select("doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", cleaned("text", "begins", "ends").alias("text"))
+    return spans.select("doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", cleaned("text", "begins", "ends").alias("text"), *keep)
 
 
 def _hits():
@@ -296,3 +304,19 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (_hits() > 0).alias("contaminated"),
     )
+
+
+ORACLE = """
+WITH fold AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+iw AS (SELECT item, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS st FROM item WHERE len(words) > 0),
+win AS (SELECT DISTINCT item, array_to_string(words[st:st + 9], ' ') AS w, least(len(words), 10) AS n FROM iw),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS st FROM fold, sizes WHERE len(words) >= n),
+hit AS (SELECT doc_id, st, dw.n AS n, item FROM dw JOIN win ON array_to_string(words[st:st + dw.n - 1], ' ') = w AND dw.n = win.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(st, st + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT fold.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM fold LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""

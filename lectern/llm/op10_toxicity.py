@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, stage
-from .op01_quality_gam import remainder
+from .op01_quality_gam import remainder, sampled_marks
 
 MAX_ROWS, MAX_TERMS, MIN_DOCS, MIN_LOG_ODDS = 60_000, 3000, 4, 1.5
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -157,11 +157,8 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexicon:
     """A lexicon from labelled documents; labels: doc_id, toxic."""
-    marks = labels.where("toxic is not null and doc_id is not null").where(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    n = marks.count()
-    if n > max_rows:
-        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    rows = stage(docs.select("doc_id", "text").join(marks, "doc_id"), "toxic-rows")
+    marks = sampled_marks(labels, "toxic", remainder("doc_id", 3) != 1, max_rows, F.max)
+    rows = stage(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), "toxic-rows")
     n_docs, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     lexicon = Lexicon(choose_terms(count_terms(rows), n_docs, n_toxic))
     if n_toxic and n_docs > n_toxic:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from . import op04_substring_dedup, op07_decontamination
 from .op01_quality_gam import op1_quality_gam
 from .op02_simhash_golay import op2_simhash_golay
+from .op03_html_extraction import op3_html_extraction
+from .op04_substring_dedup import op4_substring_dedup
+from .op05_token_counts import op5_token_counts
 from .op06_token_output import op6_token_output
 from .op07_decontamination import op7_decontamination
 from .op08_quality_rules import op8_quality_rules
@@ -12,7 +16,11 @@ from .op10_toxicity import op10_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_gam, op2_simhash_golay, op6_token_output, op7_decontamination, op8_quality_rules, op9_packing, op10_toxicity)
-}
+    for f in (
+        op1_quality_gam, op2_simhash_golay, op3_html_extraction, op4_substring_dedup, op5_token_counts,
+        op6_token_output, op7_decontamination, op8_quality_rules, op9_packing, op10_toxicity,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+#: The others learn a model, read HTML or use tokenizers and hashes that SQL lacks; tests hold them against brute force.
+ORACLES = {"op4_substring_dedup": op04_substring_dedup.ORACLE, "op7_decontamination": op07_decontamination.ORACLE}
