@@ -1,7 +1,9 @@
 """Whole-text token ids by a public tokenizer, with a cache of chunks.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so each chunk's ids do not depend on its
-neighbours and can be remembered; a text that has anything else than such cuts goes to the tokenizer whole.
+neighbours and can be remembered. A chunk of common letters, digits and signs is cut further by the tokenizer's
+pattern and its pieces go to the tokenizer's model; any other chunk goes to the whole tokenizer. A text that has
+other white space than the cuts that are certain is encoded whole.
 """
 
 from __future__ import annotations
@@ -13,14 +15,64 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks remembered in a worker before the cache starts anew.
-CACHE = 600_000
+CACHE = 800_000
+#: Letters whose normal forms and classes need no tables, beyond ASCII.
+LETTERS = "À-ÖØ-öø-įĲ-ɏ"
+SIGNS = "!-/:-@\\[-`{-~"
+SAFE = {
+    "byte": re.compile(f"[ \n]?[!-~{LETTERS}]+"),
+    "word": re.compile(f"[!-~{LETTERS}]+"),
+}
+#: The patterns of the two public pre-tokenizers over the safe letters, digits and signs.
+PIECES = {
+    "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\\s+(?!\\S)|\\s+"),
+    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[{SIGNS}]+"),
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Chunks(dict):
+    """chunk -> ids as bytes; KeyError for a chunk whose cut is not certain."""
+
+    def __init__(self, coder: ChunkEncoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        string = self.coder.string(chunk)
+        if string is None:
+            raise KeyError(chunk)
+        self[chunk] = out = self.coder.encode_chunk(string)
+        return out
+
+
+class _Pieces(dict):
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > CACHE:
+            self.clear()
+        mapped = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        self[piece] = out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        return out
 
 
 class ChunkEncoder:
     """ids_bytes(texts): the ids of each text as little-endian unsigned 32-bit integers.
 
     kind "byte": byte-level BPE, where a single space between two non-spaces always begins a piece and a
-    single newline between two non-spaces always is one. kind "word": white space is dropped and always cuts.
+    single newline between two non-spaces always is one. kind "word": lower case, white space is dropped and
+    always cuts.
     """
 
     def __init__(self, path: str, kind: str):
@@ -29,41 +81,43 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.cache = kind, {}
+        self.kind, self.chunks, self.pieces = kind, _Chunks(self), _Pieces(self.tok.model)
+        self.safe, self.find = SAFE[kind].fullmatch, PIECES[kind].findall
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _chunks(self, text: str) -> list[str] | None:
-        if self.kind == "word":
-            return None if re.search("[\x1c-\x1f]", text) else text.split()
-        return None if "\0" in text or not text else ("\0" + text.replace("\n", " \n\0")).split(" ")
-
-    def _string(self, chunk: str) -> str | None:
+    def string(self, chunk: str) -> str | None:
         """What the tokenizer gets for a chunk; None if the cut beside it is not a certain one."""
         if self.kind == "word":
             return chunk
         head, body = ("", chunk[1:]) if chunk[:1] == "\0" else ("\n", chunk[2:]) if chunk[:2] == "\n\0" else (" ", chunk)
         return head + body if body and not body[0].isspace() and not body[-1].isspace() else None
 
+    def encode_chunk(self, string: str) -> bytes:
+        if self.kind == "word":
+            if string.isascii() and string.isalpha():
+                return self.pieces[string.lower()]
+            return b"".join(map(self.pieces.__getitem__, self.find(string.lower()))) if self.safe(string) else self.whole(string)
+        if string.isascii() and string[1:].isalpha() and string[0] == " ":
+            return self.pieces[string]
+        return b"".join(map(self.pieces.__getitem__, self.find(string))) if self.safe(string) else self.whole(string)
+
+    def ids_of(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if self.kind == "word":
+            if re.search("[\x1c-\x1f]", text):
+                return self.whole(text)
+            chunks = text.split()
+        elif "\0" in text:
+            return self.whole(text)
+        else:
+            chunks = ("\0" + text.replace("\n", " \n\0")).split(" ")
+        try:
+            return b"".join(map(self.chunks.__getitem__, chunks))
+        except KeyError:
+            return self.whole(text)
+
     def ids_bytes(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        cut = [self._chunks(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = [c for c in {x for c in cut if c for x in c} if c not in cache]
-        strings = [self._string(c) for c in new]
-        good = [(c, s) for c, s in zip(new, strings) if s is not None]
-        for k in range(0, len(good), 4096):
-            part = good[k : k + 4096]
-            cache.update(zip((c for c, _ in part), self._encode([s for _, s in part])))
-        out: list[bytes] = []
-        for text, chunks in zip(texts, cut):
-            try:
-                if chunks is None:
-                    raise KeyError
-                out.append(b"".join(map(cache.__getitem__, chunks)))
-            except KeyError:
-                out.append(self._encode([text])[0] if text else b"")
-        return out
+        return list(map(self.ids_of, texts))
