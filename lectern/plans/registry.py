@@ -12,7 +12,7 @@ from ..fixtures import table, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("relational",)
+MODULES = ("relational", "ranking")
 
 
 class Tables:
