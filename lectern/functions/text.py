@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,7 +18,11 @@ PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyycnaei
 
 def js_regex(pattern: str, unicode_boundaries: bool = False) -> str:
     """A pattern whose word boundaries are ASCII ones (as in JavaScript and RE2) and whose case folding is Unicode's."""
-    return "(?iu)" + (pattern if unicode_boundaries else pattern.replace(r"\b", _ASCII_BOUNDARY))
+    if not unicode_boundaries:
+        # beside an ASCII letter a boundary is one look-around
+        pattern = re.sub(r"\\b(?=[A-Za-z])", "(?<![A-Za-z0-9_])", pattern)
+        pattern = re.sub(r"(?<=[A-Za-z])\\b", "(?![A-Za-z0-9_])", pattern).replace(r"\b", _ASCII_BOUNDARY)
+    return "(?iu)" + pattern
 
 
 def col(c: str | Column) -> Column:
