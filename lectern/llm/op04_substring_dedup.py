@@ -6,13 +6,10 @@ as there are windows. The index is a list of immutable runs, one for each batch
 sorted by fingerprint, all with the same buckets, so that a new run meets the older ones in merge joins without
 moving them. Many runs are compacted into one.
 
-A batch with a matching fingerprint is only a candidate: windows under matching fingerprints, of old and new
-documents alike, are then compared by 128 bits of hash over the whole window, and a word is removed if a window
-over it also starts in a document of smaller doc_id. Exact copies share their fingerprints' rows from the start,
-so a group of copies has the weight of one document; copies lose all words that any window covers.
-
-Nothing is gathered by window in one place: the smallest document of each window comes from an aggregate with map-side
-combine, and goes back by a join that Spark may split.
+A matching fingerprint only makes candidates: windows under matching fingerprints, of old and new documents
+alike, are then compared by 96 bits of hash over the whole window, and a word is removed if a window over it also
+starts in a document of smaller doc_id. Of exact copies only the first is compared; the others lose all words that any
+window covers. Windows that meet in one batch of a task are settled there before anything is moved.
 
 Nulls: a null text has no words. Rows with a null doc_id stay as they are and remove nothing elsewhere. Rows of
 equal doc_id do not remove each other's words. Texts of fewer than 13 words have no window. An empty table gives
@@ -30,10 +27,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import read, shared_path, small_batches
+from .common import read, shared_path, small_batches, spent_shuffles_go
 
 WINDOW, GRAM = 13, 5
 #: Runs that an index holds before they are compacted.
@@ -76,38 +74,53 @@ def window_prints(x: np.ndarray) -> np.ndarray:
     return low
 
 
+def _id(docs: DataFrame) -> Column:
+    """doc_id as a long; the bare column where it is one, so that Spark sees equal exchanges as equal and reuses them."""
+    return F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+
+
 def keyed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, copy (a hash of the whole text) and the columns of keep, without rows of null doc_id."""
+    """doc_id, tag (16 bits of the text's hash, so that rows of one doc_id stay apart), text and the columns of keep,
+    without rows of null doc_id."""
     more = [F.col(c).alias(f"keep_{c}") for c in keep]
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy"), *more)
+    return docs.where("doc_id is not null").select(_id(docs), F.xxhash64("text").bitwiseAND(F.lit(65535)).cast("int").alias("tag"), "text", *more)
+
+
+def first_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag) of the row of smallest doc_id for each text."""
+    return docs.where("doc_id is not null").select(_id(docs), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")).groupBy("a", "b").agg(
+        F.min("doc_id").alias("doc_id")
+    ).select("doc_id", F.col("a").bitwiseAND(F.lit(65535)).cast("int").alias("tag"), "a", "b")
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """Distinct (h, copy): the fingerprints of each text; copies that one task meets count once already there."""
+    """(h, doc_id): the distinct fingerprints of each text, 48 bits each; of copies that meet in one task only the
+    smallest doc_id's, where it comes first."""
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: dict[int, int] = {}
         for b in batches:
-            hs, cs = [], []
-            for copy, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if copy in seen:
+            hs, ds = [], []
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                copy = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace"))
+                if seen.get(copy, doc_id + 1) <= doc_id:
                     continue
-                seen.add(copy)
-                h = np.unique(window_prints(word_hashes(text)))
+                seen[copy] = doc_id
+                h = np.unique(window_prints(word_hashes(text)) >> np.uint64(16))
                 hs.append(h)
-                cs.append(np.full(len(h), copy, np.int64))
+                ds.append(np.full(len(h), doc_id, np.int64))
             if len(seen) > 200_000:
                 seen.clear()
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs))], names=["h", "copy"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds))], names=["h", "doc_id"])
 
-    return keyed(docs).select("copy", "text").mapInArrow(work, "h long, copy long")
+    return keyed(docs).select("doc_id", "text").mapInArrow(work, "h long, doc_id long")
 
 
 @dataclass
 class FingerprintIndex:
-    """Runs are tables (h, copy) over files in the shared folder, bucketed and sorted by h."""
+    """Runs are tables (h, doc_id) over files in the shared folder, bucketed and sorted by h."""
 
     spark: SparkSession
     buckets: int = 0
@@ -118,19 +131,20 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"window_run_{uuid.uuid4().hex}"
-        (
-            rows.repartition(self.buckets, "h").dropDuplicates(["h", "copy"])
-            .write.bucketBy(self.buckets, "h").sortBy("h").option("path", shared_path(self.spark, "window-run")).option("compression", "zstd")
-            .saveAsTable(name)
-        )
+        with spent_shuffles_go(self.spark):
+            (
+                rows.repartition(self.buckets, "h").sortWithinPartitions("h", "doc_id")
+                .write.bucketBy(self.buckets, "h").sortBy("h").option("path", shared_path(self.spark, "window-run")).option("compression", "zstd")
+                .saveAsTable(name)
+            )
         return name
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Append a run for the batch; returns (h, copy) of all that its fingerprints share, old and new."""
+        """Append a run for the batch; returns (h, doc_id) of all that its fingerprints share, old and new."""
         older = [self.spark.table(r) for r in self.runs]
         self.runs.append(self._write(prints(batch)))
         new = self.spark.table(self.runs[-1])
-        shared = new.groupBy("h").agg(F.min("copy").alias("x"), F.max("copy").alias("y")).where("x <> y").select("h")
+        shared = new.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("h")
         out = new.join(shared, "h", "left_semi")
         for old in older:
             out = out.union(new.join(old, "h", "left_semi")).union(old.join(new, "h", "left_semi"))
@@ -146,26 +160,37 @@ class FingerprintIndex:
             self.runs = [self._write(rows)]
 
 
-def matching_windows(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, copy, at) of the windows under candidate fingerprints; of copies only the smallest doc_id's."""
-    texts = keyed(docs)
-    lists = candidates.groupBy("copy").agg(F.collect_set("h").alias("hs"))
-    first = texts.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    risky = texts.join(lists.join(first, "copy"), ["doc_id", "copy"])
+def matching_windows(docs: DataFrame, candidates: DataFrame, first: DataFrame) -> DataFrame:
+    """(w1, w2, doc_id, tag, at, hit) of the windows under candidate fingerprints, of first copies only.
+
+    Windows that meet in one batch of a task are settled there: only the smallest document's go on to be compared,
+    the others leave with hit set and a key of their own. So a window that very many documents share weighs a row
+    for each batch.
+    """
+    lists = candidates.groupBy("doc_id").agg(F.collect_set("h").alias("hs")).join(first.select("doc_id", "tag"), "doc_id")
+    risky = keyed(docs).join(lists, ["doc_id", "tag"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc_id, copy, text, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            found = [[np.zeros(0, t) for t in (np.uint64, np.int32, np.int64, np.int32, np.int32)]]
+            for doc_id, tag, text, hs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 x = word_hashes(text)
-                at = np.flatnonzero(np.isin(window_prints(x), hs.values.to_numpy().view(np.uint64)))
-                w1, w2 = runs_of(x, WINDOW, M1)[at].view(np.int64), runs_of(_mixed(x), WINDOW, M2)[at].view(np.int64)
-                if len(at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w1), pa.array(w2), pa.array(np.full(len(at), doc_id, np.int64)), pa.array(np.full(len(at), copy, np.int64)), pa.array(at.astype(np.int32))],
-                        names=["w1", "w2", "doc_id", "copy", "at"],
-                    )
-
-    return risky.select("doc_id", "copy", "text", "hs").mapInArrow(work, "w1 long, w2 long, doc_id long, copy long, at int")
+                at = np.flatnonzero(np.isin(window_prints(x) >> np.uint64(16), hs.values.to_numpy().view(np.uint64)))
+                w2 = (runs_of(_mixed(x), WINDOW, M2)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                found.append([runs_of(x, WINDOW, M1)[at], w2, np.full(len(at), doc_id), np.full(len(at), tag, np.int32), at.astype(np.int32)])
+            w1, w2, doc, tag, at = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((doc, w2, w1))
+            w1, w2, doc, tag, at = (c[order] for c in (w1, w2, doc, tag, at))
+            if not len(w1):
+                continue
+            new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
+            hit = doc > doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            w1, w2 = np.where(hit, doc.astype(np.uint64), w1), np.where(hit, at, w2)  # what is settled is dealt by document
+            for k in range(0, len(w1), 200_000):
+                part = slice(k, k + 200_000)
+                yield pa.RecordBatch.from_arrays([pa.array(c[part]) for c in (w1.view(np.int64), w2.astype(np.int32), doc, tag, at, hit)], names=["w1", "w2", "doc_id", "tag", "at", "hit"])
+
+    return risky.select("doc_id", "tag", "text", "hs").mapInArrow(work, "w1 long, w2 int, doc_id long, tag int, at int, hit boolean")
 
 
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
@@ -198,19 +223,18 @@ def keep_words(text: str | None, at: list[int], is_copy: bool) -> tuple[int, int
 def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, for every row of docs, with the columns of keep."""
     small_batches(docs.sparkSession)
-    texts = keyed(docs)
-    windows = matching_windows(docs, candidates)
-    lowest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    hits = windows.join(lowest, ["w1", "w2"]).where("doc_id > lo").groupBy("doc_id", "copy").agg(F.collect_list("at").alias("at"))
-    first = texts.groupBy("copy").agg(F.min("doc_id").alias("first"))
-    copies = texts.select("doc_id", "copy").join(first, "copy").where("doc_id > first").select("doc_id", "copy").distinct()
-    marks = hits.select("doc_id", "copy", "at", F.lit(False).alias("is_copy")).union(
-        copies.select("doc_id", "copy", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("is_copy"))
-    )
+    first = first_copies(docs)
+    windows = matching_windows(docs, candidates, first)
+    so_far = W.partitionBy("w1", "w2").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)  # streams, holds no group
+    hits = windows.withColumn("lo", F.min("doc_id").over(so_far)).where("hit or doc_id > lo").select("doc_id", "tag", "at").repartition("doc_id", "tag")
+    per_doc = hits.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
+    rows = docs.where("doc_id is not null").select(_id(docs), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    copies = rows.join(first.select("a", "b", "tag", F.col("doc_id").alias("first")), ["a", "b"]).where("doc_id > first").select("doc_id", "tag").distinct()
+    marks = per_doc.select("doc_id", "tag", "at", F.lit(False).alias("is_copy")).union(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("is_copy")))
     kept = [f"keep_{c}" for c in keep]
-    marked = keyed(docs, keep).join(marks, ["doc_id", "copy"], "left").select("doc_id", "text", "at", "is_copy", *kept)
+    marked = keyed(docs, keep).join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "at", "is_copy", *kept)
     none = [F.lit(None).cast("array<int>").alias("at"), F.lit(None).cast("boolean").alias("is_copy")]
-    rest = docs.where("doc_id is null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", *none, *[F.col(c).alias(f"keep_{c}") for c in keep])
+    rest = docs.where("doc_id is null").select(_id(docs), "text", *none, *[F.col(c).alias(f"keep_{c}") for c in keep])
     kinds = "".join(f", {c} {marked.schema[c].dataType.simpleString()}" for c in kept)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
