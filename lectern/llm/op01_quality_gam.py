@@ -35,42 +35,53 @@ FEATURES = [
     "max_adjacent", "min_distinct", "long_word", "short_word",
 ]
 
-_CLASS = np.zeros((256, 8), np.float64)
-for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&", b"|", b"!?", b"<>", b".,;:", b" \t\n\x0b\x0c\r")):
-    _CLASS[list(_chars), _k] = 1
+#: The class of each byte: 1 capitals, 2 digits, 3 symbols, 4 bars, 5 marks, 6 angles, 7 stops, 8 spaces, 9 small letters.
+_CLASS = np.zeros(256, np.uint8)
+for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&", b"|", b"!?", b"<>", b".,;:", b" \t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz")):
+    _CLASS[list(_chars)] = _k + 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(256, _ODD, np.uint64))
 
 
 def describe(text: str | None) -> list[float]:
     """The statistics of one whole text."""
     b = (text or "").encode("utf-8", "replace")
-    words = b.split()
-    n = len(words)
+    a = np.frombuffer(b, np.uint8)
+    kind = _CLASS[a]
+    inside = kind != 8
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    size = edge[1::2] - edge[::2]
+    n = len(size)
     if not n:
         return [0.0] * len(FEATURES)
-    counts = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
-    upper, digit, symbol, bar, mark, angle, stop, space = (counts @ _CLASS) / len(b)
+    counts = np.bincount(a, minlength=256)
+    share = np.bincount(kind, minlength=10)[1:9] / len(b)
     p = counts[counts > 0] / len(b)
-    ids = {}
-    seq = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, n)
-    size = np.fromiter(map(len, words), np.int64, n)
+    # words as numbers: a hash of each word's bytes, then its rank among the distinct ones
+    first = np.cumsum(size) - size
+    wb, wk = a[inside], kind[inside]
+    place = np.arange(len(wb)) - np.repeat(first, size)
+    _, seq = np.unique(np.add.reduceat((wb.astype(np.uint64) + np.uint64(1)) * _POWERS[place & 255], first) ^ size.astype(np.uint64), return_inverse=True)
+    distinct = int(seq.max()) + 1
     same = np.zeros(n)
     same[1:] = seq[1:] == seq[:-1]
     five = 0.0
     if n >= 5:
         h = seq[: n - 4].astype(np.uint64)
         for j in range(1, 5):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + seq[j : n - 4 + j].astype(np.uint64)
+            h = h * _ODD + seq[j : n - 4 + j].astype(np.uint64)
         five = 1 - len(np.unique(h)) / len(h)
     lines = [x for x in b.split(b"\n") if x.strip()]
-    flags = np.array([[any(c in w for c in b"#*$%&"), b"|" in w, b"!" in w, len(w) > 1 and w.isupper()] for w in words], np.float64)
+    of = lambda k: np.add.reduceat(wk == k, first, dtype=np.int64)
+    capitals = (of(1) > 0) & (of(9) == 0) & (size > 1)
     starts = np.arange(0, n, BLOCK)
     width = np.diff(np.append(starts, n))
-    local = np.add.reduceat(np.column_stack([flags, same]), starts, axis=0) / np.maximum(width, 16)[:, None]
-    distinct = min((len(np.unique(seq[s : s + BLOCK])) / w for s, w in zip(starts, width) if w >= 16), default=1.0)
+    local = np.add.reduceat(np.column_stack([of(3) > 0, of(4) > 0, np.add.reduceat(wb == 33, first, dtype=np.int64) > 0, capitals, same]).astype(np.float64), starts, axis=0) / np.maximum(width, 16)[:, None]
+    in_block = np.bincount(np.unique(np.arange(n) // BLOCK * distinct + seq) // distinct, minlength=len(starts)) / width
     return [
-        float(np.log1p(n)), float(size.mean()), upper, digit, symbol, bar, mark, angle, stop, space, counts[128:].sum() / len(b), len(lines) / n,
-        len(ids) / n, float(np.bincount(seq).max() / n), float(same.mean()), five, 1 - len(set(lines)) / len(lines), float(-(p * np.log(p)).sum()),
-        *local.max(axis=0), distinct, float((size > 20).mean()), float((size < 3).mean()),
+        float(np.log1p(n)), float(size.mean()), *share, counts[128:].sum() / len(b), len(lines) / n,
+        distinct / n, float(np.bincount(seq).max() / n), float(same.mean()), five, 1 - len(set(lines)) / len(lines), float(-(p * np.log(p)).sum()),
+        *local.max(axis=0), float(in_block[width >= 16].min(initial=1.0)), float((size > 20).mean()), float((size < 3).mean()),
     ]
 
 
@@ -208,8 +219,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     """A model from the labelled documents of the learning folds; only their statistics reach the driver."""
     marks = sampled_marks(labels, "quality", remainder("doc_id", 5) != 0, max_rows)
     stats = text_statistics(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), "y")
-    rows = stats.orderBy("doc_id").toPandas()
-    return fit(np.array(rows.x.tolist(), float).reshape(len(rows), -1), rows.y.to_numpy(float))
+    rows = stats.toPandas().sort_values("doc_id", kind="stable")
+    return fit(np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES)), rows.y.to_numpy(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -219,7 +230,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
     @F.pandas_udf("double")
     def scored(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([describe(t) for t in text], float).reshape(len(text), -1)))
+        return pd.Series(model.score(np.array([describe(t) for t in text], float).reshape(-1, len(FEATURES))))
 
     return docs.drop("quality_score").withColumn("quality_score", scored("text"))
 
