@@ -43,7 +43,7 @@ NEVER_NAMES = frozenset(
 )
 OUTER_NAMES = frozenset("header masthead topbar top".split())
 #: Costs, in hundredths: the classifier's weights and the smoothness of neighbours and of siblings.
-BIAS, PER_LOG_WORD, PER_LINK_SHARE, PUNCTUATION, IN_MAIN, IN_NEVER, NEIGHBOUR, SIBLING = -150, 120, -400, 100, 300, -2500, 60, 80
+BIAS, PER_LOG_WORD, PER_LINK_SHARE, PUNCTUATION, IN_MAIN, IN_NEVER, NEIGHBOUR, SIBLING = -80, 120, -400, 100, 300, -2500, 60, 80
 
 
 @dataclass

@@ -41,8 +41,9 @@ LOOK_ALIKES = str.maketrans(
 STANDS_FOR = dict(zip("013457@$!|", "oieastasil"))
 #: Phrases of lexicon words that insult nobody.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid simple", "loser bracket")
-#: Between letters, before two letters at the start of a word, and a digit after two letters at its end.
-_SIGN = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])|(?<![\w@$])[013457@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457](?!\w)")
+#: Signs between letters; then one before two letters at the start of a word, and a digit after two letters at its end.
+_INNER = re.compile(r"(?<=[^\W\d_])[013457@$!|]+(?=[^\W\d_])")
+_OUTER = re.compile(r"(?<![\w@$])[013457@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457](?!\w)")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -52,8 +53,9 @@ def fold(text: str | None) -> list[str]:
     if not t.isascii():
         t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
         t = t.translate(LOOK_ALIKES)
-    if _SIGN.search(t):
-        t = _SIGN.sub(lambda m: "".join(STANDS_FOR[c] for c in m[0]), t)
+    for signs in (_INNER, _OUTER):
+        if signs.search(t):
+            t = signs.sub(lambda m: "".join(STANDS_FOR[c] for c in m[0]), t)
     return _WORD.findall(t)
 
 
@@ -138,7 +140,9 @@ class Lexicon:
 def choose_terms(counts: DataFrame, n_docs: int, n_toxic: int) -> dict[str, float]:
     """The MAX_TERMS most telling terms; a longer term gives way to its own beginning where that tells as much."""
     odds = F.log(((F.col("toxic") + 0.5) * (n_docs - n_toxic + 1.0)) / ((F.col("docs") - F.col("toxic") + 0.5) * (n_toxic + 1.0)))
-    rows = counts.where((F.col("toxic") >= MIN_DOCS) & (2 * F.col("toxic") > F.col("docs"))).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
+    p = n_toxic / max(n_docs, 1)
+    sure = F.col("toxic") - p * F.col("docs") > 3 * F.sqrt(p * (1 - p) * F.col("docs"))  # no accident of a few documents
+    rows = counts.where((F.col("toxic") >= MIN_DOCS) & (2 * F.col("toxic") > F.col("docs")) & sure).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
     top = rows.orderBy(F.desc(F.col("toxic") * F.col("w")), "term").limit(MAX_TERMS).collect()
     w = {r.term: float(r.w) for r in top}
     return {t: v for t, v in w.items() if not any(t[:n] in w and w[t[:n]] >= 0.8 * v for n in range(4, len(t)))}
