@@ -57,7 +57,7 @@ def rerank_hits(hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     q = questions.select("query_id", rerank_keywords("text").alias("kw"))
     low = F.lower("content")
     share = F.when(F.size("kw") > 0, F.size(F.filter("kw", lambda x: F.contains(F.col("_low"), x))) / F.size("kw")).otherwise(0.0)
-    scored = hits.join(q, "query_id").withColumn("_low", low).withColumn("final", F.round(0.7 * F.col("score") + 0.3 * share, 6)).drop("_low", "kw", "rank")
+    scored = hits.join(q, "query_id").withColumn("_low", low).withColumn("final", F.round(0.7 * F.col("score") + 0.3 * share, 9)).drop("_low", "kw", "rank")
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("final"), "chunk_id"))).where(F.col("rank") <= k)
 
 

@@ -67,7 +67,7 @@ query(
 
 BQ = "SELECT item_id AS query_id, plan_id, embedding AS vector FROM benchmark JOIN chunks ON chunk_id = item_id"
 STOP = ", ".join(f"'{w}'" for w in RERANK_STOP)
-RERANK = rf"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM (SELECT s.query_id, chunk_id, content, section, round(0.7::DOUBLE * score + 0.3::DOUBLE * CASE WHEN len(kw) > 0 THEN len(list_filter(kw, lambda x: contains(lower(content), x))) / len(kw) ELSE 0.0 END, 6) AS final
+RERANK = rf"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM (SELECT s.query_id, chunk_id, content, section, round(0.7::DOUBLE * score + 0.3::DOUBLE * CASE WHEN len(kw) > 0 THEN len(list_filter(kw, lambda x: contains(lower(content), x))) / len(kw) ELSE 0.0 END, 9) AS final
 FROM ({SEARCH.format(q=BQ, k=12, k2=24)}) s JOIN (SELECT item_id AS query_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_\s\x{{00C0}}-\x{{024F}}]', ' ', 'g'), '\s+'), lambda x: length(x) >= 4 AND x NOT IN ({STOP})) AS kw FROM benchmark) b ON b.query_id = s.query_id)"""
 
 

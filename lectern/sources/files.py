@@ -22,7 +22,7 @@ def write_chunks(df: DataFrame, path: str, key: str = "plan_id", order: str = "c
 
 def export_course_report(lessons: DataFrame, path: str) -> None:
     """One line of text for each plan: its lessons by day."""
-    line = F.concat(F.lit("day "), F.col("day_number").cast("string"), F.lit(": "), F.col("title"))
+    line = F.concat(F.lit("day "), F.col("day_number").cast("string"), F.lit(": "), F.regexp_replace("title", r"\s+", " "))
     report = lessons.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day_number", line.alias("l")))), lambda x: x["l"]), " | ").alias("r"))
     report.select(F.concat(F.lit("plan "), F.col("plan_id").cast("string"), F.lit(" | "), "r").alias("value")).write.mode("overwrite").text(path)
 
