@@ -111,7 +111,7 @@ def decode_entities(c: str | Column) -> Column:
     def letter(ref: Column) -> Column:
         hexa = ref.rlike("^&#[xX]")
         code = F.when(hexa, F.conv(F.regexp_extract(ref, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "#([0-9]+)", 1)).cast("int")
-        text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE")
+        text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when((code < 32) & ~code.isin(9, 10, 13), "").otherwise(text)
 
     return F.aggregate(found, text, lambda t, ref: F.replace(t, ref, letter(ref)))
