@@ -14,8 +14,8 @@ from collections.abc import Iterable
 
 import numpy as np
 
-#: Chunks remembered in a worker before the cache starts anew.
-CACHE = 800_000
+#: Chunks, and pieces of chunks, remembered in a worker before that cache starts anew.
+CACHE, PIECE_CACHE = 500_000, 300_000
 #: Letters whose normal forms and classes need no tables, beyond ASCII.
 LETTERS = "À-ÖØ-öø-įĲ-ɏ"
 SIGNS = "!-/:-@\\[-`{-~"
@@ -60,7 +60,7 @@ class _Pieces(dict):
         self.model, self.letters = model, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) > CACHE:
+        if len(self) > PIECE_CACHE:
             self.clear()
         mapped = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
         self[piece] = out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])

@@ -29,7 +29,7 @@ from .common import read, small_batches, stage
 
 WINDOW = 10
 #: Words of a shard (a longer document is a shard of its own) and of the benchmark windows sent to the tasks at once.
-SHARD_WORDS, BLOCK_WORDS = 400_000, 4_000_000
+SHARD_WORDS, BLOCK_WORDS = 200_000, 4_000_000
 SAMPLE = 8
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -187,8 +187,8 @@ class Phrases:
 SPANS = "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
-def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Spans of every row, with the columns of keep beside them."""
+def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
+    """Spans of every row, with the columns of keep beside them; with cut, a kept text comes without its hit words."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [f"keep_{c}" for c in keep]
@@ -207,7 +207,10 @@ def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = ()) -> Dat
             ]
             rows = pa.Table.from_batches(held).combine_chunks()
             table = pa.table([rows.column("doc_id"), *cols, *[rows.column(c) for c in kept]], names=names)
-            return table.to_batches()
+            if cut:
+                texts = [t if t is None or not s else cut_spans(t, *zip(*s)) for t, (s, _) in zip(table["keep_text"].to_pylist(), found)]
+                table = table.set_column(names.index("keep_text"), "keep_text", pa.array(texts, pa.string()))
+            return table.to_batches(max_chunksize=1000)
 
         for b in batches:
             held.append(b.select(["doc_id", *kept]))
@@ -231,13 +234,14 @@ def _blocks(benchmark: DataFrame) -> int:
     return 1 + int(n) * WINDOW // BLOCK_WORDS
 
 
-def hit_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, begins, ends (merged spans of hit words) and items for every row, with the columns of keep."""
+def hit_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
+    """doc_id, n_words, begins, ends (merged spans of hit words) and items for every row, with the columns of keep; with
+    cut, text (one of keep) comes without its hit words."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     n = _blocks(items)
     part = lambda k: [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
     if n == 1:
-        return _judge(docs, Phrases(part(0)), keep)
+        return _judge(docs, Phrases(part(0)), keep, cut)
     # more passes: rows keep their identity by a number that is written once
     kept = stage(docs.select("doc_id", "text", *[c for c in keep if c != "text"]).withColumn("row", F.monotonically_increasing_id()), "decontamination-rows")
     found = None
@@ -264,10 +268,18 @@ def hit_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ())
     )
     out = merged.withColumn("spans", join).join(kept, "row")
     names = [F.col("doc_id").cast("long").alias("doc_id"), "n_words", F.col("spans.begins").alias("begins"), F.col("spans.ends").alias("ends"), "items"]
-    return out.select(*names, *keep)
+    if not cut:
+        return out.select(*names, *keep)
+
+    @F.pandas_udf("string")
+    def cleaned(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or not len(b) else cut_spans(t, list(b), list(e)) for t, b, e in zip(text, begins, ends)], dtype=object)
+
+    left = cleaned("text", F.col("spans.begins"), F.col("spans.ends")).alias("text")
+    return out.select(*names, *[left if c == "text" else c for c in keep])
 
 
-def cut_spans(text: str, begins: list[int], ends: list[int]) -> str:
+def cut_spans(text: str, begins: tuple[int, ...] | list[int], ends: tuple[int, ...] | list[int]) -> str:
     """The text without its hit words; what stands between two kept words stays."""
     b = text.encode("utf-8", "replace")
     out, done = [], 0
@@ -281,13 +293,8 @@ def cut_spans(text: str, begins: list[int], ends: list[int]) -> str:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items and text with the hit spans cut out, for every row, with the columns of keep."""
-    spans = hit_spans(docs, benchmark, ("text", *keep))
-
-    @F.pandas_udf("string")
-    def cleaned(text: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not len(b) else cut_spans(t, list(b), list(e)) for t, b, e in zip(text, begins, ends)], dtype=object)
-
-    return spans.select("doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", cleaned("text", "begins", "ends").alias("text"), *keep)
+    spans = hit_spans(docs, benchmark, ("text", *keep), cut=True)
+    return spans.select("doc_id", "n_words", _hits().alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "text", *keep)
 
 
 def _hits():
