@@ -22,7 +22,8 @@ def js_regex(pattern: str, unicode_boundaries: bool = False) -> str:
         # beside an ASCII letter a boundary is one look-around
         pattern = re.sub(r"\\b(?=[A-Za-z])", "(?<![A-Za-z0-9_])", pattern)
         pattern = re.sub(r"(?<=[A-Za-z])\\b", "(?![A-Za-z0-9_])", pattern).replace(r"\b", _ASCII_BOUNDARY)
-    return "(?iu)" + pattern
+    # an ASCII pattern folds ASCII letters only, as in JavaScript, and is much faster so
+    return ("(?i)" if pattern.isascii() else "(?iu)") + pattern
 
 
 def col(c: str | Column) -> Column:

@@ -117,23 +117,6 @@ def scope_compliance(lessons: DataFrame, repeats: int = 2, least: int = 3) -> Da
     return hits.where(F.col("hits") >= least)
 
 
-def chunk_sections(lines: DataFrame, short: int = 40, numbered: int = 15) -> DataFrame:
-    """Sections as chunks: a short one joins those that follow it, up to and with the next that is long enough; what is
-    still too short at the end is dropped. lines: doc_id, i, line."""
-    by_doc = W.partitionBy("doc_id")
-    upto = by_doc.orderBy("i").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = lines.withColumn("h", (heading_level("line") > 0).cast("int")).withColumn("section", F.sum("h").over(upto))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
-    sections = rows.groupBy("doc_id", "section").agg(joined.alias("content")).where("trim(content) <> ''")
-    sized = sections.withColumn("n", F.size(words("content"))).withColumn("least", F.when(F.col("content").rlike(r"^#*\s*[0-9]+\.[0-9]"), numbered).otherwise(short))
-    # a group ends with each section that is long enough: count those before this one
-    before = by_doc.orderBy("section").rowsBetween(W.unboundedPreceding, -1)
-    grouped = sized.withColumn("g", F.coalesce(F.sum((F.col("n") >= F.col("least")).cast("int")).over(before), F.lit(0)))
-    merged = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "content"))), lambda x: x["content"]), "\n")
-    out = grouped.groupBy("doc_id", "g").agg(merged.alias("content"), F.sum("n").alias("word_count")).where(F.col("word_count") >= numbered)
-    return out.select("doc_id", (F.row_number().over(by_doc.orderBy("g")) - 1).cast("int").alias("chunk_index"), "content", "word_count")
-
-
 def unwrap_single_column_tables(lines: DataFrame) -> DataFrame:
     """Lines with the bars of one-column table blocks removed; a block with a separator row or two filled cells stays.
     lines: doc_id, i, line."""

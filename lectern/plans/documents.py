@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import chunking as C
 from ..operators import documents as D
 from .registry import query
 from .text import LINES, LV, NW, line_rows, marks
@@ -61,14 +62,28 @@ query(
     f"""WITH o AS (SELECT doc_id, i, section, substring({VN('section')}, 1, 30) AS k FROM ({FIRST}) WHERE i < 40), c AS (SELECT doc_id, {VN('section')} AS k FROM o WHERE i % 2 = 0)
 SELECT doc_id, section, CAST(7 - (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1) % 7 AS INT) AS day FROM o WHERE length(k) > 4 AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = o.doc_id AND c.k = o.k)""",
 )(lambda t: (lambda o: D.repair_coverage(o, o.select("doc_id", F.posexplode("outline").alias("i", "section")).where("i % 2 = 0"), 7))(D.outline(t.marked_documents)))
-SEC = f"SELECT doc_id, section, string_agg(line, chr(10) ORDER BY i) AS text FROM (SELECT doc_id, i, line, sum(CASE WHEN {LV} > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM (SELECT doc_id, i, line, trim(line) AS tr, len(list_filter(regexp_split_to_array(trim(line), '\\s+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM marked_documents))) GROUP BY doc_id, section"
+SEC = f"SELECT doc_id, section, any_value(line) FILTER (h = 1) AS heading, coalesce(list(line ORDER BY i) FILTER (h = 0), []) AS body FROM (SELECT doc_id, i, line, CASE WHEN {LV} > 0 THEN 1 ELSE 0 END AS h, sum(CASE WHEN {LV} > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS section FROM (SELECT doc_id, i, line, trim(line) AS tr, len(list_filter(regexp_split_to_array(trim(line), '\\s+'), lambda x: x <> '')) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM marked_documents))) GROUP BY doc_id, section"
+NWX = lambda c: f"len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> ''))"
+TRIM = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 query(
-    "k5_chunk_sections",
-    rf"""WITH s AS (SELECT doc_id, section, text, {NW} AS n, CASE WHEN regexp_matches(text, '^#*\s*[0-9]+\.[0-9]') THEN 15 ELSE 40 END AS least_n FROM ({SEC}) WHERE trim(text) <> ''),
-g AS (SELECT *, coalesce(sum(CASE WHEN n >= least_n THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM s),
-m AS (SELECT doc_id, g, string_agg(text, chr(10) ORDER BY section) AS content, CAST(sum(n) AS BIGINT) AS word_count FROM g GROUP BY doc_id, g HAVING sum(n) >= 15)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS INT) AS chunk_index, md5(content) AS digest, word_count FROM m""",
-)(lambda t: D.chunk_sections(line_rows(t)).select("doc_id", "chunk_index", F.md5("content").alias("digest"), "word_count"))
+    "k5_merge_sections",
+    rf"""WITH s AS (SELECT doc_id, section, heading, list_concat(CASE WHEN heading IS NULL THEN [] ELSE [heading] END, body) AS rows, body, {NWX("array_to_string(list_concat(CASE WHEN heading IS NULL THEN [] ELSE [heading] END, body), ' ')")} AS n FROM ({SEC}) WHERE heading IS NOT NULL OR trim(array_to_string(body, ' ')) <> ''),
+f AS (SELECT *, n < CASE WHEN coalesce(regexp_matches(trim(heading), '^[0-9]+\.[0-9]'), false) THEN 15 ELSE 40 END AS short FROM s),
+g AS (SELECT *, coalesce(sum(CASE WHEN short THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM f),
+m AS (SELECT doc_id, g, flatten(list(rows ORDER BY section) FILTER (short)) AS pend, any_value(heading) FILTER (NOT short) AS heading, any_value(body) FILTER (NOT short) AS body, any_value(n) FILTER (NOT short) AS n FROM g GROUP BY doc_id, g),
+c AS (SELECT doc_id, g, 0 AS o, 'merged' AS kind, {TRIM("array_to_string(pend, chr(10))")} AS content FROM m WHERE pend IS NOT NULL AND (n IS NULL OR n <= 350)
+UNION ALL SELECT doc_id, g, 1, 'whole', {TRIM("array_to_string(list_concat(CASE WHEN heading IS NULL THEN [] ELSE [heading] END, body), chr(10))")} FROM m WHERE n <= 350
+UNION ALL SELECT doc_id, g, 1, 'long', {TRIM("array_to_string(list_concat(CASE WHEN heading IS NULL THEN [] ELSE [heading] END, CASE WHEN pend IS NULL THEN [] ELSE list_append(pend, '') END, body), chr(10))")} FROM m WHERE n > 350)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY g, o) - 1 AS INT) AS position, kind, md5(content) AS digest, CAST({NWX('content')} AS INT) AS word_count FROM c WHERE kind <> 'merged' OR {NWX('content')} >= 15""",
+)(lambda t: C.merge_sections(line_rows(t)).select("doc_id", "position", "kind", F.md5("content").alias("digest"), "word_count"))
+query("k6_split_long_sections")(lambda t: C.split_long_sections(C.merge_sections(line_rows(t)).where("kind = 'long'")).select("doc_id", "position", "part", "content", "word_count"))
+query("k7_chunk_documents")(lambda t: C.chunk_documents(t.marked_documents))
+query("k10_propositions")(lambda t: C.propositions(C.chunk_documents(t.marked_documents)))
+query("k11_expand_propositions")(lambda t: C.expand_propositions(C.chunk_documents(t.marked_documents)))
+query("k12_text_windows")(lambda t: C.text_windows(t.documents).select("doc_id", "window", F.length("content").alias("chars"), F.md5("content").alias("digest")))
+query("k16_build_chunk_index")(lambda t: C.build_chunk_index(t.marked_documents).select("doc_id", "chunk_index", "topic", "kind", "word_count"))
+query("t2_nfc", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")(lambda t: t.documents.select("doc_id", F.md5(C.nfc("text")).alias("digest")))
+query("s5_html_tables_to_markdown")(lambda t: t.pages.select("page_id", F.md5(C.html_tables_to_markdown("html")).alias("digest")))
 query(
     "t3_drop_broken_urls",
     r"SELECT page_id, regexp_replace(regexp_replace(x, 'https?://\S+\s+\S*(?:\.\w+)?', '', 'g'), '(?m)^https?://[^\s]+\s*$', '', 'g') AS text FROM (SELECT page_id, concat('see ', url, ' now', chr(10), url) AS x FROM pages)",
