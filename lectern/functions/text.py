@@ -19,6 +19,11 @@ PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyycnaei
 def js_regex(pattern: str, unicode_boundaries: bool = False) -> str:
     """A pattern whose word boundaries are ASCII ones (as in JavaScript and RE2) and whose case folding is Unicode's."""
     if not unicode_boundaries:
+        group = re.fullmatch(r"\\b\(([^()]*)\)\\b", pattern)
+        if group:  # what a boundary asks for beside each word follows from the word's own end
+            before = lambda w: "(?<![A-Za-z0-9_])" if re.match("[A-Za-z0-9_]", w) else "(?<=[A-Za-z0-9_])"
+            after = lambda w: "(?![A-Za-z0-9_])" if re.search("[A-Za-z0-9_]$", w) else "(?=[A-Za-z0-9_])"
+            pattern = "(?:" + "|".join(f"{before(w)}{w}{after(w)}" for w in group[1].split("|")) + ")"
         # beside an ASCII letter a boundary is one look-around
         pattern = re.sub(r"\\b(?=[A-Za-z])", "(?<![A-Za-z0-9_])", pattern)
         pattern = re.sub(r"(?<=[A-Za-z])\\b", "(?![A-Za-z0-9_])", pattern).replace(r"\b", _ASCII_BOUNDARY)

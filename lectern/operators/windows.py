@@ -115,12 +115,10 @@ def uniform_cap(chunks: DataFrame, key: str, order: str, cap: int = 150) -> Data
     """At most cap rows of each key, evenly spaced: rows floor(i n / cap + 1/2) for i below cap, where n is above cap."""
     w = W.partitionBy(key)
     rows = chunks.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    sizes = rows.where(F.col("_n") > cap).groupBy(key).agg(F.first("_n").alias("_n"))
-    at = F.explode(F.sequence(F.lit(0), F.lit(cap - 1))).alias("_k")
-    picks = sizes.select(key, "_n", at).select(key, F.least(F.floor(F.col("_k") * (F.col("_n") / cap) + 0.5), F.col("_n") - 1).cast("int").alias("_i")).distinct()
-    few = rows.where(F.col("_n") <= cap)
-    many = rows.where(F.col("_n") > cap).join(picks, [key, "_i"], "left_semi")
-    return few.unionByName(many).drop("_i", "_n")
+    # a row is kept if one of the few k near its own share gives it; the formula itself decides, so no rounding is lost
+    near = F.floor(F.col("_i") * cap / F.col("_n")).cast("int")
+    gives = lambda k: k.between(0, cap - 1) & (F.least(F.floor(k * (F.col("_n") / cap) + 0.5), F.col("_n") - 1) == F.col("_i"))
+    return rows.where((F.col("_n") <= cap) | F.exists(F.sequence(near - 2, near + 2), gives)).drop("_i", "_n")
 
 
 def keep_first(df: DataFrame, key: Column, within: list[str], order: list[Column]) -> DataFrame:
