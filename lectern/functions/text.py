@@ -35,6 +35,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def trim_all(c: str | Column) -> Column:
+    """Without white space of any kind at either end (Spark's trim takes spaces only)."""
+    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+
+
 def strip_marks(c: str | Column) -> Column:
     """Lower-case letters without their marks; combining marks go as well. đ stays."""
     return F.regexp_replace(F.translate(F.lower(col(c)), MARKED, PLAIN), r"[\u0300-\u036f]", "")

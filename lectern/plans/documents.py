@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cleaning as R
 from ..functions import text as X
 from ..operators import chunking as C
 from ..operators import documents as D
@@ -102,3 +103,34 @@ SELECT doc_id, CAST(i AS INT) AS i, line FROM (SELECT doc_id, i, CASE WHEN NOT b
 query("v11_clone_lessons", "SELECT l.lesson_id AS reused_from, plan_id + 500 AS plan_id, day_number, title, concat('v', CAST(lesson_id % 3 + 2 AS VARCHAR)) AS version, CASE WHEN day_number = 1 THEN 'in-progress' ELSE 'locked' END AS status FROM lessons l WHERE lesson_id % 4 = 0")(
     lambda t: D.clone_lessons(t.lessons.withColumn("version", F.concat(F.lit("v"), (F.col("lesson_id") % 3 + 1).cast("string"))), t.lessons.where("lesson_id % 4 = 0").select("lesson_id", (F.col("plan_id") + 500).alias("plan_id"), "day_number"))
 )
+
+CAMEL = "x"
+for a in (r"([a-z])([A-Z])", r"([A-Z]+)([A-Z][a-z])", r"([a-zA-Z])([0-9])", r"([0-9])([a-zA-Z])"):
+    CAMEL = f"regexp_replace({CAMEL}, '{a}', '\\1 \\2', 'g')"
+query("t10_split_camel", f"SELECT plan_id, CASE WHEN regexp_matches(x, '^[A-Z0-9_]+$') AND length(x) <= 10 THEN x ELSE {CAMEL} END AS t FROM (SELECT plan_id, concat(replace(title, ' ', ''), 'HTTPServer', category) AS x FROM plans)")(
+    lambda t: t.plans.select("plan_id", R.split_camel(F.concat(F.replace("title", F.lit(" "), F.lit("")), F.lit("HTTPServer"), "category")).alias("t"))
+)
+JOINED = "x"
+for a, b in R.SPLIT_WORDS:
+    JOINED = f"regexp_replace({JOINED}, '(?i)\\b{a}\\b', '{b}', 'gi')"
+query("t11_join_broken_tokens", f"SELECT doc_id, {JOINED} AS t FROM (SELECT doc_id, concat('Err or in for mation, func  tion. ', substring(text, 1, 100)) AS x FROM documents)")(
+    lambda t: t.documents.select("doc_id", R.join_broken_tokens(F.concat(F.lit("Err or in for mation, func  tion. "), F.substring("text", 1, 100))).alias("t"))
+)
+query(
+    "k1_merge_numbered_headings",
+    r"""WITH l AS (SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN concat(CAST(i AS VARCHAR), '.', CAST(doc_id % 4 AS VARCHAR)) ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+n AS (SELECT *, trim(lead(line) OVER (PARTITION BY doc_id ORDER BY i)) AS nx FROM l),
+k AS (SELECT *, coalesce(regexp_matches(trim(line), '^[0-9]+(?:\.[0-9]+)+\s*$') AND NOT regexp_matches(nx, '^```|^\||^#{1,6}\s|^[-*+]\s|^[0-9]+\.\s|^[=+\-*/(){}\[\]|;,@#$^&<>]') AND length(nx) BETWEEN 2 AND 120 AND regexp_matches(nx, '^[A-ZÀ-Ỹa-zà-ỹ]'), false) AS tk FROM n)
+SELECT doc_id, CAST(i AS INT) AS i, CASE WHEN tk THEN trim(regexp_replace(concat(trim(line), ' ', nx), '\s+', ' ', 'g')) ELSE line END AS line FROM (SELECT *, coalesce(lag(tk) OVER (PARTITION BY doc_id ORDER BY i), false) AS gone FROM k) WHERE NOT gone""",
+)(
+    lambda t: R.merge_numbered_headings(
+        t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.when(F.col("i") % 5 == 0, F.concat(F.col("i").cast("string"), F.lit("."), (F.col("doc_id") % 4).cast("string"))).otherwise(F.col("line")))
+    )
+)
+NOISE = ", ".join(f"'{w}'" for w in R.NOISE)
+query("n2_title_keywords", rf"SELECT lesson_id, array_to_string(list_filter(list_transform(regexp_split_to_array(title, '[\s,\-.()\[\]/]+'), lambda x: lower(trim(x))), lambda x: length(x) >= 2 AND x NOT IN ({NOISE})), ' ') AS k FROM lessons")(
+    lambda t: t.lessons.select("lesson_id", F.array_join(R.title_keywords("title"), " ").alias("k"))
+)
+query("t19_strip_prompt_leakage")(
+    lambda t: t.lessons.select("lesson_id", F.md5(R.strip_prompt_leakage(F.concat(F.lit("```markdown\n===== BÀI TRƯỚC ===== x =====\n[Context: a]\n"), "content", F.lit("\n## Quiz\nq\n```")))).alias("digest"))
+)

@@ -145,3 +145,10 @@ def test_entry_points():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and os.path.exists(e.__file__)
+
+
+def test_leaked_prompts_go(spark):
+    from lectern.functions.cleaning import strip_prompt_leakage
+
+    text = "```markdown\n===== CONTEXT a ===== secret =====\n# Lesson\n* [Context: x]\nBody.\n\n\n\nMore.\n## Quiz\nWhat?\n```"
+    assert spark.createDataFrame([(text,)], "t string").select(strip_prompt_leakage("t")).first()[0] == "# Lesson\nBody.\n\nMore."
