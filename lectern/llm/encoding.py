@@ -15,7 +15,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks, and pieces of chunks, remembered in a worker before that cache starts anew.
-CACHE, PIECE_CACHE = 500_000, 300_000
+CACHE, PIECE_CACHE = 800_000, 500_000
 #: Letters whose normal forms and classes need no tables, beyond ASCII.
 LETTERS = "À-ÖØ-öø-įĲ-ɏ"
 SIGNS = "!-/:-@\\[-`{-~"
@@ -42,11 +42,14 @@ class _Chunks(dict):
 
     def __init__(self, coder: ChunkEncoder):
         super().__init__()
-        self.coder = coder
+        self.coder, self.plain = coder, coder.kind == "byte"
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) > CACHE:
             self.clear()
+        if self.plain and chunk.isascii() and chunk.isalpha():  # a space and letters are one piece
+            self[chunk] = out = self.coder.pieces.encode("Ġ" + chunk)
+            return out
         string = self.coder.string(chunk)
         if string is None:
             raise KeyError(chunk)
@@ -63,9 +66,13 @@ class _Pieces(dict):
         if len(self) > PIECE_CACHE:
             self.clear()
         mapped = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        self[piece] = out = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+        self[piece] = out = self.encode(mapped)
         return out
 
+    def encode(self, mapped: str) -> bytes:
+        """Ids of a piece whose bytes are written as the vocabulary's letters."""
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
+
 
 class ChunkEncoder:
     """ids_bytes(texts): the ids of each text as little-endian unsigned 32-bit integers.
@@ -81,7 +88,8 @@ class ChunkEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.kind, self.chunks, self.pieces = kind, _Chunks(self), _Pieces(self.tok.model)
+        self.kind = kind
+        self.chunks, self.pieces = _Chunks(self), _Pieces(self.tok.model)
         self.safe, self.find = SAFE[kind].fullmatch, PIECES[kind].findall
 
     def whole(self, text: str) -> bytes:
