@@ -3,7 +3,7 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so each chunk's ids do not depend on its
 neighbours and can be remembered. A chunk of common letters, digits and signs is cut further by the tokenizer's
 pattern and its pieces go to the tokenizer's model; any other chunk goes to the whole tokenizer. A text that has
-other white space than the cuts that are certain is encoded whole.
+other white space than the cuts that are certain, or the literal of an added token, is encoded whole.
 """
 
 from __future__ import annotations
@@ -87,8 +87,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.kind = kind
+        #: The whole tokenizer takes these out of the text before any cut is made.
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.chunks, self.pieces = _Chunks(self), _Pieces(self.tok.model)
         self.safe, self.find = SAFE[kind].fullmatch, PIECES[kind].findall
 
@@ -114,6 +115,8 @@ class ChunkEncoder:
     def ids_of(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return self.whole(text)
         if self.kind == "word":
             if re.search("[\x1c-\x1f]", text):
                 return self.whole(text)

@@ -265,6 +265,13 @@ def test_chunked_encoding_is_the_tokenizers_own(kind, path, rows):
     assert c.ids_bytes(texts) == want
 
 
+@pytest.mark.parametrize("kind,path", [("byte", BYTE), ("word", WORD)])
+def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer(kind, path):
+    texts = ["end <|endoftext|> x", "a<|endoftext|>b", "<|startoftext|> One\n<|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", *ODD]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert encoding.ChunkEncoder(path, kind).ids_bytes(texts) == want
+
+
 def test_token_files_round_trip(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(o6, "FRAME_BYTES", 4096)
     path = common.shared_path(spark, "tokens")
