@@ -1,4 +1,4 @@
-"""A training corpus in five stages, each one of the operators of lectern.llm over all that the stage before kept.
+"""A training corpus in five stages, each an operator of lectern.llm over all that the stage before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
 docs of the next one. All but the last return the columns of documents; n_chars follows the text where it changed.
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import read, stage
+from lectern.llm.near_jaccard import near_copies
 from lectern.llm.op01_quality_gam import score_quality
-from lectern.llm.op02_simhash_golay import near_duplicates
 from lectern.llm.op04_substring_dedup import substring_dedup
 from lectern.llm.op07_decontamination import decontaminate
 from lectern.llm.op09_packing import packing
@@ -32,8 +32,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """Of each group of near-duplicates (Jaccard of five-word shingles 0.8 or more) the document of smallest id stays."""
+    first = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id is not null").join(first, "doc_id").dropDuplicates(["doc_id"]).select(COLUMNS)
     return named.unionByName(docs.where("doc_id is null").select(COLUMNS))
 

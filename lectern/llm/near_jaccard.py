@@ -1,0 +1,103 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands give candidates, whole sets decide.
+
+At Jaccard 0.8 the SimHashes of two texts differ in about ten bits of 64, too far for keys that hold within a few
+bits. A pair of that similarity shares one of BANDS keys, each of ROWS minima, but for one in 14,000; above it the
+share missed falls fast. Every candidate pair that could join two components is compared by its two sets:
+
+* first each member of a key with the key's smallest and largest member, which joins most of a large group;
+* then, in keys whose members are still of several components, each member outside the commonest one with all
+  members of other components. So no group's pairs are listed that its components already answer.
+
+Equal texts (lower case, white space aside) are one node from the start. Nulls: a null text has no words and equals
+any other without words. Rows with a null doc_id take no part. An empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, small_batches, stage
+
+#: Keys of each text and minima in each.
+BANDS, ROWS = 24, 5
+_RNG = np.random.default_rng(42)
+FACTORS, ADDED = (_RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)), _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
+def shingles(text: str | None, size: int = 5) -> tuple[int, np.ndarray]:
+    """The text's own hash and the sorted distinct hashes of its shingles of that many words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    if not words:
+        return digest(joined, 7), np.zeros(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.append(0, ends[:-1] + 1)
+    k = min(size, len(words))
+    h = [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
+    return digest(joined, 7), np.unique(np.array(h, np.uint64))
+
+
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """One signed long for each band; none for an empty set."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(s), 512):
+        low = np.minimum(low, (s[a : a + 512, None] * FACTORS + ADDED).min(axis=0))
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(low.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def _mapped(docs: DataFrame, size: int, keys: bool) -> DataFrame:
+    """doc_id, h (the text's hash) and v: its keys or its whole set."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, values = [], []
+            for t in b.column(1).to_pylist():
+                h, s = shingles(t, size)
+                own.append(h)
+                values.append(band_keys(s) if keys else s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(own, np.uint64).view(np.int64)), pa.array(values, pa.list_(pa.int64()))], names=["doc_id", "h", "v"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(work, "doc_id long, h long, v array<long>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are that similar."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
+
+
+def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over similar pairs) for every row that has an id."""
+    prints = stage(_mapped(docs, size, True), "prints")
+    nodes = prints.groupBy("h").agg(F.min("doc_id").alias("rep"), F.first("v").alias("v"))
+    keyed = nodes.select(F.explode("v").alias("key"), F.col("h").alias("node"), "rep")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    met = stage(keyed.join(ends, "key"), "met")
+    pairs = met.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end")
+    pairs = stage(pairs.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct(), "pairs")
+    reps = met.select(F.col("rep").alias("doc_id")).distinct()
+    sets = stage(_mapped(docs.join(reps, "doc_id", "left_semi"), size, False).select("h", "v").dropDuplicates(["h"]), "sets")
+    first = stage(_alike(pairs, sets, similarity), "alike")
+
+    found = stage(components(first), "joined")
+    members = stage(met.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "members")
+    sizes = members.groupBy("key", "c").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1").select("key", F.col("most.c").alias("main"))
+    outside = members.join(most, "key").where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
+    rest = outside.join(members, "key").where("c <> cx").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    second = _alike(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity)
+
+    last = components(first.union(second))
+    marked = prints.select("doc_id", "h").join(last, F.col("h") == F.col("node"), "left").select("doc_id", F.coalesce("component", "h").alias("c"))
+    smallest = marked.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return marked.join(smallest, "c").select("doc_id", "component_id")

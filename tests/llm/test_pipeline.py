@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force over their own inputs."""
 
+import random
+
 import pytest
 
 pytest.importorskip("lectern.llm")
@@ -47,3 +49,38 @@ def test_stages_take_effect(spark, sf):
 
 def test_run_is_its_stages(spark, sf):
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_near_dedup_finds_copies_of_five_word_jaccard_of_four_fifths(spark, sf):
+    rng, rows = random.Random(5), []
+    for g in range(30):
+        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([60, 150, 400]))]
+        for k in range(5):
+            copy = list(words)
+            for _ in range(k * len(words) // 100):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(4000)}"
+            rows.append((1000 - len(rows), " ".join(copy)))
+    rows += [(2000, ""), (2001, None), (2002, "Two words"), (2003, "two  WORDS"), (None, "two words"), (2004, rows[0][1].upper())]
+    sets = {}
+    for i, t in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    ids = sorted(i for i in sets if i is not None)
+    root = {i: i for i in ids}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    far = 0
+    prints = {i: o2.fingerprint(t) for i, t in rows}
+    for a in ids:
+        for b in ids:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                far += bin(prints[a] ^ prints[b]).count("1") > 4
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = [r.doc_id for r in pipeline.near_dedup(spark, docs, sf).collect()]
+    assert far > 10 and sorted(i for i in kept if i is not None) == sorted({find(i) for i in ids}) and None in kept
