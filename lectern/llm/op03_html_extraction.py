@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read, small_batches
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset head".split())
 MAIN = frozenset("article main".split())
+#: Tags whose names say nothing about what they hold: the whole page, and headings named after their topic.
+NAMELESS = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that mark what is never main text; the second set only outside an article.
 NEVER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs"
@@ -64,25 +66,45 @@ class Block:
         )
 
 
+def signs(attributes: str) -> tuple[set[str], bool]:
+    """Names in class, id and role, each a whole one, or all parts of a hyphenated one of which every part marks what is
+    never main text; and whether the element is hidden."""
+    names, hidden = set(), False
+    for x in ATTRIBUTE.finditer(attributes):
+        key, value = x[1].lower(), (x[2] or x[3] or x[4] or "").lower()
+        if key in ("class", "id", "role"):
+            for name in value.split():
+                parts = set(re.split("[-_]+", name))
+                names |= parts if parts <= NEVER_NAMES else {name}
+        hidden = hidden or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and bool(NO_DISPLAY.search(value)))
+    return names, hidden
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, never, main, number
-    links, number, pos, now = 0, 0, 0, None
+    links, number, pos, now, held = 0, 0, 0, None, None  # held: the block that an inline notice or advert interrupts
 
     def close_block():
-        nonlocal now
-        if now is not None:
-            now.text = " ".join(entities.unescape("".join(now.parts)).split())
-            if now.text:
-                out.append(now)
-            now = None
+        nonlocal now, held
+        for b in (now, held):
+            if b is not None:
+                b.text = " ".join(entities.unescape("".join(b.parts)).split())
+        now = held = None
 
     def pop_to(k: int):
-        nonlocal links
+        nonlocal links, now, held
         for tag, *_ in stack[k:]:
             links -= tag == "a"
+        notice = stack[-1][1]
         del stack[k:]
+        if notice and not stack[-1][1]:  # what follows an inline notice goes on with the block before it
+            before, held = held, None
+            close_block()
+            now = before
+            if now is not None:
+                now.parts.append(" ")
 
     while m := TOKEN.match(page, pos):
         pos = m.end()
@@ -92,6 +114,7 @@ def blocks_of(page: str) -> list[Block]:
                 if not text.strip():
                     continue
                 now = Block(next(s[3] for s in reversed(stack) if s[0] not in INLINE), stack[-1][1], stack[-1][2])
+                out.append(now)
             now.parts.append(text)
             if links > 0:
                 now.link += len(text)
@@ -126,17 +149,19 @@ def blocks_of(page: str) -> list[Block]:
                 pop_to(k)
         _, never, main, _ = stack[-1]
         main = main or tag in MAIN
-        names = {w for x in NAMES.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (x[1] or x[2] or x[3] or "").lower())} if "=" in m[3] else set()
-        never = never or tag in NEVER or bool(names & NEVER_NAMES) or (not main and (tag == "header" or bool(names & OUTER_NAMES))) or bool(m[3] and HIDDEN.search(m[3]))
+        names, hidden = signs(m[3]) if m[3].strip() else (set(), False)
+        if tag in NAMELESS:
+            names = set()
+        never = never or hidden or tag in NEVER or bool(names & NEVER_NAMES) or (not main and (tag == "header" or bool(names & OUTER_NAMES)))
         if "main" in names and not never:
             main = True
         if tag in INLINE and now is not None and never and not stack[-1][1]:
-            close_block()  # an inline notice or advert is a block of its own
+            held, now = now, None  # an inline notice or advert is a block of its own
         number += 1
         links += tag == "a"
         stack.append((tag, never, main, number))
     close_block()
-    return out
+    return [b for b in out if b.text]
 
 
 def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:

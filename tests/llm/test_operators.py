@@ -401,3 +401,21 @@ def test_min_cut_is_the_cheapest_labelling():
         edges = [(i, j, rng.randrange(0, 6)) for i in range(n) for j in range(i) if rng.random() < 0.5]
         price = lambda lab: sum(max(c, 0) for c, x in zip(costs, lab) if not x) + sum(max(-c, 0) for c, x in zip(costs, lab) if x) + sum(w for i, j, w in edges if lab[i] != lab[j])
         assert price(o3.min_cut(costs, edges)) == min(price([b >> k & 1 for k in range(n)]) for b in range(2**n))
+
+
+@pytest.mark.parametrize("mark", ['span class="ad"', "span hidden", 'a class="share" href="/s"'])
+def test_text_after_an_inline_notice_stays(mark):
+    page = f"<div><p>Intro words come first here <{mark}>Buy</{mark.split()[0]}> and the rest of the sentence, too.</p></div>"
+    assert o3.main_text(page) == "Intro words come first here and the rest of the sentence, too."
+
+
+@pytest.mark.parametrize("mark", ['div class="has-sidebar"', 'body class="ad"', 'h2 id="related-work"', 'section id="social-impact"', 'div style="overflow:hidden"', 'div title="a hidden thing"'])
+def test_loose_names_and_values_hide_nothing(mark):
+    tag = mark.split()[0]
+    text = "The long enough text, with signs, of an article that nobody wants to lose."
+    assert o3.main_text(f"<{mark}>{text}</{tag}>") == text
+
+
+@pytest.mark.parametrize("mark", ['div class="x ad"', 'div id="cookie-notice"', "div hidden", 'div style="display: none"'])
+def test_marked_containers_stay_out(mark):
+    assert o3.main_text(f"<p>The long enough text, of an article that stays.</p><{mark}>Some other text, long enough too, to be kept otherwise.</div>") == "The long enough text, of an article that stays."
