@@ -152,7 +152,7 @@ class FingerprintIndex:
 
     def compact(self, force: bool = False) -> None:
         """Merge all runs into one where there are more than MAX_RUNS. Results of earlier add() calls that are not
-        computed yet still read the old files, which therefore stay until drop()."""
+        computed yet still read the old files, which therefore stay until the shared folder is cleaned."""
         if len(self.runs) > MAX_RUNS or force and len(self.runs) > 1:
             rows = self.spark.table(self.runs[0])
             for r in self.runs[1:]:

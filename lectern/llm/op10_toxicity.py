@@ -4,8 +4,7 @@ Folding lower-cases, strips accents, maps look-alike letters to Latin ones, read
 letters as the letters they stand for, and turns everything else into single spaces. The lexicon holds whole
 words and word beginnings whose share of toxic documents, counted over labelled rows, is far above the rest;
 the weight is the log odds. Exception phrases that hold a lexicon word are matched by the same automaton and
-cancel the hits inside them; learned ones are word pairs seen mostly in documents that are not toxic. A score
-is a logistic function of the weight found and of the weight for each word of the text.
+cancel the hits inside them; they are a few fixed English ones, none is learned. A score is a logistic function of the weight found and of the weight for each word of the text.
 
 Counting, matching and scoring run inside Spark tasks; counts meet in one aggregate. Learning sees about
 max_rows labelled rows, by hash of the id; the lexicon keeps at most MAX_TERMS terms, so the automaton is bounded.
