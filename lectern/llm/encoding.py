@@ -1,32 +1,36 @@
 """Whole-text token ids by a public tokenizer, with a cache of chunks.
 
 A text is cut where the tokenizer's own pre-tokenizer always cuts, so each chunk's ids do not depend on its
-neighbours and can be remembered. A chunk of common letters, digits and signs is cut further by the tokenizer's
-pattern and its pieces go to the tokenizer's model; any other chunk goes to the whole tokenizer. A text that has
-other white space than the cuts that are certain, or the literal of an added token, is encoded whole.
+neighbours and can be remembered. A batch of texts is cut and its distinct chunks are found by Arrow. Plain chunks (common
+letters, digits and signs) are cut further by the tokenizer's pattern, all in one go, and their pieces go to the
+tokenizer's model or are remembered; any other chunk goes to the whole tokenizer. The texts' ids are put together from the chunks' by array steps. A text whose cuts are not certain (white space beside white space), or that has
+the literal of an added token, is encoded whole.
+
+A worker process keeps one encoder for each tokenizer, whatever tasks it runs; caches are bounded in bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Chunks, and pieces of chunks, remembered in a worker before that cache starts anew.
-CACHE, PIECE_CACHE = 800_000, 500_000
+#: Bytes of one generation of a cache (it holds two), bytes of an entry beside its letters and ids, and the longest key kept.
+CACHE_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 160, 256
 #: Letters whose normal forms and classes need no tables, beyond ASCII.
 LETTERS = "À-ÖØ-öø-įĲ-ɏ"
 SIGNS = "!-/:-@\\[-`{-~"
-SAFE = {
-    "byte": re.compile(f"[ \n]?[!-~{LETTERS}]+"),
-    "word": re.compile(f"[!-~{LETTERS}]+"),
-}
-#: The patterns of the two public pre-tokenizers over the safe letters, digits and signs.
+PLAIN = f"^[!-~{LETTERS}]+$"
+SAFE = re.compile(f"[!-~{LETTERS}]+").fullmatch
+#: The patterns of the two public pre-tokenizers over the safe letters, digits and signs; of the second, with the space between chunks.
 PIECES = {
     "byte": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{LETTERS}]+| ?[0-9]+| ?[{SIGNS}]+|\\s+(?!\\S)|\\s+"),
-    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[{SIGNS}]+"),
+    "word": re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[{SIGNS}]+| "),
 }
 
 
@@ -37,42 +41,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Chunks(dict):
-    """chunk -> ids as bytes; KeyError for a chunk whose cut is not certain."""
-
-    def __init__(self, coder: ChunkEncoder):
-        super().__init__()
-        self.coder, self.plain = coder, coder.kind == "byte"
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        if self.plain and chunk.isascii() and chunk.isalpha():  # a space and letters are one piece
-            self[chunk] = out = self.coder.pieces.encode("Ġ" + chunk)
-            return out
-        string = self.coder.string(chunk)
-        if string is None:
-            raise KeyError(chunk)
-        self[chunk] = out = self.coder.encode_chunk(string)
-        return out
-
+class Remembered(dict):
+    """key -> make(key), kept for two generations of CACHE_BYTES; None is not kept, nor is a long key."""
 
-class _Pieces(dict):
-    def __init__(self, model):
+    def __init__(self, make: Callable[[str], bytes | None], limit: int):
         super().__init__()
-        self.model, self.letters = model, byte_letters()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) > PIECE_CACHE:
+        self.make, self.limit, self.size, self.old = make, limit, 0, {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+            if out is None or len(key) > LONGEST:
+                return out
+        n = ENTRY_BYTES + len(key) + len(out)
+        if self.size + n > self.limit:
+            self.old, self.size = dict(self), 0
             self.clear()
-        mapped = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        self[piece] = out = self.encode(mapped)
+        self.size += n
+        self[key] = out
         return out
 
-    def encode(self, mapped: str) -> bytes:
-        """Ids of a piece whose bytes are written as the vocabulary's letters."""
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped)])
-
 
 class ChunkEncoder:
     """ids_bytes(texts): the ids of each text as little-endian unsigned 32-bit integers.
@@ -87,48 +76,78 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.kind = kind
+        self.kind, self.tokenize, self.letters = kind, self.tok.model.tokenize, byte_letters()
         #: The whole tokenizer takes these out of the text before any cut is made.
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.chunks, self.pieces = _Chunks(self), _Pieces(self.tok.model)
-        self.safe, self.find = SAFE[kind].fullmatch, PIECES[kind].findall
+        self.id_bytes = [k.to_bytes(4, "little") for k in range(1 + max(self.tok.get_vocab().values()))]
+        self.odd, self.pieces = Remembered(self.odd_chunk, CACHE_BYTES // 4), Remembered(self.piece, CACHE_BYTES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def string(self, chunk: str) -> str | None:
-        """What the tokenizer gets for a chunk; None if the cut beside it is not a certain one."""
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece by the tokenizer's model, which wants its bytes as the vocabulary's letters; a lone space marks a chunk's beginning."""
+        if piece == " ":
+            return b""
+        mapped = piece if piece.isascii() and piece.isalnum() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        of = self.id_bytes
+        return b"".join([of[t.id] for t in self.tokenize(mapped)])
+
+    def odd_chunk(self, chunk: str) -> bytes | None:
+        """A chunk that is not plain, or (kind byte) one behind a newline or at the text's beginning, which are marked; None if the cut beside it is not certain."""
         if self.kind == "word":
-            return chunk
+            return self.whole(chunk) if chunk else b""
         head, body = ("", chunk[1:]) if chunk[:1] == "\0" else ("\n", chunk[2:]) if chunk[:2] == "\n\0" else (" ", chunk)
-        return head + body if body and not body[0].isspace() and not body[-1].isspace() else None
+        if not body or body[0].isspace() or body[-1].isspace():
+            return None
+        return b"".join(map(self.pieces.__getitem__, PIECES["byte"].findall(head + body))) if SAFE(body) else self.whole(head + body)
 
-    def encode_chunk(self, string: str) -> bytes:
-        if self.kind == "word":
-            if string.isascii() and string.isalpha():
-                return self.pieces[string.lower()]
-            return b"".join(map(self.pieces.__getitem__, self.find(string.lower()))) if self.safe(string) else self.whole(string)
-        if string.isascii() and string[1:].isalpha() and string[0] == " ":
-            return self.pieces[string]
-        return b"".join(map(self.pieces.__getitem__, self.find(string))) if self.safe(string) else self.whole(string)
-
-    def ids_of(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(t in text for t in self.added):
-            return self.whole(text)
+    def cut(self, texts: pa.Array) -> pa.Array:
+        """The chunks of each text."""
         if self.kind == "word":
-            if re.search("[\x1c-\x1f]", text):
-                return self.whole(text)
-            chunks = text.split()
-        elif "\0" in text:
-            return self.whole(text)
+            for space in "\t\n\v\f\r":
+                texts = pc.replace_substring(texts, space, " ")
         else:
-            chunks = ("\0" + text.replace("\n", " \n\0")).split(" ")
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            return self.whole(text)
+            texts = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(texts, "\n", " \n\0"), pa.scalar("", pa.large_string()))
+        return pc.split_pattern(texts, " ")
+
+    def encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct chunks: all their ids, where each one's begin, how many they are, and whether they are certain."""
+        plain = pc.match_substring_regex(chunks, PLAIN).to_numpy(zero_copy_only=False)
+        start, size, sure, found = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), np.ones(len(chunks), bool), []
+        if plain.any():
+            words = chunks.filter(pa.array(plain))
+            joined = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), pa.scalar(" ", pa.large_string()))[0].as_py()
+            pieces = PIECES[self.kind].findall(" " + (joined.lower() if self.kind == "word" else joined))
+            found = list(map(self.pieces.__getitem__, pieces))
+            begin = np.flatnonzero(np.fromiter([p[0] == " " for p in pieces], bool, len(pieces)))
+            size[plain] = np.add.reduceat(np.fromiter(map(len, found), np.int64, len(found)), begin) // 4
+        odd = list(map(self.odd.__getitem__, chunks.filter(pa.array(~plain)).to_pylist()))
+        sure[~plain] = [x is not None for x in odd]
+        odd = [x or b"" for x in odd]
+        size[~plain] = np.fromiter(map(len, odd), np.int64, len(odd)) // 4
+        start[plain] = np.cumsum(size[plain]) - size[plain]
+        start[~plain] = size[plain].sum() + np.cumsum(size[~plain]) - size[~plain]
+        return np.frombuffer(b"".join(found + odd), "<u4"), start, size, sure
 
     def ids_bytes(self, texts: Iterable[str]) -> list[bytes]:
-        return list(map(self.ids_of, texts))
+        texts = list(texts)
+        certain = np.array([bool(t) and not any(a in t for a in self.added) and (self.kind == "word" or "\0" not in t) for t in texts], bool)
+        lists = self.cut(pa.array([t if ok else "" for t, ok in zip(texts, certain)], pa.large_string()))
+        chunks = lists.flatten().dictionary_encode()
+        number, first = chunks.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        flat, start, size, sure = self.encoded(chunks.dictionary)
+        if not sure.all():
+            seen = np.append(0, np.cumsum(~sure[number]))[first]
+            certain &= seen[:-1] == seen[1:]
+        start, size = start[number], size[number]
+        end = np.append(0, np.cumsum(size))
+        out = flat[np.arange(end[-1]) + np.repeat(start - end[:-1], size)].tobytes()
+        edge = (4 * end[first]).tolist()
+        return [out[a:b] if ok else self.whole(t) if t else b"" for t, ok, a, b in zip(texts, certain.tolist(), edge, edge[1:])]
+
+
+@cache
+def encoder(path: str, kind: str) -> ChunkEncoder:
+    """The encoder of this worker process, with what it has seen in earlier tasks."""
+    return ChunkEncoder(path, kind)

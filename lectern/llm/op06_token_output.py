@@ -7,11 +7,14 @@ streams: frames (offset, size, crc32, documents) and documents (doc_id, n_tokens
 file's end and decompresses the frames of the documents asked for, and no others.
 
 Documents are dealt by ranges of doc_id and sorted there, so files and rows ascend by doc_id; a task streams
-through its range and holds one frame and the table. Files are written by Spark's own sink (parts are rows,
-MAGIC its row separator), so they reach any file system that Spark writes to, and a lost task is written anew.
+through its range and holds one frame and the table. After FILE_FRAMES frames a file ends with its table and the task
+goes on in a new one, so no file and no reader's memory grows with a range (one document is never divided: its frame
+is as long as it is). Files are written by Spark's own sink (parts are rows, MAGIC its row separator, a file's rows
+limited to those of one table), so they reach any file system that Spark writes to, and a lost task is written anew.
+They are read through Spark too, each file's bytes at once: what is spared is decompressing, not reading.
 
 Nulls: a null text is empty and has the end id alone; rows with a null doc_id come first. Rows of equal doc_id
-are all written, ordered by text. An empty table gives no files' rows. Extra columns are not used, whatever
+are all written, ordered by text. A doc_id that is no integer counts as null. An empty table gives no files' rows. Extra columns are not used, whatever
 their names.
 """
 
@@ -30,10 +33,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read, shared_path, small_batches, stage
-from .encoding import ChunkEncoder
+from .encoding import encoder
 
 MAGIC = b"LZS1"
 FRAME_BYTES = 1 << 18
+#: Frames of one file.
+FILE_FRAMES = 256
 
 
 def _stream(table: pa.Table) -> bytes:
@@ -44,10 +49,13 @@ def _stream(table: pa.Table) -> bytes:
 
 
 class FrameWriter:
-    """Parts of one file, in order: add(doc_id, ids) and close() yield them when they are full."""
+    """Parts of one file after the other, in order: add(doc_id, ids) and close() yield them when they are full."""
 
-    def __init__(self, frame_bytes: int = FRAME_BYTES, level: int = 3):
-        self.limit, self.pack = frame_bytes, zstandard.ZstdCompressor(level=level, write_checksum=True)
+    def __init__(self, frame_bytes: int = FRAME_BYTES, file_frames: int = FILE_FRAMES, level: int = 3):
+        self.limit, self.most, self.pack = frame_bytes, file_frames, zstandard.ZstdCompressor(level=level, write_checksum=True)
+        self._begin()
+
+    def _begin(self) -> None:
         self.raw, self.size, self.at = [], 0, 0
         self.frames, self.docs = [], []
 
@@ -57,6 +65,8 @@ class FrameWriter:
         self.docs.append((doc_id, len(ids) // 4))
         if self.size >= self.limit:
             yield self._frame()
+            if len(self.frames) == self.most:
+                yield from self.close()
 
     def _frame(self) -> bytes:
         raw = b"".join(self.raw)
@@ -67,6 +77,9 @@ class FrameWriter:
         return part
 
     def close(self) -> Iterator[bytes]:
+        """The end of a file that holds documents; the next document begins another."""
+        if not self.docs:
+            return
         if self.raw:
             yield self._frame()
         frames = pa.table({k: pa.array([f[i] for f in self.frames], pa.int64()) for i, k in enumerate(("offset", "size", "crc32", "documents"))})
@@ -75,6 +88,7 @@ class FrameWriter:
         table = self.pack.compress(struct.pack("<Q", len(first)) + first + _stream(docs))
         yield table
         yield struct.pack("<Q", len(table))
+        self._begin()
 
 
 class FrameFile:
@@ -125,21 +139,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
     end = struct.pack("<I", end_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, out, any_row = ChunkEncoder(tokenizer, kind), FrameWriter(), False
+        coder, out = encoder(tokenizer, kind), FrameWriter(FRAME_BYTES, FILE_FRAMES)
         rows = lambda parts: pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["part"])
         for b in batches:
             ids = coder.ids_bytes(t or "" for t in b.column(1).to_pylist())
             for doc_id, x in zip(b.column(0).to_pylist(), ids):
-                any_row = True
                 for part in out.add(doc_id, x + end):
                     yield rows([part])
-        if any_row:
-            for part in out.close():
-                yield rows([part])
+        for part in out.close():
+            yield rows([part])
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     parts = dealt.mapInArrow(work, "part binary")
-    parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", MAGIC.decode()).option("compression", "none").text(path)
+    sink = parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", MAGIC.decode()).option("compression", "none")
+    sink.option("maxRecordsPerFile", FILE_FRAMES + 2).text(path)  # the frames, the table and its size
 
 
 def read_tokens(spark: SparkSession, path: str, wanted: set[int] | None = None, with_ids: bool = False) -> DataFrame:
@@ -179,9 +192,10 @@ def token_output(docs: DataFrame, path: str, tokenizer: str, kind: str, end_id:
     """Write the files, read them back, and give each document its place in the whole sequence of ids."""
     write_tokens(docs, path, tokenizer, kind, end_id)
     rows = stage(read_tokens(docs.sparkSession, path), "token-rows")
-    # one row a file; part files ascend by name as by doc_id
-    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    base = sums.select("file", (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("base"))
+    # one row a file; files ascend by the numbers in their names (task, then file of the task) as by doc_id
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
+    sums = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"task": number(r"/part-(\d+)-[^/]*$"), "of_task": number(r"-c(\d+)\.[^/]*$")})
+    base = sums.select("file", (F.sum("n").over(W.orderBy("task", "of_task")) - F.col("n")).alias("base"))
     return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 

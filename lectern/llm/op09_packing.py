@@ -3,7 +3,7 @@
 Documents are cut where they are long: whole capacities first (class 1); what is left goes whole into class
 k = floor(capacity / length) if it nearly fills its k-th of a bin, else a piece of exactly capacity / (k + 1) is
 cut off and the rest is looked at again. So a bin of any class is nearly full, and every worker classes its pieces by
-itself. A piece's bin is its number within the class divided by k; numbers come from counts by (class, task),
+itself, and the shortest pieces too: k of them fill all but k - 1 tokens. A piece's bin is its number within the class divided by k; numbers come from counts by (class, task),
 never from sorting a class in one place. What is left over in the classes' last bins is at most one bin for each
 class: those are merged by first fit on the driver, over one row for each class.
 
@@ -24,13 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import read, small_batches, stage
-from .encoding import ChunkEncoder
+from .encoding import encoder
 
 CAPACITY = 2048
 #: A piece goes whole into its class if it leaves free no more than this share of its part of a bin.
 SLACK = 1 / 24
-#: Highest class: pieces of up to capacity / MAX_CLASS tokens share it.
-MAX_CLASS = 128
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -38,8 +36,8 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     out = [(capacity, 1)] * (n // capacity)
     n %= capacity
     while n:
-        k = min(capacity // n, MAX_CLASS)
-        if k == MAX_CLASS or capacity / k - n <= SLACK * capacity / k:
+        k = capacity // n
+        if capacity / k - n <= SLACK * capacity / k:
             return [*out, (n, k)]
         part = capacity // (k + 1)
         out.append((part, k + 1))
@@ -54,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: in
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "task", "number"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, seen, task = ChunkEncoder(tokenizer, kind), Counter(), TaskContext.get().partitionId()
+        coder, seen, task = encoder(tokenizer, kind), Counter(), TaskContext.get().partitionId()
         for b in batches:
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), coder.ids_bytes(t or "" for t in b.column(1).to_pylist())):
@@ -95,7 +93,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         full[k], base[k] = totals[k] // k, at
         at += full[k]
     schema = "class long, full long, base long"
-    bins = spark.createDataFrame([(k, full[k], base[k]) for k in full], schema)  # at most MAX_CLASS rows
+    bins = spark.createDataFrame([(k, full[k], base[k]) for k in full], schema)  # a row a class: fewer than twice the root of the capacity, and one more for each cut
     classed = numbered.join(F.broadcast(bins), "class").withColumn("left", F.col("rank") >= F.col("full") * F.col("class"))
     rests = [(r["class"], r.tokens) for r in classed.where("left").groupBy("class").agg(F.sum("length").alias("tokens")).collect()]
     into = spark.createDataFrame([(k, at + j) for k, j in merge_rests(rests, capacity)], "class long, rest long")
