@@ -13,11 +13,12 @@ most four bits share a key in one of these ways, by the pigeonhole principle ove
 Keys are dealt and sorted by key; a task goes through the runs of equal keys, compares the members of a run
 by popcount and keeps the links that join something new (a forest), so that a run gives fewer links than
 members. A run longer than RUN is not compared there: its members go out in chunks, every pair of chunks is
-compared by a task of its own, and again only forests come back. No run is held whole, none is dropped.
+compared by a task of its own, and again only forests come back. Keys are counted first, and one of more than HOT
+fingerprints goes to chunks by a hash of the fingerprint at once. No run is held whole, none is dropped.
 Equal fingerprints are one node from the start, so exact copies never meet in a run.
 
 Nulls: a null text has no words and the fingerprint zero. Rows with a null doc_id are kept and form no smaller
-id. Rows of equal doc_id are each returned. An empty table gives no rows. Extra columns are not used, whatever
+id, nor does a doc_id that is no integer. Rows of equal doc_id are each returned. An empty table gives no rows. Extra columns are not used, whatever
 their names.
 """
 
@@ -38,6 +39,8 @@ from .common import components, read, small_batches, stage
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Longest run compared within its own task, and members of a chunk of a longer one.
 RUN = 1024
+#: A key of more fingerprints than this is dealt out in chunks from the start and never meets in one task.
+HOT = 64 * RUN
 #: Generator polynomial of the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 
@@ -52,10 +55,14 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     starts = np.append(0, ends[:-1] + 1)
     k = min(size, len(words))
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], ">u8")
+    return bits_of(np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64))
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 4096):
-        ones += np.unpackbits(h[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h[a : a + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
@@ -257,10 +264,14 @@ def links(nodes: DataFrame, limit: int = 4) -> DataFrame:
         if held:
             yield done()
 
-    rows = nodes.select("node", "fp").mapInArrow(spread, "key long, fp long, node long").repartition("key").sortWithinPartitions("key")
+    keys = nodes.select("node", "fp").mapInArrow(spread, "key long, fp long, node long")
+    hot = stage(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "hot-keys")
+    rows = keys.join(hot, "key", "left_anti").repartition("key").sortWithinPartitions("key")
     first = stage(rows.mapInArrow(compare, "a long, b long, c long, d long"), "links")
     edges = first.where("d is null").select("a", "b")
     long_runs = first.where("d is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("c").alias("fp"), "d")
+    dealt = keys.join(hot, "key").select("key", "node", "fp", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / RUN)).alias("d"))
+    long_runs = long_runs.union(dealt)
     if long_runs.isEmpty():
         return edges
     last = long_runs.groupBy("key").agg(F.max("d").alias("last"))
