@@ -4,10 +4,13 @@ Folding lower-cases, strips accents, maps look-alike letters to Latin ones, read
 letters as the letters they stand for, and turns everything else into single spaces. The lexicon holds whole
 words and word beginnings whose share of toxic documents, counted over labelled rows, is far above the rest;
 the weight is the log odds. Exception phrases that hold a lexicon word are matched by the same automaton and
-cancel the hits inside them; they are a few fixed English ones, none is learned. A score is a logistic function of the weight found and of the weight for each word of the text.
+cancel the hits inside them: some fixed English ones, and learned ones, the pairs of a lexicon word and a
+neighbour whose labelled documents are toxic no more often than others. A score is a logistic function of the weight
+found and of the weight for each word of the text.
 
 Counting, matching and scoring run inside Spark tasks; counts meet in one aggregate. Learning sees about
-max_rows labelled rows, by hash of the id; the lexicon keeps at most MAX_TERMS terms, so the automaton is bounded.
+max_rows labelled rows, by hash of the id. A term must be in MIN_DOCS toxic ones of them and an exception in
+MIN_PHRASE, so that bound also bounds the lexicon and the automaton; neither is cut to a number.
 
 Nulls and empty texts have no hits and get the score of no hits. Null ids are scored, never learned from.
 Repeated rows are each scored. Of several labels of one document the largest counts; null labels are ignored.
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import read, small_batches, stage
 from .op01_quality_gam import remainder, sampled_marks
 
-MAX_ROWS, MAX_TERMS, MIN_DOCS, MIN_LOG_ODDS = 60_000, 3000, 4, 1.5
+MAX_ROWS, MIN_DOCS, MIN_PHRASE, MIN_LOG_ODDS = 60_000, 4, 8, 1.5
 #: Letters of other scripts that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = str.maketrans(
     "аеорсухіјѕԁһӏвкмнт" + "αοενικρτυχ" + "ßıøłđæœ",
@@ -46,12 +49,21 @@ _OUTER = re.compile(r"(?<![\w@$])[013457@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134
 _WORD = re.compile(r"[^\W_]+")
 
 
+def _bare(text: str) -> str:
+    """Without accents, look-alike letters as Latin ones."""
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(LOOK_ALIKES)
+
+
+#: Most accented letters are single ones that fold alike wherever they stand; a text with others is folded whole.
+_SINGLE = {chr(c): _bare(chr(c)) for c in range(0xC0, 0x250)}
+_ACCENTED, _OTHER = re.compile("[À-ɏ]"), re.compile("[^\x00-\x7fÀ-ɏ]")
+
+
 def fold(text: str | None) -> list[str]:
     """The folded words of a text."""
     t = (text or "").lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
-        t = t.translate(LOOK_ALIKES)
+        t = _bare(t) if _OTHER.search(t) else _ACCENTED.sub(lambda m: _SINGLE[m[0]], t)
     for signs in (_INNER, _OUTER):
         if signs.search(t):
             t = signs.sub(lambda m: "".join(STANDS_FOR[c] for c in m[0]), t)
@@ -68,8 +80,19 @@ def terms_of(words: list[str]) -> set[str]:
     return out
 
 
-def count_terms(rows: DataFrame) -> DataFrame:
-    """term, docs, toxic over rows (text, y); summed in each task first."""
+def folded(rows: DataFrame) -> DataFrame:
+    """doc_id, y and words (the folded words, joined by a space) of rows (doc_id, text, y)."""
+    small_batches(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(fold(t)) for t in b.column(2).to_pylist()], pa.string())], names=["doc_id", "y", "words"])
+
+    return rows.select("doc_id", "y", "text").mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, y {rows.schema['y'].dataType.simpleString()}, words string")
+
+
+def counted(rows: DataFrame, terms) -> DataFrame:
+    """term, docs and toxic over rows (words, y), for the set of terms that the function finds in a list of words; summed in each task first."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, toxic = Counter(), Counter()
@@ -80,7 +103,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = terms_of(fold(text))
+                found = terms(text.split())
                 docs.update(found)
                 if y:
                     toxic.update(found)
@@ -89,7 +112,7 @@ def count_terms(rows: DataFrame) -> DataFrame:
                 docs, toxic = Counter(), Counter()
         yield flush()
 
-    return rows.select("text", "y").mapInArrow(work, "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
+    return rows.select("words", "y").mapInArrow(work, "term string, docs long, toxic long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
 
 
 class Lexicon:
@@ -115,38 +138,64 @@ class Lexicon:
         self.__dict__.update(state)
         self._build()
 
-    def features(self, text: str | None) -> tuple[float, float, int]:
-        """Weight found, weight for each word (on a log scale), hits: the best term of each word counts once."""
-        words = fold(text)
+    def found(self, words: list[str]) -> dict[int, float]:
+        """The best term's weight at the start of each word that has one, outside exception phrases."""
         if not words or not len(self.machine):
-            return 0.0, 0.0, 0
+            return {}
         best: dict[int, float] = {}
-        excused: list[tuple[int, int]] = []
+        spans: list[tuple[int, int]] = []
         for end, (size, w) in self.machine.iter(f" {' '.join(words)} "):
             start = end - size + 1
             if w is None:
-                excused.append((start, end))
+                spans.append((start, end))
             else:
                 best[start] = max(best.get(start, 0.0), w)
-        hits = [w for s, w in best.items() if not any(a <= s < b for a, b in excused)]
-        total = sum(hits)
-        return float(np.log1p(total)), float(np.log1p(100 * total / len(words))), len(hits)
+        if spans:  # phrases and hits in order of their starts: a hit is excused if a phrase begun so far reaches beyond it
+            spans.sort()
+            k, reach, out = 0, -1, {}
+            for s in sorted(best):
+                while k < len(spans) and spans[k][0] <= s:
+                    reach, k = max(reach, spans[k][1]), k + 1
+                if s >= reach:
+                    out[s] = best[s]
+            best = out
+        return best
+
+    def features(self, words: list[str]) -> tuple[float, float, int]:
+        """Weight found, weight for each word (on a log scale), hits: the best term of each word counts once."""
+        best = self.found(words)
+        total = sum(best.values())
+        return float(np.log1p(total)), float(np.log1p(100 * total / max(len(words), 1))), len(best)
+
+    def phrases(self, words: list[str]) -> set[str]:
+        """The pairs of each word that has a term with the word before and the word behind it."""
+        best, out, at = self.found(words), set(), 0
+        for k, w in enumerate(words) if best else ():
+            if at in best:
+                out |= {f"{a} {b}" for a, b in zip(words[max(k - 1, 0) : k + 1], words[max(k - 1, 0) + 1 : k + 2])}
+            at += len(w) + 1
+        return out
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.coef[0] + x[:, :2] @ self.coef[1:], -30, 30)))
 
 
 def choose_terms(counts: DataFrame, n_docs: int, n_toxic: int) -> dict[str, float]:
-    """The MAX_TERMS most telling terms; a longer term gives way to its own beginning where that tells as much."""
+    """The telling terms; a longer term gives way to its own beginning where that tells as much."""
     odds = F.log(((F.col("toxic") + 0.5) * (n_docs - n_toxic + 1.0)) / ((F.col("docs") - F.col("toxic") + 0.5) * (n_toxic + 1.0)))
     p = n_toxic / max(n_docs, 1)
     sure = F.col("toxic") - p * F.col("docs") > 3 * F.sqrt(p * (1 - p) * F.col("docs"))  # no accident of a few documents
     rows = counts.where((F.col("toxic") >= MIN_DOCS) & (2 * F.col("toxic") > F.col("docs")) & sure).withColumn("w", odds).where(F.col("w") >= MIN_LOG_ODDS)
-    top = rows.orderBy(F.desc(F.col("toxic") * F.col("w")), "term").limit(MAX_TERMS).collect()
-    w = {r.term: float(r.w) for r in top}
+    w = {r.term: float(r.w) for r in rows.orderBy("term").collect()}
     return {t: v for t, v in w.items() if not any(t[:n] in w and w[t[:n]] >= 0.8 * v for n in range(4, len(t)))}
 
 
+def choose_phrases(counts: DataFrame, n_docs: int, n_toxic: int) -> tuple[str, ...]:
+    """Pairs with a lexicon word that are in MIN_PHRASE documents, of which no larger share is toxic than of all."""
+    rows = counts.where((F.col("docs") >= MIN_PHRASE) & (F.col("toxic") * n_docs <= F.col("docs") * n_toxic))
+    return tuple(r.term for r in rows.orderBy("term").collect())
+
+
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
     """Newton steps with a small ridge; columns: 1, then x."""
     a = np.column_stack([np.ones(len(x)), x])
@@ -159,26 +208,29 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexicon:
-    """A lexicon from labelled documents; labels: doc_id, toxic."""
+    """A lexicon from labelled documents; labels: doc_id, toxic. Their texts are folded once."""
     marks = sampled_marks(labels, "toxic", remainder("doc_id", 3) != 1, max_rows, F.max)
-    rows = stage(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"), "toxic-rows")
+    rows = stage(folded(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")), "toxic-rows")
     n_docs, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    lexicon = Lexicon(choose_terms(count_terms(rows), n_docs, n_toxic))
-    if n_toxic and n_docs > n_toxic:
-        seen = lexicon_features(rows, lexicon, "y").toPandas()
+    weights = choose_terms(counted(rows, terms_of), n_docs, n_toxic)
+    lexicon = Lexicon(weights)
+    if weights and n_docs > n_toxic:
+        lexicon = Lexicon(weights, EXCEPTIONS + choose_phrases(counted(rows, lexicon.phrases), n_docs, n_toxic))
+        seen = lexicon_features(rows, lexicon, "words", "y").toPandas()
         lexicon.coef = logistic(seen[["total", "rate"]].to_numpy(float), seen.y.to_numpy(float))
     return lexicon
 
 
-def lexicon_features(docs: DataFrame, lexicon: Lexicon, *more: str) -> DataFrame:
-    """doc_id, total, rate and hits of every row, with more columns kept."""
+def lexicon_features(docs: DataFrame, lexicon: Lexicon, text: str = "text", *more: str) -> DataFrame:
+    """doc_id, total, rate and hits of every row, from its text or its folded words, with more columns kept."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text", *more)
+    docs = docs.select("doc_id", text, *more)
     kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in more)
+    words = str.split if text == "words" else fold
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [lexicon.features(t) for t in b.column(1).to_pylist()]
+            f = [lexicon.features(words(t)) for t in b.column(1).to_pylist()]
             cols = [pa.array([x[k] for x in f], kind) for k, kind in enumerate((pa.float64(), pa.float64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *cols], names=["doc_id", *more, "total", "rate", "hits"])
 
