@@ -260,9 +260,20 @@ ODD = ["It's we'll DON'T 'said x''s", "tab\there  two  spaces\n\nblank \n line\n
 def test_chunked_encoding_is_the_tokenizers_own(kind, path, rows):
     rng = random.Random(0)
     texts = ODD + [t for _, t in rows if t] + ["".join(rng.choice("aB'sd .\n\té½3_-ß! İ日́") for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     c = encoding.ChunkEncoder(path, kind)
-    want = [np.array(e.ids, "<u4").tobytes() for e in c.tok.encode_batch(texts, add_special_tokens=False)]
-    assert c.ids_bytes(texts) == want
+    assert c.ids_bytes(texts) == want == c.ids_bytes(texts) and c.ids_bytes([]) == []
+    c.odd.limit = c.pieces.limit = 20_000  # generations come and go
+    assert [x for t in texts for x in c.ids_bytes([t])] == want
+
+
+def test_caches_are_bounded_in_bytes():
+    made = []
+    c = encoding.Remembered(lambda k: made.append(k) or k.encode(), 2000)
+    for k in range(1000):
+        assert c[f"key {k}"] == f"key {k}".encode() and c["again"] == b"again"
+        assert sum(encoding.ENTRY_BYTES + 2 * len(x) for x in [*c, *c.old]) <= 4000
+    assert made.count("again") == 1 and c["x" * 999] and "x" * 999 not in c
 
 
 @pytest.mark.parametrize("kind,path", [("byte", BYTE), ("word", WORD)])
@@ -273,7 +284,8 @@ def test_added_tokens_are_encoded_as_by_a_fresh_tokenizer(kind, path):
 
 
 def test_token_files_round_trip(spark, docs, rows, monkeypatch):
-    monkeypatch.setattr(o6, "FRAME_BYTES", 4096)
+    monkeypatch.setattr(o6, "FRAME_BYTES", 1024)
+    monkeypatch.setattr(o6, "FILE_FRAMES", 2)
     path = common.shared_path(spark, "tokens")
     got = sorted(o6.token_output(docs, path, BYTE, "byte", 2).collect(), key=lambda r: r.start)
     tok = Tokenizer.from_file(BYTE)
@@ -285,6 +297,7 @@ def test_token_files_round_trip(spark, docs, rows, monkeypatch):
     for r in got:
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids[r.doc_id]) // 4, zlib.crc32(ids[r.doc_id]))
         at += r.n_tokens
+    assert spark.read.format("binaryFile").load(path).where("length > 0").count() > 8
     some = o6.read_tokens(spark, path, wanted={20, 200}, with_ids=True).collect()
     assert {r.doc_id: bytes(r.ids) for r in some} == {20: ids[20], 200: ids[200]}
 
@@ -321,6 +334,21 @@ def test_packing_fills_without_gaps(docs, rows):
     assert all(zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 for r in got)
 
 
+@pytest.mark.parametrize("tokens", [lambda k: 1, lambda k: 5, lambda k: 1 + k % 16, lambda k: 1 + k * k % 5000])
+def test_sequences_have_little_padding(spark, tokens):
+    """Every id lies in one piece, and the padding is bounded, whatever the lengths."""
+    d = spark.range(60_000).select(F.col("id").alias("doc_id"), F.udf(lambda k: "a " * (tokens(k) - 1), "string")("id").alias("text")).where("doc_id < 60000")
+    if tokens(70) > 100:
+        d = d.where("doc_id < 4000")
+    out = common.stage(o9.packing(d, WORD, "word", 1), "packed")
+    per_doc = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"), F.sort_array(F.collect_list(F.struct("start", "length"))).alias("p")).collect()
+    assert len(per_doc) == d.count()
+    for r in per_doc:
+        assert r.n == r["all"] == tokens(r.doc_id) and [p.start for p in r.p] == [sum(q.length for q in r.p[:k]) for k in range(len(r.p))]
+    total, bins, most = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n"), F.count("*"), F.max("n")).first()
+    assert most <= o9.CAPACITY and total >= (0.94 if tokens(70) > 100 else 0.97) * o9.CAPACITY * (bins - 2)
+
+
 def test_cut_is_exact_and_nearly_full():
     for n in range(0, 6000, 7):
         pieces = o9.cut(n)
@@ -370,7 +398,55 @@ def test_rules_separate_and_stay_native(spark):
 def test_folding_and_exceptions():
     assert o10.fold("Ѕtup1d 1d10t cl0wn5 $cum") == ["stupid", "idiot", "clowns", "scum"]
     x = o10.Lexicon({"trash ": 3.0, "lowei": 2.0}, ("trash can",))
-    assert x.features("the trash can")[2] == 0 and x.features("you TR4SH")[2] == 1 and x.features("loweisp und")[2] == 1 and x.features("slowei")[2] == 0
+    hits = lambda t: x.features(o10.fold(t))[2]
+    assert hits("the trash can") == 0 and hits("you TR4SH") == 1 and hits("loweisp und") == 1 and hits("slowei") == 0 and hits("trash can trash") == 1
+
+
+def test_single_letters_fold_as_whole_texts_do():
+    odd = "\U0001f600"  # sends the text the long way
+    for c in map(chr, range(0x80, 0x3000)):
+        t = f"a{c}b {c}1d"
+        assert o10.fold(t) == o10.fold(f"{t} {odd}")
+
+
+def brute_features(lexicon, text):
+    """Every term and phrase tried at every place."""
+    t = f" {' '.join(o10.fold(text))} "
+    gone = {k for p in lexicon.exceptions for s in range(len(t)) if t.startswith(f" {p} ", s) for k in range(s, s + len(p) + 1)}
+    best = {s: max([w for term, w in lexicon.weights.items() if t.startswith(" " + term, s)], default=0) for s in range(len(t))}
+    hits = [w for s, w in best.items() if w and s not in gone]
+    return sum(hits), len(hits)
+
+
+def test_lexicon_matches_a_naive_scan():
+    rng = random.Random(12)
+    x = o10.Lexicon({"trash ": 3.0, "tras": 1.0, "idiot ": 2.0, "can ": 0.5, "fool": 1.5}, ("trash can", "can can", "an idiot", "idiot fool"))
+    for _ in range(400):
+        t = " ".join(rng.choice(["trash", "can", "an", "idiot", "fool", "fools", "trasher", "Ca\u0301n", "1d10t", "x"]) for _ in range(rng.randrange(0, 12)))
+        total, rate, hits = x.features(o10.fold(t))
+        want = brute_features(x, t)
+        assert hits == want[1] and abs(np.expm1(total) - want[0]) < 1e-9
+    long = ["trash", "can"] * 100_000  # a scan of every phrase for every hit would not end
+    assert x.found(long) == {} and len(x.found(["trash", "x"] * 100_000)) == 100_000
+
+
+def test_counts_and_learned_exceptions(spark):
+    rng = random.Random(10)
+    rows = []
+    for k in range(900):
+        extra = "you filth " if k % 3 == 0 else "clean filth removal " if k % 12 == 1 else ""
+        rows.append((k, f"{sentence(rng, 20)} {extra}{sentence(rng, 5)}", int(k % 3 == 0)))
+    d = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    got = {r.term: (r.docs, r.toxic) for r in o10.counted(o10.folded(d), o10.terms_of).collect()}
+    want = {}
+    for _, t, y in rows:
+        for term in o10.terms_of(o10.fold(t)):
+            n, m = want.get(term, (0, 0))
+            want[term] = (n + 1, m + y)
+    assert got == want
+    lexicon = o10.learn(d.select("doc_id", "text"), d.select("doc_id", F.col("y").alias("toxic")))
+    assert {"clean filth", "filth removal"} <= set(lexicon.exceptions) and not any(p in lexicon.exceptions for p in ("you filth",))
+    assert lexicon.features(o10.fold("clean F1LTH removal"))[2] == 0 and lexicon.features(o10.fold("some f1lth"))[2] == 1
 
 
 def test_toxicity_learns_words_and_beginnings(spark):
