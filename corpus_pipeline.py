@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 docs of the next one. All but the last return the columns of documents; n_chars follows the text where it changed.
 
 Nulls: null texts count as empty ones. Documents without an id are scored, but no near-duplicate or passage rule
-can name them, so they stay. Rows that repeat an id: one of them stays after near-duplicate removal. Empty tables
+can name them, so they stay. Rows that repeat an id: equal texts are copies, of which one stays; others stay. Empty tables
 pass through. Columns beyond those of documents are dropped by the first stage.
 """
 
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import read, stage
-from lectern.llm.near_jaccard import near_copies
 from lectern.llm.op01_quality_gam import score_quality
+from lectern.llm.op02_near_texts import near_copies
 from lectern.llm.op04_substring_dedup import substring_dedup
 from lectern.llm.op07_decontamination import decontaminate
 from lectern.llm.op09_packing import packing
@@ -33,9 +33,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (Jaccard of five-word shingles 0.8 or more) the document of smallest id stays."""
-    first = near_copies(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id").dropDuplicates(["doc_id"]).select(COLUMNS)
-    return named.unionByName(docs.where("doc_id is null").select(COLUMNS))
+    texts = near_copies(docs)
+    first = texts.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    named = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).join(first, ["doc_id", "text_hash"])
+    return named.dropDuplicates(["doc_id", "text_hash"]).select(COLUMNS).unionByName(docs.where("doc_id is null").select(COLUMNS))
 
 
 def _with_text(out: DataFrame, changed: str) -> DataFrame:
