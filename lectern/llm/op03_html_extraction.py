@@ -6,7 +6,8 @@ never main text. The classifier's costs become capacities from the source (conte
 neighbouring blocks and blocks of one parent are tied by smoothness edges. The minimum cut is the labelling of
 least cost; the text is the content blocks in page order.
 
-Pages are independent rows of one narrow pass; nothing is shuffled.
+Pages are independent rows of one narrow pass; nothing is shuffled. A page is read in time linear in its length,
+whatever its tags: no pattern goes back, and an end tag looks for its element only where one is open.
 
 Nulls: a null html is an empty page with an empty text. Rows of equal or null page_id are each returned. An
 empty table gives no rows. Unclosed tags and a missing end of the page are read as browsers do, roughly. Extra
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log1p
@@ -27,14 +28,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+)|<", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A tag's beginning and name; its attributes, quoted values whole. Neither ever goes back, so a page is read in linear time.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+ATTRIBUTE = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+#: Decimal references beyond any character, and zeros before one.
+HUGE, ZEROS = re.compile(r"&#0*+[1-9][0-9]{7,}+;?"), re.compile(r"&#0++(?=[0-9])")
+SIGN = re.compile("[.!?;:,。]")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset head".split())
 MAIN = frozenset("article main".split())
+#: Open elements that the beginning of another one ends, besides an open paragraph.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr")}
 #: Tags whose names say nothing about what they hold: the whole page, and headings named after their topic.
 NAMELESS = frozenset("html body h1 h2 h3 h4 h5 h6".split())
 #: Words in a class, id or role that mark what is never main text; the second set only outside an article.
@@ -44,14 +52,15 @@ NEVER_NAMES = frozenset(
     " widget toolbar pagination pager login signup register search complementary contentinfo skip".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar top".split())
-#: Costs, in hundredths: the classifier's weights and the smoothness of neighbours and of siblings.
-BIAS, PER_LOG_WORD, PER_LINK_SHARE, PUNCTUATION, IN_MAIN, IN_NEVER, NEIGHBOUR, SIBLING = -80, 120, -400, 100, 300, -2500, 60, 80
+#: Costs, in hundredths: the classifier's weights and the smoothness of neighbours and of siblings. They are set by
+#: hand, as no page is labelled. A name weighs less than an element that is never main text.
+BIAS, PER_LOG_WORD, PER_LINK_SHARE, PUNCTUATION, IN_MAIN, IN_NEVER, NAMED, NEIGHBOUR, SIBLING = -80, 120, -400, 100, 300, -2500, -1500, 60, 80
 
 
 @dataclass
 class Block:
     parent: int
-    never: bool
+    never: int
     main: bool
     parts: list[str] = field(default_factory=list)
     link: int = 0
@@ -61,9 +70,23 @@ class Block:
         """Above zero: what calling it boilerplate costs; below: what calling it content costs."""
         words = len(self.text.split())
         share = min(1.0, self.link / max(1, len(self.text)))
-        return round(
-            BIAS + PER_LOG_WORD * log1p(words) + PER_LINK_SHARE * share + PUNCTUATION * any(c in ".!?;:,。" for c in self.text) + IN_MAIN * self.main + IN_NEVER * self.never
-        )
+        return round(BIAS + PER_LOG_WORD * log1p(words) + PER_LINK_SHARE * share + PUNCTUATION * bool(SIGN.search(self.text)) + IN_MAIN * self.main + self.never) or -1
+
+
+@dataclass
+class Element:
+    """An open block-level element: the cost of its names and kind, and the inline elements (tag, cost) open in it."""
+
+    tag: str
+    never: int
+    main: bool
+    number: int
+    inline: list[tuple[str, int]] = field(default_factory=list)
+    open: Counter = field(default_factory=Counter)
+
+    @property
+    def now(self) -> int:
+        return self.inline[-1][1] if self.inline else self.never
 
 
 def signs(attributes: str) -> tuple[set[str], bool]:
@@ -80,86 +103,141 @@ def signs(attributes: str) -> tuple[set[str], bool]:
     return names, hidden
 
 
+def plain(parts: list[str]) -> str:
+    """Decoded, white space as single spaces."""
+    text = "".join(parts)
+    if "&#" in text:
+        text = ZEROS.sub("&#", HUGE.sub("\ufffd", text))
+    return " ".join(entities.unescape(text).split())
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, never, main, number
+    stack, open_blocks = [Element("", 0, False, 0)], Counter()
     links, number, pos, now, held = 0, 0, 0, None, None  # held: the block that an inline notice or advert interrupts
+    quotes, endless = True, set()  # whether quotes are still trusted; raw elements that end nowhere further on
 
     def close_block():
         nonlocal now, held
         for b in (now, held):
             if b is not None:
-                b.text = " ".join(entities.unescape("".join(b.parts)).split())
+                b.text = plain(b.parts)
         now = held = None
 
-    def pop_to(k: int):
+    def add(text: str):
+        nonlocal now
+        if now is None:
+            if not text.strip():
+                return
+            now = Block(stack[-1].number, stack[-1].now, stack[-1].main)
+            out.append(now)
+        now.parts.append(text)
+        now.link += len(text) * (links > 0)
+
+    def leave():
+        """The last block-level element ends."""
+        nonlocal links
+        links -= stack[-1].open["a"]
+        open_blocks[stack.pop().tag] -= 1
+
+    def leave_inline(tag: str):
+        """An inline element of the last block-level one ends, and with it those inside."""
         nonlocal links, now, held
-        for tag, *_ in stack[k:]:
-            links -= tag == "a"
-        notice = stack[-1][1]
-        del stack[k:]
-        if notice and not stack[-1][1]:  # what follows an inline notice goes on with the block before it
+        e, notice = stack[-1], stack[-1].now
+        while e.open[tag]:
+            last, _ = e.inline.pop()
+            e.open[last] -= 1
+            links -= last == "a"
+            if last == tag:
+                break
+        if notice and not e.now:  # what follows an inline notice goes on with the block before it
             before, held = held, None
             close_block()
             now = before
             if now is not None:
                 now.parts.append(" ")
 
-    while m := TOKEN.match(page, pos):
-        pos = m.end()
-        text = m[4] if m[4] is not None else "<" if m[0] == "<" else None
-        if text is not None:
-            if now is None:
-                if not text.strip():
-                    continue
-                now = Block(next(s[3] for s in reversed(stack) if s[0] not in INLINE), stack[-1][1], stack[-1][2])
-                out.append(now)
-            now.parts.append(text)
-            if links > 0:
-                now.link += len(text)
+    while pos < len(page):
+        at = page.find("<", pos)
+        if at != pos:
+            add(page[pos:at] if at > 0 else page[pos:])
+            if at < 0:
+                break
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            pos = at + 5 if page.startswith(">", at + 4) else stop + 3 if stop >= 0 else len(page)
             continue
-        if m[2] is None:
+        if page[at + 1 : at + 2] in ("!", "?"):
+            pos = page.find(">", at) + 1 or len(page)
             continue
-        tag, end = m[2].lower(), bool(m[1])
+        m = TAG.match(page, at)
+        if m is None:
+            add("<")
+            pos = at + 1
+            continue
+        stop = INSIDE.match(page, m.end()).end() if quotes else -1
+        if not page.startswith(">", stop) or stop < 0:
+            quotes, stop = False, page.find(">", m.end())
+            if stop < 0:  # the page ends inside a tag
+                break
+        pos, end, tag, attributes = stop + 1, bool(m[1]), m[2].lower(), page[m.end() : stop]
         if tag == "br":
             if now is not None:
                 now.parts.append(" ")
             continue
         if tag in RAW and not end:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, pos)
-            if not m[3].rstrip().endswith("/"):
-                pos = stop.end() if stop else len(page) if tag in ("script", "style", "title", "textarea") else pos
+            if not attributes.rstrip().endswith("/"):
+                found = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(page, pos)
+                if found:
+                    pos = found.end()
+                else:
+                    endless.add(tag)
+                    pos = len(page) if tag in ("script", "style", "title", "textarea") else pos
             if now is not None:
                 now.parts.append(" ")
             continue
-        if tag not in INLINE:
-            close_block()
-        if end:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if k and not (tag in INLINE and any(s[0] not in INLINE for s in stack[k + 1 :])):
-                pop_to(k)
-            continue
-        if tag in VOID:
+        if tag in INLINE:
+            if end:
+                leave_inline(tag)
+                continue
+        elif tag in VOID:
+            if tag == "hr":
+                close_block()
             continue
-        if tag not in INLINE:  # a new block ends an open paragraph; list items and cells end their like
-            ends = {"p"} | ({tag} if tag in ("li", "tr", "dt", "dd", "option") else {"td", "th"} if tag in ("td", "th") else set())
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] in ends or stack[k][0] in ("ul", "ol", "table", "dl", "div", "article", "section", "td", "th", "li")), 0)
-            if k and stack[k][0] in ends:
-                pop_to(k)
-        _, never, main, _ = stack[-1]
-        main = main or tag in MAIN
-        names, hidden = signs(m[3]) if m[3].strip() else (set(), False)
+        else:
+            close_block()
+            if end:
+                while open_blocks[tag]:
+                    last = stack[-1].tag
+                    leave()
+                    if last == tag:
+                        break
+                continue
+            while stack[-1].tag == "p" or stack[-1].tag in ENDS.get(tag, ()):
+                leave()
+        e = stack[-1]
+        main = e.main or tag in MAIN
+        names, hidden = signs(attributes) if attributes and not attributes.isspace() else (set(), False)
         if tag in NAMELESS:
             names = set()
-        never = never or hidden or tag in NEVER or bool(names & NEVER_NAMES) or (not main and (tag == "header" or bool(names & OUTER_NAMES)))
+        never = e.now
+        if hidden or tag in NEVER:
+            never = IN_NEVER
+        elif not never and (names & NEVER_NAMES or (not main and (tag == "header" or names & OUTER_NAMES))):
+            never = NAMED
         if "main" in names and not never:
             main = True
-        if tag in INLINE and now is not None and never and not stack[-1][1]:
-            held, now = now, None  # an inline notice or advert is a block of its own
-        number += 1
         links += tag == "a"
-        stack.append((tag, never, main, number))
+        if tag in INLINE:
+            if now is not None and never and not e.now:
+                held, now = now, None  # an inline notice or advert is a block of its own
+            e.inline.append((tag, never))
+            e.open[tag] += 1
+        else:
+            number += 1
+            open_blocks[tag] += 1
+            stack.append(Element(tag, never, main, number))
     close_block()
     return [b for b in out if b.text]
 

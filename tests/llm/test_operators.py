@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -469,6 +470,55 @@ def test_main_text_of_a_page(spark):
     assert got == {(1, text, len(text)), (2, "", 0), (None, "", 0), (4, "unclosed page", 13), (4, "just words.", 11)}
 
 
+def made_page(rng):
+    """A page and its main text, both from a list of parts."""
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    esc = lambda t: t.replace("&", rng.choice(["&amp;", "&#38;", "&#x26;"])).replace("é", rng.choice(["é", "&eacute;", "&#0233;"]))
+    junk = lambda: rng.choice([
+        f"<nav><ul><li><a href='/x?a=1>2'>{words(2)}</a><li><a href=y>{words(1)}</a></ul></nav>", f'<div class="sidebar {words(1)}"><p>{words(12)}.</p></div>', f"<aside><div><p>{words(30)}.</div></aside>",
+        f"<script>if (a<b) {{ document.write('<p>{words(9)}.</p>') }}</script>", f"<!-- <p>{words(9)}.</p> -->", f"<form action=/s><label>{words(3)}</label><input value='{words(2)}'><button>{words(1)}</button></form>",
+        f'<div style="display:none"><p>{words(20)}.</p></div>', f'<section id="comments"><p>{words(15)}, {words(4)}.</p><div>{words(9)}!</div></section>', f'<div role=dialog hidden>{words(8)}.</div>', f"<style>p > b {{ content: '<p>' }}</style>",
+    ])
+    out, text = [], []
+    for _ in range(rng.randrange(1, 8)):
+        a, b, c = f"{words(rng.randrange(6, 40))}, é & {words(3)}", words(rng.randrange(1, 5)), f"{words(rng.randrange(4, 30))}."
+        kind = rng.randrange(5)
+        if kind == 0:
+            out.append(f"<p>{esc(a)} <b>{b}</b>\n\t{c}{rng.choice(['</p>', ''])}")
+        elif kind == 1:
+            out.append(f"<blockquote><p>{esc(a)} <a href='/q' title='x > y'>{b}</a> {c}</blockquote>")
+        elif kind == 2:
+            out.append(f"<ul><li>{esc(a)} <i>{b}</i> {c}<li>{esc(c)}</ul>")
+            c = f"{c} {c}"
+        elif kind == 3:
+            out.append(f"<p>{esc(a)} <span class='ad'>{words(2)}</span>{b} {c}</p>")
+        else:
+            out.append(f"<table><tr><td>{esc(a)}</td><td>{b} {c}<tr></table>")
+        text.append(f"{a} {b} {c}")
+        if rng.random() < 0.5:
+            out.append(junk())
+    body = rng.choice(["<article>{}</article>", "<main><div class=post>{}</div></main>", "<div id=content class='has-sidebar'>{}</div>"]).format("".join(out))
+    extra = lambda: "".join(junk() for _ in range(rng.randrange(3)))
+    return f"<!DOCTYPE html><html><head><title>{words(4)}</title></head><body class='menu-open'>{extra()}<header><h2>{words(2)}</h2></header>{body}{extra()}<footer>&copy; {words(5)}.</footer></body></html>", " ".join(text)
+
+
+def test_generated_pages_give_their_main_text():
+    rng = random.Random(21)
+    for _ in range(500):
+        page, text = made_page(rng)
+        assert o3.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 700_000, "<b>" * 300_000 + "</i>" * 300_000, "<b>" * 300_000 + "<p></p>" * 150_000, '<a ">" ' * 300_000, "<a '\"' " * 300_000, '<a b="' * 300_001, "<svg>" * 300_000, "<!--" * 500_000, "<" * 2_000_000, "<!" * 900_000,
+    "<blockquote>" * 100_000 + "<p></p>" * 100_000, "<b><div>" * 100_000 + "</b>" * 200_000, "<a x" + " " * 2_000_000 + "y>", "<li>" * 300_000 + "</ul>" * 200_000, "x &#" + "9" * 1_000_000 + "; y", "<p>a few words, and more" * 60_000, "<p>a" * 60_000, "<tr><td>a<tr>" * 80_000,
+])
+def test_hostile_pages_are_read_in_linear_time(page):
+    began = time.process_time()
+    o3.main_text(f"<article><p>The text, that comes first.</p></article>{page}")
+    assert time.process_time() - began < 20
+
+
 def test_min_cut_is_the_cheapest_labelling():
     rng = random.Random(6)
     for _ in range(60):
