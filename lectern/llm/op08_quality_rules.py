@@ -2,8 +2,13 @@
 
 Statistics, learning and scoring are SQL expressions and aggregates only. The list is learned by sequential
 covering: each round grows a conjunction of thresholds that best separates bad from good among the labelled
-documents not covered yet, prunes it on documents held aside, and becomes one branch of an ordered CASE.
-Counts come from aggregates over all labelled rows; the driver sees only one row of counts a round.
+documents not covered yet, prunes it on documents held aside, and becomes one branch of an ordered CASE. Learning
+ends as such lists do: where fewer than MIN_COVER bad documents are left, or the best rule that can be grown is
+right less often than MIN_PRECISION.
+
+Each statistic is put into the intervals between its thresholds once. A term of a rule then takes one aggregate
+over all labelled rows, counts by (statistic, interval); sums of intervals are the counts of every threshold, both ways.
+The driver sees these counts only: a row for each statistic and interval.
 
 Nulls: a null text has no words; rows with a null doc_id are kept and scored. Empty tables give no rows.
 Repeated rows are each scored. Labels that are null or lack a document are ignored; of several labels of one
@@ -23,8 +28,8 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Longest conjunction, rules at most, fewest bad documents of a rule, least share of bad among the covered when kept.
-MAX_TERMS, MAX_RULES, MIN_COVER, MIN_PRECISION = 3, 8, 8, 0.7
+#: Fewest bad documents that a rule covers while it grows, and least share of bad ones among all that it covers.
+MIN_COVER, MIN_PRECISION = 8, 0.7
 #: Quantiles of each statistic that serve as thresholds.
 QUANTILES = [0.01, 0.03, 0.06, 0.1, 0.15, 0.2, 0.3, 0.5, 0.7, 0.8, 0.85, 0.9, 0.94, 0.97, 0.99]
 
@@ -104,17 +109,32 @@ def condition(terms: list[Term]) -> Column:
     return reduce(lambda x, y: x & y, [F.col(f) > t if op == ">" else F.col(f) <= t for f, op, t in terms])
 
 
-def thresholds(labelled: DataFrame) -> list[Term]:
-    """Quantile thresholds of each statistic, both ways; the width is fixed by QUANTILES, not by the data."""
+def thresholds(labelled: DataFrame) -> list[list[float]]:
+    """Quantile thresholds of each statistic; at most as many as QUANTILES, whatever the data."""
     row = labelled.agg(*[F.percentile_approx(f, QUANTILES, 10_000).alias(f) for f in FEATURES]).first()
-    return [(f, op, float(t)) for f in FEATURES for t in sorted(set(row[f] or [])) for op in (">", "<=")]
+    return [sorted(set(row[f] or [])) for f in FEATURES]
+
 
+def intervals(labelled: DataFrame, edges: list[list[float]]) -> DataFrame:
+    """bad, grow and at, an array of the number of thresholds that each statistic exceeds."""
+    over = lambda f, ts: sum(((F.col(f) > t).cast("int") for t in ts), F.lit(0))
+    return labelled.select("bad", "grow", F.array(*[over(f, ts) for f, ts in zip(FEATURES, edges)]).alias("at"))
 
-def _counts(df: DataFrame, conditions: list[Column]) -> list[tuple[int, int, int, int]]:
-    """(bad, good) in the growing part and (bad, good) in the pruning part, for each condition."""
+
+def counts(rows: DataFrame, edges: list[list[float]]) -> dict[tuple[int, str, int], list[int]]:
+    """For each candidate term (statistic, > or <=, threshold): bad and good of the growing part, bad and good of the pruning part."""
     parts = [F.col("grow") & F.col("bad"), F.col("grow") & ~F.col("bad"), ~F.col("grow") & F.col("bad"), ~F.col("grow") & ~F.col("bad")]
-    row = df.agg(*[F.count_if(c & p) for c in conditions for p in parts]).first()
-    return [tuple(row[4 * k : 4 * k + 4]) for k in range(len(conditions))]
+    seen = rows.select("bad", "grow", F.posexplode("at").alias("f", "k")).groupBy("f", "k").agg(*[F.count_if(p).alias(f"n{i}") for i, p in enumerate(parts)]).collect()
+    out = {}
+    for f, ts in enumerate(edges):
+        at = [[0] * 4 for _ in range(len(ts) + 1)]
+        for r in seen:
+            if r.f == f:
+                at[r.k] = [r.n0, r.n1, r.n2, r.n3]
+        for t in range(len(ts)):
+            out[f, ">", t] = [sum(c) for c in zip(*at[t + 1 :])]
+            out[f, "<=", t] = [sum(c) for c in zip(*at[: t + 1])]
+    return out
 
 
 def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
@@ -128,32 +148,36 @@ def _gain(bad: int, good: int, bad0: int, good0: int) -> float:
 def learn(labelled: DataFrame) -> list[tuple[list[Term], float]]:
     """Ordered rules (terms, share of bad documents among those covered) from all labelled rows (statistics, bad, grow)."""
     rules: list[tuple[list[Term], float]] = []
-    candidates = thresholds(labelled)
-    left = labelled
-    while candidates and len(rules) < MAX_RULES:
-        terms: list[Term] = []
-        bad0, good0, _, _ = _counts(left, [F.lit(True)])[0]
-        if bad0 < MIN_COVER:
-            break
-        while len(terms) < MAX_TERMS and good0:
-            found = _counts(left, [condition([*terms, c]) for c in candidates])
-            gain, k = max((_gain(b, g, bad0, good0), -k) for k, (b, g, _, _) in enumerate(found))
-            if gain <= 0 or found[-k][0] < MIN_COVER:
+    edges = thresholds(labelled)
+    left = stage(intervals(labelled, edges), "rule-intervals")
+    holds = lambda terms: reduce(lambda x, y: x & y, [F.get("at", F.lit(f)) > t if op == ">" else F.get("at", F.lit(f)) <= t for f, op, t in terms])
+    while any(edges):
+        terms, steps, rows = [], [], left
+        bad0 = good0 = None
+        while good0 != 0:
+            found = counts(rows, edges)
+            if bad0 is None:
+                one = next(t for t in found)
+                bad0, good0 = (found[one][i] + found[one[0], "<=", one[2]][i] for i in (0, 1))
+                if bad0 < MIN_COVER or not good0:
+                    break
+            gain, k = max((_gain(*n[:2], bad0, good0), -k) for k, n in enumerate(found.values()))
+            term, n = list(found.items())[-k]
+            if gain <= 0 or n[0] < MIN_COVER:
                 break
-            terms.append(candidates[-k])
-            bad0, good0 = found[-k][:2]
+            terms.append(term)
+            steps.append(n)
+            bad0, good0 = n[:2]
+            rows = left.where(holds(terms))
         if not terms:
             break
         # prune: the ending part that can go without loss of (bad - good) / covered on the part held aside
-        tries = [terms[:n] for n in range(1, len(terms) + 1)]
-        found = _counts(left, [condition(t) for t in tries])
-        worth = [((b - g) / (b + g) if b + g else -1.0, -n) for n, (_, _, b, g) in enumerate(found)]
-        n = -max(worth)[1]
-        bad, good = found[n][0] + found[n][2], found[n][1] + found[n][3]
-        if bad + good == 0 or bad / (bad + good) < MIN_PRECISION:
+        n = -max(((b - g) / (b + g) if b + g else -1.0, -n) for n, (_, _, b, g) in enumerate(steps))[1]
+        bad, good = steps[n][0] + steps[n][2], steps[n][1] + steps[n][3]
+        if bad / (bad + good) < MIN_PRECISION:
             break
-        rules.append((tries[n], bad / (bad + good)))
-        left = left.where(~condition(tries[n]))
+        rules.append(([(FEATURES[f], op, edges[f][t]) for f, op, t in terms[: n + 1]], bad / (bad + good)))
+        left = left.where(~holds(terms[: n + 1]))
     return rules
 
 

@@ -396,6 +396,46 @@ def test_rules_separate_and_stay_native(spark):
     assert not re.search("Python|Arrow|Pandas", out._jdf.queryExecution().executedPlan().toString())
 
 
+def brute_rules(rows, edges):
+    """Sequential covering by trying every threshold on every row; rows: (statistics, bad, grow)."""
+    rules, left = [], list(rows)
+    over = lambda x, t: (x[0][t[0]] > t[2]) == (t[1] == ">")
+    tally = lambda xs, grow: (sum(x[1] for x in xs if x[2] == grow), sum(not x[1] for x in xs if x[2] == grow))
+    while True:
+        terms, steps, now = [], [], left
+        b0, g0 = tally(now, True)
+        while g0 and (terms or b0 >= o8.MIN_COVER):
+            tries = [(f, op, t) for f, ts in enumerate(edges) for t in ts for op in (">", "<=")]
+            best = max(tries, key=lambda t: o8._gain(*tally([x for x in now if over(x, t)], True), b0, g0))
+            kept = [x for x in now if over(x, best)]
+            b, g = tally(kept, True)
+            if o8._gain(b, g, b0, g0) <= 0 or b < o8.MIN_COVER:
+                break
+            terms, now, (b0, g0) = [*terms, best], kept, (b, g)
+            steps.append((b, g, *tally(kept, False)))
+        if not terms:
+            return rules
+        worth = [(b - g) / (b + g) if b + g else -1.0 for _, _, b, g in steps]
+        n = worth.index(max(worth))
+        bad, good = steps[n][0] + steps[n][2], steps[n][1] + steps[n][3]
+        if bad / (bad + good) < o8.MIN_PRECISION:
+            return rules
+        rules.append(([(o8.FEATURES[f], op, t) for f, op, t in terms[: n + 1]], bad / (bad + good)))
+        left = [x for x in left if not all(over(x, t) for t in terms[: n + 1])]
+
+
+def test_rule_learning_matches_a_naive_search(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(700):
+        x = [float(rng.randrange(12)) for _ in o8.FEATURES]
+        bad = x[0] > 8 and x[2] <= 6 or x[4] > 10 or rng.random() < 0.05
+        rows.append((x, bad, k % 3 != 0))
+    d = spark.createDataFrame([(*x, b, g) for x, b, g in rows], ", ".join(f"{f} double" for f in o8.FEATURES) + ", bad boolean, grow boolean")
+    rules = o8.learn(d)
+    assert len(rules) >= 2 and any(len(t) > 1 for t, _ in rules) and rules == brute_rules(rows, o8.thresholds(d))
+
+
 def test_folding_and_exceptions():
     assert o10.fold("Ѕtup1d 1d10t cl0wn5 $cum") == ["stupid", "idiot", "clowns", "scum"]
     x = o10.Lexicon({"trash ": 3.0, "lowei": 2.0}, ("trash can",))
