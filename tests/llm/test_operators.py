@@ -199,14 +199,33 @@ def test_substring_dedup_matches_brute_force(docs, rows, batches):
 
 
 def test_window_index_compacts_without_loss(spark, docs, rows, monkeypatch):
+    tables = spark.catalog.listTables()
     monkeypatch.setattr(o4, "MAX_RUNS", 2)
     assert by_id(map(tuple, o4.substring_dedup(docs, 6).collect())) == brute_removed(rows)
+    assert spark.catalog.listTables() == tables  # a query leaves no table behind
     index = o4.FingerprintIndex(spark)
     index.add(docs)
     index.add(docs)
-    before = spark.table(index.runs[0]).union(spark.table(index.runs[1])).count()
+    old = list(index.runs)
+    before = spark.table(old[0]).union(spark.table(old[1])).count()
     index.compact(force=True)
-    assert len(index.runs) == 1 and spark.table(index.runs[0]).count() == before
+    assert len(index.runs) == 1 and spark.table(next(iter(index.runs))).count() == before and not any(spark.catalog.tableExists(r) for r in old)
+    index.drop()
+    assert not index.runs and spark.catalog.listTables() == tables
+
+
+def test_passages_of_very_many_documents_and_repeats_within_one(spark, monkeypatch):
+    """Hot fingerprints and windows, over several batches of a task, ids out of order and ids that repeat."""
+    rng = random.Random(31)
+    hot, line = sentence(rng, 25), sentence(rng, 14)
+    rows = [((37 * k) % 211, f"{sentence(rng, 6)} {hot} {sentence(rng, 9)}" + (f" {line}" * (k % 5) if k % 3 == 0 else "")) for k in range(200)]
+    rows += [(300, " ".join([line] * 60)), (301, " ".join([line] * 40)), (5, f"{hot} {sentence(rng, 20)}"), (5, f"{sentence(rng, 20)} {hot}"), (302, "a " * 300), (303, "a " * 200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(common, "BATCH_ROWS", "7")
+    assert by_id(map(tuple, o4.substring_dedup(d).collect())) == brute_removed(rows)
+    monkeypatch.setattr(o4, "KNOWN", 5)
+    assert by_id(map(tuple, o4.substring_dedup(d).collect())) == brute_removed(rows)
+    assert o4.prints(d).where("k <> h").count() > 300
 
 
 def brute_hits(rows, items, window=10):
