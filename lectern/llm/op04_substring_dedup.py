@@ -44,6 +44,8 @@ MAX_RUNS = 8
 #: Shared windows that a task remembers; beyond them windows are settled after the exchange.
 KNOWN = 400_000
 #: Fixed odd multipliers and mixing constants of the word hashes' combinations.
+#: Places where the copies of one text are dealt to.
+SALTS = 32
 #: The bits of a text's hash that tell rows of one doc_id apart.
 TAG = 0x7FFFFFFF
 #: The bit of a key that no fingerprint has.
@@ -284,7 +286,11 @@ def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False, kee
     hits = windows.withColumn("lo", F.min("doc_id").over(so_far)).where("hit or doc_id > lo").select("doc_id", "tag", "at", "more").repartition("doc_id", "tag")
     per_doc = hits.groupBy("doc_id", "tag").agg(F.concat(F.collect_list("at"), F.flatten(F.collect_list("more"))).alias("at"))
     rows = _named(docs).select(_id(docs), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
-    copies = rows.join(first.select("a", "b", "tag", F.col("doc_id").alias("first")), ["a", "b"]).where("doc_id > first").select("doc_id", "tag").distinct()
+    # a text that very many rows have is met by its copies in SALTS places
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copied = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copied = copied.select("a", "b", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = salted.join(copied, ["a", "b", "salt"]).where("doc_id > first").select("doc_id", F.col("a").bitwiseAND(F.lit(TAG)).cast("int").alias("tag")).distinct()
     marks = per_doc.select("doc_id", "tag", "at", F.lit(False).alias("is_copy")).union(copies.select("doc_id", "tag", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("is_copy")))
     kept = [f"keep_{c}" for c in keep]
     marked = keyed(docs, keep).join(marks, ["doc_id", "tag"], "left").select("doc_id", "text", "at", "is_copy", *kept)
