@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -110,22 +111,24 @@ def html_to_markdown(c: str | Column) -> Column:
     return reduce(lambda x, s: F.regexp_replace(x, *s), steps, col(c))
 
 
-#: Named character references and what they stand for.
-NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&ndash;", "-"), ("&mdash;", "-"), ("&hellip;", "..."), ("&amp;", "&"))
+#: Named character references and what they stand for; the ampersand last, so that nothing is decoded twice here.
+NAMED = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def decode_entities(c: str | Column) -> Column:
-    """Named, decimal and hexadecimal references; control characters other than tab and line ends are dropped."""
-    text = reduce(lambda x, s: F.replace(x, F.lit(s[0]), F.lit(s[1])), NAMED, col(c))
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), 0))
+    """Named, then decimal, then hexadecimal references; control characters other than tab and line ends are dropped, what is no character stays."""
+
+    def numbered(text: Column, pattern: str, code: Callable[[Column], Column]) -> Column:
+        def letter(ref: Column) -> Column:
+            n = code(ref)
+            real = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return F.when((n < 32) & ~n.isin(9, 10, 13), "").when(real, F.decode(F.unhex(F.lpad(F.hex(F.when(real, n).otherwise(0)), 8, "0")), "UTF-32")).otherwise(ref)
 
-    def letter(ref: Column) -> Column:
-        hexa = ref.rlike("^&#[xX]")
-        code = F.when(hexa, F.conv(F.regexp_extract(ref, "[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(ref, "#([0-9]+)", 1)).cast("int")
-        text = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when((code < 32) & ~code.isin(9, 10, 13), "").otherwise(text)
+        return F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)), text, lambda t, ref: F.replace(t, ref, letter(ref)))
 
-    return F.aggregate(found, text, lambda t, ref: F.replace(t, ref, letter(ref)))
+    text = reduce(lambda x, s: F.replace(x, F.lit(s[0]), F.lit(s[1])), NAMED, col(c))
+    text = numbered(text, "&#[0-9]{1,7};", lambda ref: F.regexp_extract(ref, "([0-9]+)", 1).cast("int"))
+    return numbered(text, "&#x[0-9a-fA-F]{1,6};", lambda ref: F.conv(F.regexp_extract(ref, "x([0-9a-fA-F]+)", 1), 16, 10).cast("int"))
 
 
 def drop_garbage_lines(c: str | Column, patterns: tuple[str, ...]) -> Column:

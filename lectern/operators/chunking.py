@@ -23,8 +23,8 @@ MIN_WORDS, MIN_NUMBERED, MAX_WORDS, OVERLAP = 40, 15, 350, 2
 
 @F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
-    """Unicode normal form C, which has no expression in Spark."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    """Unicode normal form C, which has no expression in Spark; ASCII texts have it already."""
+    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:

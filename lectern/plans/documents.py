@@ -83,12 +83,7 @@ query("k10_propositions")(lambda t: C.propositions(C.chunk_documents(t.marked_do
 query("k11_expand_propositions")(lambda t: C.expand_propositions(C.chunk_documents(t.marked_documents)))
 query("k12_text_windows")(lambda t: C.text_windows(t.documents).select("doc_id", "window", F.length("content").alias("chars"), F.md5("content").alias("digest")))
 query("k16_build_chunk_index")(lambda t: C.build_chunk_index(t.marked_documents).select("doc_id", "chunk_index", "topic", "kind", "word_count"))
-query("t2_nfc", "SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")(lambda t: t.documents.select("doc_id", F.md5(C.nfc("text")).alias("digest")))
 query("s5_html_tables_to_markdown")(lambda t: t.pages.select("page_id", F.md5(C.html_tables_to_markdown("html")).alias("digest")))
-query(
-    "t3_drop_broken_urls",
-    r"SELECT page_id, regexp_replace(regexp_replace(x, 'https?://\S+\s+\S*(?:\.\w+)?', '', 'g'), '(?m)^https?://[^\s]+\s*$', '', 'g') AS text FROM (SELECT page_id, concat('see ', url, ' now', chr(10), url) AS x FROM pages)",
-)(lambda t: t.pages.select("page_id", F.regexp_replace(F.regexp_replace(F.concat(F.lit("see "), "url", F.lit(" now\n"), "url"), r"https?://\S+\s+\S*(?:\.\w+)?", ""), r"(?m)^https?://[^\s]+\s*$", "").alias("text")))
 query(
     "t5_unwrap_tables",
     r"""WITH l AS (SELECT doc_id, i, CASE WHEN (doc_id + i) % 3 = 0 THEN line ELSE concat('| ', line, ' |') END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
@@ -100,8 +95,8 @@ SELECT doc_id, CAST(i AS INT) AS i, line FROM (SELECT doc_id, i, CASE WHEN NOT b
         t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("line", F.when((F.col("doc_id") + F.col("i")) % 3 == 0, F.col("line")).otherwise(F.concat(F.lit("| "), "line", F.lit(" |"))))
     )
 )
-query("v11_clone_lessons", "SELECT l.lesson_id AS reused_from, plan_id + 500 AS plan_id, day_number, title, concat('v', CAST(lesson_id % 3 + 2 AS VARCHAR)) AS version, CASE WHEN day_number = 1 THEN 'in-progress' ELSE 'locked' END AS status FROM lessons l WHERE lesson_id % 4 = 0")(
-    lambda t: D.clone_lessons(t.lessons.withColumn("version", F.concat(F.lit("v"), (F.col("lesson_id") % 3 + 1).cast("string"))), t.lessons.where("lesson_id % 4 = 0").select("lesson_id", (F.col("plan_id") + 500).alias("plan_id"), "day_number"))
+query("v11_clone_lessons", "SELECT l.lesson_id AS reused_from, plan_id + 500 AS plan_id, day_number, title, concat('v', CAST(lesson_id % 3 + 2 AS VARCHAR)) AS version, CASE WHEN day_number = 1 THEN 'in-progress' ELSE 'locked' END AS status FROM lessons l")(
+    lambda t: D.clone_lessons(t.lessons.withColumn("version", F.concat(F.lit("v"), (F.col("lesson_id") % 3 + 1).cast("string"))), t.lessons.select("lesson_id", (F.col("plan_id") + 500).alias("plan_id"), "day_number"))
 )
 
 CAMEL = "x"
@@ -113,8 +108,8 @@ query("t10_split_camel", f"SELECT plan_id, CASE WHEN regexp_matches(x, '^[A-Z0-9
 JOINED = "x"
 for a, b in R.SPLIT_WORDS:
     JOINED = f"regexp_replace({JOINED}, '(?i)\\b{a}\\b', '{b}', 'gi')"
-query("t11_join_broken_tokens", f"SELECT doc_id, {JOINED} AS t FROM (SELECT doc_id, concat('Err or in for mation, func  tion. ', substring(text, 1, 100)) AS x FROM documents)")(
-    lambda t: t.documents.select("doc_id", R.join_broken_tokens(F.concat(F.lit("Err or in for mation, func  tion. "), F.substring("text", 1, 100))).alias("t"))
+query("t11_join_broken_tokens", f"SELECT doc_id, {JOINED} AS t FROM (SELECT doc_id, concat('Err or in for mation, func  tion. ', text, ' oc curr ed') AS x FROM documents)")(
+    lambda t: t.documents.select("doc_id", R.join_broken_tokens(F.concat(F.lit("Err or in for mation, func  tion. "), "text", F.lit(" oc curr ed"))).alias("t"))
 )
 query(
     "k1_merge_numbered_headings",

@@ -9,14 +9,14 @@ from .registry import query
 
 query(
     "m1_copy_lessons",
-    "SELECT 1000000 + e.enrollment_id AS new_plan_id, lesson_id AS source_lesson_id, day_number, l.title, CASE WHEN day_number = 1 THEN 'in-progress' ELSE 'locked' END AS status FROM enrollments e JOIN plans p ON p.plan_id = e.plan_id JOIN lessons l ON l.plan_id = e.plan_id WHERE e.enrollment_id % 40 = 0",
+    "SELECT 1000000 + e.enrollment_id AS new_plan_id, lesson_id AS source_lesson_id, day_number, l.title, CASE WHEN day_number = 1 THEN 'in-progress' ELSE 'locked' END AS status FROM enrollments e JOIN plans p ON p.plan_id = e.plan_id JOIN lessons l ON l.plan_id = e.plan_id",
 )(
-    lambda t: M.copy_courses(t.plans, t.lessons, t.enrollments.where("enrollment_id % 40 = 0").select(F.col("enrollment_id").alias("request_id"), "plan_id", F.col("learner_id").alias("user_id")), 1_000_000)[1]
+    lambda t: M.copy_courses(t.plans, t.lessons, t.enrollments.select(F.col("enrollment_id").alias("request_id"), "plan_id", F.col("learner_id").alias("user_id")), 1_000_000)[1]
 )
 query(
     "m2_publish",
-    "SELECT p.plan_id, c.copy_id, CASE WHEN c.copy_id IS NULL THEN 'create' ELSE 'update' END AS action FROM plans p LEFT JOIN (SELECT original_plan_id, min(plan_id) AS copy_id FROM plans WHERE original_plan_id IS NOT NULL AND is_public GROUP BY original_plan_id) c ON c.original_plan_id = p.plan_id WHERE p.owner_id < 30",
-)(lambda t: M.publish(t.plans, t.plans.where("owner_id < 30").select("plan_id")))
+    "SELECT p.plan_id, c.copy_id, CASE WHEN c.copy_id IS NULL THEN 'create' ELSE 'update' END AS action FROM plans p LEFT JOIN (SELECT original_plan_id, min(plan_id) AS copy_id FROM plans WHERE original_plan_id IS NOT NULL AND is_public GROUP BY original_plan_id) c ON c.original_plan_id = p.plan_id",
+)(lambda t: M.publish(t.plans, t.plans.select("plan_id")))
 query(
     "m3_upsert_enrollments",
     "SELECT learner_id, plan_id, status FROM (SELECT *, row_number() OVER (PARTITION BY learner_id, plan_id ORDER BY nw DESC, created_at DESC, enrollment_id DESC) AS n FROM (SELECT learner_id, plan_id, CASE WHEN enrollment_id % 3 = 0 THEN 'active' ELSE status END AS status, created_at, enrollment_id, CASE WHEN enrollment_id % 3 = 0 THEN 1 ELSE 0 END AS nw FROM enrollments)) WHERE n = 1",

@@ -82,8 +82,8 @@ query(
     "v7_retrieve_context",
     f"SELECT query_id, chunk_id, CAST(rank AS INT) AS rank, final, section, substring(content, 1, 120) AS preview FROM (SELECT *, sum(length(content)) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM ({RERANK}) WHERE rank <= 6) WHERE total <= 12000",
 )(lambda t: V.retrieve_context(*asked(t), t.chunks))
-query("v9_index_lessons", r"SELECT lesson_id, substring(trim(regexp_replace(concat(title, '. ', content), '\s+', ' ', 'g')), 1, 400) AS topic_text FROM lessons WHERE lesson_id % 5 <> 0 AND trim(content) <> ''")(
-    lambda t: t.lessons.where("lesson_id % 5 <> 0 and trim(content) <> ''").select("lesson_id", embedding_input(F.concat("title", F.lit(". "), "content"), 400).alias("topic_text"))
+query("v9_index_lessons", r"SELECT lesson_id, substring(trim(regexp_replace(concat(title, '. ', content), '\s+', ' ', 'g')), 1, 400) AS topic_text FROM lessons WHERE trim(content) <> ''")(
+    lambda t: t.lessons.where("trim(content) <> ''").select("lesson_id", embedding_input(F.concat("title", F.lit(". "), "content"), 400).alias("topic_text"))
 )
 IDX = "SELECT chunk_id AS lesson_id, chunk_id % 40 AS plan_id, chunk_id % 9 AS owner_id, substring(content, 1, 200) AS topic, embedding AS vector, chunk_id % 2 = 0 AS is_public, plan_id AS bucket FROM chunks"
 

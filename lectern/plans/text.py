@@ -32,8 +32,12 @@ query("s4_html_to_markdown", f"SELECT page_id, md5({h}) AS digest, length({h}) A
 )
 query(
     "s8_collapse_image_markers",
-    r"SELECT doc_id, regexp_replace(regexp_replace(x, '(?:<!-- image -->\s*){3,}', '[images omitted]' || chr(10), 'g'), '(?:<!-- image -->\s*){1,2}', '[image]' || chr(10), 'g') AS text FROM (SELECT doc_id, concat(repeat('<!-- image --> ', CAST(doc_id % 6 AS INT)), substring(text, 1, 60)) AS x FROM documents)",
-)(lambda t: t.documents.select("doc_id", X.collapse_image_markers(F.concat(F.expr("repeat('<!-- image --> ', CAST(doc_id % 6 AS INT))"), F.substring("text", 1, 60))).alias("text")))
+    r"SELECT doc_id, regexp_replace(regexp_replace(x, '(?:<!-- image -->\s*){3,}', '[images omitted]' || chr(10), 'g'), '(?:<!-- image -->\s*){1,2}', '[image]' || chr(10), 'g') AS text FROM (SELECT doc_id, concat(repeat('<!-- image --> ', CAST(doc_id % 6 AS INT)), text, repeat('<!-- image --> ', CAST(doc_id % 4 AS INT))) AS x FROM documents)",
+)(
+    lambda t: t.documents.select(
+        "doc_id", X.collapse_image_markers(F.concat(F.expr("repeat('<!-- image --> ', CAST(doc_id % 6 AS INT))"), "text", F.expr("repeat('<!-- image --> ', CAST(doc_id % 4 AS INT))"))).alias("text")
+    )
+)
 query(
     "s9_truncate_middle",
     "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN concat(substring(text, 1, 300), '[..]', right(text, 200)) ELSE text END) AS digest FROM documents",
@@ -49,28 +53,15 @@ query(
 )(
     lambda t: t.documents.select("doc_id", (F.size(X.words("text")) >= 30).alias("enough"), (F.round(F.length(F.regexp_replace("text", r"[a-zA-Z0-9À-ỹ\s]", "")) / F.length("text"), 6) > 0.4).alias("junk"))
 )
-ent = "html"
-for a, b in X.NAMED:
-    ent = f"replace({ent}, '{a.replace(chr(39), chr(39) * 2)}', '{b.replace(chr(39), chr(39) * 2)}')"
-query("t1_decode_entities", f"SELECT page_id, md5({ent}) AS digest FROM pages WHERE NOT regexp_matches({ent}, '&#(?:[0-9]|[xX])')")(
-    lambda t: t.pages.select("page_id", X.decode_entities("html").alias("m"), "html").where(~F.col("m").rlike("&#(?:[0-9]|[xX])")).select("page_id", F.md5("m").alias("digest"))
-)
-GARBAGE = (r"^[-=_*]{3,}$", r"^[0-9]+$", r"^[^A-Za-z0-9À-ỹ]{3,}$", r"^(?i:page|trang)\s*[0-9]+")
-query(
-    "t4_drop_garbage_lines",
-    "SELECT doc_id, md5(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT regexp_matches(trim(x), '" + "|".join(f"(?:{g})" for g in GARBAGE) + "')), chr(10))) AS digest FROM documents",
-)(lambda t: t.documents.select("doc_id", F.md5(X.drop_garbage_lines("text", GARBAGE)).alias("digest")))
-query("t7_unescape_markdown", r"SELECT doc_id, replace(replace(replace(replace(replace(replace(concat('\_a\*b\[c\]d\#e\|', substring(text, 1, 40)), '\_', '_'), '\*', '*'), '\[', '['), '\]', ']'), '\#', '#'), '\|', '|') AS text FROM documents")(
-    lambda t: t.documents.select("doc_id", X.unescape_markdown(F.concat(F.lit(r"\_a\*b\[c\]d\#e\|"), F.substring("text", 1, 40))).alias("text"))
-)
+T17 = f"SELECT doc_id, trim(regexp_replace(x, '{WS}+', ' ', 'g')) AS space, {marks('x')} AS bare FROM (SELECT doc_id, replace(text, chr(10), ' ') AS x FROM documents)"
 query(
     "t17_normal_forms",
-    rf"""SELECT doc_id, md5(trim(regexp_replace(text, '{WS}+', ' ', 'g'))) AS space, md5(trim(regexp_replace(regexp_replace({marks("text")}, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain,
-trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({marks("s")}, 'day\s*[0-9]+', '', 'g'), '[0-9]+', '', 'g'), '[^a-zA-Z0-9\x{{00C0}}-\x{{024F}}\s]', '', 'g'), '\s+', ' ', 'g')) AS title,
-regexp_replace(trim(regexp_replace({marks("s")}, '[^a-z0-9\s]', '', 'g')), '\s+', '_', 'g') AS tag FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text, replace(substring(text, 1, 60), chr(10), ' ') AS s FROM documents)""",
+    rf"""SELECT doc_id, md5(space) AS space, md5(trim(regexp_replace(regexp_replace(bare, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))) AS plain,
+md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, 'day\s*[0-9]+', '', 'g'), '[0-9]+', '', 'g'), '[^a-zA-Z0-9\x{{00C0}}-\x{{024F}}\s]', '', 'g'), '\s+', ' ', 'g'))) AS title,
+md5(regexp_replace(trim(regexp_replace(bare, '[^a-z0-9\s]', '', 'g')), '\s+', '_', 'g')) AS tag FROM ({T17})""",
 )(
-    lambda t: t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")).alias("s")).select(
-        "doc_id", F.md5(X.normalize_space("text")).alias("space"), F.md5(X.normalize_text("text")).alias("plain"), X.normalize_title("s").alias("title"), X.normalize_tag("s").alias("tag")
+    lambda t: t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("text")).select(
+        "doc_id", F.md5(X.normalize_space("text")).alias("space"), F.md5(X.normalize_text("text")).alias("plain"), F.md5(X.normalize_title("text")).alias("title"), F.md5(X.normalize_tag("text")).alias("tag")
     )
 )
 query(
