@@ -130,6 +130,28 @@ def close_up_marks(c: str | Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), f" ({MARKS})", "$1"), f"({MARKS}) ", "$1")
 
 
+#: Keywords that lost their first letter, and what they are whole.
+TRUNCATED = (
+    ("EGIN", "BEGIN"), ("AVE TRAN", "SAVE TRAN"), ("OMMIT", "COMMIT"), ("OLLBACK", "ROLLBACK"), ("ELECT", "SELECT"), ("NSERT", "INSERT"), ("PDATE", "UPDATE"), ("ELETE", "DELETE"),
+    ("REATE", "CREATE"), ("ROP ", "DROP "), ("LTER", "ALTER"), ("HERE ", "WHERE "), ("ROM ", "FROM "), ("ROUP BY", "GROUP BY"), ("RDER BY", "ORDER BY"), ("AVING", "HAVING"),
+    ("OIN", "JOIN"), ("NNER", "INNER"), ("UTER", "OUTER"), ("IGHT", "RIGHT"), ("EFT", "LEFT"), ("ECLARE", "DECLARE"), ("XEC", "EXEC"), ("RINT", "PRINT"),
+    ("F ", "IF "), ("LSE", "ELSE"), ("HILE", "WHILE"), ("ETURN", "RETURN"), ("OT NULL", "NOT NULL"), ("RIMARY", "PRIMARY"), ("OREIGN", "FOREIGN"),
+)
+
+
+def recover_keywords(c: str | Column) -> Column:
+    """Keywords whole again where they begin behind white space, a star or a bar and end at a sign of the language."""
+    step = lambda x, s: F.regexp_replace(x, rf"(?<=[*| \n\t]){s[0]}(?=[ \t\n\r*|{{(\[]|\z)", s[1])
+    return let(col(c), lambda x: reduce(step, TRUNCATED, x))
+
+
+def break_sentences(c: str | Column) -> Column:
+    """A new line behind each sentence that a capital follows, outside tables; lonely numbers and blank lines beyond one go."""
+    line = lambda x: F.when(x.startswith("|"), x).otherwise(F.regexp_replace(x, "([.!?]) ([A-ZÀÁÂÃÈÉÊÌÍÒÓÔÕÙÚĂĐĨŨƠƯẠ])", "$1\n$2"))
+    text = F.array_join(F.transform(F.split(col(c), "\n"), line), "\n")
+    return trim_all(F.regexp_replace(F.regexp_replace(text, r"(?m)^[0-9]+\.\s*$", ""), r"\n{3,}", "\n\n"))
+
+
 def drop_junk(c: str | Column) -> Column:
     """Replacement characters and nulls go, line ends are newlines, blank lines are one at a time."""
     clean = F.replace(F.replace(F.translate(col(c), "�\u0000", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

@@ -6,9 +6,13 @@ steps are dealt by document, so lines are shuffled once.
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import repair as R
 from ..functions.text import decode_entities, trim_all, unescape_markdown
@@ -93,6 +97,20 @@ def clean_corpus(docs: DataFrame, preserve: bool = False) -> DataFrame:
     return out.select("doc_id", R.fix_glued_words(trim_all(F.regexp_replace("text", r"\n{3,}", "\n\n"))).alias("text"))
 
 
+@F.pandas_udf(StringType())
+def unescape(text: pd.Series) -> pd.Series:
+    """All character references of the markup language, which no expression knows; texts without an ampersand stay."""
+    return text.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
+
+
+def postprocess_markdown(docs: DataFrame) -> DataFrame:
+    """doc_id and the text of a converter's Markdown: normal form, references, escapes, keywords, sentences, blank lines."""
+    text = unescape(nfc("text"))
+    for s in "_*[]#":
+        text = F.replace(text, F.lit("\\" + s), F.lit(s))
+    return docs.select("doc_id", text.alias("text")).select("doc_id", R.break_sentences(R.recover_keywords("text")).alias("text"))
+
+
 #: Defects of a document that ask for the whole chain.
 DEEP = ("slide_pdf_wrap", "glued_words", "accent_loss")
 #: References that the light chain decodes, in order.

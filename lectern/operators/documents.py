@@ -51,13 +51,14 @@ def detect_corruption(c: str = "text") -> Column:
     return F.when(lines_where(c, r"^\|\s*\|$", False) > 5, 2).otherwise(0) + F.when(odd > 50, 1).otherwise(0) + F.when(tiny > 20, 1).otherwise(0) >= 2
 
 
-def detect_domain(lessons: DataFrame) -> DataFrame:
-    """The domain with most keywords in the title and the first 800 characters; the earlier one wins ties."""
-    text = F.lower(F.concat_ws(" ", "title", F.substring("content", 1, 800)))
+def detect_domain(lessons: DataFrame, plans: DataFrame) -> DataFrame:
+    """The domain with most keywords in the title, the first 800 characters and the plan's title; the earlier one wins ties."""
+    named = lessons.join(plans.select("plan_id", F.col("title").alias("_p")), "plan_id", "left")
+    text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.substring(F.coalesce("content", F.lit("")), 1, 800), F.coalesce("_p", F.lit(""))))
     b = "(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))"
     counts = F.array(*[F.struct(F.regexp_count(text, F.lit(f"{b}(?:{p}){b}")).alias("n"), F.lit(-k).alias("k"), F.lit(d).alias("d")) for k, (d, p) in enumerate(DOMAINS)])
-    rows = lessons.withColumn("_b", F.array_max(counts))
-    return rows.withColumn("domain", F.when(F.col("_b.n") > 0, F.col("_b.d")).otherwise("general")).drop("_b")
+    rows = named.withColumn("_b", F.array_max(counts))
+    return rows.withColumn("domain", F.when(F.col("_b.n") > 0, F.col("_b.d")).otherwise("general")).drop("_b", "_p")
 
 
 def outline(docs: DataFrame, most: int = 40) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import title_keywords
+from ..functions.text import normalize_tag
+
 LEVEL_MIX = {"BEGINNER": (0.6, 0.3, 0.1), "INTERMEDIATE": (0.2, 0.5, 0.3), "EXPERT": (0.1, 0.3, 0.6)}
 
 
@@ -180,12 +183,39 @@ def select_diverse(hits: DataFrame, key: str, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*best))).where(F.col("rank") <= k)
 
 
-def recommend_courses(users: DataFrame, plans: DataFrame, interests: DataFrame, students: DataFrame, top: int = 10) -> DataFrame:
-    """Courses by overlap with each user's interest terms: 3 for a category, 2 for a tag; then students. Users and
-    courses meet on terms, never all with all. interests: user_id, term."""
-    live = plans.where("is_public and not is_deleted").select("plan_id", "owner_id", "category", "tags")
-    terms = live.select("plan_id", F.lower("category").alias("term"), F.lit(3).alias("w")).union(live.select("plan_id", F.explode(F.transform("tags", F.lower)).alias("term"), F.lit(2).alias("w")))
-    scored = interests.distinct().join(terms.distinct(), "term").groupBy("user_id", "plan_id").agg(F.sum("w").alias("score"))
-    scored = scored.join(live.select("plan_id", "owner_id"), "plan_id").where("owner_id <> user_id").join(students, "plan_id", "left").withColumn("students", F.coalesce("students", F.lit(0)))
-    n = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), F.desc("students"), "plan_id"))
-    return scored.select("user_id", "plan_id", "score", n.alias("place")).where(F.col("place") <= top)
+def recommend_courses(users: DataFrame, plans: DataFrame, memory: DataFrame, students: DataFrame, ratings: DataFrame, top: int = 10) -> DataFrame:
+    """Courses for every user by interests: 3 for a category and 2 for each tag or normal tag of own courses, 1 for each topic
+    (of the ten best remembered, and title keywords) in a course's title. The first 40 matches are candidates; where
+    they are fewer than six, the 30 newest join them. Then students, then rating. Users and courses meet on terms and on
+    the parts of titles that are topics, never all with all. memory: user_id, topic, count."""
+    live = plans.where("is_public and not is_deleted")
+    own = plans.where("not is_deleted").withColumnRenamed("owner_id", "user_id")
+    small = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
+    both = lambda d: F.concat(small("tags"), F.transform("tags", lambda x: F.lower(normalize_tag(x))))
+    best = memory.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("count"), "topic"))).where("n <= 10")
+    topics = best.select("user_id", F.lower(F.trim("topic")).alias("topic")).union(own.select("user_id", F.explode(title_keywords("title")))).where("topic <> ''").distinct()
+    tags = own.select("user_id", F.explode(both(own)).alias("tag")).distinct()
+
+    lengths = sorted(r[0] for r in topics.select(F.length("topic")).distinct().collect())  # a few numbers, whatever the data
+    title = live.select("plan_id", F.lower("title").alias("t")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))))
+    parts = title.select("plan_id", F.explode(F.array_distinct(F.array(*[F.substring("t", F.col("i"), F.lit(n)) for n in lengths]))).alias("topic")) if lengths else title.select("plan_id", F.col("t").alias("topic")).limit(0)
+    named = parts.join(topics.select("topic").distinct(), "topic", "left_semi").distinct()
+    points = (
+        own.select("user_id", "category").distinct().join(live.select("plan_id", "category"), "category").select("user_id", "plan_id", F.lit(3).alias("w"))
+        .union(tags.join(live.select("plan_id", F.explode(both(live)).alias("tag")), "tag").select("user_id", "plan_id", F.lit(2)))
+        .union(topics.join(named, "topic").select("user_id", "plan_id", F.lit(1)))
+    )
+    scored = points.groupBy("user_id", "plan_id").agg(F.sum("w").alias("score"))
+    first = scored.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("plan_id"))).where("n <= 40").drop("n")
+    few = users.select("user_id").join(first.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 6"), "user_id", "left_anti")
+    newest = live.orderBy(F.desc("created_rank"), "plan_id").limit(30).select("plan_id")
+    more = few.join(F.broadcast(newest)).join(first, ["user_id", "plan_id"], "left_anti").select("user_id", "plan_id", F.lit(0).cast("long").alias("score"))
+    rows = first.unionByName(more).join(students, "plan_id", "left").join(ratings.select("plan_id", "avg_rating"), "plan_id", "left")
+    n = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), F.desc(F.coalesce("students", F.lit(0))), F.desc(F.coalesce("avg_rating", F.lit(0.0))), "plan_id"))
+    return rows.select("user_id", "plan_id", "score", n.alias("place")).where(F.col("place") <= top)
+
+
+def replies_by_parent(reviews: DataFrame) -> DataFrame:
+    """The replies of each root review in order of time."""
+    rows = reviews.where("parent_id is not null").groupBy("parent_id")
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "review_id", "user_id"))), lambda x: x["review_id"]).alias("replies"))

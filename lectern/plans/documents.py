@@ -43,8 +43,8 @@ SELECT c.plan_id, day, earlier, count(*) AS hits FROM cw c JOIN tw ON tw.plan_id
 )(lambda t: D.scope_compliance(t.lessons, least=1))
 query("n5_dup_tokens", f"SELECT lesson_id, array_to_string(list_sort({TOK('title')}), ' ') AS tokens FROM lessons")(lambda t: t.lessons.select("lesson_id", F.array_join(F.array_sort(F.array_distinct(X.dup_tokens("title"))), " ").alias("tokens")))
 N7 = ", ".join(f"{{'n': len(regexp_extract_all(x, '\\b(?:{p})\\b')), 'k': {-k}, 'd': '{d}'}}" for k, (d, p) in enumerate(D.DOMAINS))
-query("n7_detect_domain", f"SELECT lesson_id, CASE WHEN m.n > 0 THEN m.d ELSE 'general' END AS domain FROM (SELECT lesson_id, list_max([{N7}]) AS m FROM (SELECT lesson_id, lower(concat(title, ' ', substring(content, 1, 800))) AS x FROM lessons))")(
-    lambda t: D.detect_domain(t.lessons).select("lesson_id", "domain")
+query("n7_detect_domain", f"SELECT lesson_id, CASE WHEN m.n > 0 THEN m.d ELSE 'general' END AS domain FROM (SELECT lesson_id, list_max([{N7}]) AS m FROM (SELECT lesson_id, lower(concat(l.title, ' ', substring(content, 1, 800), ' ', coalesce(p.title, ''))) AS x FROM lessons l LEFT JOIN plans p ON p.plan_id = l.plan_id))")(
+    lambda t: D.detect_domain(t.lessons, t.plans).select("lesson_id", "domain")
 )
 OUTLINE = r"""SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda y: CASE WHEN regexp_matches(trim(y), '^#{1,3}\s+(.+)') THEN substring(regexp_replace(regexp_extract(trim(y), '^#{1,3}\s+(.+)', 1), '[*_`]', '', 'g'), 1, 100)
 WHEN regexp_matches(trim(y), '^([0-9]+(?:\.[0-9]+)*)\s+(.{3,80})') THEN substring(concat(regexp_extract(trim(y), '^([0-9]+(?:\.[0-9]+)*)\s+(.{3,80})', 1), ' ', regexp_extract(trim(y), '^([0-9]+(?:\.[0-9]+)*)\s+(.{3,80})', 2)), 1, 100) WHEN regexp_matches(trim(y), '(?i)^(?:chương|chapter|phần|section)\s+') THEN substring(trim(y), 1, 100) END), lambda z: z IS NOT NULL) AS o FROM marked_documents"""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import cleaning as R
 from ..operators import aggregates as A
 from ..operators import windows as O
 from .registry import query
 from .relational import ORDERS_AS_OF
+from .text import marks
 
 query(
     "w1_paginate",
@@ -116,17 +118,30 @@ WHERE is_instructor AND interest IN ('BUILDING', 'MACHINERY') AND contains(lower
     lambda t: A.instructor_ratings(t.users, t.reviews.where("parent_id is null and rating is not null").select((F.col("plan_id") % 150).alias("instructor_id"), F.col("rating").alias("stars")))
     .join(t.users.where(F.col("interest").isin("BUILDING", "MACHINERY") & F.contains(F.lower("full_name"), F.lit("customer"))).select("user_id", "full_name"), "user_id")
 )
+NORMAL_TAG = f"regexp_replace(trim(regexp_replace({marks('x')}, '[^a-z0-9\\s]', '', 'g')), '\\s+', '_', 'g')"
+TAGS = f"list_concat(list_transform(tags, lambda x: lower(trim(x))), list_transform(tags, lambda x: {NORMAL_TAG}))"
+NOISE = ", ".join(f"'{w}'" for w in R.NOISE)
 query(
     "o4_recommend_courses",
-    """WITH i AS (SELECT DISTINCT owner_id AS user_id, unnest(list_append(list_transform(tags, lambda x: lower(x)), lower(category))) AS term FROM plans), l AS (SELECT * FROM plans WHERE is_public AND NOT is_deleted),
-m AS (SELECT DISTINCT plan_id, lower(category) AS term, 3 AS w FROM l UNION SELECT DISTINCT plan_id, lower(unnest(tags)), 2 FROM l),
-s AS (SELECT plan_id, count(*) AS students FROM enrollments WHERE status = 'active' GROUP BY plan_id),
-g AS (SELECT user_id, plan_id, CAST(sum(w) AS BIGINT) AS score FROM i JOIN m USING (term) GROUP BY user_id, plan_id)
-SELECT user_id, plan_id, score, CAST(place AS INT) AS place FROM (SELECT g.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, coalesce(students, 0) DESC, g.plan_id) AS place FROM g JOIN l ON l.plan_id = g.plan_id LEFT JOIN s ON s.plan_id = g.plan_id WHERE owner_id <> user_id) WHERE place <= 10""",
+    rf"""WITH l AS (SELECT * FROM plans WHERE is_public AND NOT is_deleted), o AS (SELECT *, owner_id AS user_id FROM plans WHERE NOT is_deleted),
+mem AS (SELECT user_id, lower(trim(topic)) AS topic FROM (SELECT user_id, topic, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, topic) AS n FROM submissions GROUP BY user_id, topic) WHERE n <= 10),
+tp AS (SELECT DISTINCT * FROM (SELECT user_id, topic FROM mem UNION ALL SELECT user_id, unnest(list_filter(list_transform(regexp_split_to_array(title, '[\s,\-.()\[\]/]+'), lambda x: lower(trim(x))), lambda x: length(x) >= 2 AND x NOT IN ({NOISE}))) FROM o) WHERE topic <> ''),
+tg AS (SELECT DISTINCT user_id, unnest({TAGS}) AS tag FROM o), nm AS (SELECT d.topic, plan_id FROM (SELECT DISTINCT topic FROM tp) d JOIN l ON contains(lower(l.title), d.topic)),
+pts AS (SELECT c.user_id, l.plan_id, 3 AS w FROM (SELECT DISTINCT user_id, category FROM o) c JOIN l ON l.category = c.category UNION ALL SELECT tg.user_id, x.plan_id, 2 FROM tg JOIN (SELECT plan_id, unnest({TAGS}) AS tag FROM l) x ON x.tag = tg.tag UNION ALL SELECT tp.user_id, nm.plan_id, 1 FROM tp JOIN nm ON nm.topic = tp.topic),
+sc AS (SELECT user_id, plan_id, sum(w) AS score FROM pts GROUP BY user_id, plan_id), f AS (SELECT user_id, plan_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY plan_id) AS n FROM sc) WHERE n <= 40),
+few AS (SELECT user_id FROM users WHERE user_id NOT IN (SELECT user_id FROM f GROUP BY user_id HAVING count(*) >= 6)), nw AS (SELECT plan_id FROM l ORDER BY created_rank DESC, plan_id LIMIT 30),
+a AS (SELECT user_id, plan_id, score FROM f UNION ALL SELECT user_id, plan_id, 0 FROM few, nw WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = few.user_id AND f.plan_id = nw.plan_id)),
+s AS (SELECT plan_id, count(*) AS students FROM enrollments WHERE status = 'active' GROUP BY plan_id), v AS (SELECT plan_id, round(avg(rating), 1) AS r FROM reviews WHERE parent_id IS NULL AND NOT is_deleted GROUP BY plan_id)
+SELECT user_id, plan_id, CAST(score AS BIGINT) AS score, CAST(place AS INT) AS place FROM (SELECT a.*, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, coalesce(students, 0) DESC, coalesce(r, 0.0) DESC, a.plan_id) AS place FROM a LEFT JOIN s ON s.plan_id = a.plan_id LEFT JOIN v ON v.plan_id = a.plan_id) WHERE place <= 10""",
 )(
-    lambda t: O.recommend_courses(
-        t.users, t.plans, t.plans.select(F.col("owner_id").alias("user_id"), F.explode(F.array_append(F.transform("tags", F.lower), F.lower("category"))).alias("term")), A.student_counts(t.enrollments)
-    )
+    lambda t: O.recommend_courses(t.users, t.plans, t.submissions.groupBy("user_id", "topic").agg(F.count("*").alias("count")), A.student_counts(t.enrollments), A.review_stats(t.reviews))
+)
+query("o2_top_instructors", "SELECT user_id, coalesce(a, 0.0::DOUBLE) AS avg_rating FROM users LEFT JOIN (SELECT plan_id % 150 AS i, round(avg(rating), 1) AS a FROM reviews WHERE parent_id IS NULL AND rating IS NOT NULL GROUP BY plan_id % 150) ON i = user_id WHERE is_instructor ORDER BY 2 DESC, 1 LIMIT 5")(
+    lambda t: A.instructor_ratings(t.users, t.reviews.where("parent_id is null and rating is not null").select((F.col("plan_id") % 150).alias("instructor_id"), F.col("rating").alias("stars")))
+    .select("user_id", "avg_rating").orderBy(F.desc("avg_rating"), "user_id").limit(5)
+)
+query("g15_replies_by_parent", "SELECT parent_id, string_agg(CAST(review_id AS VARCHAR), ',' ORDER BY created_at, review_id) AS replies FROM reviews WHERE parent_id IS NOT NULL GROUP BY parent_id")(
+    lambda t: O.replies_by_parent(t.reviews).select("parent_id", F.array_join("replies", ",").alias("replies"))
 )
 query("o5_list_by", "SELECT enrollment_id, plan_id, created_at FROM enrollments WHERE learner_id = 7 ORDER BY created_at DESC, enrollment_id")(
     lambda t: t.enrollments.where("learner_id = 7").select("enrollment_id", "plan_id", "created_at").orderBy(F.desc("created_at"), "enrollment_id")

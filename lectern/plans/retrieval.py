@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import RERANK_STOP, embedding_input
+from ..functions.text import RERANK_STOP, REUSE_STOP, embedding_input
 from ..operators import classify as N
 from ..operators import retrieval as V
 from .registry import query
+from .text import marks
 
 
 def rule_sql(column: str) -> str:
@@ -85,18 +86,30 @@ query(
 query("v9_index_lessons", r"SELECT lesson_id, substring(trim(regexp_replace(concat(title, '. ', content), '\s+', ' ', 'g')), 1, 400) AS topic_text FROM lessons WHERE trim(content) <> ''")(
     lambda t: t.lessons.where("trim(content) <> ''").select("lesson_id", embedding_input(F.concat("title", F.lit(". "), "content"), 400).alias("topic_text"))
 )
-IDX = "SELECT chunk_id AS lesson_id, chunk_id % 40 AS plan_id, chunk_id % 9 AS owner_id, substring(content, 1, 200) AS topic, embedding AS vector, chunk_id % 2 = 0 AS is_public, plan_id AS bucket FROM chunks"
+IDX = "SELECT chunk_id AS lesson_id, chunk_id % 40 AS plan_id, chunk_id % 9 AS owner_id, content AS topic, embedding AS vector, chunk_id % 2 = 0 AS is_public FROM chunks"
 
 
 def index(t):
-    return t.chunks.selectExpr("chunk_id AS lesson_id", "chunk_id % 40 AS plan_id", "chunk_id % 9 AS owner_id", "substring(content, 1, 200) AS topic", "embedding AS vector", "chunk_id % 2 = 0 AS is_public", "plan_id AS bucket")
+    return t.chunks.selectExpr("chunk_id AS lesson_id", "chunk_id % 40 AS plan_id", "chunk_id % 9 AS owner_id", "content AS topic", "embedding AS vector", "chunk_id % 2 = 0 AS is_public")
 
 
-query(
-    "v10_reuse_candidates",
-    f"""WITH i AS ({IDX}), p AS (SELECT r.lesson_id, i.lesson_id AS source_id, r.owner_id = i.owner_id AS own, round(list_cosine_similarity(CAST(r.vector AS DOUBLE[]), CAST(i.vector AS DOUBLE[])), 6) AS score FROM i r JOIN i ON r.bucket = i.bucket WHERE r.lesson_id % 50 = 0 AND r.lesson_id <> i.lesson_id AND r.plan_id <> i.plan_id AND (r.owner_id = i.owner_id OR i.is_public))
-SELECT lesson_id, source_id, score, own FROM (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY own DESC, score DESC, source_id) AS n FROM p WHERE score >= CASE WHEN own THEN 0.1 ELSE 0.2 END) WHERE n = 1""",
-)(lambda t: V.reuse_candidates(index(t).where("lesson_id % 50 = 0").drop("is_public"), index(t), own=0.1, public=0.2, overlap=0.0))
+REUSE = ", ".join(f"'{w}'" for w in REUSE_STOP)
+KW = f"list_distinct(list_filter(regexp_split_to_array(regexp_replace(translate({marks('topic')}, 'đ', 'd'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 3 AND x NOT IN ({REUSE})))"
+
+
+def reuse_sql(own: float, public: float, overlap: float) -> str:
+    return f"""WITH i AS (SELECT *, {KW} AS kw FROM ({IDX})), s AS (SELECT r.lesson_id, r.plan_id AS rp, r.owner_id AS ro, r.kw AS rk, i.lesson_id AS source_id, i.plan_id AS ip, i.owner_id AS io, i.kw AS ik, i.is_public, round(list_cosine_similarity(CAST(r.vector AS DOUBLE[]), CAST(i.vector AS DOUBLE[])), 6) AS score FROM i r JOIN i ON r.lesson_id <> i.lesson_id WHERE r.lesson_id % 50 = 0),
+b AS (SELECT *, true AS own FROM s WHERE ro = io AND score >= {own} UNION ALL SELECT *, false FROM s WHERE is_public AND score >= {public}),
+n AS (SELECT *, row_number() OVER (PARTITION BY lesson_id, own ORDER BY score DESC, source_id) AS n FROM b),
+p AS (SELECT * FROM n WHERE n <= 20 AND rp <> ip AND (own OR ro <> io) AND CASE WHEN len(rk) = 0 OR len(ik) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(rk, ik)) / (len(rk) + len(ik) - len(list_intersect(rk, ik))) END >= {overlap})
+SELECT lesson_id, source_id, score, own FROM (SELECT *, row_number() OVER (PARTITION BY lesson_id ORDER BY own DESC, score DESC, source_id) AS m FROM p) WHERE m = 1"""
+
+
+query("v10_reuse_candidates", reuse_sql(0.88, 0.92, 0.15))(lambda t: V.reuse_candidates(index(t).where("lesson_id % 50 = 0").drop("is_public"), index(t)))
+#: The fixture's vectors are hardly alike, so the same rules are also run at thresholds that some of them reach.
+query("v10_reuse_low_thresholds", reuse_sql(0.3, 0.35, 0.01))(lambda t: V.reuse_candidates(index(t).where("lesson_id % 50 = 0").drop("is_public"), index(t), own=0.3, public=0.35, overlap=0.01))
+query("v1_vectorize")(lambda t: V.vectorize(t.documents, "doc_id", "text"))
+query("v13_ann_search")(lambda t: V.ann_search(queries(t), t.chunks, 6, V.centroids(t.chunks)).select("query_id", "chunk_id", "rank"))
 query("v12_sync_public", "SELECT i.lesson_id, coalesce(p.is_public, i.lesson_id % 2 = 0) AS is_public FROM lessons i LEFT JOIN plans p ON p.plan_id = i.plan_id")(
     lambda t: V.sync_public(t.lessons.select("lesson_id", "plan_id", (F.col("lesson_id") % 2 == 0).alias("is_public")), t.plans).select("lesson_id", "is_public")
 )
