@@ -43,7 +43,8 @@ class _Progress(StatefulProcessor):
 
 def running_progress(stream: DataFrame) -> DataFrame:
     """The running rounded average of every learner's course, with its level; needs the RocksDB state store. Rows of one
-    micro-batch are folded in order of time."""
+    micro-batch are folded in order of time, batches in the order in which they come: a submission counts when it
+    arrives, so one that comes late is folded after newer ones and the result differs from the batch twin's."""
     return stream.groupBy("user_id", "plan_id").transformWithStateInPandas(
         statefulProcessor=_Progress(), outputStructType="user_id long, plan_id long, average_score double, quizzes long, level string", outputMode="Update", timeMode="None"
     )
