@@ -15,6 +15,7 @@ import os
 import re
 from collections.abc import Callable, Iterable
 from functools import cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """key -> make(key), kept for two generations of CACHE_BYTES; None is not kept, nor is a long key."""
+    """key -> make(key), kept for two generations of so many bytes each; None is not kept, nor is a long key."""
 
-    def __init__(self, make: Callable[[str], bytes | None], limit: int):
+    def __init__(self, make: Callable[[str], Any], limit: int, size_of: Callable[[Any], int] = len):
         super().__init__()
-        self.make, self.limit, self.size, self.old = make, limit, 0, {}
+        self.make, self.limit, self.size_of, self.size, self.old = make, limit, size_of, 0, {}
 
-    def __missing__(self, key: str) -> bytes | None:
+    def __missing__(self, key: str) -> Any:
         out = self.old.get(key)
         if out is None:
             out = self.make(key)
             if out is None or len(key) > LONGEST:
                 return out
-        n = ENTRY_BYTES + len(key) + len(out)
+        n = ENTRY_BYTES + len(key) + self.size_of(out)
         if self.size + n > self.limit:
             self.old, self.size = dict(self), 0
             self.clear()

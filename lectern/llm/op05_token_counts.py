@@ -6,7 +6,7 @@ path are kept, nothing else. Ties follow the unigram tokenizer of the tokenizers
 last piece wins; a character that is no piece itself is unknown at the worst score less ten; neighbouring unknowns
 are one piece.
 
-A worker remembers the counts of words it has seen (a bounded number). Rows are independent; nothing is shuffled.
+A worker remembers the counts of words it has seen (bounded in bytes). Rows are independent; nothing is shuffled.
 
 Nulls: a null text has no words and no pieces. Rows of equal or null doc_id are each counted. An empty table
 gives no rows. Extra columns are not used, whatever their names.
@@ -15,6 +15,7 @@ gives no rows. Extra columns are not used, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import log
 
 import ahocorasick
@@ -23,10 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read, small_batches
+from .encoding import CACHE_BYTES, Remembered
 
 BEGIN = "▁"
-#: Words remembered by a worker before it starts anew.
-CACHE = 600_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -43,12 +43,14 @@ class PieceCounter:
     """pieces: (piece, score), the first one standing for unknown."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
-        self.machine, self.cache = ahocorasick.Automaton(), {}
+        self.machine = ahocorasick.Automaton()
         for piece, score in pieces[1:]:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
         self.single = {p for p, _ in pieces[1:] if len(p) == 1}
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        #: Counts of words, bounded in bytes.
+        self.seen = Remembered(lambda w: self.count(BEGIN + w), CACHE_BYTES, lambda n: 28)
 
     def count(self, word: str) -> int:
         """Pieces of one string."""
@@ -78,13 +80,13 @@ class PieceCounter:
         return count[n]
 
     def words(self, words: list[str]) -> int:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = self.count(BEGIN + w)
-        return sum(map(cache.__getitem__, words))
+        return sum(map(self.seen.__getitem__, words))
+
+
+@cache
+def counter(model: str) -> PieceCounter:
+    """The counter of this worker process, with what it has seen in earlier tasks."""
+    return PieceCounter(vocabulary(model))
 
 
 def token_counts(docs: DataFrame, model: str) -> DataFrame:
@@ -92,11 +94,11 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(vocabulary(model))
+        count = counter(model).words
         for b in batches:
             # white space is ASCII here; other spaces are characters of words
             words = [[w.decode("utf-8", "replace") for w in (t or "").encode("utf-8", "replace").split()] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int64()), pa.array(map(counter.words, words), pa.int64())], names=["doc_id", "n_words", "n_pieces"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, words), pa.int64()), pa.array(map(count, words), pa.int64())], names=["doc_id", "n_words", "n_pieces"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, n_words long, n_pieces long")
 

@@ -112,6 +112,48 @@ def test_quality_model_learns_held_out_rows():
     assert ((s >= 0.5) == (y == 1))[~learn].mean() > 0.97
 
 
+def naive_description(text):
+    """The statistics of describe(), one by one."""
+    b = (text or "").encode()
+    words = b.split()
+    n = len(words)
+    if not n:
+        return [0.0] * len(o1.FEATURES)
+    share = lambda chars: sum(b.count(bytes([c])) for c in chars) / len(b)
+    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
+    lines = [x for x in b.split(b"\n") if x.strip()]
+    fives = [tuple(words[k : k + 5]) for k in range(n - 4)]
+    has = lambda w, chars: any(c in chars for c in w)
+    same = [float(k > 0 and words[k] == words[k - 1]) for k in range(n)]
+    blocks = [range(a, min(a + 64, n)) for a in range(0, n, 64)]
+    most = lambda f: max(sum(f(k) for k in r) / max(len(r), 16) for r in blocks)
+    p = [b.count(bytes([c])) / len(b) for c in set(b)]
+    return [
+        np.log1p(n), sum(map(len, words)) / n, share(upper), share(b"0123456789"), share(b"#*$%&"), share(b"|"), share(b"!?"), share(b"<>"), share(b".,;:"), share(b" \t\n\x0b\x0c\r"),
+        sum(c > 127 for c in b) / len(b), len(lines) / n, len(set(words)) / n, max(words.count(w) for w in set(words)) / n, sum(same) / n, 1 - len(set(fives)) / len(fives) if fives else 0.0,
+        1 - len(set(lines)) / len(lines), -sum(x * np.log(x) for x in p), most(lambda k: has(words[k], b"#*$%&")), most(lambda k: has(words[k], b"|")), most(lambda k: b"!" in words[k]),
+        most(lambda k: has(words[k], upper) and not has(words[k], lower) and len(words[k]) > 1), most(lambda k: same[k]), min([len({words[k] for k in r}) / len(r) for r in blocks if len(r) >= 16], default=1.0),
+        sum(len(w) > 20 for w in words) / n, sum(len(w) < 3 for w in words) / n,
+    ]
+
+
+def test_statistics_of_the_model_match_naive_ones(rows):
+    rng = random.Random(17)
+    texts = [t for _, t in rows if t is None or len(t) < 5000] + [" ".join(rng.choice(["ABC", "a!", "##", "x|y", "b", "b", "<i>", "é1", "\n", "Ab?", "n" * 30]) for _ in range(rng.randrange(200))) for _ in range(80)]
+    for t in texts:
+        assert np.allclose(o1.describe(t), naive_description(t), atol=1e-9), t
+
+
+def test_score_is_the_sum_of_table_entries():
+    rng = np.random.default_rng(3)
+    x, y = rng.random((500, 4)), rng.integers(0, 2, 500).astype(float)
+    m = o1.fit(x, y, rounds=5, pair_rounds=3, n_pairs=2)
+    for row, got in zip(x[:60], m.score(x[:60])):
+        at = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges)]
+        z = m.base + sum(t[k] for t, k in zip(m.tables, at)) + sum(t[to_i[at[i]], to_j[at[j]]] for i, j, to_i, to_j, t in m.pairs)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-12
+
+
 def test_pair_tables_capture_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
