@@ -96,7 +96,8 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
 
 
 def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) of queries (main, node, c) to what is similar among the members (main, node, c) of their main component, the queries included."""
+    """Links (a, b) between the components c of queries (main, node, c) and of what is similar to them among the members
+    (main, node, c) of their main component, the queries included."""
     data = members.union(queries)
     parts = data.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
     dealt = data.join(parts, "main").select("main", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(0).alias("role"), "node", "c")
@@ -107,17 +108,17 @@ def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, similari
         now, held, index = None, [], None
         for b in batches:
             found = []
-            main, part, role, node, c = (b.column(k).to_pylist() for k in range(5))
-            for k, v in enumerate(b.column(5)):
+            main, part, role, c = (b.column(k).to_pylist() for k in range(4))
+            for k, v in enumerate(b.column(4)):
                 v = v.values.to_numpy()
                 if (main[k], part[k]) != now:
                     now, held, index = (main[k], part[k]), [], None
                 if not role[k]:
-                    held.append((node[k], c[k], v))
+                    held.append((c[k], v))
                     continue
                 if index is None:  # all the chunk's hashes in order, with whose they are
-                    sizes = np.array([len(x) for *_, x in held])
-                    owner, every = np.repeat(np.arange(len(held)), sizes), np.concatenate([x for *_, x in held])
+                    sizes = np.array([len(x) for _, x in held])
+                    owner, every = np.repeat(np.arange(len(held)), sizes), np.concatenate([x for _, x in held])
                     order = np.argsort(every, kind="stable")
                     index = every[order], owner[order], sizes
                 every, owner, sizes = index
@@ -127,19 +128,19 @@ def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, similari
                 shared = np.bincount(owner[at], minlength=len(held))
                 seen = {c[k]}
                 for j in np.flatnonzero(shared >= similarity * (len(v) + sizes - shared) - 1e-9).tolist():
-                    if held[j][1] not in seen:
-                        seen.add(held[j][1])
-                        found.append((node[k], held[j][0]))
+                    if held[j][0] not in seen:
+                        seen.add(held[j][0])
+                        found.append((c[k], held[j][0]))
             if found:
-                x, y = zip(*found)
+                x, y = zip(*dict.fromkeys(found))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     # a member comes before the queries of its chunk, in the order of its own rows
-    return rows.select("main", "part", "role", "node", "c", "v").repartition("main", "part").sortWithinPartitions("main", "part", "role").mapInArrow(work, "a long, b long")
+    return rows.select("main", "part", "role", "c", "v").repartition("main", "part").sortWithinPartitions("main", "part", "role").mapInArrow(work, "a long, b long")
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, text_hash, group and component_id (the group's smallest doc_id) for every row that has an id; a group is what similar pairs connect."""
+    """doc_id, text_hash and group for every row that has an id; a group is what similar pairs connect."""
     prints = stage(_mapped(docs, size, True), "prints")
     nodes = prints.groupBy("h").agg(F.first("v").alias("v"))
     keyed = nodes.select(F.explode("v").alias("key"), F.col("h").alias("node"))
@@ -162,7 +163,7 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     mains = queries.select("main").distinct()
     second = _in_blocks(queries, members.select(F.col("c").alias("main"), "node", "c").distinct().join(mains, "main"), sets, similarity)
 
-    last = components(first.union(second))
-    marked = prints.select("doc_id", "text_hash", "h").join(last, F.col("h") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "h").alias("group"))
-    smallest = marked.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return marked.join(smallest, "group").select("doc_id", "text_hash", "group", "component_id")
+    # the second round joins components, far fewer than texts
+    last = components(second).select(F.col("node").alias("c"), F.col("component").alias("last"))
+    marked = prints.select("doc_id", "text_hash", "h").join(found, F.col("h") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "h").alias("c"))
+    return marked.join(last, "c", "left").select("doc_id", "text_hash", F.coalesce("last", "c").alias("group"))
