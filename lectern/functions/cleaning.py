@@ -16,20 +16,15 @@ SPLIT_WORDS = (
     (r"defi\s*ni\s*tion", "definition"), (r"imple\s*men\s*ta\s*tion", "implementation"), (r"ap\s*pli\s*ca\s*tion", "application"), (r"in\s*for\s*ma\s*tion", "information"),
 )
 #: Words of titles that say nothing about the subject.
-NOISE = tuple(
-    dict.fromkeys(
-        (
-            "và của về trong cho các những một hai ba bản sao đang được bởi tại theo với như để này kia đó tôi bạn chúng cùng"
-            " lên xuống trên dưới sau trước giữa từ đến qua lại ra vào ở có không đã sẽ đang rồi thì mà là nhưng hoặc hay nếu"
-            " thế vì nên tới bị cả quá rất hơn chỉ tự làm thấy biết muốn cần"
-            " khóa học bài tập đề thi cơ bản nâng cao trình lộ hướng dẫn giới thiệu tổng quan giáo trình tài liệu thuyết hành chuyên sâu"
-            " the of in to for and a an on at by with about as into like through after before between under over from about into its their"
-            " or but if then else when where why how who whom this that these those it its he she they we you me him her us them is"
-            " are was were be been being have has had do does did will would shall should can could may might must"
-            " course lesson tutorial guide introduction basic advanced intermediate practice theory sao_chép clone copy"
-        ).split()
-    )
-)
+NOISE = (
+    "và", "của", "về", "trong", "cho", "các", "những", "một", "hai", "ba", "bản", "sao", "đang", "được", "bởi", "tại", "theo", "với", "như", "để", "này", "kia", "đó", "tôi", "bạn", "chúng", "cùng", "lên",
+    "xuống", "trên", "dưới", "sau", "trước", "giữa", "từ", "đến", "qua", "lại", "ra", "vào", "ở", "có", "không", "đã", "sẽ", "rồi", "thì", "mà", "là", "nhưng", "hoặc", "hay", "nếu", "thế", "vì", "nên", "tới",
+    "bị", "cả", "quá", "rất", "hơn", "chỉ", "tự", "làm", "thấy", "biết", "muốn", "cần", "khóa", "học", "bài", "tập", "đề", "thi", "cơ", "nâng", "cao", "trình", "lộ", "hướng", "dẫn", "giới", "thiệu", "tổng",
+    "quan", "giáo", "tài", "liệu", "thuyết", "hành", "chuyên", "sâu", "the", "of", "in", "to", "for", "and", "a", "an", "on", "at", "by", "with", "about", "as", "into", "like", "through", "after", "before",
+    "between", "under", "over", "from", "its", "their", "or", "but", "if", "then", "else", "when", "where", "why", "how", "who", "whom", "this", "that", "these", "those", "it", "he", "she", "they", "we",
+    "you", "me", "him", "her", "us", "them", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "shall", "should", "can", "could", "may", "might",
+    "must", "course", "lesson", "tutorial", "guide", "introduction", "basic", "advanced", "intermediate", "practice", "theory", "sao_chép", "clone", "copy",
+)
 #: What a generator's prompt leaves in its answer.
 LEAKS = (
     r"(?i)={3,}\s*BÀI TRƯỚC[^=]*={3,}[\s\S]*?={3,}", r"(?i)={3,}\s*CONTEXT[^=]*={3,}[\s\S]*?={3,}", r"(?i)={3,}\s*PHẠM VI[^=]*={3,}", r"━{3,}[\s\S]*?━{3,}", r"(?m)^===== .+ =====$", r"(?m)^={3,}\s*$",

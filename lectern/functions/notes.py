@@ -19,9 +19,10 @@ def ascii_bounds(pattern: str) -> str:
 
 #: Names of the query language that count as concepts where a bracket follows.
 CALLED = (
-    "YEAR MONTH DAY LEN LENGTH SUBSTRING CHARINDEX PATINDEX REPLACE STUFF UPPER LOWER LTRIM RTRIM TRIM CONCAT CONCAT_WS STRING_AGG STRING_SPLIT FORMAT ABS ROUND CEILING FLOOR POWER SQRT"
-    " SUM AVG COUNT MIN MAX CAST CONVERT TRY_CAST TRY_CONVERT PARSE TRY_PARSE ROW_NUMBER RANK DENSE_RANK NTILE LEAD LAG FIRST_VALUE LAST_VALUE"
-).split()
+    "YEAR", "MONTH", "DAY", "LEN", "LENGTH", "SUBSTRING", "CHARINDEX", "PATINDEX", "REPLACE", "STUFF", "UPPER", "LOWER", "LTRIM", "RTRIM", "TRIM", "CONCAT", "CONCAT_WS", "STRING_AGG", "STRING_SPLIT", "FORMAT",
+    "ABS", "ROUND", "CEILING", "FLOOR", "POWER", "SQRT", "SUM", "AVG", "COUNT", "MIN", "MAX", "CAST", "CONVERT", "TRY_CAST", "TRY_CONVERT", "PARSE", "TRY_PARSE", "ROW_NUMBER", "RANK", "DENSE_RANK", "NTILE",
+    "LEAD", "LAG", "FIRST_VALUE", "LAST_VALUE",
+)
 #: Names and phrases that count wherever they stand.
 NAMED = (
     "DATEADD", "DATEDIFF", "GETDATE", "SYSDATETIME", "CURRENT_TIMESTAMP", "EOMONTH", "DATEFROMPARTS", "IF EXISTS", "WHILE", "CASE WHEN", "GROUP BY", "HAVING", "ORDER BY", "INNER JOIN", "LEFT JOIN", "RIGHT JOIN",

@@ -188,12 +188,15 @@ def keywords(c: str | Column, drop: str, least: int, stop: tuple[str, ...]) -> C
 
 
 #: Stop words of the lesson-reuse keywords.
-REUSE_STOP = tuple(
-    "va cac mot trong la co de duoc voi bai hoc kien thuc ve tu cua theo nguoi dung chu nay tim hieu ap ung phan gioi thieu tong quan"
-    " the and of to a in is for on with an it be as at by this that are from or but not introduction overview basic advanced".split()
-)
+REUSE_STOP = (
+    "va", "cac", "mot", "trong", "la", "co", "de", "duoc", "voi", "bai", "hoc", "kien", "thuc", "ve", "tu", "cua", "theo", "nguoi", "dung", "chu", "nay", "tim", "hieu", "ap", "ung", "phan", "gioi", "thieu",
+    "tong", "quan", "the", "and", "of", "to", "a", "in", "is", "for", "on", "with", "an", "it", "be", "as", "at", "by", "this", "that", "are", "from", "or", "but", "not", "introduction", "overview", "basic",
+    "advanced",
+)
 #: Stop words of the re-ranking keywords.
-RERANK_STOP = tuple("là của và các cho với những một được này khi thì không phải như theo the a an is in of to and or for with".split())
+RERANK_STOP = (
+    "là", "của", "và", "các", "cho", "với", "những", "một", "được", "này", "khi", "thì", "không", "phải", "như", "theo", "the", "a", "an", "is", "in", "of", "to", "and", "or", "for", "with",
+)
 
 
 def reuse_keywords(c: str | Column) -> Column:

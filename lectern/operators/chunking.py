@@ -134,9 +134,9 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
 
 #: Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = (
-    r"v\.v v\.v\. TP GS\.TS PGS\.TS Th\.S GS PGS TS KS BS BN Tr e\.g i\.e etc vs approx dept fig eq no vol pp ed tr Dr Mr Mrs Ms St"
-    " prob def thm prop cor ex sec ch ref Jan Feb Mar Apr Jun Jul Aug Sep Oct Nov Dec"
-).split()
+    r"v\.v", r"v\.v\.", "TP", r"GS\.TS", r"PGS\.TS", r"Th\.S", "GS", "PGS", "TS", "KS", "BS", "BN", "Tr", r"e\.g", r"i\.e", "etc", "vs", "approx", "dept", "fig", "eq", "no", "vol", "pp", "ed", "tr", "Dr",
+    "Mr", "Mrs", "Ms", "St", "prob", "def", "thm", "prop", "cor", "ex", "sec", "ch", "ref", "Jan", "Feb", "Mar", "Apr", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec",
+)
 
 
 def propositions(chunks: DataFrame) -> DataFrame:

@@ -15,14 +15,15 @@ from .windows import disambiguate_titles, filter_by_score, select_diverse
 
 #: Words of query and programming languages that no document has to name.
 KEYWORDS = (
-    "SELECT INSERT UPDATE DELETE FROM WHERE JOIN INNER LEFT RIGHT ON SET VALUES BEGIN END TRAN TRANSACTION COMMIT ROLLBACK CREATE ALTER DROP PROC PROCEDURE FUNCTION TABLE IF ELSE"
-    " DECLARE EXEC EXECUTE RETURN PRINT CONVERT CAST NULL NOT AND OR AS INTO WITH RECOMPILE ENCRYPTION OUTPUT OUT COUNT SUM MIN MAX AVG IDENTITY TRANCOUNT ROWCOUNT SAVE LIKE IN EXISTS"
-    " DISTINCT TOP ORDER BY GROUP HAVING RAISERROR TRY CATCH THROW GO USE INT VARCHAR MONEY DATETIME SMALLDATETIME BIT FLOAT NVARCHAR DATE PRIMARY KEY RETURNS SCOPE_IDENTITY GETDATE"
-    " OBJECT_ID INVOICES VENDORS INVOICELINEITEMS INVOICECOPY VENDORCOPY DEF CLASS IMPORT SELF NONE TRUE FALSE ELIF FOR WHILE LAMBDA YIELD RAISE EXCEPT FINALLY PASS BREAK CONTINUE GLOBAL"
-    " NONLOCAL ASSERT SUPER INIT APPEND EXTEND ITEMS KEYS ENUMERATE ZIP MAP FILTER LEN RANGE LIBRARY REQUIRE NA NAN FRAME VECTOR PUBLIC PRIVATE PROTECTED STATIC VOID NEW THIS EXTENDS"
-    " IMPLEMENTS INTERFACE ABSTRACT FINAL OVERRIDE THROWS STRING BOOLEAN DOUBLE ALGORITHM INPUT REPEAT UNTIL NODE GRAPH TREE QUEUE STACK HEAP SORT SEARCH THEN DO EACH LET VAR CONST STEP"
-    " MOD DIV ARRAY"
-).split()
+    "SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "ON", "SET", "VALUES", "BEGIN", "END", "TRAN", "TRANSACTION", "COMMIT", "ROLLBACK", "CREATE", "ALTER", "DROP",
+    "PROC", "PROCEDURE", "FUNCTION", "TABLE", "IF", "ELSE", "DECLARE", "EXEC", "EXECUTE", "RETURN", "PRINT", "CONVERT", "CAST", "NULL", "NOT", "AND", "OR", "AS", "INTO", "WITH", "RECOMPILE", "ENCRYPTION",
+    "OUTPUT", "OUT", "COUNT", "SUM", "MIN", "MAX", "AVG", "IDENTITY", "TRANCOUNT", "ROWCOUNT", "SAVE", "LIKE", "IN", "EXISTS", "DISTINCT", "TOP", "ORDER", "BY", "GROUP", "HAVING", "RAISERROR", "TRY", "CATCH",
+    "THROW", "GO", "USE", "INT", "VARCHAR", "MONEY", "DATETIME", "SMALLDATETIME", "BIT", "FLOAT", "NVARCHAR", "DATE", "PRIMARY", "KEY", "RETURNS", "SCOPE_IDENTITY", "GETDATE", "OBJECT_ID", "INVOICES",
+    "VENDORS", "INVOICELINEITEMS", "INVOICECOPY", "VENDORCOPY", "DEF", "CLASS", "IMPORT", "SELF", "NONE", "TRUE", "FALSE", "ELIF", "FOR", "WHILE", "LAMBDA", "YIELD", "RAISE", "EXCEPT", "FINALLY", "PASS",
+    "BREAK", "CONTINUE", "GLOBAL", "NONLOCAL", "ASSERT", "SUPER", "INIT", "APPEND", "EXTEND", "ITEMS", "KEYS", "ENUMERATE", "ZIP", "MAP", "FILTER", "LEN", "RANGE", "LIBRARY", "REQUIRE", "NA", "NAN", "FRAME",
+    "VECTOR", "PUBLIC", "PRIVATE", "PROTECTED", "STATIC", "VOID", "NEW", "THIS", "EXTENDS", "IMPLEMENTS", "INTERFACE", "ABSTRACT", "FINAL", "OVERRIDE", "THROWS", "STRING", "BOOLEAN", "DOUBLE", "ALGORITHM",
+    "INPUT", "REPEAT", "UNTIL", "NODE", "GRAPH", "TREE", "QUEUE", "STACK", "HEAP", "SORT", "SEARCH", "THEN", "DO", "EACH", "LET", "VAR", "CONST", "STEP", "MOD", "DIV", "ARRAY",
+)
 #: Signs of a context about queries; what names a parameter, a procedure and a table; the note.
 QUERY_CONTEXT = r"(?i)\b(?:CREATE\s+(?:PROC|PROCEDURE|FUNCTION|TABLE)|DECLARE\s+@|BEGIN\s+TRAN|RAISERROR|EXEC\s+\w)|(?<=[A-Za-z0-9_])@@[A-Z]+"
 CODE_NAMES = ((r"@[A-Za-z][A-Za-z0-9_]*", 0), (r"\b(?:sp|usp|fn)[A-Z][A-Za-z0-9_]+", 0), (r"(?i)(?:from|join|into|update|table|procedure|proc|function)\s+([A-Za-z#][A-Za-z0-9_]*)", 1))

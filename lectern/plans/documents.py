@@ -126,6 +126,17 @@ NOISE = ", ".join(f"'{w}'" for w in R.NOISE)
 query("n2_title_keywords", rf"SELECT lesson_id, array_to_string(list_filter(list_transform(regexp_split_to_array(title, '[\s,\-.()\[\]/]+'), lambda x: lower(trim(x))), lambda x: length(x) >= 2 AND x NOT IN ({NOISE})), ' ') AS k FROM lessons")(
     lambda t: t.lessons.select("lesson_id", F.array_join(R.title_keywords("title"), " ").alias("k"))
 )
-query("t19_strip_prompt_leakage")(
-    lambda t: t.lessons.select("lesson_id", F.md5(R.strip_prompt_leakage(F.concat(F.lit("```markdown\n===== BÀI TRƯỚC ===== x =====\n[Context: a]\n"), "content", F.lit("\n## Quiz\nq\n```")))).alias("digest"))
+LEAK = "x"
+for p in (r"(?i)^```(?:markdown|md)?\n?", r"\n?```$"):
+    LEAK = f"regexp_replace({LEAK}, '{p}', '', 'g')"
+LEAK = TRIM(LEAK)
+for p in R.LEAKS:
+    LEAK = f"regexp_replace({LEAK}, '{p}', '', 'g')"
+LEAK = TRIM(f"regexp_replace({LEAK}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+for m in ("### Quiz", "## Quiz", "---\n**Quiz"):
+    LEAK = TRIM(f"split_part({LEAK}, '{m}', 1)")
+LEAK = TRIM(rf"array_to_string(list_filter(string_split({LEAK}, chr(10)), lambda y: NOT regexp_matches(trim(y), '(?i)^(?:[*-]\s*)?\[Context:|^\[BẢNG DỮ LIỆU')), chr(10))")
+LEAKY = ("```markdown\n===== BÀI TRƯỚC ===== x =====\n[Context: a]\n", "\n━━━ y ━━━\n• Ngày 2: z\n## Quiz\nq\n```")
+query("t19_strip_prompt_leakage", f"SELECT lesson_id, md5({LEAK}) AS digest FROM (SELECT lesson_id, concat('{LEAKY[0]}', content, '{LEAKY[1]}') AS x FROM lessons)")(
+    lambda t: t.lessons.select("lesson_id", F.md5(R.strip_prompt_leakage(F.concat(F.lit(LEAKY[0]), "content", F.lit(LEAKY[1])))).alias("digest"))
 )
