@@ -206,11 +206,13 @@ def test_golay_keys_meet_within_four_bits():
     assert {r for r, _ in keys[0] & keys[1]} == set(range(3000))
 
 
-def test_long_runs_are_compared_in_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [o2.HOT, 40])
+def test_long_runs_are_compared_in_chunks(spark, monkeypatch, hot):
     rng = np.random.default_rng(2)
     fps = {int(x) for x in rng.integers(0, 2**20, 300)}  # all share two segments of zeros
     nodes = spark.createDataFrame([(k, f) for k, f in enumerate(sorted(fps))], "node long, fp long")
     monkeypatch.setattr(o2, "RUN", 32)
+    monkeypatch.setattr(o2, "HOT", hot)
     got = {r.node: r.component for r in common.components(o2.links(nodes)).collect()}
     fs = sorted(fps)
     want = brute_components(list(range(len(fs))), fs)
