@@ -110,13 +110,17 @@ query("s7_recover_keywords")(lambda t: t.documents.select("doc_id", F.md5(R.reco
 def reports(t):
     """Reports of all courses written as text files, whose path is returned."""
     path = files.shared_path(t.spark, "reports")
-    files.export_course_report(t.lessons, path)
+    more = t.lessons.withColumns({"status": F.expr("CASE day_number WHEN 1 THEN 'completed' WHEN 2 THEN 'in-progress' ELSE 'locked' END"), "questions": F.expr("lesson_id % 4"), "summary": F.col("title"), "notes": F.array("title", F.lit("a  note"))})
+    files.export_course_report(t.plans, more, path)
     return path
 
 
-query("s16_export_course_report", r"SELECT concat('plan ', plan_id, ' | ', string_agg(concat('day ', day_number, ': ', regexp_replace(title, '\s+', ' ', 'g')), ' | ' ORDER BY day_number, concat('day ', day_number, ': ', regexp_replace(title, '\s+', ' ', 'g')))) AS value FROM lessons GROUP BY plan_id")(
-    lambda t: t.spark.read.text(reports(t))
-)
+FLAT = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
+query(
+    "s16_export_course_report",
+    f"""WITH d AS (SELECT plan_id, count(*) AS n, string_agg(concat('day ', day_number, ': ', CASE day_number WHEN 1 THEN '✅' WHEN 2 THEN '🔓' ELSE '🔒' END, ' ', {FLAT('title')}, '; quiz ', lesson_id % 4, '; summary: ', {FLAT('title')}, '; notes: ', {FLAT('title')}, ', a note; content: ', {FLAT('content')}), ' | ' ORDER BY day_number, lesson_id) AS days FROM lessons GROUP BY plan_id)
+SELECT concat('plan ', p.plan_id, ' ', {FLAT('title')}, ', owner ', owner_id, ', lessons ', coalesce(n, 0), CASE WHEN n > 0 THEN concat(' | ', days) ELSE '' END) AS value FROM plans p LEFT JOIN d ON d.plan_id = p.plan_id WHERE NOT is_deleted""",
+)(lambda t: t.spark.read.text(reports(t)))
 query("s3_ingest_text_files")(lambda t: files.ingest_text_files(t.spark, reports(t)).select("length", F.md5("text").alias("digest")))
 
 

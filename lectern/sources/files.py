@@ -34,11 +34,21 @@ def write_chunks(df: DataFrame, path: str, key: str = "plan_id", order: str = "c
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
 
 
-def export_course_report(lessons: DataFrame, path: str) -> None:
-    """One line of text for each plan: its lessons by day."""
-    line = F.concat(F.lit("day "), F.col("day_number").cast("string"), F.lit(": "), F.regexp_replace("title", r"\s+", " "))
-    report = lessons.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("day_number", line.alias("l")))), lambda x: x["l"]), " | ").alias("r"))
-    report.select(F.concat(F.lit("plan "), F.col("plan_id").cast("string"), F.lit(" | "), "r").alias("value")).write.mode("overwrite").text(path)
+def export_course_report(plans: DataFrame, lessons: DataFrame, path: str) -> None:
+    """One line of text for each live plan: its head (id, title, owner, number of lessons), then its lessons by day with status,
+    quiz count, summary, notes and content. lessons: lesson_id, plan_id, day_number, title, status, questions, summary,
+    notes (an array), content."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    icon = F.when(F.col("status") == "completed", "✅").when(F.col("status") == "in-progress", "🔓").otherwise("🔒")
+    line = F.concat(
+        F.lit("day "), F.col("day_number").cast("string"), F.lit(": "), icon, F.lit(" "), flat(F.col("title")), F.lit("; quiz "), F.coalesce("questions", F.lit(0)).cast("string"), F.lit("; summary: "), flat(F.col("summary")),
+        F.lit("; notes: "), F.array_join(F.transform(F.coalesce("notes", F.array().cast("array<string>")), flat), ", "), F.lit("; content: "), flat(F.col("content")),
+    )
+    rows = lessons.select("plan_id", "day_number", "lesson_id", line.alias("line")).groupBy("plan_id")
+    days = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("day_number", "lesson_id", "line"))), lambda x: x["line"]).alias("days"))
+    live = plans.where("not is_deleted").select("plan_id", "title", "owner_id").join(days, "plan_id", "left").withColumn("days", F.coalesce("days", F.array().cast("array<string>")))
+    head = F.concat(F.lit("plan "), F.col("plan_id").cast("string"), F.lit(" "), flat(F.col("title")), F.lit(", owner "), F.coalesce(F.col("owner_id").cast("string"), F.lit("N/A")), F.lit(", lessons "), F.size("days").cast("string"))
+    live.select(F.array_join(F.concat(F.array(head), "days"), " | ").alias("value")).write.mode("overwrite").text(path)
 
 
 def reset_table(spark: SparkSession, path: str, schema: StructType) -> None:

@@ -105,8 +105,12 @@ def test_sources_and_sinks(spark, sf, tmp_path):
     files.write_chunks(chunks.where("plan_id = 1").limit(1), out)
     back = spark.read.parquet(out)
     assert back.where("plan_id = 1").count() == 1 and back.where("plan_id <> 1").count() == chunks.where("plan_id <> 1").count()
-    files.export_course_report(table(spark, sf, "lessons"), str(tmp_path / "report"))
-    assert spark.read.text(str(tmp_path / "report")).count() == table(spark, sf, "lessons").select("plan_id").distinct().count()
+    plans = spark.createDataFrame([(1, "A  course", 7, False), (2, "Gone", 7, True), (3, None, None, False)], "plan_id long, title string, owner_id long, is_deleted boolean")
+    lessons = spark.createDataFrame([(5, 1, 2, "Two", "locked", None, None, None, None), (4, 1, 1, "One", "completed", 3, "s\nt", ["n 1", "n2"], "text\nmore")], "lesson_id long, plan_id long, day_number int, title string, status string, questions int, summary string, notes array<string>, content string")
+    files.export_course_report(plans, lessons, str(tmp_path / "report"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "report")).collect()) == [
+        "plan 1 A course, owner 7, lessons 2 | day 1: ✅ One; quiz 3; summary: s t; notes: n 1, n2; content: text more | day 2: 🔒 Two; quiz 0; summary: ; notes: ; content: ", "plan 3 , owner N/A, lessons 0"
+    ]
     files.reset_table(spark, out, chunks.schema)
     assert spark.read.parquet(out).count() == 0
 
