@@ -6,16 +6,16 @@ whole documents as little-endian unsigned 32-bit integers. The table is a zstand
 streams: frames (offset, size, crc32, documents) and documents (doc_id, n_tokens). A reader takes the table from the
 file's end and decompresses the frames of the documents asked for, and no others.
 
-Documents are dealt by ranges of doc_id (and of the text's hash, so that very many rows of one id, or of none, are divided) and sorted there, so files and rows ascend by doc_id; a task streams
-through its range and holds one frame and the table. After FILE_FRAMES frames a file ends with its table and the task
+Documents are dealt by ranges of doc_id (and of the text's hash, so that very many rows of one id, or of none, are
+divided) and sorted there, so files and rows ascend by doc_id; a task streams through its range and holds one frame and the table. After FILE_FRAMES frames a file ends with its table and the task
 goes on in a new one, so no file and no reader's memory grows with a range (one document is never divided: its frame
 is as long as it is). Files are written by Spark's own sink (parts are rows, MAGIC its row separator, a file's rows
 limited to those of one table), so they reach any file system that Spark writes to, and a lost task is written anew.
 They are read through Spark too, each file's bytes at once: what is spared is decompressing, not reading.
 
 Nulls: a null text is empty and has the end id alone; rows with a null doc_id come first. Rows of equal doc_id
-are all written, ordered by a hash of the text. A doc_id that is no integer counts as null. An empty table gives no files' rows. Extra columns are not used, whatever
-their names.
+are all written, ordered by a hash of the text. A doc_id that is no integer counts as null. An empty table gives no
+files' rows. Extra columns are not used, whatever their names.
 """
 
 from __future__ import annotations

@@ -2,13 +2,14 @@
 
 Documents are cut where they are long: whole capacities first (class 1); what is left goes whole into class
 k = floor(capacity / length) if it nearly fills its k-th of a bin, else a piece of exactly capacity / (k + 1) is
-cut off and the rest is looked at again. So a bin of any class is nearly full, and every worker classes its pieces by
-itself, and the shortest pieces too: k of them fill all but k - 1 tokens. A piece's bin is its number within the class divided by k; numbers come from counts by (class, task),
-never from sorting a class in one place. What is left over in the classes' last bins is at most one bin for each
-class: those are merged by first fit on the driver, over one row for each class.
-
-Nulls: a null text is empty and has the end id alone. Rows of equal or null doc_id are each packed. An empty
-table gives no rows. Extra columns are not used, whatever their names.
+cut off and the rest is looked at again. So a bin of any class is nearly full (k pieces of one token to 2048 fill at
+least 95 % of it), and every worker classes its pieces by itself. A piece's bin is its number within the class divided by
+k; numbers come from counts by (class, task), never from sorting a class in one place. What is left over in the classes'
+last bins is at most one bin for each class: those are merged by first fit on the driver, over one row for each class.
+Places within a sequence are sums over its own pieces, which are never more than its capacity.
+
+Nulls: a null text is empty and has the end id alone. Rows of equal or null doc_id are each packed; a doc_id that is
+no integer counts as null. An empty table gives no rows. Extra columns are not used, whatever their names.
 """
 
 from __future__ import annotations
