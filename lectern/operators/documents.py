@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import dup_tokens, heading_level, normalize_space, normalize_text, normalize_vn, words
+from ..functions.text import dup_tokens, normalize_space, normalize_text, normalize_vn, words
 
 #: Domains and their keywords.
 DOMAINS = [

@@ -13,7 +13,7 @@ from ..sources import files
 from .cleaning import q, trimmed
 from .registry import query
 from .retrieval import queries
-from .text import NW, WS
+from .text import WS
 
 FIRST_SEEN = "list_filter({x}, lambda v, i: list_position({x}, v) = i)"
 

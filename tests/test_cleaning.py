@@ -4,7 +4,6 @@ import random
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.functions import repair as R
 from lectern.functions import text as X

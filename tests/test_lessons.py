@@ -4,7 +4,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.functions import notes as N
 from lectern.functions import repair as R
