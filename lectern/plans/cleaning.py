@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import repair as R
 from ..functions import text as X
+from ..functions.cleaning import SPLIT_WORDS
 from ..operators import cleaner as C
 from ..operators.chunking import nfc
 from .registry import query
@@ -92,7 +93,23 @@ ELSE array_to_string(list_transform(range(1, len(s) + 1), lambda n: substring(x,
     )
     .select("doc_id", "token", R.split_glued_vi("token").alias("words"))
 )
-query("t12_fix_glued_words")(lambda t: t.documents.select("doc_id", F.md5(R.fix_glued_words(F.concat(F.lit("Thựchiện StoredProcedure  err or .\n```\ngiátrị\n"), "text"))).alias("digest")))
+SEGMENTS = f"regexp_extract_all(lower(tok), '{R.segment_pattern()}')"
+LONGER = f"list_filter({SEGMENTS}, lambda y: length(y) >= 2)"
+SEGMENTED = f"""CASE WHEN regexp_matches(tok, '^[A-Z][A-Z0-9_]+$|^[0-9]|^https?://') OR len({LONGER}) < 2 OR length(array_to_string({LONGER}, '')) < 0.8 * length(tok) THEN tok
+ELSE array_to_string(list_transform(range(1, len({SEGMENTS}) + 1), lambda n: substring(tok, CAST(1 + length(array_to_string({SEGMENTS}[1:n - 1], '')) AS BIGINT), length({SEGMENTS}[n]))), ' ') END"""
+CAMEL = "tok"
+for a in (r"([a-z])([A-Z])", r"([A-Z]+)([A-Z][a-z])", r"([a-zA-Z])([0-9])", r"([0-9])([a-zA-Z])"):
+    CAMEL = f"regexp_replace({CAMEL}, '{a}', '\\1 \\2', 'g')"
+TOKENS = f"array_to_string(list_transform(regexp_split_to_array({APART.replace('(x,', '(line,')}, '\\s+'), lambda tok: CASE WHEN length(tok) < 8 THEN tok WHEN regexp_matches(tok, '{R.VI}') THEN {SEGMENTED} WHEN regexp_matches(tok, '^[A-Z0-9_]+$') AND length(tok) <= 10 THEN tok ELSE {CAMEL} END), ' ')"
+FIXED = f"regexp_replace({TOKENS}, '([◦•])([A-ZÀ-Ỹa-zà-ỹ])', '\\1 \\2', 'g')"
+for a, b in SPLIT_WORDS:
+    FIXED = f"regexp_replace({FIXED}, '\\b{a}\\b', '{b}', 'gi')"
+FIXED = f"regexp_replace(regexp_replace(regexp_replace({FIXED}, '\\s{{2,}}', ' ', 'g'), ' \\.', '.', 'g'), '\\s+$', '')"
+GLUED_MARK = "Thựchiện StoredProcedure  err or .\n```\n| giátrị\n  đượcthựchiệntrong •Khaibáo XMLHttpRequest2go\n"
+query(
+    "t12_fix_glued_words",
+    f"SELECT doc_id, md5(array_to_string(list_transform(string_split(x, chr(10)), lambda line: CASE WHEN regexp_matches({trimmed('line')}, '^(?:```|\\||//|/\\*|--)') THEN line ELSE {FIXED} END), chr(10))) AS digest FROM (SELECT doc_id, concat('{GLUED_MARK}', text) AS x FROM documents)",
+)(lambda t: t.documents.select("doc_id", F.md5(R.fix_glued_words(F.concat(F.lit(GLUED_MARK), "text"))).alias("digest")))
 WIDE = "SELECT doc_id, unnest(string_split(x, chr(10))) AS line, unnest(range(len(string_split(x, chr(10))))) AS i FROM (SELECT doc_id, replace(text, '. ', concat('.   ', chr(9))) AS x FROM marked_documents)"
 query(
     "t13_tidy_lines",
@@ -100,7 +117,16 @@ query(
 SELECT doc_id, CAST(i AS INT) AS i, CASE WHEN code OR starts_with(t, '```') THEN line WHEN regexp_matches(line, '^\s*\|') THEN regexp_replace(line, '\s+$', '') WHEN regexp_matches(t, '^#{{1,6}}\s|{R.NUMBERED}') OR regexp_matches(line, '^\s*[-*+]\s|^\s*[0-9]+\.\s') THEN line
 ELSE regexp_replace(replace(regexp_replace(line, '\s{{3,}}', '  ', 'g'), chr(9), '  '), '\s+$', '') END AS line FROM c""",
 )(lambda t: C.tidy_lines(C.lines_of(t.marked_documents.select("doc_id", F.replace("text", F.lit(". "), F.lit(".   \t")).alias("text")))).withColumn("i", F.col("i").cast("int")))
-query("t14_defrag_lines")(lambda t: C.text_of(t.documents, C.defrag_lines(C.lines_of(cells(t)))).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars")))
+query(
+    "t14_defrag_lines",
+    f"""WITH l AS (SELECT doc_id, i, line, {trimmed('line')} AS t FROM ({CELLS})), c AS (SELECT *, sum(CASE WHEN starts_with(t, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) % 2 = 1 AS code FROM l),
+m AS (SELECT *, t <> '' AND NOT code AND length(t) <= 8 AND NOT regexp_matches(t, '{R.MARKUP}|{R.NUMBERED}') AS small FROM c),
+p AS (SELECT *, i - coalesce(max(CASE WHEN t <> '' THEN i END) OVER w, -1) - 1 AS blanks, coalesce(last_value(CASE WHEN t <> '' THEN small END IGNORE NULLS) OVER w, false) AS after FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, CASE WHEN small AND NOT (after AND blanks < 2) THEN i END AS b FROM p WHERE NOT (t = '' AND after AND blanks = 0)),
+g AS (SELECT *, CASE WHEN small THEN max(b) OVER (PARTITION BY doc_id ORDER BY i) ELSE i END AS place FROM k),
+j AS (SELECT doc_id, place, CASE WHEN bool_or(small) THEN regexp_replace(string_agg(t, ' ' ORDER BY i), '\\s{{2,}}', ' ', 'g') ELSE any_value(CASE WHEN t = '' THEN '' ELSE line END) END AS line FROM g GROUP BY doc_id, place)
+SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY place)) AS digest, CAST(length(string_agg(line, chr(10) ORDER BY place)) AS INT) AS chars FROM j GROUP BY doc_id""",
+)(lambda t: C.text_of(t.documents, C.defrag_lines(C.lines_of(cells(t)))).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars")))
 query("t15_clean_corpus")(lambda t: C.clean_corpus(t.marked_documents).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars")))
 query("t16_light_clean")(
     lambda t: C.light_clean(t.marked_documents.withColumn("issues", F.when(F.regexp_count("text", F.lit(r"[^\s]{15,}")) / F.greatest(F.size(X.words("text")), F.lit(1)) > 0.08, F.array(F.lit("glued_words"))).otherwise(F.array().cast("array<string>")))).select(

@@ -71,7 +71,12 @@ query("n14_code_guard")(
         "lesson_id", F.md5("content").alias("digest"), F.contains("content", F.lit("spHaunt @p1")).alias("kept")
     )
 )
-query("n15_smart_context")(lambda t: t.lessons.select("lesson_id", F.md5(N.smart_context(F.concat("content", F.lit("\nVí dụ: $a+b$ và ```x``` "), "title"))).alias("digest")))
+SNIPPETS = ", ".join(f"list_transform(regexp_extract_all(x, '{re2(p)}'), lambda y: {trimmed('y')})" for p in N.SNIPPETS)
+SMART = f"SELECT doc_id, x, flatten([{SNIPPETS}]) AS f FROM (SELECT doc_id, concat(text, chr(10), 'Ví dụ: $a+b$ và ```x``` ', substring(text, 1, 40)) AS x FROM documents)"
+query(
+    "n15_smart_context",
+    f"SELECT doc_id AS lesson_id, md5(CASE WHEN length(x) <= 1400 THEN x ELSE substring(array_to_string(list_filter([substring(x, 1, 500), substring(array_to_string(f, chr(10)), 1, 600), right(x, 300)], lambda y: y <> ''), chr(10) || '---' || chr(10)), 1, 1400) END) AS digest FROM ({distinct('f', SMART)})",
+)(lambda t: t.lessons.select("lesson_id", F.md5(N.smart_context(F.concat("content", F.lit("\nVí dụ: $a+b$ và ```x``` "), "title"))).alias("digest")))
 SEEDS = rf"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '[.!?]\s+', chr(1), 'g'), chr(1)), lambda y: trim(regexp_replace(y, '{WS}+', ' ', 'g'))), lambda y: length(y) > 20) AS s FROM documents"
 query("n16_objective_seeds", f"SELECT doc_id, CAST(d + 1 AS INT) AS day, substring(coalesce(s[CAST(floor(d * len(s) / 5) AS INT) + 1], ''), 1, 150) AS seed FROM ({SEEDS}), (SELECT unnest(range(5)) AS d)")(
     lambda t: t.documents.select("doc_id", F.posexplode(N.objective_seeds("text", 5)).alias("d", "seed")).select("doc_id", (F.col("d") + 1).alias("day"), "seed")
