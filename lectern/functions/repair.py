@@ -74,11 +74,19 @@ def glued_pairs() -> list[tuple[str, str]]:
     return [pair for p in GLUED for pair in ([(p, p)] if p in LOWERED else []) + [(p.replace(" ", ""), p)]]
 
 
+def any_of(words: list[str]) -> str:
+    """One pattern for many words that looks at a place's first letter before it tries them."""
+    first: dict[str, list[str]] = {}
+    for w in words:
+        first.setdefault(w[0], []).append(w[1:])
+    return f"(?=[{''.join(first)}])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items()) + ")"
+
+
 def split_known_glued(c: str | Column) -> Column:
     """Known phrases that are glued together stand apart; texts that hold none are passed by."""
     pairs, t = glued_pairs(), col(c)
-    some = "(?iu)" + "|".join(p for p, _ in pairs)
-    return F.when(t.rlike(some), let(t, lambda y: reduce(lambda x, s: F.regexp_replace(x, f"(?iu){s[0]}", s[1]), pairs, y))).otherwise(t)
+    fold = lambda y: reduce(lambda x, s: F.regexp_replace(x, f"(?iu){s[0]}", s[1]), pairs, y)
+    return F.when(F.lower(t).rlike(any_of([p for p, _ in pairs])), let(t, fold)).otherwise(t)
 
 
 def segment_pattern() -> str:
@@ -111,7 +119,9 @@ def fix_glued_line(line: Column) -> Column:
     def token(x: Column) -> Column:
         return F.when(F.length(x) < 8, x).when(x.rlike(VI), split_glued_vi(x)).otherwise(split_camel(x))
 
-    fixed = F.array_join(F.transform(F.split(split_known_glued(line), r"\s+"), token), " ")
+    # a line without letters of the one kind and without bounds of the other has no token to change
+    some = VI + "|[a-z][A-Z]|[A-Z]{2}[a-z]|[a-zA-Z][0-9]|[0-9][a-zA-Z]"
+    fixed = let(split_known_glued(line), lambda y: F.when(y.rlike(some), F.array_join(F.transform(F.split(y, r"\s+"), token), " ")).otherwise(F.regexp_replace(y, r"\s+", " ")))
     fixed = join_broken_tokens(F.regexp_replace(fixed, "([◦•])([A-ZÀ-Ỹa-zà-ỹ])", "$1 $2"))
     fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace(fixed, r"\s{2,}", " "), r" \.", "."), r"\s+$", "")
     return F.when(trim_all(line).rlike(r"^(?:```|\||//|/\*|--)"), line).otherwise(fixed)
