@@ -8,8 +8,8 @@ shingles say so. No group's pairs are listed:
 
 * each member of a key is compared with the key's smallest and largest member, which joins most of a large group;
 * where the members of a key are still of several components, those outside the commonest one are the queries of
-  that component: in blocks, a task compares them with a chunk of its members and with one another, and only the
-  first link of a query to each component comes back.
+  that component: in blocks, a task compares a chunk of them with a chunk of its members and of one another, and only
+  the first link of a query to each component comes back.
 
 Equal texts (lower case, white space aside) are one node from the start. Nulls: a null text has no words and equals
 any other without words. Rows with a null doc_id take no part. An empty table gives no rows. Rows of equal doc_id
@@ -31,7 +31,7 @@ from .op02_simhash_golay import bits_of, links
 
 #: Keys of each text and minima in each.
 BANDS, ROWS = 24, 5
-#: Members of a component that a task compares with the component's queries at a time.
+#: Members of a component, and queries of it, that are compared at a time.
 CHUNK = 256
 _RNG = np.random.default_rng(42)
 FACTORS, ADDED = (_RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)), _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -100,19 +100,24 @@ def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, similari
     (main, node, c) of their main component, the queries included."""
     data = members.union(queries)
     parts = data.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
-    dealt = data.join(parts, "main").select("main", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), F.lit(0).alias("role"), "node", "c")
-    asked = queries.join(parts, "main").select("main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "node", "c")
+    blocks = queries.groupBy("main").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # each member goes to every block of queries, each query to every part of the members: a pair meets in one cell
+    sized = lambda d: d.join(parts, "main").join(blocks, "main")
+    dealt = sized(data).select("main", own("parts").alias("part"), every("blocks").alias("block"), F.lit(0).alias("role"), "node", "c")
+    asked = sized(queries).select("main", every("parts").alias("part"), own("blocks").alias("block"), F.lit(1).alias("role"), "node", "c")
     rows = dealt.union(asked).join(sets.select(F.col("h").alias("node"), "v"), "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, index = None, [], None
         for b in batches:
             found = []
-            main, part, role, c = (b.column(k).to_pylist() for k in range(4))
-            for k, v in enumerate(b.column(4)):
+            main, part, block, role, c = (b.column(k).to_pylist() for k in range(5))
+            for k, v in enumerate(b.column(5)):
                 v = v.values.to_numpy()
-                if (main[k], part[k]) != now:
-                    now, held, index = (main[k], part[k]), [], None
+                if (main[k], part[k], block[k]) != now:
+                    now, held, index = (main[k], part[k], block[k]), [], None
                 if not role[k]:
                     held.append((c[k], v))
                     continue
@@ -135,8 +140,9 @@ def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, similari
                 x, y = zip(*dict.fromkeys(found))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    # a member comes before the queries of its chunk, in the order of its own rows
-    return rows.select("main", "part", "role", "c", "v").repartition("main", "part").sortWithinPartitions("main", "part", "role").mapInArrow(work, "a long, b long")
+    # members come before the queries of their cell
+    cell = ["main", "part", "block"]
+    return rows.select(*cell, "role", "c", "v").repartition(*cell).sortWithinPartitions(*cell, "role").mapInArrow(work, "a long, b long")
 
 
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
