@@ -37,6 +37,21 @@ VIEWS: dict[str, str] = {
   substring(text, 1, 40) AS title, text AS content FROM documents""",
     "chunks": """SELECT e.vec_id AS chunk_id, CAST(e.label AS BIGINT) AS plan_id, e.vec_id AS chunk_index, d.text AS content,
   d.source AS section, e.embedding AS embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+    "search_chunks": """SELECT e.vec_id AS chunk_id, CAST(e.label AS BIGINT) AS plan_id, e.vec_id AS chunk_index,
+  CASE WHEN e.vec_id % 9 = 0 THEN concat('A shared passage of part ', CAST(e.label AS STRING), '.') WHEN e.vec_id % 31 = 0 THEN ''
+    WHEN e.vec_id % 4 > 0 THEN concat(d.text, d.text, d.text, d.text, d.text, d.text, d.text, d.text) ELSE d.text END AS content,
+  CASE WHEN e.vec_id % 6 = 0 THEN CAST(NULL AS STRING) WHEN e.vec_id % 6 = 1 THEN concat('1.', CAST(e.label AS STRING), ' Part One: the ', d.source, ' (a) of *many* parts')
+    WHEN e.vec_id % 6 = 2 THEN 'Quoted' ELSE d.source END AS section,
+  CASE WHEN e.vec_id % 5 = 0 THEN 'trigger' WHEN e.vec_id % 5 = 1 THEN 'cursor' WHEN e.vec_id % 5 = 2 THEN 'natural_science' END AS topic,
+  CASE WHEN e.label <> 3 AND e.vec_id % 5 <> 1 AND e.vec_id % 6 <> 2 THEN e.embedding END AS embedding FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+    "chat_questions": """SELECT b.item_id AS query_id, CAST(CASE WHEN b.item_id % 13 = 0 THEN 3 ELSE e.label END AS BIGINT) AS plan_id,
+  CASE WHEN b.item_id % 3 = 0 THEN concat('kích hoạt ', b.text) WHEN b.item_id % 3 = 1 THEN 'con trỏ?' WHEN b.item_id % 6 = 2 THEN 'giao dịch' ELSE '???' END AS text,
+  CASE WHEN b.item_id % 11 <> 0 THEN e.embedding END AS vector,
+  CASE WHEN b.item_id % 8 = 0 THEN {A}concat('##   1.', CAST(e.label AS STRING), '   Part One: the src1 and more words that go on'), 'x', ' '{Z}
+    WHEN b.item_id % 8 = 1 THEN {A}'no such section'{Z} WHEN b.item_id % 8 = 2 THEN {A}'# SRC1', 'src1'{Z} WHEN b.item_id % 8 = 3 THEN {A}'quoted'{Z}
+    WHEN b.item_id % 8 = 4 THEN {A}'(a) of *many* parts, a name of 33 c. and on it goes', 'src2'{Z}
+    WHEN b.item_id % 8 = 5 THEN {A}'(A) of *many*', 'src3'{Z} END AS sections
+  FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id""",
     "questions": """SELECT CAST(p_partkey AS BIGINT) AS question_id, CAST(p_partkey % 50 AS BIGINT) AS lesson_id,
   concat('Which label fits item ', CAST(p_partkey AS STRING), CASE WHEN p_size % 3 = 0 THEN '' ELSE '?' END) AS question,
   {A}concat('A. ', p_name, ' item'), concat(p_brand, ' item'), concat(p_type, ' item'),

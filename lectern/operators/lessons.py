@@ -113,12 +113,9 @@ def normalize_lessons(lessons: DataFrame, questions: DataFrame, most: int = 5) -
 
 
 def lesson_context(queries: DataFrame, chunks: DataFrame, limit: int = 9000) -> DataFrame:
-    """The context of each query (query_id, plan_id, vector, patterns): ten chunks by section, or by vector where no section
+    """The context of each query (query_id, plan_id, vector, sections): ten chunks by section, or by vector where no section
     answers; those of a fair score (two at least), six with different beginnings, in the document's order."""
-    by_section = V.search_by_section(queries, chunks, 10)
-    rest = queries.join(by_section.select("query_id").distinct(), "query_id", "left_anti")
-    cols = ["query_id", "chunk_id", "chunk_index", "content", "score"]
-    hits = by_section.select(cols).unionByName(V.vector_search(rest, chunks, 10).select(cols))
+    hits = V.search_by_section(queries, chunks, 10).select("query_id", "chunk_id", "chunk_index", "content", "score")
     fair = filter_by_score(hits, "query_id", 0.30, 2).drop("rank").withColumn("used", F.lit(False))
     best = select_diverse(fair, "query_id", 6)
     text = F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"])

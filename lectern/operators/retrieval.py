@@ -7,49 +7,141 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, rerank_keywords, reuse_keywords
+from .classify import infer_topics
+from .vectors import QuantisedIndex, candidates, file_chunks, fit_index, fit_pivots, meeting
 
 
-def cosine(a: str | Column, b: str | Column) -> Column:
-    """Cosine of two arrays in double precision, 0 where their lengths differ."""
-    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.when(F.size(a) == F.size(b), dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-9)).otherwise(0.0)
-
-
-def vector_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The k best distinct chunks of each query's plan. queries: query_id, plan_id, vector. An equi-join on the plan, and a
-    ranked window that keeps only the first rows of each query."""
-    score = F.round(cosine("vector", "embedding"), 6)
-    hits = queries.select("query_id", "plan_id", "vector").join(chunks, "plan_id").withColumn("score", score).drop("vector", "embedding")
-    order = [F.desc("score"), F.asc("chunk_id")]
-    near = hits.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("n") <= 2 * k)
-    one = near.withColumn("c", F.row_number().over(W.partitionBy("query_id", "content").orderBy(*order))).where("c = 1")
-    return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("n", "c")
-
+#: Characters of a chunk that a search returns, and its score where there is none.
+CONTENT_CHARS, DEFAULT_SCORE = 2000, 0.5
+#: The section of a context line where the chunk has none.
+NO_SECTION = "Tài liệu"
 
-def vector_search_by_topic(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The nearest 6k first, the query's topics after that: the filter must not be pushed below the rank."""
-    score = F.round(cosine("vector", "embedding"), 6)
-    hits = queries.select("query_id", "plan_id", "vector", "topics").join(chunks, "plan_id").withColumn("score", score).drop("vector", "embedding")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    near = hits.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 6 * k)
-    kept = near.where((F.size("topics") == 0) | F.array_contains("topics", F.col("topic")))
-    return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("n", "topics")
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-def first_chunks(queries: DataFrame, answered: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """For queries without an answer: the first 2k chunks of their plan."""
-    left = queries.select("query_id", "plan_id").join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    n = F.row_number().over(W.partitionBy("query_id").orderBy("chunk_index"))
-    return left.join(chunks.select("plan_id", "chunk_id", "chunk_index"), "plan_id").withColumn("rank", n).where(F.col("rank") <= 2 * k)
 
-
-def search_by_section(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Chunks of the plan whose section holds one of the query's patterns, by cosine. queries: query_id, plan_id, vector, patterns."""
-    wanted = queries.select("query_id", "plan_id", "vector", F.explode("patterns").alias("pattern"))
-    hits = wanted.join(chunks, "plan_id").where(F.contains(F.lower("section"), F.lower("pattern"))).dropDuplicates(["query_id", "chunk_id"])
-    ranked = hits.withColumn("score", F.round(cosine("vector", "embedding"), 6)).drop("vector", "embedding", "pattern")
-    return ranked.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where(F.col("rank") <= k)
+def cosine(a: str | Column, b: str | Column) -> Column:
+    """Cosine of two arrays in double precision, 0 where their lengths differ."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(F.size(a) == F.size(b), _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)) + 1e-9)).otherwise(0.0)
+
+
+def with_length(df: DataFrame, vector: str) -> DataFrame:
+    """The vector's length as a column, so that pairs need one product only."""
+    return df.withColumn(f"{vector}_length", F.sqrt(_dot(F.col(vector), F.col(vector))))
+
+
+def pair_cosine(a: str, b: str) -> Column:
+    """cosine of two columns that with_length has measured, to six places."""
+    whole = _dot(F.col(a), F.col(b)) / (F.col(f"{a}_length") * F.col(f"{b}_length") + 1e-9)
+    return F.round(F.when(F.size(a) == F.size(b), whole).otherwise(0.0), 6)
+
+
+def _scored(queries: DataFrame, chunks: DataFrame, on: list[str], *keep: str) -> DataFrame:
+    """query_id, chunk_id, score and the columns of keep for the pairs that meet."""
+    pairs = with_length(queries, "vector").join(with_length(chunks, "embedding"), on)
+    return pairs.select("query_id", "chunk_id", *keep, pair_cosine("vector", "embedding").alias("score"))
+
+
+def _best(hits: DataFrame, by: list[str], n: int | Column, name: str, *order: Column | str) -> DataFrame:
+    return hits.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)
+
+
+def _bare(chunks: DataFrame) -> DataFrame:
+    """Chunks for ranking: a digest stands for the content, so that texts are moved for the chosen ones only."""
+    has = lambda c: F.col(c) if c in chunks.columns else F.lit(None)
+    return chunks.select("chunk_id", "plan_id", "chunk_index", has("topic").cast("string").alias("topic"), "embedding", F.when(F.col("content") != "", F.md5("content")).alias("_text"))
+
+
+def _shown(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chosen hits with chunk_index, content cut to size, section, topic and score, where they lack one with the default."""
+    has = lambda c, other: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(other)) if c in chunks.columns else F.lit(other)
+    texts = chunks.select("chunk_id", "chunk_index", F.substring("content", 1, CONTENT_CHARS).alias("content"), has("section", "").alias("section"), has("topic", "general").alias("topic"))
+    return hits.join(texts, "chunk_id")
+
+
+def _first_chunks(queries: DataFrame, bare: DataFrame, k: int, stage: int, by: list[str]) -> DataFrame:
+    """The first 2k chunks of each query's plan (and topics): the first of every plan are taken once, for all of its queries."""
+    heads = _best(bare.drop("embedding"), by, 2 * k, "n", "chunk_index", "chunk_id")
+    rows = queries.join(heads, by).select("query_id", "chunk_id", "chunk_index", "_text").distinct()
+    rows = _best(rows, ["query_id"], 2 * k, "n", "chunk_index", "chunk_id")
+    return rows.select("query_id", "chunk_id", "_text", F.lit(None).cast("double").alias("score"), "n", F.lit(stage).alias("stage"))
+
+
+def vector_search_by_topic(queries: DataFrame, chunks: DataFrame, k: int, near_by: DataFrame | None = None) -> DataFrame:
+    """The k best distinct chunks of each query's plan. queries: query_id, plan_id, vector, topics.
+
+    With topics: the nearest 6k chunks, of these the first 2k of the topics; where there are none, the plan's first 2k chunks of the
+    topics; where there are none, its first 2k. Without topics: the nearest 2k; where there are none, the plan's first 2k. A null or
+    empty vector has no nearest chunks, a chunk without an embedding is near to none. Then repeated contents go, and
+    the first k of the others stay. All stages are bounded lists, so the first that has rows is chosen by one window over their union
+    and nothing is searched twice. path says which one it was. near_by (query_id, chunk_id), if given, are the only pairs whose vectors
+    are compared, as an index chose them."""
+    asked = queries.select("query_id", "plan_id", "vector", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
+    bare, wide = _bare(chunks), F.size("topics") > 0
+    near, able = asked.where(F.size("vector") > 0), bare.where(F.size("embedding") > 0)
+    on = ["plan_id"]
+    if near_by is not None:
+        near, on = near.join(near_by, "query_id"), ["plan_id", "chunk_id"]
+    pairs = _scored(near, able, on, "topics", "topic", "_text")
+    near = _best(pairs, ["query_id"], F.when(wide, 6 * k).otherwise(2 * k), "n", F.desc("score"), "chunk_id")
+    near = _best(near.where(~wide | F.array_contains("topics", F.col("topic"))), ["query_id"], 2 * k, "n", F.desc("score"), "chunk_id")
+    listed = asked.select("query_id", "plan_id", F.explode("topics").alias("topic"))
+    found = near.select("query_id", "chunk_id", "_text", "score", "n", F.lit(0).alias("stage"))
+    found = found.unionByName(_first_chunks(listed, bare, k, 1, ["plan_id", "topic"])).unionByName(_first_chunks(asked.select("query_id", "plan_id"), bare, k, 2, ["plan_id"]))
+    found = found.withColumn("first", F.min("stage").over(W.partitionBy("query_id"))).where("stage = first and _text is not null")
+    one = _best(found, ["query_id", "_text"], 1, "c", "n")
+    path = F.element_at(F.array(*[F.lit(x) for x in ("vector", "first of topic", "first of plan")]), F.col("stage") + 1)
+    score = F.when(F.col("score") != 0, F.col("score")).otherwise(DEFAULT_SCORE)
+    ranked = _best(one, ["query_id"], k, "rank", "n").select("query_id", "chunk_id", score.alias("score"), "rank", path.alias("path"))
+    return _shown(ranked, chunks)
+
+
+def vector_search(queries: DataFrame, chunks: DataFrame, k: int, near_by: DataFrame | None = None) -> DataFrame:
+    """vector_search_by_topic without topics. queries: query_id, plan_id, vector."""
+    return vector_search_by_topic(queries.select("query_id", "plan_id", "vector", F.array().cast("array<string>").alias("topics")), chunks, k, near_by)
+
+
+def section_patterns(sections: str | Column) -> Column:
+    """Fragments that a chunk's section must contain, in lower case: of each name, without leading #, the first 40 characters;
+    of a numbered one also the number with the next four words. Fragments are regular expressions of at most 40
+    characters after escaping, so a long one with signs is shorter; one that is cut inside an escape ends in a backslash."""
+    ws = F.lit(" ")
+    trimmed = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    norm = lambda x: trimmed(F.regexp_replace(F.ltrim(F.regexp_replace(x, r"\s", " ")), r"^#{1,6}\s+", ""))
+    group = lambda x, i: F.regexp_extract(x, r"^(\d+(?:\.\d+)+) (.+)", i)
+    words = lambda x: F.array_join(F.slice(F.split(group(x, 2), " "), 1, 4), " ")
+    numbered = lambda x: F.trim(F.substring(F.concat(group(x, 1), ws, words(x)), 1, 40))
+    pair = lambda x: F.array(F.trim(F.substring(x, 1, 40)), F.when((group(x, 1) != "") & (F.length(words(x)) >= 2), numbered(x)))
+    parts = F.flatten(F.transform(F.filter(F.transform(sections, norm), lambda x: x != ""), pair))
+    long = F.filter(parts, lambda f: F.length(f) >= 2)
+    return F.array_distinct(F.transform(long, lambda f: F.lower(F.substring(F.regexp_replace(f, r"([.*+?^${}()|\[\]\\])", r"\\$1"), 1, 40))))
+
+
+def _sections(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(query_id, plan_id, section) of the sections that one of a query's patterns is in. Patterns are compared with
+    the distinct sections of the plan, not with its chunks. A query of which a pattern is cut inside an escape finds none."""
+    has = F.when(F.size("vector") > 0, section_patterns("sections"))
+    cut = F.exists("patterns", lambda p: F.length(F.regexp_extract(p, r"(\\*)$", 1)) % 2 == 1)
+    asked = queries.select("query_id", "plan_id", has.alias("patterns")).where(~cut).select("query_id", "plan_id", F.explode("patterns").alias("p"))
+    literal = asked.select("query_id", "plan_id", F.regexp_replace("p", r"\\(.)", "$1").alias("p"))
+    names = chunks.select("plan_id", "section").where("section is not null").distinct()
+    return literal.join(names, "plan_id").where(F.contains(F.lower("section"), F.col("p"))).select("query_id", "plan_id", "section").distinct()
+
+
+def search_by_section(queries: DataFrame, chunks: DataFrame, k: int, near_by: DataFrame | None = None) -> DataFrame:
+    """The nearest k chunks in the sections that queries (query_id, plan_id, vector, sections, perhaps topics) name; where no chunk
+    is in one, vector_search_by_topic's (without topics: vector_search's). Chunks are not freed of repeats here, and one without
+    an embedding does not count, but keeps the search in its section."""
+    named = _sections(queries, chunks)
+    here = named.join(queries.select("query_id", "vector"), "query_id")
+    hits = _scored(here, chunks.where(F.size("embedding") >= 0).select("chunk_id", "plan_id", "section", "embedding"), ["plan_id", "section"])
+    ranked = _best(hits, ["query_id"], k, "rank", F.desc("score"), "chunk_id").withColumn("path", F.lit("section"))
+    rest = queries.join(named.select("query_id").distinct(), "query_id", "left_anti")
+    topics = F.col("topics") if "topics" in queries.columns else F.array().cast("array<string>")
+    others = vector_search_by_topic(rest.select("query_id", "plan_id", "vector", topics.alias("topics")), chunks, k, near_by)
+    return _shown(ranked, chunks).unionByName(others)
 
 
 def rerank_hits(hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -61,47 +153,59 @@ def rerank_hits(hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("final"), "chunk_id"))).where(F.col("rank") <= k)
 
 
-def within_budget(ranked: DataFrame, limit: int) -> DataFrame:
-    total = F.sum(F.length("content")).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow))
-    return ranked.withColumn("total", total).where(F.col("total") <= limit).drop("total")
+def context_lines(ranked: DataFrame) -> Column:
+    """A chunk as a part of a prompt, under its section's name."""
+    name = F.coalesce(F.nullif(F.col("section"), F.lit("")), F.lit(NO_SECTION))
+    return F.concat(F.lit("["), name, F.lit("]\n"), "content", F.lit("\n\n"))
+
+
+def within_budget(ranked: DataFrame, limit: int, text: Column | None = None) -> DataFrame:
+    """in_budget: whether a chunk's line ends within the limit, all before it counted."""
+    total = F.sum(F.length(F.col("content") if text is None else text)).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return ranked.withColumn("in_budget", total <= limit)
 
 
-def retrieve_context(questions: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int = 12_000) -> DataFrame:
-    """One row for each chunk of context of each question: twelve nearest, six after re-ranking, within the budget."""
-    best = rerank_hits(vector_search(queries, chunks, 12), questions, 6)
-    return within_budget(best, limit).select("query_id", "chunk_id", "rank", "final", "section", F.substring("content", 1, 120).alias("preview"))
+def retrieve_context(questions: DataFrame, chunks: DataFrame, retrieve: int = 12, use: int = 6, limit: int = 12_000, near_by: DataFrame | None = None) -> DataFrame:
+    """The sources of each question (query_id, plan_id, text, vector, sections): by section where the question's course names some
+    and a chunk is in them; else by section's fallback, without topics, where it names some; else by the topics that are inferred from its
+    text. Twelve are retrieved, six stay after re-ranking; in_budget marks those whose lines make up the prompt."""
+    asked = infer_topics(questions)
+    topics = F.when(F.size("sections") > 0, F.array().cast("array<string>")).otherwise(F.col("topics"))
+    hits = search_by_section(asked.withColumn("topics", topics), chunks, retrieve, near_by)
+    best = rerank_hits(hits, questions, use)
+    shown = within_budget(best, limit, context_lines(best))
+    return shown.select("query_id", "chunk_id", "rank", "final", "section", F.substring("content", 1, 120).alias("preview"), "path", "in_budget", "content")
 
 
-def _grid(requests: DataFrame, index: DataFrame, rows: int = 2000) -> tuple[DataFrame, DataFrame]:
-    """Requests and index dealt to the cells of a grid so that each pair meets in exactly one cell: a request goes to every
-    part of the index, an index row to every block of requests."""
-    blocks, parts = (int(-(-d.count() // rows)) or 1 for d in (requests, index))
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return (
-        requests.withColumn("block", number("lesson_id", blocks)).withColumn("part", every(parts)),
-        index.withColumn("part", number("i_lesson_id", parts)).withColumn("block", every(blocks)),
-    )
+def context_of(sources: DataFrame) -> DataFrame:
+    """The context of each question's prompt."""
+    lines = F.array_sort(F.collect_list(F.struct("rank", context_lines(sources).alias("line"))))
+    return sources.where("in_budget").groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("context"))
 
 
 def reuse_candidates(requests: DataFrame, index: DataFrame, own: float = 0.88, public: float = 0.92, overlap: float = 0.15, near: int = 20) -> DataFrame:
     """For each request the first of the nearest earlier lessons that passes: the owner's own before other owners' public
     ones, of another plan, near enough in vector and keywords. Both: lesson_id, plan_id, owner_id, topic, vector; index
-    also is_public. Own lessons meet on the owner; public ones are all compared, block by block."""
-    i = index.select(*[F.col(c).alias(f"i_{c}") for c in ("lesson_id", "plan_id", "owner_id", "topic", "vector", "is_public")])
-    score = F.round(cosine("vector", "i_vector"), 6)
-    other = (F.col("lesson_id") != F.col("i_lesson_id"))
-    mine = requests.join(i, (F.col("owner_id") == F.col("i_owner_id")) & other & (score >= own))
-    asked, offered = _grid(requests, i.where("i_is_public"))
-    theirs = asked.join(offered.withColumnsRenamed({"block": "i_block", "part": "i_part"}), (F.col("block") == F.col("i_block")) & (F.col("part") == F.col("i_part")) & (score >= public) & other)
-    cols = ["lesson_id", "plan_id", "owner_id", "topic", *i.columns]
-    both = mine.select(*cols, score.alias("score"), F.lit(True).alias("own")).unionByName(theirs.select(*cols, score.alias("score"), F.lit(False).alias("own")))
+    also is_public. Vectors meet by pivots (own ones within the owner as well), so few pairs are compared where few are alike. Of
+    index rows with one vector the first near + 1 can be among the nearest, so no others are compared."""
+    cols = ("lesson_id", "plan_id", "owner_id", "topic", "vector")
+    i = index.select(*[F.col(c).alias(f"i_{c}") for c in (*cols, "is_public")])
+    first = lambda df, *by: _best(df, ["i_vector", *by], near + 1, "copy", "i_lesson_id").drop("copy", "i_is_public")
+    asked = requests.select(*cols)
+    score, other = pair_cosine("vector", "i_vector"), F.col("lesson_id") != F.col("i_lesson_id")
+
+    def alike(rows: DataFrame, threshold: float, mine: bool) -> DataFrame:
+        pivots = fit_pivots(rows, "i_lesson_id", "i_vector", threshold)
+        pairs = meeting(with_length(asked, "vector"), with_length(rows, "i_vector"), pivots, also=(("owner_id", "i_owner_id"),) if mine else ())
+        scored = pairs.where(other).withColumn("score", score).where(F.col("score") >= threshold)
+        return scored.drop("vector", "i_vector", "vector_length", "i_vector_length").withColumn("own", F.lit(mine))
+
+    both = alike(first(i, "i_owner_id"), own, True).unionByName(alike(first(i.where("i_is_public")), public, False))
     order = [F.desc("score"), F.asc("i_lesson_id")]
-    nearest = both.withColumn("n", F.row_number().over(W.partitionBy("lesson_id", "own").orderBy(*order))).where(F.col("n") <= near)
+    nearest = _best(both, ["lesson_id", "own"], near, "n", *order)
     passed = nearest.where((F.col("plan_id") != F.col("i_plan_id")) & (F.col("own") | (F.col("owner_id") != F.col("i_owner_id"))))
     passed = passed.where(jaccard(F.array_distinct(reuse_keywords("topic")), F.array_distinct(reuse_keywords("i_topic"))) >= overlap)
-    n = F.row_number().over(W.partitionBy("lesson_id").orderBy(F.desc("own"), *order))
-    return passed.withColumn("n", n).where("n = 1").select("lesson_id", F.col("i_lesson_id").alias("source_id"), "score", "own")
+    return _best(passed.drop("n"), ["lesson_id"], 1, "n", F.desc("own"), *order).select("lesson_id", F.col("i_lesson_id").alias("source_id"), "score", "own")
 
 
 def vectorize(docs: DataFrame, key: str, text: str, size: int = 384) -> DataFrame:
@@ -117,30 +221,12 @@ def vectorize(docs: DataFrame, key: str, text: str, size: int = 384) -> DataFram
     return Normalizer(inputCol="_v", outputCol="_n").transform(weighed).select(key, vector_to_array("_n", "float32").alias("embedding"))
 
 
-def centroids(chunks: DataFrame, cells: int = 16, sample: int = 20_000, seed: int = 7) -> list[list[float]]:
-    """Centres of an inverted-file index, fitted on about so many rows at most; every row is indexed by them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = chunks.count()
-    some = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(some.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
-    return [[float(x) for x in c] for c in model.clusterCenters()]
-
-
-def ann_search(queries: DataFrame, chunks: DataFrame, k: int, centres: list[list[float]], probes: int = 11) -> DataFrame:
-    """Approximate vector_search inside each query's plan: chunks are filed under their nearest centre, a query looks at
-    the chunks of its nearest ones (11 of 16 by default: the test holds a recall of 0.9 on vectors without clusters; fewer
-    do where there are some). They meet on plan and cell."""
-    at = F.array(*[F.struct(F.array(*[F.lit(x) for x in c]).alias("c"), F.lit(j).alias("j")) for j, c in enumerate(centres)])
-    far = lambda v, c: F.aggregate(F.zip_with(v, c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, d: s + d)
-    nearest = lambda v, n: F.transform(F.slice(F.array_sort(F.transform(at, lambda x: F.struct(far(v, x["c"]).alias("d"), x["j"].alias("j")))), 1, n), lambda x: x["j"])
-    filed = chunks.withColumn("cell", F.element_at(nearest(F.col("embedding"), 1), 1))
-    asked = queries.select("query_id", "plan_id", "vector", F.explode(nearest(F.col("vector"), probes)).alias("cell"))
-    hits = asked.join(filed, ["plan_id", "cell"]).withColumn("score", F.round(cosine("vector", "embedding"), 6)).drop("vector", "embedding")
-    order = [F.desc("score"), F.asc("chunk_id")]
-    one = hits.withColumn("c", F.row_number().over(W.partitionBy("query_id", "content").orderBy(*order))).where("c = 1")
-    return one.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).drop("c", "cell")
+def ann_search(queries: DataFrame, chunks: DataFrame, k: int, index: QuantisedIndex | None = None, filed: DataFrame | None = None, reread: int = 4) -> DataFrame:
+    """vector_search whose nearest chunks are chosen by an inverted file of codes; so many times k vectors of each query are read
+    in full. The index and the filed chunks can be kept between calls."""
+    index = index or fit_index(chunks)
+    near = queries.select("query_id", F.lit(None).cast(chunks.schema["chunk_id"].dataType).alias("chunk_id")).limit(0) if index is None else candidates(queries, file_chunks(chunks, index) if filed is None else filed, index, reread * k)
+    return vector_search(queries, chunks, k, near)
 
 
 def lessons_to_index(lessons: DataFrame, plans: DataFrame, index: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ SELECT doc_id AS lesson_id, md5({trimmed('text')}) AS content, CASE WHEN doc_id
         t.questions,
     ).select("lesson_id", F.md5("content").alias("content"), "summary", F.md5(F.array_join("notes", "|")).alias("notes"))
 )
-query("v8_lesson_context")(lambda t: L.lesson_context(queries(t).withColumn("patterns", F.array(F.lit("src1"))), t.chunks).select("query_id", "chunks", F.md5("context").alias("digest"), F.length("context").alias("chars")))
+query("v8_lesson_context")(lambda t: L.lesson_context(queries(t).withColumn("sections", F.array(F.lit("src1"))), t.chunks).select("query_id", "chunks", F.md5("context").alias("digest"), F.length("context").alias("chars")))
 TAIL = rf"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: length(y) > 20) AS s FROM documents"
 query("k9_overlap_tail", f"SELECT doc_id, array_to_string(s[greatest(len(s) - 1, 1):], ' ') AS tail FROM ({TAIL})")(lambda t: t.documents.select("doc_id", K.overlap_tail(F.col("text")).alias("tail")))
 query("s6_postprocess_markdown")(lambda t: C.postprocess_markdown(t.documents.withColumn("text", F.concat(F.lit("a&#124;b &eacute; \\_x ELECT *\n7.\n"), "text"))).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars")))
