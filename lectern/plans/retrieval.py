@@ -161,7 +161,7 @@ def alike(t):
 
 query("v10_reuse_near_copies", reuse_sql(0.88, 0.92, 0.15, ALIKE))(lambda t: V.reuse_candidates(alike(t).where("lesson_id % 50 = 0").drop("is_public"), alike(t)))
 query("v1_vectorize")(lambda t: V.vectorize(t.documents, "doc_id", "text"))
-query("v13_ann_search")(lambda t: V.ann_search(queries(t), t.chunks, 6).select("query_id", "chunk_id", "rank"))
+query("v13_ann_search")(lambda t: V.ann_search(searched(t), t.search_chunks, 6).select("query_id", "chunk_id", "rank"))
 query("v13_retrieve_context")(lambda t: (lambda x: V.retrieve_context(t.chat_questions, t.search_chunks, near_by=V.candidates(t.chat_questions, V.file_chunks(t.search_chunks, x), x, 72)).drop("content"))(V.fit_index(t.search_chunks)))
 query("v12_sync_public", "SELECT i.lesson_id, coalesce(p.is_public, i.lesson_id % 2 = 0) AS is_public FROM lessons i LEFT JOIN plans p ON p.plan_id = i.plan_id")(
     lambda t: V.sync_public(t.lessons.select("lesson_id", "plan_id", (F.col("lesson_id") % 2 == 0).alias("is_public")), t.plans).select("lesson_id", "is_public")

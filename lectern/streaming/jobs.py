@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the per-request counters and folds."""
+"""Structured Streaming forms of the per-request counters and folds, and a sink that a replayed batch does not change."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from ..sources.files import shared_path
 
 
 def rolling_downloads(stream: DataFrame, key: str, ts: str = "ts", size: str = "7 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -22,18 +25,34 @@ def topic_memory(stream: DataFrame) -> DataFrame:
 
 
 class _Progress(StatefulProcessor):
-    """State of a learner's course: the rounded average and the number of quizzes."""
+    """A learner's course: the rounded average, the number of quizzes, and a list of submissions that the watermark has not
+    passed yet. A timer at the earliest of them folds, in order of time, all that it has passed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("progress", "avg double, n long, raw double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        self.waiting = handle.getListState("waiting", "at long, submission_id long, pct long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows))
+        self.waiting.appendList([(int(a), int(s), int(p)) for a, s, p in zip(seen["at"], seen["submission_id"], seen["pct"])])
+        self.handle.registerTimer(int(seen["at"].min()) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = [r for r in waiting if r[0] // 1000 < passed], [r for r in waiting if r[0] // 1000 >= passed]
+        if not due:
+            return
         avg, n, raw = self.state.get() if self.state.exists() else (0.0, 0, 0.0)
-        seen = pd.concat(list(rows)).sort_values(["ts", "submission_id"])
-        for pct in seen["pct"]:
+        for _, _, pct in due:
             raw = (avg * n + pct) / (n + 1)
             avg, n = float(int(raw + 0.5)), n + 1
         self.state.update((avg, n, raw))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(rest[0][0] // 1000)
         level = "EXPERT" if raw >= 85 else "BEGINNER" if raw < 60 else "INTERMEDIATE"
         yield pd.DataFrame({"user_id": [key[0]], "plan_id": [key[1]], "average_score": [avg], "quizzes": [n], "level": [level]})
 
@@ -41,12 +60,14 @@ class _Progress(StatefulProcessor):
         pass
 
 
-def running_progress(stream: DataFrame) -> DataFrame:
-    """The running rounded average of every learner's course, with its level; needs the RocksDB state store. Rows of one
-    micro-batch are folded in order of time, batches in the order in which they come: a submission counts when it
-    arrives, so one that comes late is folded after newer ones and the result differs from the batch twin's."""
-    return stream.groupBy("user_id", "plan_id").transformWithStateInPandas(
-        statefulProcessor=_Progress(), outputStructType="user_id long, plan_id long, average_score double, quizzes long, level string", outputMode="Update", timeMode="None"
+def running_progress(stream: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
+    """The running rounded average of every learner's course, with its level, after each group of submissions that the watermark
+    passes. Submissions count in order of time, whatever order they come in, as long as they are not later than the
+    watermark; rows with a null user_id only move the watermark. Needs the RocksDB state store."""
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).where("user_id is not null")
+    rows = rows.select("user_id", "plan_id", ts, F.unix_micros(ts).alias("at"), "submission_id", F.col("pct").cast("long").alias("pct"))
+    return rows.groupBy("user_id", "plan_id").transformWithStateInPandas(
+        statefulProcessor=_Progress(), outputStructType="user_id long, plan_id long, average_score double, quizzes long, level string", outputMode="Update", timeMode="EventTime"
     )
 
 
@@ -56,8 +77,76 @@ def ingest_once(stream: DataFrame, owner: str, text: str, ts: str, late: str = "
     return hashed.withWatermark(ts, late).dropDuplicatesWithinWatermark([owner, "content_hash"])
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "update") -> DataFrame:
-    """Run a stream over all that is there and return what it emitted (for batch runs and tests)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+class KeptOnce:
+    """A folder that holds, for each key, the row of smallest id that any batch has brought. A batch writes a part under its
+    own number and only what the other parts lack, so a batch that is run again replaces its part and changes nothing."""
+
+    def __init__(self, path: str, keys: list[str], order: str):
+        self.path, self.keys, self.order = path, keys, order
+
+    def _parts(self, spark, schema) -> DataFrame:
+        return spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        spark = batch.sparkSession
+        first = batch.groupBy(*self.keys).agg(F.min(self.order).alias(self.order))
+        known = None
+        if spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(self.path)):
+            known = self._parts(spark, StructType([*first.schema.fields, StructField("part", IntegerType())])).where(F.col("part") != number).groupBy(*self.keys).agg(F.min(self.order).alias("_known"))
+        new = first if known is None else first.join(known, self.keys, "left").where(f"_known is null or {self.order} < _known").drop("_known")
+        new.write.mode("overwrite").parquet(f"{self.path}/part={number}")
+
+    def read(self, spark, schema) -> DataFrame:
+        return self._parts(spark, schema).groupBy(*self.keys).agg(F.min(self.order).alias(self.order))
+
+
+def ingest_into(stream: DataFrame, owner: str, text: str, key: str, checkpoint: str, sink: KeptOnce) -> None:
+    """Each owner's documents into the sink, each text once, under the smallest key that it came with."""
+    rows = stream.select(owner, F.md5(text).alias("content_hash"), key)
+    rows.writeStream.foreachBatch(sink.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def replay(df: DataFrame, slots: int = 4, ts: str | None = None, last: DataFrame | None = None) -> tuple[DataFrame, str]:
+    """A stream over the rows of df in so many groups of micro-batches, and by how much a row can be late. With ts the groups follow time, but
+    half of the rows come one group late; without, rows come in any order. The rows of last come after all others."""
+    spark, path, late = df.sparkSession, shared_path(df.sparkSession, "replay"), "0 seconds"
+    mixed = F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")])
+    number = F.pmod(mixed, F.lit(slots)).cast("int")
+    if ts:
+        at = F.unix_micros(F.col(ts).cast("timestamp"))
+        low, high = df.agg(F.min(at), F.max(at)).first()
+        step = max(1, ((high or 0) - (low or 0)) // slots + 1)
+        number = F.least(F.lit(slots - 1), F.floor((at - F.lit(low or 0)) / step).cast("int") + F.pmod(mixed, F.lit(2)).cast("int"))
+        late = f"{2 * step // 1_000_000 + 2} seconds"
+    dealt = df.withColumn("_slot", number)
+    parts = [dealt.where(F.col("_slot") == k).drop("_slot") for k in range(slots)] + ([last] if last is not None else [])
+    for k, part in enumerate(parts):  # one after another: a file source takes older files first
+        part.write.parquet(f"{path}/slot{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(path), late
+
+
+def drain(stream: DataFrame, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over all that is there; what each micro-batch emitted, with its number as batch. Written to the shared folder under the
+    batch's number, so that a batch that is run again replaces what it wrote."""
+    spark = stream.sparkSession
+    out = shared_path(spark, "stream")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or shared_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    there = spark._jvm.org.apache.hadoop.fs.Path(out)
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(out)
+
+
+def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:
+    """The last that an updating stream emitted for each key."""
+    rest = [c for c in emitted.columns if c not in (*keys, "batch")]
+    return emitted.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")

@@ -2,6 +2,7 @@
 
 import math
 import os
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -67,32 +68,49 @@ def test_running_average_is_a_fold(spark):
     assert (got.average_score, got.quizzes) == (avg, n)
 
 
-def test_stream_of_progress_equals_its_batch_twin(spark, sf, tmp_path):
-    sub = table(spark, sf, "submissions").cache()
-    for k in range(3):
-        sub.where(F.col("submission_id") % 3 == k).where("true").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(sub.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    counts = jobs.drain(jobs.topic_memory(stream), "topics", str(tmp_path / "c1"), "complete").toPandas()
-    assert same(counts, jobs.topic_memory(sub).toPandas())
-
-
-def test_state_processor_equals_the_fold_on_ordered_input(spark, sf, tmp_path):
-    pytest.importorskip("google.protobuf")
+@pytest.mark.parametrize("slots", [1, 5])
+def test_streams_equal_their_batch_twins_on_late_and_shuffled_rows(spark, sf, slots):
     sub = table(spark, sf, "submissions")
-    sub.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(sub.schema).parquet(str(tmp_path / "in"))
-    got = jobs.drain(jobs.running_progress(stream), "progress", str(tmp_path / "c2"), "update").toPandas()
-    assert same(got, O.progress_fold(sub).toPandas())
+    counts = jobs.latest(jobs.drain(jobs.topic_memory(jobs.replay(sub, slots)[0])), ["user_id", "topic"])
+    assert same(counts.toPandas(), jobs.topic_memory(sub).toPandas())
+    whole = jobs.drain(jobs.topic_memory(jobs.replay(sub, slots)[0]), "complete")
+    assert same(whole.where(whole.batch == whole.agg(F.max("batch")).first()[0]).drop("batch").toPandas(), jobs.topic_memory(sub).toPandas())
+
+
+def test_late_submissions_are_folded_in_order(spark, sf):
+    """What comes late, but before the watermark, gives the result of ordered input; nothing counts before the watermark has passed it."""
+    at = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    rows = [(1, 1, k, (k * 37) % 101, at(k)) for k in range(20)]
+    schema = "user_id long, plan_id long, submission_id long, pct long, ts timestamp"
+    swapped = [rows[k ^ 1] for k in range(20)]  # each pair comes the other way round
+    stream, late = jobs.replay(spark.createDataFrame(swapped, schema), 5, ts="ts")
+    held = jobs.drain(jobs.running_progress(stream, late=late))
+    assert 0 < held.agg(F.max("quizzes")).first()[0] < 20
+    end = spark.createDataFrame([(None, None, None, None, at(4000))], schema)
+    stream, late = jobs.replay(spark.createDataFrame(swapped, schema), 5, ts="ts", last=end)
+    got = jobs.latest(jobs.drain(jobs.running_progress(stream, late=late)), ["user_id", "plan_id"])
+    assert same(got.toPandas(), O.progress_fold(spark.createDataFrame(rows, schema)).toPandas())
 
 
 def test_rolling_windows_and_single_ingest(spark, sf, tmp_path):
-    ev = table(spark, sf, "events")
-    ev.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "in"))
-    got = jobs.drain(jobs.rolling_downloads(stream, "event_type"), "rolling", str(tmp_path / "c3"), "complete").toPandas()
-    assert same(got, registry.QUERIES["st1_rolling_downloads"](spark, sf).toPandas())
-    once = jobs.drain(jobs.ingest_once(stream, "user_id", "event_type", "ts", "1000 days"), "once", str(tmp_path / "c4"), "append")
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
+    stream, _ = jobs.replay(ev, 3)
+    once = jobs.drain(jobs.ingest_once(stream, "user_id", "event_type", "ts", "1000 days"), "append")
     assert once.count() == ev.select("user_id", "event_type").distinct().count()
+    none = jobs.drain(jobs.topic_memory(jobs.replay(table(spark, sf, "submissions").limit(0))[0]))
+    assert none.count() == 0
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    sink = jobs.KeptOnce(f"file://{tmp_path}/kept", ["owner", "h"], "id")
+    schema = "owner string, h string, id long"
+    first, second = [("a", "x", 5), ("a", "x", 6), ("b", "x", 1)], [("a", "x", 2), ("a", "y", 9), ("b", "x", 3)]
+    want = {("a", "x", 2), ("a", "y", 9), ("b", "x", 1)}
+    for number, rows in ((0, first), (1, second), (1, second), (0, first)):
+        sink.write(spark.createDataFrame(rows, schema), number)
+        if number:
+            assert {tuple(r) for r in sink.read(spark, schema + ", part int").collect()} == want
+    assert {tuple(r) for r in sink.read(spark, schema + ", part int").collect()} == want
 
 
 def test_sources_and_sinks(spark, sf, tmp_path):

@@ -10,6 +10,7 @@ from lectern.functions import repair as R
 from lectern.operators import cleaner as C
 from lectern.operators import lessons as L
 from lectern.operators import retrieval as V
+from lectern.operators import vectors
 from lectern.plans import registry
 
 
@@ -76,8 +77,7 @@ def test_approximate_search_recalls_the_exact_one(spark):
 @pytest.mark.parametrize("cell", [2000, 7])
 def test_reuse_compares_all_with_all(spark, monkeypatch, cell):
     rng = random.Random(8)
-    grid = V._grid
-    monkeypatch.setattr(V, "_grid", lambda r, i: grid(r, i, cell))
+    monkeypatch.setattr(vectors, "BLOCK", cell)
     base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
     words = "graph node tree leaf stack queue heap sort".split()
     rows = []
