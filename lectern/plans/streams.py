@@ -14,7 +14,7 @@ from .registry import query
     """SELECT event_type, s AS start, count(*) AS n FROM (SELECT event_type, ts, unnest(list_transform(range(7), lambda k: date_trunc('day', ts) - to_days(CAST(k AS INT)))) AS s FROM events) GROUP BY event_type, s""",
 )
 def rolling_downloads(t):
-    stream, late = jobs.replay(t.events.select("event_id", "event_type", "ts"), ts="ts")
+    stream, late, _ = jobs.replay(t.events.select("event_id", "event_type", "ts"), ts="ts")
     return jobs.latest(jobs.drain(jobs.rolling_downloads(stream, "event_type", late=late)), ["event_type", "start"])
 
 
@@ -31,11 +31,12 @@ SELECT user_id, plan_id, floor(raw + 0.5::DOUBLE) AS average_score, n AS quizzes
 
 @query("st3_running_progress", FOLD)
 def running_progress(t):
-    """The last row, of no learner and of a far day, moves the watermark past all others."""
+    """The last rows, of no learner and of far days, move the watermark past all others."""
     rows = t.submissions.select("user_id", "plan_id", "submission_id", F.col("pct").cast("long").alias("pct"), F.col("ts").cast("timestamp").alias("ts"))
-    end = rows.agg(F.max("ts").alias("ts")).selectExpr("cast(null as long) as user_id", "cast(null as long) as plan_id", "cast(null as long) as submission_id", "cast(null as long) as pct", "ts + interval 4000 days as ts")
-    stream, late = jobs.replay(rows, ts="ts", last=end)
-    return jobs.latest(jobs.drain(jobs.running_progress(stream, late=late)), ["user_id", "plan_id"])
+    nobody = [F.lit(None).cast("long").alias(c) for c in ("user_id", "plan_id", "submission_id", "pct")]
+    ends = [rows.agg(F.max("ts").alias("ts")).select(*nobody, (F.col("ts") + F.expr(f"interval {days} days")).alias("ts")) for days in (4000, 8000)]
+    stream, late, folder = jobs.replay(rows, ts="ts")
+    return jobs.latest(jobs.drain_to_the_end(jobs.running_progress(stream, late=late), ends, folder), ["user_id", "plan_id"])
 
 
 @query("st4_ingest_once", "SELECT source, md5(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY source, md5(text)")

@@ -107,9 +107,9 @@ def ingest_into(stream: DataFrame, owner: str, text: str, key: str, checkpoint:
     rows.writeStream.foreachBatch(sink.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def replay(df: DataFrame, slots: int = 4, ts: str | None = None, last: DataFrame | None = None) -> tuple[DataFrame, str]:
-    """A stream over the rows of df in so many groups of micro-batches, and by how much a row can be late. With ts the groups follow time, but
-    half of the rows come one group late; without, rows come in any order. The rows of last come after all others."""
+def replay(df: DataFrame, slots: int = 4, ts: str | None = None) -> tuple[DataFrame, str, str]:
+    """A stream over the rows of df in so many groups of micro-batches, by how much a row can be late, and the stream's folder. With ts the groups
+    follow time, but half of the rows come one group late; without, rows come in any order."""
     spark, path, late = df.sparkSession, shared_path(df.sparkSession, "replay"), "0 seconds"
     mixed = F.xxhash64(*[F.col(c) for c, t in df.dtypes if not t.startswith("map")])
     number = F.pmod(mixed, F.lit(slots)).cast("int")
@@ -119,24 +119,23 @@ def replay(df: DataFrame, slots: int = 4, ts: str | None = None, last: DataFrame
         step = max(1, ((high or 0) - (low or 0)) // slots + 1)
         number = F.least(F.lit(slots - 1), F.floor((at - F.lit(low or 0)) / step).cast("int") + F.pmod(mixed, F.lit(2)).cast("int"))
         late = f"{2 * step // 1_000_000 + 2} seconds"
-    dealt = df.withColumn("_slot", number)
-    parts = [dealt.where(F.col("_slot") == k).drop("_slot") for k in range(slots)] + ([last] if last is not None else [])
-    for k, part in enumerate(parts):  # one after another: a file source takes older files first
-        part.write.parquet(f"{path}/slot{k}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(path), late
+    for k in range(slots):  # one after another: a file source takes older files first
+        df.where(number == k).write.parquet(f"{path}/slot{k}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(path), late, path
 
 
-def drain(stream: DataFrame, mode: str = "update", checkpoint: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "update", place: str | None = None) -> DataFrame:
     """Run a stream over all that is there; what each micro-batch emitted, with its number as batch. Written to the shared folder under the
-    batch's number, so that a batch that is run again replaces what it wrote."""
+    batch's number, so that a batch that is run again replaces what it wrote. With the same place a later call goes on from an earlier one."""
     spark = stream.sparkSession
-    out = shared_path(spark, "stream")
+    place = place or shared_path(spark, "stream")
+    out = f"{place}/out"
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         put = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
-        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint or shared_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     there = spark._jvm.org.apache.hadoop.fs.Path(out)
@@ -146,6 +145,17 @@ def drain(stream: DataFrame, mode: str = "update", checkpoint: str | None = None
     return spark.read.schema(schema).parquet(out)
 
 
+def drain_to_the_end(stream: DataFrame, ends: list[DataFrame], folder: str) -> DataFrame:
+    """drain, then the rows of each of ends put into the stream's folder and drained on their own: the watermark that one of them moves is
+    in force for the next one's batch, so with two of a far day all that waits for the watermark comes out."""
+    place = shared_path(stream.sparkSession, "stream")
+    out = drain(stream, place=place)
+    for k, end in enumerate(ends):
+        end.write.parquet(f"{folder}/end{k}")
+        out = drain(stream, place=place)
+    return out
+
+
 def latest(emitted: DataFrame, keys: list[str]) -> DataFrame:
     """The last that an updating stream emitted for each key."""
     rest = [c for c in emitted.columns if c not in (*keys, "batch")]

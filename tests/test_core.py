@@ -83,18 +83,17 @@ def test_late_submissions_are_folded_in_order(spark, sf):
     rows = [(1, 1, k, (k * 37) % 101, at(k)) for k in range(20)]
     schema = "user_id long, plan_id long, submission_id long, pct long, ts timestamp"
     swapped = [rows[k ^ 1] for k in range(20)]  # each pair comes the other way round
-    stream, late = jobs.replay(spark.createDataFrame(swapped, schema), 5, ts="ts")
+    stream, late, folder = jobs.replay(spark.createDataFrame(swapped, schema), 5, ts="ts")
     held = jobs.drain(jobs.running_progress(stream, late=late))
     assert 0 < held.agg(F.max("quizzes")).first()[0] < 20
-    end = spark.createDataFrame([(None, None, None, None, at(4000))], schema)
-    stream, late = jobs.replay(spark.createDataFrame(swapped, schema), 5, ts="ts", last=end)
-    got = jobs.latest(jobs.drain(jobs.running_progress(stream, late=late)), ["user_id", "plan_id"])
+    ends = [spark.createDataFrame([(None, None, None, None, at(d))], schema) for d in (4000, 8000)]
+    got = jobs.latest(jobs.drain_to_the_end(jobs.running_progress(stream, late=late), ends, folder), ["user_id", "plan_id"])
     assert same(got.toPandas(), O.progress_fold(spark.createDataFrame(rows, schema)).toPandas())
 
 
 def test_rolling_windows_and_single_ingest(spark, sf, tmp_path):
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts")
-    stream, _ = jobs.replay(ev, 3)
+    stream = jobs.replay(ev, 3)[0]
     once = jobs.drain(jobs.ingest_once(stream, "user_id", "event_type", "ts", "1000 days"), "append")
     assert once.count() == ev.select("user_id", "event_type").distinct().count()
     none = jobs.drain(jobs.topic_memory(jobs.replay(table(spark, sf, "submissions").limit(0))[0]))
