@@ -33,9 +33,9 @@ SELECT user_id, plan_id, floor(raw + 0.5::DOUBLE) AS average_score, n AS quizzes
 def running_progress(t):
     """The last rows, of no learner and of far days, move the watermark past all others."""
     rows = t.submissions.select("user_id", "plan_id", "submission_id", F.col("pct").cast("long").alias("pct"), F.col("ts").cast("timestamp").alias("ts"))
-    nobody = [F.lit(None).cast("long").alias(c) for c in ("user_id", "plan_id", "submission_id", "pct")]
+    nobody = [F.lit(jobs.NOBODY).cast("long").alias(c) for c in ("user_id", "plan_id", "submission_id", "pct")]
     ends = [rows.agg(F.max("ts").alias("ts")).select(*nobody, (F.col("ts") + F.expr(f"interval {days} days")).alias("ts")) for days in (4000, 8000)]
-    stream, late, folder = jobs.replay(rows, ts="ts")
+    stream, late, folder = jobs.replay(rows, 3, ts="ts")
     return jobs.latest(jobs.drain_to_the_end(jobs.running_progress(stream, late=late), ends, folder), ["user_id", "plan_id"])
 
 

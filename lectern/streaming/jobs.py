@@ -24,6 +24,10 @@ def topic_memory(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id", "topic").agg(F.count("*").alias("n"))
 
 
+#: The user_id of rows that only move the watermark.
+NOBODY = -1
+
+
 class _Progress(StatefulProcessor):
     """A learner's course: the rounded average, the number of quizzes, and a list of submissions that the watermark has not
     passed yet. A timer at the earliest of them folds, in order of time, all that it has passed."""
@@ -63,12 +67,14 @@ class _Progress(StatefulProcessor):
 def running_progress(stream: DataFrame, ts: str = "ts", late: str = "1 day") -> DataFrame:
     """The running rounded average of every learner's course, with its level, after each group of submissions that the watermark
     passes. Submissions count in order of time, whatever order they come in, as long as they are not later than the
-    watermark; rows with a null user_id only move the watermark. Needs the RocksDB state store."""
-    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).where("user_id is not null")
+    watermark; rows of NOBODY only move the watermark (a filter before it would be pushed below it, and they would not). Needs
+    the RocksDB state store."""
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     rows = rows.select("user_id", "plan_id", ts, F.unix_micros(ts).alias("at"), "submission_id", F.col("pct").cast("long").alias("pct"))
-    return rows.groupBy("user_id", "plan_id").transformWithStateInPandas(
+    folded = rows.groupBy("user_id", "plan_id").transformWithStateInPandas(
         statefulProcessor=_Progress(), outputStructType="user_id long, plan_id long, average_score double, quizzes long, level string", outputMode="Update", timeMode="EventTime"
     )
+    return folded.where(F.col("user_id") != NOBODY)
 
 
 def ingest_once(stream: DataFrame, owner: str, text: str, ts: str, late: str = "1 day") -> DataFrame:

@@ -86,7 +86,7 @@ def test_late_submissions_are_folded_in_order(spark, sf):
     stream, late, folder = jobs.replay(spark.createDataFrame(swapped, schema), 5, ts="ts")
     held = jobs.drain(jobs.running_progress(stream, late=late))
     assert 0 < held.agg(F.max("quizzes")).first()[0] < 20
-    ends = [spark.createDataFrame([(None, None, None, None, at(d))], schema) for d in (4000, 8000)]
+    ends = [spark.createDataFrame([(jobs.NOBODY, 0, 0, 0, at(d))], schema) for d in (4000, 8000)]
     got = jobs.latest(jobs.drain_to_the_end(jobs.running_progress(stream, late=late), ends, folder), ["user_id", "plan_id"])
     assert same(got.toPandas(), O.progress_fold(spark.createDataFrame(rows, schema)).toPandas())
 
