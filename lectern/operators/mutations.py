@@ -13,17 +13,6 @@ def last_action(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return log.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def copy_courses(plans: DataFrame, lessons: DataFrame, requests: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
-    """New plans and lessons for requests (request_id, plan_id, user_id): lineage kept, flags reset, day 1 open, the rest locked.
-    New plan ids are first_id plus the request's own id, so no row has to be numbered in one place."""
-    new = requests.join(plans, "plan_id").select(
-        (F.lit(first_id) + F.col("request_id")).alias("new_plan_id"), F.col("plan_id").alias("original_plan_id"), F.col("user_id").alias("owner_id"), "title", "level", F.lit(False).alias("is_public"), F.lit(False).alias("is_deleted")
-    )
-    rows = new.select("new_plan_id", F.col("original_plan_id").alias("plan_id")).join(lessons, "plan_id")
-    status = F.when(F.col("day_number") == 1, "in-progress").otherwise("locked")
-    return new, rows.select("new_plan_id", F.col("lesson_id").alias("source_lesson_id"), "day_number", "title", status.alias("status"))
-
-
 def publish(plans: DataFrame, requests: DataFrame) -> DataFrame:
     """Idempotent publication: a plan that has a public copy is marked for update, others for a new copy."""
     public = plans.where("original_plan_id is not null and is_public").groupBy(F.col("original_plan_id").alias("plan_id")).agg(F.min("plan_id").alias("copy_id"))
@@ -35,53 +24,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return last_action(old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1))), keys, ["_new", *order]).drop("_new")
 
 
-def purge_ids(plans: DataFrame, log: DataFrame) -> DataFrame:
-    """Plans that both parties deleted (or the owner alone where there is no instructor); log: plan_id, by (owner or instructor)."""
-    by = log.groupBy("plan_id").agg(F.max((F.col("by") == "owner").cast("int")).alias("o"), F.max((F.col("by") == "instructor").cast("int")).alias("i"))
-    return plans.join(by, "plan_id").where((F.col("o") == 1) & (F.col("instructor_id").isNull() | (F.col("i") == 1))).select("plan_id")
-
-
-def purge(table: DataFrame, ids: DataFrame) -> DataFrame:
-    return table.join(ids, "plan_id", "left_anti")
-
-
-def anonymise(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The column becomes null where it names an erased user."""
-    gone = ids.select(F.col("user_id").alias("_id")).distinct().withColumn("_gone", F.lit(True))
-    return df.join(gone, df[column] == gone["_id"], "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).drop("_id", "_gone")
-
-
-def apply_moderation(reports: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Pending reports after decisions (target_id, decision): all of one target are settled together; duplicates of a
-    reporter's pending report are rejected."""
-    first = F.row_number().over(W.partitionBy("target_id", "reported_by").orderBy("report_id"))
-    rows = reports.withColumn("n", first).join(decisions, "target_id", "left")
-    status = F.when(F.col("n") > 1, "rejected").when(F.col("decision") == "resolve", "resolved").when(F.col("decision") == "dismiss", "dismissed").otherwise("pending")
-    return rows.select("report_id", "target_id", status.alias("status"))
-
-
-def publish_drafts(lessons: DataFrame, fields: list[str]) -> DataFrame:
-    """Draft fields that are set overwrite; drafts are cleared."""
-    return lessons.withColumns({f: F.coalesce(F.when(F.col("has_draft"), F.col(f"draft_{f}")), F.col(f)) for f in fields}).withColumn("has_draft", F.lit(False)).drop(*[f"draft_{f}" for f in fields])
-
-
-def stage_edits(lessons: DataFrame, plans: DataFrame, edits: DataFrame) -> DataFrame:
-    """Edits (lesson_id, editor_id, new_title): the owner's go into the lesson, anyone else's into the draft."""
-    rows = lessons.join(plans.select("plan_id", "owner_id"), "plan_id").join(edits, "lesson_id", "left")
-    mine = F.coalesce(F.col("editor_id") == F.col("owner_id"), F.lit(False))
-    other = F.col("editor_id").isNotNull() & ~mine
-    return rows.select("lesson_id", F.when(mine, F.col("new_title")).otherwise(F.col("title")).alias("title"), F.when(other, F.col("new_title")).alias("draft_title"), other.alias("has_draft"))
-
-
-def apply_role_changes(users: DataFrame, log: DataFrame) -> DataFrame:
-    """Roles after the last change of each user and role; everyone stays a learner. users: user_id, roles; log: user_id, role, action, seq."""
-    last = last_action(log, ["user_id", "role"], ["seq"])
-    sets = last.groupBy("user_id").agg(F.collect_set(F.when(F.col("action") == "add", F.col("role"))).alias("plus"), F.collect_set(F.when(F.col("action") == "remove", F.col("role"))).alias("minus"))
-    none = F.array().cast("array<string>")
-    roles = F.array_union(F.array_except(F.array_union("roles", F.coalesce("plus", none)), F.coalesce("minus", none)), F.array(F.lit("learner")))
-    return users.join(sets, "user_id", "left").select("user_id", F.array_sort(roles).alias("roles"))
-
-
 def friendships(log: DataFrame) -> DataFrame:
     """State of every pair after its log (seq, actor, other, action) is replayed: request, accept, reject, cancel, unfriend.
     A rejected pair may be asked again, from either side."""
@@ -119,18 +61,6 @@ def accept_reviews(candidates: DataFrame, eligible: DataFrame) -> DataFrame:
     return first.unionByName(candidates.where("parent_id is not null").select("review_id", "parent_id", F.lit(None).cast("int").alias("rating")))
 
 
-def apply_visibility(plans: DataFrame, log: DataFrame) -> DataFrame:
-    """Public flag after each plan's last action: list by the owner, unlist, or takedown."""
-    last = last_action(log, ["plan_id"], ["seq"])
-    allowed = (F.col("action") == "takedown") | (F.col("actor") == F.col("owner_id"))
-    now = F.when(allowed & (F.col("action") == "list"), True).when(allowed & F.col("action").isin("unlist", "takedown"), False).otherwise(F.col("is_public"))
-    return plans.join(last, "plan_id", "left").select("plan_id", now.alias("is_public"))
-
-
-def replace_records(df: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    return df.join(updates, key, "left_anti").unionByName(updates)
-
-
 def reactions(log: DataFrame) -> DataFrame:
     """Likes and dislikes after a log of toggles (review_id, user_id, kind, seq): the same again removes, the other replaces."""
     seq = F.array_sort(F.collect_list(F.struct("seq", "kind")))

@@ -7,12 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import mutations as M
 from .registry import query
 
-query(
-    "m1_copy_lessons",
-    "SELECT 1000000 + e.enrollment_id AS new_plan_id, lesson_id AS source_lesson_id, day_number, l.title, CASE WHEN day_number = 1 THEN 'in-progress' ELSE 'locked' END AS status FROM enrollments e JOIN plans p ON p.plan_id = e.plan_id JOIN lessons l ON l.plan_id = e.plan_id",
-)(
-    lambda t: M.copy_courses(t.plans, t.lessons, t.enrollments.select(F.col("enrollment_id").alias("request_id"), "plan_id", F.col("learner_id").alias("user_id")), 1_000_000)[1]
-)
 query(
     "m2_publish",
     "SELECT p.plan_id, c.copy_id, CASE WHEN c.copy_id IS NULL THEN 'create' ELSE 'update' END AS action FROM plans p LEFT JOIN (SELECT original_plan_id, min(plan_id) AS copy_id FROM plans WHERE original_plan_id IS NOT NULL AND is_public GROUP BY original_plan_id) c ON c.original_plan_id = p.plan_id",
@@ -23,44 +17,6 @@ query(
 )(
     lambda t: M.upsert(t.enrollments.where("enrollment_id % 3 <> 0"), t.enrollments.where("enrollment_id % 3 = 0").withColumn("status", F.lit("active")), ["learner_id", "plan_id"], ["created_at", "enrollment_id"]).select("learner_id", "plan_id", "status")
 )
-DELETES = "SELECT plan_id, CASE WHEN enrollment_id % 2 = 0 THEN 'owner' ELSE 'instructor' END AS who FROM enrollments WHERE enrollment_id % 50 = 0 OR enrollment_id % 51 = 0"
-query(
-    "m4_purge_plans",
-    f"""WITH d AS ({DELETES}), g AS (SELECT p.plan_id FROM plans p JOIN (SELECT plan_id, max(CASE WHEN who = 'owner' THEN 1 ELSE 0 END) AS o, max(CASE WHEN who = 'instructor' THEN 1 ELSE 0 END) AS i FROM d GROUP BY plan_id) b ON b.plan_id = p.plan_id WHERE o = 1 AND (instructor_id IS NULL OR i = 1))
-SELECT enrollment_id, plan_id FROM enrollments WHERE plan_id NOT IN (SELECT plan_id FROM g)""",
-)(
-    lambda t: M.purge(
-        t.enrollments,
-        M.purge_ids(t.plans, t.enrollments.where("enrollment_id % 50 = 0 or enrollment_id % 51 = 0").select("plan_id", F.when(F.col("enrollment_id") % 2 == 0, "owner").otherwise("instructor").alias("by"))),
-    ).select("enrollment_id", "plan_id")
-)
-query("m5_erase_users", "SELECT review_id, CASE WHEN user_id % 13 <> 0 THEN user_id END AS user_id FROM reviews")(
-    lambda t: M.anonymise(t.reviews, "user_id", t.reviews.where("user_id % 13 = 0").select("user_id")).select("review_id", "user_id")
-)
-REPORTS = "SELECT event_id AS report_id, event_id % 300 AS target_id, user_id % 20 AS reported_by FROM events"
-query(
-    "m6_apply_moderation",
-    f"""SELECT report_id, target_id, CASE WHEN n > 1 THEN 'rejected' WHEN target_id % 3 = 0 THEN 'resolved' WHEN target_id % 3 = 1 THEN 'dismissed' ELSE 'pending' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY target_id, reported_by ORDER BY report_id) AS n FROM ({REPORTS}))""",
-)(
-    lambda t: (lambda r: M.apply_moderation(r, r.select("target_id").distinct().where("target_id % 3 < 2").withColumn("decision", F.when(F.col("target_id") % 3 == 0, "resolve").otherwise("dismiss"))))(
-        t.events.select(F.col("event_id").alias("report_id"), (F.col("event_id") % 300).alias("target_id"), (F.col("user_id") % 20).alias("reported_by"))
-    )
-)
-query("m7_publish_drafts", "SELECT lesson_id, CASE WHEN lesson_id % 2 = 0 AND lesson_id % 3 = 0 THEN 'Draft' ELSE title END AS title, false AS has_draft FROM lessons")(
-    lambda t: M.publish_drafts(t.lessons.withColumns({"has_draft": F.expr("lesson_id % 2 = 0"), "draft_title": F.expr("CASE WHEN lesson_id % 3 = 0 THEN 'Draft' END")}), ["title"]).select("lesson_id", "title", "has_draft")
-)
-ROLE_LOG = "SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'instructor' ELSE 'admin' END AS role, CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'add' END AS action, event_id AS seq FROM events"
-query(
-    "m8_apply_role_changes",
-    f"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, role ORDER BY seq DESC) AS n FROM ({ROLE_LOG})) WHERE n = 1),
-r AS (SELECT user_id, 'learner' AS role FROM users UNION SELECT user_id, 'instructor' FROM users WHERE is_instructor AND NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = users.user_id AND l.role = 'instructor' AND action = 'remove') UNION SELECT l.user_id, role FROM l JOIN users USING (user_id) WHERE action = 'add')
-SELECT user_id, string_agg(role, ',' ORDER BY role) AS roles FROM r GROUP BY user_id""",
-)(
-    lambda t: M.apply_role_changes(
-        t.users.select("user_id", F.array_compact(F.array(F.lit("learner"), F.when(F.col("is_instructor"), "instructor"))).alias("roles")),
-        t.events.select("user_id", F.when(F.col("event_id") % 2 == 0, "instructor").otherwise("admin").alias("role"), F.when(F.col("event_id") % 3 == 0, "remove").otherwise("add").alias("action"), F.col("event_id").alias("seq")),
-    ).select("user_id", F.array_join("roles", ",").alias("roles"))
-)
 query("m9_friendships")(
     lambda t: M.friendships(
         t.events.select(F.col("event_id").alias("seq"), (F.col("user_id") % 40).alias("actor"), (F.col("event_id") % 40).alias("other"), F.element_at(F.array(*[F.lit(a) for a in ("request", "accept", "reject", "cancel", "unfriend")]), (F.col("event_id") % 5 + 1).cast("int")).alias("action"))
@@ -77,22 +33,6 @@ query(
     """WITH e AS (SELECT DISTINCT learner_id AS user_id, plan_id FROM enrollments) SELECT review_id, parent_id, rating FROM (SELECT r.*, row_number() OVER (PARTITION BY r.user_id, r.plan_id ORDER BY created_at, review_id) AS n FROM reviews r JOIN e ON e.user_id = r.user_id AND e.plan_id = r.plan_id WHERE parent_id IS NULL AND rating BETWEEN 1 AND 5) WHERE n = 1
 UNION ALL SELECT review_id, parent_id, NULL FROM reviews WHERE parent_id IS NOT NULL""",
 )(lambda t: M.accept_reviews(t.reviews, t.enrollments.select(F.col("learner_id").alias("user_id"), "plan_id")))
-VIS = "SELECT plan_id, learner_id AS actor, CASE WHEN enrollment_id % 3 = 0 THEN 'list' WHEN enrollment_id % 3 = 1 THEN 'unlist' ELSE 'takedown' END AS action, enrollment_id AS seq FROM enrollments"
-query(
-    "m12_apply_visibility",
-    f"""SELECT p.plan_id, CASE WHEN action = 'takedown' THEN false WHEN actor = owner_id AND action = 'list' THEN true WHEN actor = owner_id AND action = 'unlist' THEN false ELSE is_public END AS is_public FROM plans p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY seq DESC) AS n FROM ({VIS})) WHERE n = 1) l ON l.plan_id = p.plan_id""",
-)(
-    lambda t: M.apply_visibility(t.plans, t.enrollments.select("plan_id", F.col("learner_id").alias("actor"), F.expr("CASE WHEN enrollment_id % 3 = 0 THEN 'list' WHEN enrollment_id % 3 = 1 THEN 'unlist' ELSE 'takedown' END").alias("action"), F.col("enrollment_id").alias("seq")))
-)
-query("m13_replace_records", "SELECT plan_id, CASE WHEN plan_id % 4 = 0 THEN 'New title' ELSE title END AS title FROM plans")(
-    lambda t: M.replace_records(t.plans.select("plan_id", "title"), t.plans.where("plan_id % 4 = 0").select("plan_id", F.lit("New title").alias("title")), "plan_id")
-)
-query(
-    "m14_stage_edits",
-    "SELECT lesson_id, CASE WHEN lesson_id % 2 = 0 AND editor = owner_id THEN 'Edited' ELSE l.title END AS title, CASE WHEN lesson_id % 2 = 0 AND editor <> owner_id THEN 'Edited' END AS draft_title, lesson_id % 2 = 0 AND editor <> owner_id AS has_draft FROM (SELECT *, CASE WHEN lesson_id % 4 = 0 THEN plan_id % 150 ELSE 1 END AS editor FROM lessons) l JOIN plans p ON p.plan_id = l.plan_id",
-)(
-    lambda t: M.stage_edits(t.lessons, t.plans, t.lessons.where("lesson_id % 2 = 0").select("lesson_id", F.expr("CASE WHEN lesson_id % 4 = 0 THEN plan_id % 150 ELSE 1 END").alias("editor_id"), F.lit("Edited").alias("new_title")))
-)
 query("u1_top_up", "SELECT plan_id, created_rank FROM plans WHERE duration = 5 OR category = 'Brand#11'")(
     lambda t: M.top_up(t.plans.where("duration = 5").select("plan_id", "created_rank"), t.plans.where("category = 'Brand#11'").select("plan_id", "created_rank"), "plan_id")
 )

@@ -12,7 +12,7 @@ from ..fixtures import table, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("relational", "ranking", "quiz", "text", "cleaning", "documents", "retrieval", "lessons", "mutation", "streams")
+MODULES = ("relational", "ranking", "quiz", "text", "cleaning", "documents", "retrieval", "lessons", "mutation", "lifecycle", "streams")
 
 
 class Tables:
