@@ -2,7 +2,8 @@
 
 A page is read once into blocks (stretches of text between block-level tags), each with the signs a classifier
 looks at: length, share of link text, punctuation, and whether it stands in an article or in something that is
-never main text. The classifier's costs become capacities from the source (content) or to the sink (boilerplate);
+hardly ever main text. An element that is marked so by its name or kind, but holds the page's article or nearly all of its
+words, is a wrapper, and its mark counts for nothing (comments and what is hidden stay marked). The classifier's costs become capacities from the source (content) or to the sink (boilerplate);
 neighbouring blocks and blocks of one parent are tied by smoothness edges. The minimum cut is the labelling of
 least cost; the text is the content blocks in page order.
 
@@ -36,9 +37,12 @@ ATTRIBUTE = re.compile(r"([^\s\"'=<>/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'
 HUGE, ZEROS = re.compile(r"&#0*+[1-9][0-9]{7,}+;?"), re.compile(r"&#0++(?=[0-9])")
 SIGN = re.compile("[.!?;:,。]")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup mover munder munderover mfenced semantics".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option canvas audio video".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select option canvas audio video annotation annotation-xml".split())
 NEVER = frozenset("nav footer aside form button menu dialog fieldset head".split())
 MAIN = frozenset("article main".split())
 #: Open elements that the beginning of another one ends, besides an open paragraph.
@@ -52,33 +56,55 @@ NEVER_NAMES = frozenset(
     " widget toolbar pagination pager login signup register search complementary contentinfo skip".split()
 )
 OUTER_NAMES = frozenset("header masthead topbar top".split())
+#: Names of what readers write: never a wrapper, however long. Elements that are wrappers only around an article.
+READERS = frozenset("comment comments disqus replies".split())
+NO_WRAPPER = frozenset("nav footer aside menu dialog head".split())
+#: A wrapper holds this share of the page's words at least, and half of them in an article; or this share and so many words.
+HOLDS, NEARLY_ALL, ENOUGH = 0.5, 0.8, 80
+#: Lines of rights that stand in no marked element: a sign and a year at the beginning, or a set phrase, in a short block.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b|copr\.)[^.]{0,60}\b(?:19|20)\d\d\b|.{0,200}\b(?:all rights reserved|tous droits réservés|alle rechte vorbehalten|todos los derechos reservados)\b", re.I | re.S)
+RIGHTS_WORDS = 40
 #: Costs, in hundredths: the classifier's weights and the smoothness of neighbours and of siblings. They are set by
 #: hand, as no page is labelled. A name weighs less than an element that is never main text.
-BIAS, PER_LOG_WORD, PER_LINK_SHARE, PUNCTUATION, IN_MAIN, IN_NEVER, NAMED, NEIGHBOUR, SIBLING = -80, 120, -400, 100, 300, -2500, -1500, 60, 80
+BIAS, PER_LOG_WORD, PER_LINK_SHARE, PUNCTUATION, IN_MAIN, IN_NEVER, NAMED, NEIGHBOUR, SIBLING, LEGAL = -80, 120, -400, 100, 300, -2500, -1500, 60, 80, -900
+
+
+@dataclass
+class Mark:
+    """An element that is hardly ever main text: what that costs its blocks, the mark around it, and whether it can be a wrapper."""
+
+    cost: int
+    around: int
+    wraps: bool  # around an article
+    wraps_all: bool  # around nearly everything
+    words: int = 0
+    in_main: int = 0
 
 
 @dataclass
 class Block:
     parent: int
-    never: int
+    mark: int
     main: bool
     parts: list[str] = field(default_factory=list)
     link: int = 0
     text: str = ""
+    never: int = 0
+    words: int = 0
 
     def cost(self) -> int:
         """Above zero: what calling it boilerplate costs; below: what calling it content costs."""
-        words = len(self.text.split())
         share = min(1.0, self.link / max(1, len(self.text)))
-        return round(BIAS + PER_LOG_WORD * log1p(words) + PER_LINK_SHARE * share + PUNCTUATION * bool(SIGN.search(self.text)) + IN_MAIN * self.main + self.never) or -1
+        legal = LEGAL * (not self.main and self.words <= RIGHTS_WORDS and RIGHTS.match(self.text) is not None)
+        return round(BIAS + PER_LOG_WORD * log1p(self.words) + PER_LINK_SHARE * share + PUNCTUATION * bool(SIGN.search(self.text)) + IN_MAIN * self.main + self.never + legal) or -1
 
 
 @dataclass
 class Element:
-    """An open block-level element: the cost of its names and kind, and the inline elements (tag, cost) open in it."""
+    """An open block-level element: its mark, and the inline elements (tag, mark) open in it. Mark 0 is none."""
 
     tag: str
-    never: int
+    mark: int
     main: bool
     number: int
     inline: list[tuple[str, int]] = field(default_factory=list)
@@ -86,7 +112,25 @@ class Element:
 
     @property
     def now(self) -> int:
-        return self.inline[-1][1] if self.inline else self.never
+        return self.inline[-1][1] if self.inline else self.mark
+
+
+def weigh(blocks: list[Block], marks: list[Mark]) -> None:
+    """Set what the marks around each block cost, without those of wrappers."""
+    for b in blocks:
+        b.words = len(b.text.split())
+        marks[b.mark].words += b.words
+        marks[b.mark].in_main += b.words * b.main
+    for m in reversed(marks[1:]):  # marks inside come after those around them
+        marks[m.around].words += m.words
+        marks[m.around].in_main += m.in_main
+    total, cost = max(1, marks[0].words), [0] * len(marks)
+    for k, m in enumerate(marks[1:], 1):
+        article = m.wraps and m.words >= HOLDS * total and 2 * m.in_main >= m.words
+        nearly = m.wraps_all and m.words >= max(ENOUGH, NEARLY_ALL * total)
+        cost[k] = min(cost[m.around], 0 if article or nearly else m.cost)
+    for b in blocks:
+        b.never = cost[b.mark]
 
 
 def signs(attributes: str) -> tuple[set[str], bool]:
@@ -114,7 +158,7 @@ def plain(parts: list[str]) -> str:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    stack, open_blocks = [Element("", 0, False, 0)], Counter()
+    stack, open_blocks, marks = [Element("", 0, False, 0)], Counter(), [Mark(0, 0, False, False)]
     links, number, pos, now, held = 0, 0, 0, None, None  # held: the block that an inline notice or advert interrupts
     quotes, endless = True, set()  # whether quotes are still trusted; raw elements that end nowhere further on
 
@@ -144,18 +188,18 @@ def blocks_of(page: str) -> list[Block]:
     def leave_inline(tag: str):
         """An inline element of the last block-level one ends, and with it those inside."""
         nonlocal links, now, held
-        e, notice = stack[-1], stack[-1].now
+        e, mark = stack[-1], stack[-1].now
         while e.open[tag]:
             last, _ = e.inline.pop()
             e.open[last] -= 1
             links -= last == "a"
             if last == tag:
                 break
-        if notice and not e.now:  # what follows an inline notice goes on with the block before it
-            before, held = held, None
-            close_block()
-            now = before
+        if mark != e.now:  # what follows an inline notice goes on with the block before it
             if now is not None:
+                now.text, now = plain(now.parts), None
+            if held is not None and held.mark == e.now:
+                now, held = held, None
                 now.parts.append(" ")
 
     while pos < len(page):
@@ -221,25 +265,30 @@ def blocks_of(page: str) -> list[Block]:
         names, hidden = signs(attributes) if attributes and not attributes.isspace() else (set(), False)
         if tag in NAMELESS:
             names = set()
-        never = e.now
-        if hidden or tag in NEVER:
-            never = IN_NEVER
-        elif not never and (names & NEVER_NAMES or (not main and (tag == "header" or names & OUTER_NAMES))):
-            never = NAMED
-        if "main" in names and not never:
+        mark = e.now
+        if hidden or tag in NEVER or names & NEVER_NAMES or (not main and (tag == "header" or names & OUTER_NAMES)):
+            loose = not hidden and not names & READERS
+            marks.append(Mark(IN_NEVER if hidden or tag in NEVER else NAMED, mark, loose, loose and tag not in NO_WRAPPER))
+            mark = len(marks) - 1
+        elif "main" in names and marks[mark].cost == 0:
             main = True
         links += tag == "a"
         if tag in INLINE:
-            if now is not None and never and not e.now:
-                held, now = now, None  # an inline notice or advert is a block of its own
-            e.inline.append((tag, never))
+            if now is not None and mark != e.now:
+                if held is None:
+                    held, now = now, None  # an inline notice or advert is a block of its own
+                else:
+                    now.text, now = plain(now.parts), None
+            e.inline.append((tag, mark))
             e.open[tag] += 1
         else:
             number += 1
             open_blocks[tag] += 1
-            stack.append(Element(tag, never, main, number))
+            stack.append(Element(tag, mark, main, number))
     close_block()
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text]
+    weigh(out, marks)
+    return out
 
 
 def min_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:

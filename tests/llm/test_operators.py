@@ -648,3 +648,43 @@ def test_loose_names_and_values_hide_nothing(mark):
 @pytest.mark.parametrize("mark", ['div class="x ad"', 'div id="cookie-notice"', "div hidden", 'div style="display: none"'])
 def test_marked_containers_stay_out(mark):
     assert o3.main_text(f"<p>The long enough text, of an article that stays.</p><{mark}>Some other text, long enough too, to be kept otherwise.</div>") == "The long enough text, of an article that stays."
+
+
+LONG = "The long enough text, with signs, of an article that nobody wants to lose."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form id='aspnetForm'><nav><a href=/>Home</a></nav><article><p>{}</p></article></form></body>", "<div id='page' class='search'><main><p>{}</p></main></div>",
+    "<div class='top register'><header>Site name</header><div class=widget><article><p>{}</p></article></div></div>", "<form action=/post><div class=page>" + "<p>{}</p>" * 8 + "</div></form>",
+    "<aside class=menu><article><h1>{}</h1></article></aside>",
+])
+def test_wrappers_of_the_article_hide_nothing(page):
+    assert o3.main_text(page.replace("{}", LONG)) == " ".join([LONG] * page.count("{}"))
+
+
+@pytest.mark.parametrize("junk", [
+    "<div>Copyright 2020 Some House. All rights reserved.</div>", "<p>© 2019-2021 The Owners of it</p>", "<div>Ein Verlag, alle Rechte vorbehalten.</div>",
+    "<section id=comments><article><p>" + "Readers write more than the writer did, by far. " * 12 + "</p></article></section>", "<aside><article><p>A teaser, of another text.</p></article></aside>",
+    "<div hidden><article><p>" + "What nobody is shown, though there is much of it. " * 9 + "</p></article></div>", "<form><p>Your name, and your address, please.</p></form>",
+])
+def test_what_is_no_article_stays_out(junk):
+    assert o3.main_text(f"<article><p>{LONG} {LONG}</p></article>{junk}") == f"{LONG} {LONG}"
+
+
+def test_formulas_and_nested_notices_inside_sentences():
+    assert o3.main_text(f"<p>{LONG} The area is <math><msup><mi>r</mi><mn>2</mn></msup><annotation>r^2</annotation></math> units, as shown here.</p>") == f"{LONG} The area is r2 units, as shown here."
+    assert o3.main_text(f"<p>{LONG} One <span class=ad>buy <b class=promo>now</b> today</span> two three.</p>") == f"{LONG} One two three."
+    assert o3.main_text(f"<article><p>{LONG} Copyright 1710 was the first of its kind.</p></article>").endswith("first of its kind.")
+
+
+def test_pages_of_other_makers_keep_their_text():
+    """Layouts with names that the operator has no list of, and of wrappers that it has."""
+    rng = random.Random(33)
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    for _ in range(200):
+        parts = [f"{words(rng.randrange(25, 60))}, {words(9)}." for _ in range(rng.randrange(4, 9))]
+        inner = "".join(f"<div class='blk-{rng.randrange(99)}'><p>{p}</p></div>" for p in parts)
+        shell = rng.choice(["<form id=f1 class='{}'>", "<div class='{} x7'>", "<section id='{}'>"]).format(rng.choice(["search", "share", "top", "widget", "banner", "notice", "qq-12"]))
+        links = "".join(f"<a href=/{k}>{words(1)}</a> " for k in range(9))
+        page = f"<html><body>{shell}<div class=zz>{links}</div><div class=lead>{inner}</div><ul>{''.join(f'<li><a href=/{k}>{words(2)}</a>' for k in range(6))}</ul></{shell[1:].split()[0]}><div>Copyright {rng.randrange(1990, 2024)} {words(2)}. All rights reserved.</div></body></html>"
+        assert o3.main_text(page) == " ".join(parts)
