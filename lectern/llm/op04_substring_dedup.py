@@ -4,8 +4,9 @@ A window is 13 consecutive words. Its fingerprint is the smallest hash among its
 that are equal have equal fingerprints, and neighbouring windows mostly share one: the index has about a fifth as many rows
 as there are windows. The index is a list of immutable runs, one for each batch of documents: bucketed and
 sorted by fingerprint, all with the same buckets, so that a new run meets the older ones in merge joins without
-moving them. After the last batch the runs are compacted into one, which the next call can go on from; runs that it
-replaces are dropped. A fingerprint that very many documents share weighs two rows for each batch of a task: documents
+moving them. Before a batch, several runs are compacted into one, with which it is joined then; runs that it
+replaces are dropped. An index that is kept goes on in later calls: their documents lose what documents of earlier calls hold. Of
+those, only the ones that share a fingerprint with the new batch are read again, from where they came. A fingerprint that very many documents share weighs two rows for each batch of a task: documents
 beyond the second are known to share it and are dealt by their own hash.
 
 A matching fingerprint only makes candidates: windows under matching fingerprints, of old and new documents
@@ -39,17 +40,17 @@ from pyspark.sql import functions as F
 from .common import read, shared_path, small_batches, spent_shuffles_go, stage
 
 WINDOW, GRAM = 13, 5
-#: Runs that an index holds before they are compacted.
-MAX_RUNS = 8
+#: Runs that a batch is joined with; more are compacted first.
+MAX_RUNS = 1
 #: Shared windows that a task remembers; beyond them windows are settled after the exchange.
 KNOWN = 400_000
-#: Fixed odd multipliers and mixing constants of the word hashes' combinations.
 #: Places where the copies of one text are dealt to.
 SALTS = 32
 #: The bits of a text's hash that tell rows of one doc_id apart.
 TAG = 0x7FFFFFFF
 #: The bit of a key that no fingerprint has.
 SETTLED = np.uint64(1 << 61)
+#: Fixed odd multipliers and a mixing constant for combining the hashes of words.
 M1, M2, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -145,11 +146,13 @@ def prints(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class FingerprintIndex:
-    """Runs are tables (k, h, doc_id) over files in the shared folder, bucketed and sorted by k; runs: their names and folders."""
+    """Runs are tables (k, h, doc_id) over files in the shared folder, bucketed and sorted by k; runs: their names and folders;
+    texts: the documents (doc_id, text) of earlier calls, which must stay readable."""
 
     spark: SparkSession
     buckets: int = 0
     runs: dict[str, str] = field(default_factory=dict)
+    texts: list[DataFrame] = field(default_factory=list)
 
     def __post_init__(self):
         self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -185,6 +188,15 @@ class FingerprintIndex:
             self._write(rows)
             self.drop(old)
 
+    def sharing(self, candidates: DataFrame) -> DataFrame | None:
+        """The documents of earlier calls that share a fingerprint with the candidates."""
+        if not self.texts:
+            return None
+        rows = self.texts[0]
+        for t in self.texts[1:]:
+            rows = rows.unionByName(t)
+        return stage(rows.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi"), "earlier-texts")
+
     def drop(self, names: list[str] | None = None) -> None:
         """Remove runs (all of them, if none are named) from the catalog and from the shared folder."""
         for name in list(self.runs) if names is None else names:
@@ -277,15 +289,17 @@ def keep_words(text: str | None, at: list[int], is_copy: bool) -> tuple[int, int
     return n, int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), b"".join(out).decode("utf-8", "replace")
 
 
-def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, for every row of docs, with the columns of keep."""
+def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False, keep: tuple[str, ...] = (), earlier: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the text that is left, for every row of docs, with the columns of keep.
+    Documents of earlier (doc_id, text) remove words of docs, and nothing is said about them."""
     small_batches(docs.sparkSession)
-    first = first_copies(docs)
-    windows = matching_windows(docs, candidates, first)
+    every = docs if earlier is None else docs.select(_id(docs), "text").unionByName(earlier)
+    first = first_copies(every)
+    windows = matching_windows(every, candidates, first)
     so_far = W.partitionBy("w1", "w2").orderBy("doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)  # streams, holds no group
     hits = windows.withColumn("lo", F.min("doc_id").over(so_far)).where("hit or doc_id > lo").select("doc_id", "tag", "at", "more").repartition("doc_id", "tag")
     per_doc = hits.groupBy("doc_id", "tag").agg(F.concat(F.collect_list("at"), F.flatten(F.collect_list("more"))).alias("at"))
-    rows = _named(docs).select(_id(docs), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
+    rows = _named(every).select(_id(every), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b"))
     # a text that very many rows have is met by its copies in SALTS places
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     copied = rows.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
@@ -310,21 +324,25 @@ def removed(docs: DataFrame, candidates: DataFrame, with_text: bool = False, kee
     return done.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["text"] if with_text else []), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2, with_text: bool = False, keep: tuple[str, ...] = (), index: FingerprintIndex | None = None) -> DataFrame:
-    """Feed the documents to a new index in batches of ascending doc_id, compact it, then decide on all of them. The
-    index is dropped in the end, unless the caller gives one that goes on."""
+def substring_dedup(docs: DataFrame, batches: int = 3, with_text: bool = False, keep: tuple[str, ...] = (), index: FingerprintIndex | None = None) -> DataFrame:
+    """Feed the documents to an index in batches of ascending doc_id, each joined with what is there before it, then decide on all of
+    them. The index is a new one that is dropped in the end, unless the caller gives one: then what it holds removes words as well, and it holds these documents
+    afterwards. Documents of earlier calls are not judged again."""
     cuts = _named(docs).agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
     runs, candidates, low, number = index or FingerprintIndex(docs.sparkSession), None, None, F.col("doc_id").cast("long")
-    for cut in [*sorted(set(cuts or [])), None]:
-        part = docs.where((F.lit(True) if low is None else number > low) & (F.lit(True) if cut is None else number <= cut))
-        found = runs.add(part)
-        candidates = found if candidates is None else candidates.union(found)
-        runs.compact()
-        low = cut
-    runs.compact(force=True)
-    if index is None:
-        runs.drop()
-    return removed(docs, candidates, with_text, keep)
+    try:
+        for cut in [*sorted(set(cuts or [])), None]:
+            part = docs.where((F.lit(True) if low is None else number > low) & (F.lit(True) if cut is None else number <= cut))
+            runs.compact()
+            found = runs.add(part)
+            candidates = found if candidates is None else candidates.union(found)
+            low = cut
+        earlier = runs.sharing(candidates)
+        runs.texts.append(_named(docs).select(_id(docs), "text"))
+    finally:
+        if index is None:
+            runs.drop()
+    return removed(docs, candidates, with_text, keep, earlier)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
