@@ -1,6 +1,6 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton over folded text.
 
-Folding lower-cases, strips accents, maps look-alike letters to Latin ones, reads digits and signs between
+Folding lower-cases, strips accents, maps look-alike letters to Latin ones, drops what shows nothing, reads digits and signs between
 letters as the letters they stand for, and turns everything else into single spaces. The lexicon holds whole
 words and word beginnings whose share of toxic documents, counted over labelled rows, is far above the rest;
 the weight is the log odds. Exception phrases that hold a lexicon word are matched by the same automaton and
@@ -35,11 +35,13 @@ from .common import read, small_batches, stage
 from .op01_quality_gam import remainder, sampled_marks
 
 MAX_ROWS, MIN_DOCS, MIN_PHRASE, MIN_LOG_ODDS = 60_000, 4, 8, 1.5
-#: Letters of other scripts that look like Latin ones, and signs that stand for letters.
+#: Letters of other scripts that look like Latin ones (Cyrillic, Greek, others, small capitals), and signs that stand for letters.
 LOOK_ALIKES = str.maketrans(
-    "аеорсухіјѕԁһӏвкмнт" + "αοενικρτυχ" + "ßıøłđæœ",
-    "aeopcyxijsdhlbkmht" + "aoevikptux" + "sioldao",
+    "аеорсухіјѕԁһӏвкмнтԛԝѵѡьгєү" + "αοενικρτυχγωηβζμσς" + "ßıøłđæœɪɡɑɩʟʀꞵʋƅսօոհցѻ" + "ᴀʙᴄᴅᴇꜰɢʜᴊᴋᴍɴᴏᴘꜱᴛᴜᴠᴡʏᴢ",
+    "aeopcyxijsdhlbkmhtqwvwbrey" + "aoevikptuxywnbzuss" + "sioldaoigailrbvbuonhgo" + "abcdefghjkmnopstuvwyz",
 )
+#: Characters that show nothing: zero-width ones, soft hyphens, joiners, direction marks, variation selectors.
+UNSEEN = dict.fromkeys([0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0x3164, *range(0xFE00, 0xFE10), 0xFEFF, 0xFFA0, *range(0xE0100, 0xE01F0)])
 STANDS_FOR = dict(zip("013457@$!|", "oieastasil"))
 #: Phrases of lexicon words that insult nobody.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "stupid simple", "loser bracket")
@@ -51,12 +53,12 @@ _WORD = re.compile(r"[^\W_]+")
 
 def _bare(text: str) -> str:
     """Without accents, look-alike letters as Latin ones."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).translate(LOOK_ALIKES)
+    return "".join(c for c in unicodedata.normalize("NFKD", text.translate(UNSEEN)) if not unicodedata.combining(c)).translate(LOOK_ALIKES)
 
 
 #: Most accented letters are single ones that fold alike wherever they stand; a text with others is folded whole.
 _SINGLE = {chr(c): _bare(chr(c)) for c in range(0xC0, 0x250)}
-_ACCENTED, _OTHER = re.compile("[À-ɏ]"), re.compile("[^\x00-\x7fÀ-ɏ]")
+_ACCENTED, _OTHER = re.compile("[À-ɏ]"), re.compile("[^\x00-\x7fÀ-ɏ]")  # what is unseen is among the others
 
 
 def fold(text: str | None) -> list[str]:
@@ -210,7 +212,10 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Lexicon:
     """A lexicon from labelled documents; labels: doc_id, toxic. Their texts are folded once."""
     marks = sampled_marks(labels, "toxic", remainder("doc_id", 3) != 1, max_rows, F.max)
-    rows = stage(folded(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id")), "toxic-rows")
+    words = folded(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))
+    # rows that repeat an id count as one, so that the bound on ids is one on rows
+    one = words.groupBy("doc_id").agg(F.min_by(F.struct("y", "words"), F.struct(F.xxhash64("words"), "words")).alias("r"))
+    rows = stage(one.select("doc_id", "r.*"), "toxic-rows")
     n_docs, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     weights = choose_terms(counted(rows, terms_of), n_docs, n_toxic)
     lexicon = Lexicon(weights)
