@@ -228,16 +228,31 @@ def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = (), cut: b
     return out.select(*names[:5], *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
-def _blocks(benchmark: DataFrame) -> int:
+#: What separates words, as Spark reads it; and the words of a piece of an item.
+NO_WORD = "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"
+PIECE = 4096
+
+
+def _pieces(benchmark: DataFrame) -> DataFrame:
+    """item_id and text of the items' distinct pieces: of PIECE words at most, each with the last words of the one before, so that every window is in
+    one. An item that very many rows repeat is there once, and a very long one is dealt to several blocks."""
+    named = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.filter(F.split("text", NO_WORD), lambda x: x != "").alias("w"))
+    n = F.size("w")
+    starts = F.when(n > PIECE, F.sequence(F.lit(0), n - WINDOW, F.lit(PIECE - WINDOW + 1))).otherwise(F.array(F.lit(0)))
+    cut = named.where(n > 0).select("item_id", "w", F.explode(starts).alias("at"))
+    return cut.select("item_id", F.array_join(F.slice("w", F.col("at") + 1, F.lit(PIECE)), " ").alias("text")).distinct()
+
+
+def _blocks(pieces: DataFrame) -> int:
     """Passes needed so that the windows of one pass have at most BLOCK_WORDS words."""
-    n = benchmark.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
+    n = pieces.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
     return 1 + int(n) * WINDOW // BLOCK_WORDS
 
 
 def hit_spans(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
     """doc_id, n_words, begins, ends (merged spans of hit words) and items for every row, with the columns of keep; with
     cut, text (one of keep) comes without its hit words."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = _pieces(benchmark)
     n = _blocks(items)
     part = lambda k: [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
     if n == 1:

@@ -688,3 +688,62 @@ def test_pages_of_other_makers_keep_their_text():
         links = "".join(f"<a href=/{k}>{words(1)}</a> " for k in range(9))
         page = f"<html><body>{shell}<div class=zz>{links}</div><div class=lead>{inner}</div><ul>{''.join(f'<li><a href=/{k}>{words(2)}</a>' for k in range(6))}</ul></{shell[1:].split()[0]}><div>Copyright {rng.randrange(1990, 2024)} {words(2)}. All rights reserved.</div></body></html>"
         assert o3.main_text(page) == " ".join(parts)
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_a_later_call_loses_what_an_earlier_one_holds(spark, rows, batches):
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, text string").repartition(3)
+    named = [r for r in rows if r[0] is not None]
+    calls = [[r for r in named if r[0] % 3 == k] for k in range(3)]
+    index = o4.FingerprintIndex(spark)
+    got, seen = [], []
+    try:
+        for part in calls:
+            got.append({(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in o4.substring_dedup(frame(part), batches, index=index).collect()})
+            seen += part
+            ids = {i for i, _ in part}
+            assert got[-1] == {r for r in brute_removed(seen) if r[0] in ids}
+        assert len(index.runs) <= o4.MAX_RUNS + 1
+    finally:
+        index.drop()
+    assert sum(r[2] for part in got[1:] for r in part) > 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("window_run_")]
+
+
+def test_runs_go_when_a_batch_fails(spark, docs, monkeypatch):
+    add = o4.FingerprintIndex.add
+    monkeypatch.setattr(o4.FingerprintIndex, "add", lambda self, batch: 1 / 0 if self.runs else add(self, batch))
+    with pytest.raises(ZeroDivisionError):
+        o4.substring_dedup(docs)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("window_run_")]
+
+
+def test_rows_that_repeat_a_labelled_id_count_once(spark, monkeypatch):
+    rows = [(1, f"the same id again {k % 50}", 1) for k in range(20_000)] + [(k, f"other words {k}", k % 2) for k in range(2, 90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = d.select("doc_id", "quality", F.col("quality").alias("toxic")).distinct()
+    sizes, fit, stage_ = [], o1.fit, common.stage
+    monkeypatch.setattr(o1, "fit", lambda x, y: sizes.append(len(x)) or fit(x, y))
+    monkeypatch.setattr(o10, "stage", lambda df, name: (lambda out: sizes.append(out.count()) or out)(stage_(df, name)))
+    o1.fit_quality(d, labels, 100)
+    o10.learn(d, labels, 100)
+    assert len(sizes) == 2 and max(sizes) <= 89
+
+
+def test_a_very_common_or_long_item_fills_no_block(spark, docs, rows, monkeypatch):
+    long = " ".join(f"w{k}" for k in range(1, 700))
+    items = [("same", "a passage of more than ten words that is there very often indeed")] * 3000 + [("long", long), ("short", "two words")]
+    monkeypatch.setattr(o7, "PIECE", 60)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    pieces = o7._pieces(bench).collect()
+    assert len(pieces) == 2 + -(-(699 - 10 + 1) // 51) and max(len(p.text.split()) for p in pieces) == 60
+    d = spark.createDataFrame([(1, "x " + " ".join(f"w{k}" for k in range(100, 400)) + " y"), (2, "a passage of more than ten words that is there very often indeed, two words")], "doc_id long, text string")
+    want = {1: ([1], [301], ["long"]), 2: ([0], [15], ["same", "short"])}
+    for block in (4_000_000, 2000):
+        monkeypatch.setattr(o7, "BLOCK_WORDS", block)
+        assert {r.doc_id: (r.begins, r.ends, r["items"]) for r in o7.hit_spans(d, bench).collect()} == want
+
+
+@pytest.mark.parametrize("text", ["tr​ash", "tr­ash", "t⁠r﻿ash", "ᴛʀᴀsʜ", "trаѕһ", "TRɑSH", "𝓽𝓻𝓪𝓼𝓱", "ｔｒａｓｈ", "t̶r̶ash", "tr4sh", "тrash"])
+def test_disguised_letters_fold(text):
+    assert o10.fold(text) == ["trash"]
