@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import shared_path
+from ..sources.files import written
 from .mutations import last_action
 
 #: What a root review that is taken down, but has replies, says.
@@ -22,13 +22,6 @@ TAKEN_DOWN = "[Bình luận này đã bị gỡ do vi phạm]"
 COPY_SUFFIX = " (Bản sao)"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, however many plans read it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _is(c: str, other: str) -> Column:
     return F.coalesce(F.col(c) == F.col(other), F.lit(False))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -208,16 +211,31 @@ def reuse_candidates(requests: DataFrame, index: DataFrame, own: float = 0.88, p
     return _best(passed.drop("n"), ["lesson_id"], 1, "n", F.desc("own"), *order).select("lesson_id", F.col("i_lesson_id").alias("source_id"), "score", "own")
 
 
-def vectorize(docs: DataFrame, key: str, text: str, size: int = 384) -> DataFrame:
-    """key and embedding: hashed term frequencies of the text's words, weighted by inverse document frequency over all
-    rows, of length one; texts without words are left out."""
+def vectorize(docs: DataFrame, key: str, text: str, size: int = 384, model: Callable[[list[str]], list[list[float]]] | None = None, given: str | None = None) -> DataFrame:
+    """key and embedding of rows with words. Vectors that a row brings along (the column given) pass through. The others are made by
+    the model, a function from a list of texts to their vectors that runs on Arrow batches in the tasks, or without one by hashed term frequencies,
+    weighted by inverse document frequency over all rows, of length one; then texts without words are left out."""
+    kept = docs.where(F.size(given) > 0).select(key, F.col(given).cast("array<float>").alias("embedding")) if given else None
+    rest = docs.where(F.coalesce(F.size(given) <= 0, F.lit(True))) if given else docs
+    made = _modelled(rest, key, text, model) if model else _weighted(rest, docs, key, text, size)
+    return made if kept is None else made.unionByName(kept)
+
+
+def _modelled(docs: DataFrame, key: str, text: str, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    @F.pandas_udf("array<float>")
+    def embedded(batch: pd.Series) -> pd.Series:
+        return pd.Series(list(model(batch.fillna("").tolist())), dtype=object)
+
+    return docs.select(key, embedded(text).alias("embedding"))
+
+
+def _weighted(docs: DataFrame, every: DataFrame, key: str, text: str, size: int) -> DataFrame:
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
 
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    rows = docs.select(key, words.alias("_w")).where(F.size("_w") > 0)
-    counted = HashingTF(numFeatures=size, inputCol="_w", outputCol="_tf").transform(rows)
-    weighed = IDF(inputCol="_tf", outputCol="_v").fit(counted).transform(counted)
+    rows = lambda d: HashingTF(numFeatures=size, inputCol="_w", outputCol="_tf").transform(d.select(key, words.alias("_w")).where(F.size("_w") > 0))
+    weighed = IDF(inputCol="_tf", outputCol="_v").fit(rows(every)).transform(rows(docs))
     return Normalizer(inputCol="_v", outputCol="_n").transform(weighed).select(key, vector_to_array("_n", "float32").alias("embedding"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cleaning import title_keywords
 from ..functions.text import normalize_tag
+from ..sources.files import written
 
 LEVEL_MIX = {"BEGINNER": (0.6, 0.3, 0.1), "INTERMEDIATE": (0.2, 0.5, 0.3), "EXPERT": (0.1, 0.3, 0.6)}
 
@@ -183,36 +184,60 @@ def select_diverse(hits: DataFrame, key: str, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*best))).where(F.col("rank") <= k)
 
 
-def recommend_courses(users: DataFrame, plans: DataFrame, memory: DataFrame, students: DataFrame, ratings: DataFrame, top: int = 10) -> DataFrame:
+def contained(texts: DataFrame, needles: DataFrame, key: str, text: str, needle: str) -> DataFrame:
+    """(key, needle) where the needle is in the text. An inverted index of the texts' character trigrams: a needle of which one is
+    in no text is nowhere; any other meets the texts of its rarest one only, and is looked for in those. Needles of one or two characters
+    are their own index entry."""
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
+    some = lambda c, n: F.when(F.length(c) >= n, grams(c, n)).otherwise(F.array().cast("array<string>"))
+    wanted = needles.select(needle).where(F.length(needle) > 0).distinct()
+    own = F.when(F.length(needle) < 3, F.array(needle)).otherwise(F.array_distinct(grams(F.col(needle), 3)))
+    asked = wanted.select(needle, F.explode(own).alias("_gram"))
+    held = texts.select(key, text, F.explode(F.array_distinct(F.concat(some(F.col(text), 1), some(F.col(text), 2), some(F.col(text), 3)))).alias("_gram"))
+    counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    met = asked.join(counts, "_gram", "left").groupBy(needle).agg(F.min_by("_gram", "_n").alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_none"))
+    return held.join(met.where("_none = 0").select(needle, "_gram"), "_gram").where(F.contains(text, F.col(needle))).select(key, needle)
+
+
+def recommend_courses(users: DataFrame, plans: DataFrame, memory: DataFrame, students: DataFrame, ratings: DataFrame, top: int = 10, candidates: int = 40) -> DataFrame:
     """Courses for every user by interests: 3 for a category and 2 for each tag or normal tag of own courses, 1 for each topic
     (of the ten best remembered, and title keywords) in a course's title. The first 40 matches are candidates; where
-    they are fewer than six, the 30 newest join them. Then students, then rating. Users and courses meet on terms and on
-    the parts of titles that are topics, never all with all. memory: user_id, topic, count."""
+    they are fewer than six, the 30 newest join them. Then students, then rating. The first 40 of all matches are among the
+    first 40 of each interest, so users meet a list of 40 for each of theirs, and only their candidates are scored. memory: user_id, topic, count."""
     live = plans.where("is_public and not is_deleted")
     own = plans.where("not is_deleted").withColumnRenamed("owner_id", "user_id")
     small = lambda c: F.transform(c, lambda x: F.lower(F.trim(x)))
     both = lambda d: F.concat(small("tags"), F.transform("tags", lambda x: F.lower(normalize_tag(x))))
     best = memory.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("count"), "topic"))).where("n <= 10")
     topics = best.select("user_id", F.lower(F.trim("topic")).alias("topic")).union(own.select("user_id", F.explode(title_keywords("title")))).where("topic <> ''").distinct()
-    tags = own.select("user_id", F.explode(both(own)).alias("tag")).distinct()
-
-    lengths = sorted(r[0] for r in topics.select(F.length("topic")).distinct().collect())  # a few numbers, whatever the data
-    title = live.select("plan_id", F.lower("title").alias("t")).withColumn("i", F.explode(F.sequence(F.lit(1), F.greatest(F.length("t"), F.lit(1)))))
-    parts = title.select("plan_id", F.explode(F.array_distinct(F.array(*[F.substring("t", F.col("i"), F.lit(n)) for n in lengths]))).alias("topic")) if lengths else title.select("plan_id", F.col("t").alias("topic")).limit(0)
-    named = parts.join(topics.select("topic").distinct(), "topic", "left_semi").distinct()
-    points = (
-        own.select("user_id", "category").distinct().join(live.select("plan_id", "category"), "category").select("user_id", "plan_id", F.lit(3).alias("w"))
-        .union(tags.join(live.select("plan_id", F.explode(both(live)).alias("tag")), "tag").select("user_id", "plan_id", F.lit(2)))
-        .union(topics.join(named, "topic").select("user_id", "plan_id", F.lit(1)))
+    named = contained(live.select("plan_id", F.lower("title").alias("t")), topics, "plan_id", "t", "topic")
+
+    # an interest is a weight and a word; what it is in a course can be there more than once (tags), in a user once
+    held = (
+        live.select("plan_id", F.lit(3).alias("w"), F.col("category").alias("word"))
+        .union(live.select("plan_id", F.lit(2), F.explode(both(live)))).union(named.select("plan_id", F.lit(1), "topic")).groupBy("plan_id", "w", "word").agg(F.count("*").alias("times"))
     )
-    scored = points.groupBy("user_id", "plan_id").agg(F.sum("w").alias("score"))
-    first = scored.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("plan_id"))).where("n <= 40").drop("n")
-    few = users.select("user_id").join(first.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 6"), "user_id", "left_anti")
-    newest = live.orderBy(F.desc("created_rank"), "plan_id").limit(30).select("plan_id")
-    more = few.join(F.broadcast(newest)).join(first, ["user_id", "plan_id"], "left_anti").select("user_id", "plan_id", F.lit(0).cast("long").alias("score"))
-    rows = first.unionByName(more).join(students, "plan_id", "left").join(ratings.select("plan_id", "avg_rating"), "plan_id", "left")
-    n = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), F.desc(F.coalesce("students", F.lit(0))), F.desc(F.coalesce("avg_rating", F.lit(0.0))), "plan_id"))
-    return rows.select("user_id", "plan_id", "score", n.alias("place")).where(F.col("place") <= top)
+    held = written(held, "interests-of-courses")
+    mine = own.select("user_id", F.lit(3).alias("w"), F.col("category").alias("word")).union(own.select("user_id", F.lit(2), F.explode(both(own)))).union(topics.select("user_id", F.lit(1), "topic")).distinct()
+    mine = written(mine, "interests-of-users")
+    heads = held.withColumn("n", F.row_number().over(W.partitionBy("w", "word").orderBy("plan_id"))).where(F.col("n") <= candidates)
+    lists = heads.groupBy("w", "word").agg(F.collect_list("plan_id").alias("plans"))  # at most 40
+    near = mine.join(lists, ["w", "word"]).select("user_id", F.explode("plans").alias("plan_id")).distinct()
+    near = near.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("plan_id"))).where(F.col("n") <= candidates).drop("n")
+    first = near.join(held, "plan_id").join(mine, ["user_id", "w", "word"]).groupBy("user_id", "plan_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    first = written(first, "first-courses")
+
+    better = [F.desc(F.coalesce("students", F.lit(0))), F.desc(F.coalesce("avg_rating", F.lit(0.0))), F.asc("plan_id")]
+    standing = written(students.join(ratings.select("plan_id", "avg_rating"), "plan_id", "full"), "standing-of-courses")
+    known = lambda d: d.join(standing, "plan_id", "left")
+    newest = [r.plan_id for r in known(live.orderBy(F.desc("created_rank"), "plan_id").limit(30).select("plan_id")).orderBy(*better).select("plan_id").collect()]
+    offered = lambda ids: F.array(*map(F.lit, ids)).cast(f"array<{dict(live.dtypes)['plan_id']}>")
+    counts = users.select("user_id").join(first.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
+    # without candidates everyone has the same list; with few, as many of it as can be among the best
+    same = counts.where("n is null").select("user_id", F.posexplode(offered(newest[:top])).alias("place", "plan_id")).select("user_id", "plan_id", F.lit(0).cast("long").alias("score"), F.col("place") + 1)
+    more = counts.where("n < 6").select("user_id", F.explode(offered(newest[: top + 5])).alias("plan_id")).join(first, ["user_id", "plan_id"], "left_anti").select("user_id", "plan_id", F.lit(0).cast("long").alias("score"))
+    n = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), *better))
+    return known(first.unionByName(more)).select("user_id", "plan_id", "score", n.alias("place")).where(F.col("place") <= top).union(same)
 
 
 def replies_by_parent(reviews: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.sql import register
 from ..functions.text import RERANK_STOP, REUSE_STOP, embedding_input
 from ..operators import classify as N
 from ..operators import retrieval as V
@@ -169,3 +170,33 @@ query("v12_sync_public", "SELECT i.lesson_id, coalesce(p.is_public, i.lesson_id
 query("s14_lessons_to_index", "SELECT l.lesson_id, l.plan_id, owner_id, is_public FROM lessons l JOIN plans p ON p.plan_id = l.plan_id WHERE l.lesson_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 2 = 0)")(
     lambda t: V.lessons_to_index(t.lessons, t.plans, t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("lesson_id")))
 )
+
+
+@query(
+    "sql_functions",
+    """SELECT c.chunk_id, round(list_cosine_similarity(CAST(c.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 4) AS score,
+  round(len(list_intersect(string_split(c.content, ' '), string_split(d.content, ' '))) / len(list_distinct(list_concat(string_split(c.content, ' '), string_split(d.content, ' ')))), 6) AS overlap,
+  (['remember', 'understand', 'apply', 'analyze', 'evaluate', 'create'])[CAST(least(5, floor((c.chunk_id % 9) / greatest(1, 8) * 6)) AS INT) + 1] AS bloom,
+  CAST(CASE c.chunk_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS INT) AS level
+FROM chunks c JOIN chunks d ON d.chunk_id = c.chunk_id + 1""",
+)
+def sql_functions(t):
+    """SQL text over the platform's tables that calls the functions."""
+    register(t.spark)
+    return t.spark.sql(
+        """SELECT c.chunk_id, round(cosine(c.embedding, d.embedding), 4) AS score, round(jaccard(split(c.content, ' '), split(d.content, ' ')), 6) AS overlap,
+  bloom_level(CAST(c.chunk_id % 9 AS INT) + 1, 9) AS bloom, heading_level(element_at(array('2.1 Parts', 'Chapter 4', 'TWO WORDS', 'a line'), CAST(c.chunk_id % 4 AS INT) + 1)) AS level
+FROM {chunks} c JOIN {chunks} d ON d.chunk_id = c.chunk_id + 1""",
+        chunks=t.chunks,
+    )
+
+
+def counted_letters(texts: list[str]) -> list[list[float]]:
+    """A model for the hook: how often a text has each letter."""
+    return [[float(x.lower().count(c)) for c in "abcdefghijklmnopqrstuvwxyz"] for x in texts]
+
+
+LETTERS = "list_transform(string_split('abcdefghijklmnopqrstuvwxyz', ''), lambda c: length(text) - length(replace(lower(text), c, '')))"
+query("v1_model_vectors", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1.0,2.0' ELSE array_to_string(list_transform({LETTERS}, lambda x: CAST(CAST(x AS DOUBLE) AS VARCHAR)), ',') END AS vector FROM documents")(
+    lambda t: V.vectorize(t.documents.withColumn("own", F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(1.0), F.lit(2.0)))), "doc_id", "text", model=counted_letters, given="own").select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("double").cast("string")), ",").alias("vector"))
+)

@@ -135,3 +135,23 @@ def test_pivot_join_equals_brute_force_on_few_pairs(spark, monkeypatch, block):
     pairs = I.meeting(requests.select("lesson_id", "vector"), index.select(F.col("lesson_id").alias("i"), F.col("vector").alias("i_vector")), pivots)
     assert pairs.count() < len(asked) * len(rows) / 10
     assert V.reuse_candidates(requests, index.limit(0)).count() == 0
+
+
+def test_sql_functions_say_what_the_builders_say(spark):
+    from lectern.functions import sql
+    from lectern.functions import text as X
+
+    assert sql.register(spark) == ["cosine", "jaccard", "bloom_level", "heading_level"]
+    lines = ["# One", "##### five", "1. Intro", "2.3.4.5.6 Deep", "A. Letter", "IV. Roman line here", "Chương 3 vectors", "TWO WORDS", "F(X) = 2", "plain text", "", "  ", None, "Section II"]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert df.select(X.heading_level("line").alias("a"), F.expr("heading_level(line)").alias("b")).where("not a <=> b").count() == 0
+    pairs = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0], ["a", "b"], ["b", "c"], 3, 7), ([1.0], [1.0, 2.0], [], ["a"], 1, 1), ([0.0], [0.0], ["a"], ["a"], 9, 4)], "a array<double>, b array<double>, s array<string>, t array<string>, day int, days int")
+    got = pairs.select(V.cosine("a", "b").alias("c1"), F.expr("cosine(a, b)").alias("c2"), X.jaccard("s", "t").alias("j1"), F.expr("jaccard(s, t)").alias("j2"), X.bloom_level("day", "days").alias("b1"), F.expr("bloom_level(day, days)").alias("b2")).collect()
+    assert all(r.c1 == r.c2 and r.j1 == r.j2 and r.b1 == r.b2 for r in got)
+
+
+def test_vectors_pass_through_or_come_from_a_model(spark):
+    docs = spark.createDataFrame([(1, "aab", None), (2, None, []), (3, "zz", [7.0])], "doc_id long, text string, own array<double>")
+    got = {r.doc_id: r.embedding for r in V.vectorize(docs, "doc_id", "text", model=lambda texts: [[float(len(x))] for x in texts], given="own").collect()}
+    assert got == {1: [3.0], 2: [0.0], 3: [7.0]}
+    assert {r.doc_id for r in V.vectorize(docs, "doc_id", "text", given="own").collect()} == {1, 3}
