@@ -81,9 +81,30 @@ query("k6_split_long_sections")(lambda t: C.split_long_sections(C.merge_sections
 query("k7_chunk_documents")(lambda t: C.chunk_documents(t.marked_documents))
 query("k10_propositions")(lambda t: C.propositions(C.chunk_documents(t.marked_documents)))
 query("k11_expand_propositions")(lambda t: C.expand_propositions(C.chunk_documents(t.marked_documents)))
-query("k12_text_windows")(lambda t: C.text_windows(t.documents).select("doc_id", "window", F.length("content").alias("chars"), F.md5("content").alias("digest")))
+WINDOW = "substring(text, pos + 1, 8000)"
+HEAD = f"length(regexp_extract({WINDOW}, '(?s)^(.*)\\n\\n', 1))"  # where the last blank line begins
+CUT = f"CASE WHEN pos + 8000 >= length(text) THEN length(text) - pos WHEN contains({WINDOW}, chr(10) || chr(10)) AND {HEAD} > 4000 THEN {HEAD} + 2 ELSE 8000 END"
+query(
+    "k12_text_windows",
+    f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS k, 0 AS pos, {CUT.replace('pos', '0')} AS n FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, text, k, pos, {CUT} FROM (SELECT doc_id, text, k + 1 AS k, pos + CASE WHEN k = 0 THEN n ELSE greatest(n - 400, 1) END AS pos FROM w WHERE pos + 8000 < length(text)))
+SELECT doc_id, CAST(k AS INT) AS "window", CAST(n AS INT) AS chars, md5(substring(text, pos + 1, n)) AS digest FROM w""",
+)(lambda t: C.text_windows(t.documents).select("doc_id", "window", F.length("content").alias("chars"), F.md5("content").alias("digest")))
 query("k16_build_chunk_index")(lambda t: C.build_chunk_index(t.marked_documents).select("doc_id", "chunk_index", "topic", "kind", "word_count"))
-query("s5_html_tables_to_markdown")(lambda t: t.pages.select("page_id", F.md5(C.html_tables_to_markdown("html")).alias("digest")))
+CELL = r"trim(regexp_replace(regexp_replace(regexp_replace(y, '(?i)<t[dh][^>]*>|</t[dh]>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+ROW = rf"concat('|', array_to_string(list_transform(regexp_extract_all(r, '(?i)<t[dh][^>]*>[\s\S]*?</t[dh]>'), lambda y: concat(' ', {CELL}, ' |')), ''), chr(10))"
+TABLE = rf"concat(chr(10), chr(10), '[BẢNG DỮ LIỆU / SO SÁNH]', chr(10), array_to_string(list_transform(regexp_extract_all(tb, '(?i)<tr[^>]*>[\s\S]*?</tr>'), lambda r: {ROW}), ''), chr(10))"
+#: The pages hold no tables: one about the page leads it, and its lists become tables of one column.
+ABOUT = ("<TABLE class=a><tr><th>Address</th>\n<TD>", " <b>page</b>  </TD></tr><tr></tr></TABLE>")
+query(
+    "s5_html_tables_to_markdown",
+    rf"""SELECT page_id, md5(list_reduce(list_prepend(x, regexp_extract_all(x, '(?i)<table[^>]*>[\s\S]*?</table>')), lambda acc, tb: replace(acc, tb, {TABLE}))) AS digest
+FROM (SELECT page_id, concat('{ABOUT[0]}', url, '{ABOUT[1]}', regexp_replace(regexp_replace(html, '<(/?)[ou]l', '<\1table', 'g'), '<li>([^<]*)</li>', '<tr><td>\1</td></tr>', 'g')) AS x FROM pages)""",
+)(
+    lambda t: t.pages.select("page_id", F.regexp_replace(F.regexp_replace("html", "<(/?)[ou]l", "<$1table"), "<li>([^<]*)</li>", "<tr><td>$1</td></tr>").alias("x"), "url")
+    .select("page_id", F.concat(F.lit(ABOUT[0]), "url", F.lit(ABOUT[1]), "x").alias("html"))
+    .select("page_id", F.md5(C.html_tables_to_markdown("html")).alias("digest"))
+)
 query(
     "t5_unwrap_tables",
     r"""WITH l AS (SELECT doc_id, i, CASE WHEN (doc_id + i) % 3 = 0 THEN line ELSE concat('| ', line, ' |') END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),

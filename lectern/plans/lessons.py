@@ -66,7 +66,17 @@ query("n13_code_identifiers", f"SELECT doc_id, array_to_string(f[1:15], '|') AS
     lambda t: t.documents.select("doc_id", F.array_join(N.code_identifiers(F.concat(F.lit(SQL_MARK), "text")), "|").alias("names"))
 )
 BLOCK = "\n```sql\nSELECT @total FROM Ghosts JOIN Shadows\nEXEC spHaunt @p1\n```\n"
-query("n14_code_guard")(
+NAMES_OF = ", ".join(f"regexp_extract_all(block, '{q(p)}', {g})" for p, g in L.CODE_NAMES)
+BARE = "regexp_replace(y, '^@', '')"
+KNOWN_WORDS = ", ".join(f"'{w}'" for w in L.KEYWORDS)
+BAD = f"list_filter(flatten([{NAMES_OF}]), lambda y: upper({BARE}) NOT IN ({KNOWN_WORDS}) AND length(y) > 2 AND NOT contains(c, lower({BARE})) AND NOT (starts_with(y, '@') AND length(y) <= 4))"
+query(
+    "n14_code_guard",
+    rf"""WITH l AS (SELECT lesson_id, concat(content, '{BLOCK}', title) AS x, concat(CASE WHEN lesson_id % 2 = 0 THEN 'CREATE TABLE x ' ELSE '' END, content) AS context FROM lessons),
+k AS (SELECT *, lower(replace(replace(replace(context, '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS c FROM l),
+g AS (SELECT lesson_id, CASE WHEN regexp_matches(context, '{q(L.QUERY_CONTEXT.replace("(?<=[A-Za-z0-9_])", "[A-Za-z0-9_]"))}') THEN list_reduce(list_prepend(x, regexp_extract_all(x, '```[\w]*\n[\s\S]*?```')), lambda acc, block: CASE WHEN len({BAD}) >= 3 THEN replace(acc, block, concat('{L.NOTE[0]}', array_to_string({BAD}, '`, `'), '{L.NOTE[1]}')) ELSE acc END) ELSE x END AS x FROM k)
+SELECT lesson_id, md5(x) AS digest, contains(x, 'spHaunt @p1') AS kept FROM g""",
+)(
     lambda t: L.code_guard(t.lessons.select("lesson_id", F.concat("content", F.lit(BLOCK), "title").alias("content"), F.concat(F.when(F.col("lesson_id") % 2 == 0, "CREATE TABLE x ").otherwise(""), "content").alias("context"))).select(
         "lesson_id", F.md5("content").alias("digest"), F.contains("content", F.lit("spHaunt @p1")).alias("kept")
     )
@@ -109,7 +119,12 @@ query("v8_lesson_context")(lambda t: L.lesson_context(queries(t).withColumn("sec
 TAIL = rf"SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: trim(y)), lambda y: length(y) > 20) AS s FROM documents"
 query("k9_overlap_tail", f"SELECT doc_id, array_to_string(s[greatest(len(s) - 1, 1):], ' ') AS tail FROM ({TAIL})")(lambda t: t.documents.select("doc_id", K.overlap_tail(F.col("text")).alias("tail")))
 query("s6_postprocess_markdown")(lambda t: C.postprocess_markdown(t.documents.withColumn("text", F.concat(F.lit("a&#124;b &eacute; \\_x ELECT *\n7.\n"), "text"))).select("doc_id", F.md5("text").alias("digest"), F.length("text").alias("chars")))
-query("s7_recover_keywords")(lambda t: t.documents.select("doc_id", F.md5(R.recover_keywords(F.concat(F.lit("**EGIN TRAN** ELECT x ROM t | HERE y\n"), "text"))).alias("digest")))
+WHOLE = "x"
+for cut, whole in R.TRUNCATED:  # twice, as neighbours share the sign between them
+    for _ in range(2):
+        WHOLE = rf"regexp_replace({WHOLE}, '([*| \n\t]){cut}([ \t\n\r*|{{(\[]|\z)', '\1{whole}\2', 'g')"
+CUT_WORDS = "**EGIN TRAN** ELECT x ROM t | HERE y ELECT ELECT\n"
+query("s7_recover_keywords", f"SELECT doc_id, md5({WHOLE}) AS digest FROM (SELECT doc_id, concat('{CUT_WORDS}', text, ' ETURN') AS x FROM documents)")(lambda t: t.documents.select("doc_id", F.md5(R.recover_keywords(F.concat(F.lit(CUT_WORDS), "text", F.lit(" ETURN")))).alias("digest")))
 
 
 def reports(t):

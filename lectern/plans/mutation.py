@@ -17,7 +17,17 @@ query(
 )(
     lambda t: M.upsert(t.enrollments.where("enrollment_id % 3 <> 0"), t.enrollments.where("enrollment_id % 3 = 0").withColumn("status", F.lit("active")), ["learner_id", "plan_id"], ["created_at", "enrollment_id"]).select("learner_id", "plan_id", "status")
 )
-query("m9_friendships")(
+ANSWER = "s.status = 'pending' AND x.actor <> s.asker AND x.action"
+query(
+    "m9_friendships",
+    f"""WITH l AS (SELECT event_id AS seq, user_id % 40 AS actor, event_id % 40 AS other, ['request', 'accept', 'reject', 'cancel', 'unfriend'][CAST(event_id % 5 + 1 AS INT)] AS action FROM events),
+p AS (SELECT least(actor, other) AS a, greatest(actor, other) AS b, list({{'actor': actor, 'action': action, 'status': '', 'asker': CAST(NULL AS BIGINT)}} ORDER BY seq) AS log FROM l WHERE actor <> other GROUP BY 1, 2),
+f AS (SELECT a, b, list_reduce(list_prepend({{'actor': CAST(0 AS BIGINT), 'action': '', 'status': 'none', 'asker': CAST(NULL AS BIGINT)}}, log), lambda s, x: {{'actor': x.actor, 'action': x.action,
+'status': CASE WHEN x.action = 'request' AND s.status IN ('none', 'rejected') THEN 'pending' WHEN {ANSWER} = 'accept' THEN 'accepted' WHEN {ANSWER} = 'reject' THEN 'rejected'
+WHEN s.status = 'pending' AND x.actor = s.asker AND x.action = 'cancel' OR s.status = 'accepted' AND x.action = 'unfriend' THEN 'none' ELSE s.status END,
+'asker': CASE WHEN x.action = 'request' AND s.status IN ('none', 'rejected') THEN x.actor WHEN s.status = 'pending' AND x.actor = s.asker AND x.action = 'cancel' OR s.status = 'accepted' AND x.action = 'unfriend' THEN NULL ELSE s.asker END}}) AS r FROM p)
+SELECT a, b, r.status AS status, r.asker AS requester FROM f WHERE r.status <> 'none'""",
+)(
     lambda t: M.friendships(
         t.events.select(F.col("event_id").alias("seq"), (F.col("user_id") % 40).alias("actor"), (F.col("event_id") % 40).alias("other"), F.element_at(F.array(*[F.lit(a) for a in ("request", "accept", "reject", "cancel", "unfriend")]), (F.col("event_id") % 5 + 1).cast("int")).alias("action"))
     )
