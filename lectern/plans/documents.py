@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as R
@@ -30,17 +31,24 @@ query(
     rf"SELECT doc_id, (CASE WHEN e > 5 THEN 2 ELSE 0 END) + (CASE WHEN o > 50 THEN 1 ELSE 0 END) + (CASE WHEN s > 20 THEN 1 ELSE 0 END) >= 2 AS corrupt FROM (SELECT doc_id, len(list_filter({ALL}, lambda x: regexp_matches(x, '^\|\s*\|$'))) AS e, len(regexp_extract_all(text, '[^\x00-\x7F\x{{00C0}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}\s]')) AS o, len(list_filter({ALL}, lambda x: length(trim(x)) BETWEEN 1 AND 2)) AS s FROM documents)",
 )(lambda t: t.documents.select("doc_id", D.detect_corruption("text").alias("corrupt")))
 TOK = lambda c: f"list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace({marks(c)}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: length(x) > 3))"
-query(
-    "h10_content_duplication",
-    f"""WITH k AS (SELECT plan_id, day_number, {TOK('substring(content, 1, 1000)')} AS a, {TOK('title')} AS b FROM lessons), p AS (SELECT n.plan_id, n.day_number AS day, o.day_number AS earlier, len(list_intersect(n.a, o.b)) AS s, len(n.a) AS na, len(o.b) AS nb FROM k n JOIN k o ON o.plan_id = n.plan_id AND o.day_number < n.day_number)
-SELECT plan_id, day, earlier, round(r, 6) AS ratio, CASE WHEN r > 0.65 THEN 'high' WHEN r > 0.5 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT *, s / (na + nb - s) AS r FROM p WHERE s > 0) WHERE r > 0.05""",
-)(lambda t: D.content_duplication(t.lessons, 0.05))
+ECHO = "(SELECT plan_id, day_number, title, CASE WHEN day_number % 3 = 0 THEN concat(first, ' ', first) ELSE content END AS content FROM (SELECT *, first_value(title) OVER (PARTITION BY plan_id ORDER BY day_number, lesson_id) AS first FROM lessons))"
+
+
+def echoing(t):
+    """Lessons of which every third day repeats the title of its plan's first lesson, so that the default thresholds are passed."""
+    first = F.first("title").over(W.partitionBy("plan_id").orderBy("day_number", "lesson_id"))
+    return t.lessons.withColumn("first", first).withColumn("content", F.when(F.col("day_number") % 3 == 0, F.concat("first", F.lit(" "), "first")).otherwise(F.col("content"))).drop("first")
+
+
+H10 = lambda lessons, least: f"""WITH k AS (SELECT plan_id, day_number, {TOK('substring(content, 1, 1000)')} AS a, {TOK('title')} AS b FROM {lessons}), p AS (SELECT n.plan_id, n.day_number AS day, o.day_number AS earlier, len(list_intersect(n.a, o.b)) AS s, len(n.a) AS na, len(o.b) AS nb FROM k n JOIN k o ON o.plan_id = n.plan_id AND o.day_number < n.day_number)
+SELECT plan_id, day, earlier, round(r, 6) AS ratio, CASE WHEN r > 0.65 THEN 'high' WHEN r > 0.5 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT *, s / (na + nb - s) AS r FROM p WHERE s > 0) WHERE r > {least}"""
+query("h10_content_duplication", H10("lessons", 0.05))(lambda t: D.content_duplication(t.lessons, 0.05))
+query("h10_content_duplication_default", H10(ECHO, 0.35))(lambda t: D.content_duplication(echoing(t)))
 PLAIN = lambda c: f"trim(regexp_replace(regexp_replace({marks(c)}, '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-query(
-    "h11_scope_compliance",
-    f"""WITH tw AS (SELECT plan_id, day_number AS earlier, unnest(list_filter(string_split({PLAIN('title')}, ' '), lambda x: length(x) > 4)) AS w FROM lessons), cw AS (SELECT plan_id, day, w, count(*) AS n FROM (SELECT plan_id, day_number AS day, unnest(string_split({PLAIN('content')}, ' ')) AS w FROM lessons) GROUP BY plan_id, day, w)
-SELECT c.plan_id, day, earlier, count(*) AS hits FROM cw c JOIN tw ON tw.plan_id = c.plan_id AND tw.w = c.w WHERE n >= 2 AND earlier < day GROUP BY c.plan_id, day, earlier HAVING count(*) >= 1""",
-)(lambda t: D.scope_compliance(t.lessons, least=1))
+H11 = lambda lessons, least: f"""WITH tw AS (SELECT plan_id, day_number AS earlier, unnest(list_filter(string_split({PLAIN('title')}, ' '), lambda x: length(x) > 4)) AS w FROM {lessons}), cw AS (SELECT plan_id, day, w, count(*) AS n FROM (SELECT plan_id, day_number AS day, unnest(string_split({PLAIN('content')}, ' ')) AS w FROM {lessons}) GROUP BY plan_id, day, w)
+SELECT c.plan_id, day, earlier, count(*) AS hits FROM cw c JOIN tw ON tw.plan_id = c.plan_id AND tw.w = c.w WHERE n >= 2 AND earlier < day GROUP BY c.plan_id, day, earlier HAVING count(*) >= {least}"""
+query("h11_scope_compliance", H11("lessons", 1))(lambda t: D.scope_compliance(t.lessons, least=1))
+query("h11_scope_compliance_default", H11(ECHO, 3))(lambda t: D.scope_compliance(echoing(t)))
 query("n5_dup_tokens", f"SELECT lesson_id, array_to_string(list_sort({TOK('title')}), ' ') AS tokens FROM lessons")(lambda t: t.lessons.select("lesson_id", F.array_join(F.array_sort(F.array_distinct(X.dup_tokens("title"))), " ").alias("tokens")))
 N7 = ", ".join(f"{{'n': len(regexp_extract_all(x, '\\b(?:{p})\\b')), 'k': {-k}, 'd': '{d}'}}" for k, (d, p) in enumerate(D.DOMAINS))
 query("n7_detect_domain", f"SELECT lesson_id, CASE WHEN m.n > 0 THEN m.d ELSE 'general' END AS domain FROM (SELECT lesson_id, list_max([{N7}]) AS m FROM (SELECT lesson_id, lower(concat(l.title, ' ', substring(content, 1, 800), ' ', coalesce(p.title, ''))) AS x FROM lessons l LEFT JOIN plans p ON p.plan_id = l.plan_id))")(
