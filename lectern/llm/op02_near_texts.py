@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stage
+from .common import components, small_batches, stage, with_one
 from .op02_simhash_golay import bits_of, links
 
 #: Keys of each text and minima in each.
@@ -88,10 +88,10 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b")
 
 
-def _simhash_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that connect all whose fingerprints are within four bits; nodes: h, fp."""
-    of_print = stage(nodes.groupBy("fp").agg(F.min("h").alias("node")), "of-print")
-    same = nodes.join(of_print, "fp").where("h <> node").select(F.col("h").alias("a"), F.col("node").alias("b"))
+def _simhash_pairs(nodes: DataFrame, total: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints are within four bits; nodes: h, fp, total at most."""
+    of_print = stage(nodes.groupBy("fp").agg(F.min("h").alias("node"), F.count("*").alias("n_rows")), "of-print")
+    same = with_one(nodes, of_print, "fp", total).where("h <> node").select(F.col("h").alias("a"), F.col("node").alias("b"))
     return same.union(links(of_print, 4).select("a", "b"))
 
 
@@ -148,12 +148,13 @@ def _in_blocks(queries: DataFrame, members: DataFrame, sets: DataFrame, similari
 def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, text_hash and group for every row that has an id; a group is what similar pairs connect."""
     prints = stage(_mapped(docs, size, True), "prints")
+    total = prints.count()
     nodes = prints.groupBy("h").agg(F.first("v").alias("v"))
     keyed = nodes.select(F.explode("v").alias("key"), F.col("h").alias("node"))
-    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    met = stage(keyed.join(ends, "key"), "met")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n_rows")).where("lo < hi")
+    met = stage(with_one(keyed, ends, "key", BANDS * total), "met")
     with_ends = met.select("node", F.explode(F.array("lo", "hi")).alias("end")).where("node <> end")
-    golay = stage(_simhash_pairs(prints.select("h", "fp").distinct()), "simhash-pairs")
+    golay = stage(_simhash_pairs(prints.select("h", "fp").distinct(), total), "simhash-pairs")
     both = with_ends.select(F.col("node").alias("a"), F.col("end").alias("b")).union(golay)
     pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     named = met.select(F.col("node").alias("h")).union(golay.select("a")).union(golay.select("b"))
@@ -169,7 +170,10 @@ def near_copies(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> Data
     mains = queries.select("main").distinct()
     second = _in_blocks(queries, members.select(F.col("c").alias("main"), "node", "c").distinct().join(mains, "main"), sets, similarity)
 
-    # the second round joins components, far fewer than texts
-    last = components(second).select(F.col("node").alias("c"), F.col("component").alias("last"))
-    marked = prints.select("doc_id", "text_hash", "h").join(found, F.col("h") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("component", "h").alias("c"))
-    return marked.join(last, "c", "left").select("doc_id", "text_hash", F.coalesce("last", "c").alias("group"))
+    # the second round joins components, far fewer than texts; texts and their copies take the names of the groups
+    last = components(second).select(F.col("node").alias("c"), "component")
+    texts = prints.groupBy("h").agg(F.count("*").alias("copies")).join(found.withColumnRenamed("node", "h"), "h", "left")
+    texts = stage(texts.select("h", "copies", F.coalesce("component", "h").alias("c")), "texts")
+    groups = texts.groupBy("c").agg(F.count("*").alias("n_rows")).join(last, "c", "left").select("c", "n_rows", F.coalesce("component", "c").alias("group"))
+    named = with_one(texts, groups, "c", total).select("h", "group", F.col("copies").alias("n_rows"))
+    return with_one(prints.select("doc_id", "text_hash", "h"), named, "h", total).select("doc_id", "text_hash", "group")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, read, small_batches, stage
+from .common import components, read, small_batches, stage, with_one
 
 #: Shift and width of each segment of a fingerprint.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -288,10 +288,10 @@ def links(nodes: DataFrame, limit: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 4, limit: int = 4) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable over links) for every row."""
     prints = stage(fingerprints(docs, size), "fingerprints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_rows")), "nodes")
     found = components(links(nodes.where("node is not null"), limit))
-    marked = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(marked, "fp").select("doc_id", "fp", "component_id")
+    marked = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n_rows")
+    return with_one(prints, marked, "fp", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

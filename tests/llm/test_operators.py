@@ -192,6 +192,39 @@ def test_simhash_components_match_all_pairs(docs, rows):
     assert all(want[r.fp % 2**64] == r.component_id for r in got)
 
 
+@pytest.mark.parametrize("every", [1, 20, 1000])
+def test_rows_meet_the_one_of_their_key(spark, monkeypatch, every):
+    monkeypatch.setattr(common, "COMMON", every)
+    rng = random.Random(5)
+    data = [(rng.choice([0, rng.randrange(200)]), i) for i in range(4000)]
+    rows = spark.createDataFrame(data, "k long, i long")
+    ones = rows.groupBy("k").agg(F.count("*").alias("n_rows")).where("k <> 3").withColumn("x", F.col("k") * 7)
+    got = common.with_one(rows, ones, "k", 4000)
+    assert got.columns == ["k", "i", "x"]
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, 7 * k) for k, i in data if k != 3)
+    assert common.with_one(rows.where("k < 0"), ones, "k", 0).count() == 0
+
+
+def test_a_common_key_is_not_shuffled_into_one_task(spark):
+    rows = spark.range(0, 40000, 1, 8).select(F.when(F.col("id") % 3 > 0, -1).otherwise(F.col("id")).alias("k"), "id")
+    ones = rows.groupBy("k").agg(F.count("*").alias("n_rows"))
+    got = common.with_one(rows, ones, "k", 40000)
+    sizes = [r["count"] for r in got.where("k = -1").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 26666 and max(sizes) < 26666 / 7
+
+
+@pytest.mark.parametrize("every", [1, 1000])
+def test_components_of_hubs_and_chains(spark, monkeypatch, every):
+    monkeypatch.setattr(common, "COMMON", every)
+    star = [(1000, k) for k in range(1001, 1900)]  # the hub is the smallest node
+    top = [(k, 5000) for k in range(4000, 4900)]  # the hub is the largest node
+    chain = [(k, k + 1) for k in range(100, 160)]
+    edges = spark.createDataFrame(star + top + chain + chain + [(7, 7)], "a long, b long")
+    got = {r.node: r.component for r in common.components(edges).collect()}
+    want = {n: 1000 for n in range(1000, 1900)} | {n: 4000 for n in [*range(4000, 4900), 5000]} | {n: 100 for n in range(100, 161)}
+    assert {n: got.get(n, n) for n in want} == want and set(got) <= set(want)
+
+
 def test_golay_keys_meet_within_four_bits():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000, dtype=np.uint64)
