@@ -17,19 +17,65 @@ MARKED = "àáạảãâầấậẩẫăằắặẳẵèéẹẻẽêềếệ
 PLAIN = "aaaaaaaaaaaaaaaaaeeeeeeeeeeeiiiiiooooooooooooooooouuuuuuuuuuuyyyyycnaeiouay"
 
 
+#: Letters that fold to an ASCII letter where case folding is Unicode's, beside its own two forms.
+FOLDED = {"i": "ıİ", "k": "\u212a", "s": "ſ"}
+_WORD, _WORD_FOLDED = "[A-Za-z0-9_]", "(?-iu:[A-Za-z0-9_" + "".join(FOLDED.values()) + "])"
+
+
+def _alternatives(pattern: str) -> list[list[str]]:
+    """The alternatives of a pattern (of its one group, if that is all it is) as lists of tokens."""
+    group = re.fullmatch(r"\\b\(([^()]*)\)\\b", pattern)
+    parts: list[list[str]] = [[]]
+    depth = 0
+    for token in re.findall(r"\\.|\[(?:\\.|[^\]])*\]|.", group[1] if group else pattern, re.S):
+        depth += (token == "(") - (token == ")")
+        if token == "|" and not depth:
+            parts.append([])
+        else:
+            parts[-1].append(token)
+    return parts
+
+
+def needed_words(pattern: str) -> list[str]:
+    """Words in small letters of which every match of the pattern holds at least one; none where an alternative asks for none."""
+    words = []
+    for tokens in _alternatives(pattern):
+        runs, depth = [""], 0
+        for token, after in zip(tokens, [*tokens[1:], ""]):
+            depth += (token == "(") - (token == ")")
+            sure = not depth and re.fullmatch(r"[\w@#%]", token) and after not in ("?", "*", "{")
+            runs = [*runs[:-1], runs[-1] + token.lower()] if sure else [*runs, ""]
+        words.append(max(runs, key=len))
+    return list(dict.fromkeys(words)) if all(words) else []
+
+
+def fold_letters(c: str | Column) -> Column:
+    """Small letters, also of the few signs that a pattern without regard to case takes for ASCII letters."""
+    return F.lower(F.translate(col(c), "".join(FOLDED.values()), "iiks"))
+
+
+def may_match(folded: str | Column, pattern: str) -> Column:
+    """Whether a text (fold_letters of it) holds a word that the pattern needs: far cheaper to find than a match."""
+    return reduce(lambda x, y: x | y, [F.contains(col(folded), F.lit(w)) for w in needed_words(pattern)] or [F.lit(True)])
+
+
 def js_regex(pattern: str, unicode_boundaries: bool = False) -> str:
     """A pattern whose word boundaries are ASCII ones (as in JavaScript and RE2) and whose case folding is Unicode's."""
+    # an ASCII pattern folds ASCII letters only, as in JavaScript, and is much faster so
+    flags, word = ("(?i)", _WORD) if pattern.isascii() else ("(?iu)", _WORD_FOLDED)
     if not unicode_boundaries:
         group = re.fullmatch(r"\\b\(([^()]*)\)\\b", pattern)
-        if group:  # what a boundary asks for beside each word follows from the word's own end
-            before = lambda w: "(?<![A-Za-z0-9_])" if re.match("[A-Za-z0-9_]", w) else "(?<=[A-Za-z0-9_])"
-            after = lambda w: "(?![A-Za-z0-9_])" if re.search("[A-Za-z0-9_]$", w) else "(?=[A-Za-z0-9_])"
-            pattern = "(?:" + "|".join(f"{before(w)}{w}{after(w)}" for w in group[1].split("|")) + ")"
+        if group:  # what a boundary asks for beside each word follows from the word's own end; words of one first letter stand together, in order
+            before = lambda w: f"(?<!{word})" if re.match("[A-Za-z0-9_]", w) else f"(?<={word})"
+            after = lambda w: f"(?!{word})" if re.search("[A-Za-z0-9_]$", w) else f"(?={word})"
+            begun: dict[str, list[str]] = {}
+            for w in group[1].split("|"):
+                begun.setdefault(w[0].lower(), []).append(w)
+            pattern = "(?:" + "|".join(f"(?={c}){before(c)}(?:{'|'.join(w + after(w) for w in ws)})" for c, ws in begun.items()) + ")"
         # beside an ASCII letter a boundary is one look-around
-        pattern = re.sub(r"\\b(?=[A-Za-z])", "(?<![A-Za-z0-9_])", pattern)
-        pattern = re.sub(r"(?<=[A-Za-z])\\b", "(?![A-Za-z0-9_])", pattern).replace(r"\b", _ASCII_BOUNDARY)
-    # an ASCII pattern folds ASCII letters only, as in JavaScript, and is much faster so
-    return ("(?i)" if pattern.isascii() else "(?iu)") + pattern
+        pattern = re.sub(r"\\b(?=[A-Za-z])", f"(?<!{word})", pattern)
+        pattern = re.sub(r"(?<=[A-Za-z])\\b", f"(?!{word})", pattern).replace(r"\b", _ASCII_BOUNDARY)
+    return flags + pattern
 
 
 def col(c: str | Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import js_regex
+from ..functions.text import fold_letters, js_regex, may_match
 
 #: Topics and their patterns, in order of precedence; all but the marked ones ignore case.
 TOPICS: list[tuple[str, list[str]]] = [
@@ -80,12 +82,11 @@ HINTS = [
 ]
 
 
-def _best(text: Column) -> Column:
-    """(n, k, topic) of the topic with most matches of all its patterns; the earlier rule wins ties."""
-    counts = [
-        F.struct(sum((F.regexp_count(text, F.lit(js_regex(p))) for p in patterns), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(topic).alias("topic"))
-        for k, (topic, patterns) in enumerate(TOPICS)
-    ]
+def _best(text: str, folded: str) -> Column:
+    """(n, k, topic) of the topic with most matches of all its patterns; the earlier rule wins ties. Matches are only looked for
+    where the folded text holds a word that they need."""
+    count = lambda p: F.when(may_match(folded, p), F.regexp_count(F.col(text), F.lit(js_regex(p)))).otherwise(0)
+    counts = [F.struct(sum(map(count, patterns), F.lit(0)).alias("n"), F.lit(-k).alias("k"), F.lit(topic).alias("topic")) for k, (topic, patterns) in enumerate(TOPICS)]
     return F.array_max(F.array(*counts))
 
 
@@ -93,24 +94,30 @@ def _text(section: str, content: str) -> Column:
     return F.concat_ws("\n", F.coalesce(section, F.lit("")), F.coalesce(content, F.lit("")))
 
 
+def _with_best(chunks: DataFrame, asked: Column) -> DataFrame:
+    """Chunks with _best where asked. Text, its small letters and the counts are columns of their own, so that they are computed once."""
+    rows = chunks.withColumn("_text", F.when(asked, _text("section", "content"))).withColumn("_folded", fold_letters("_text"))
+    return rows.withColumn("_best", F.when(F.col("_text").isNotNull(), _best("_text", "_folded"))).drop("_text", "_folded")
+
+
 def classify_topics(chunks: DataFrame) -> DataFrame:
-    """topic of every chunk from its section and content; general if nothing matches. The counts are a column of their
-    own, so that they are computed once."""
-    rows = chunks.withColumn("_text", _text("section", "content")).withColumn("_best", _best(F.col("_text")))
-    return rows.withColumn("topic", F.when(F.col("_best.n") > 0, F.col("_best.topic")).otherwise("general")).drop("_text", "_best")
+    """topic of every chunk from its section and content; general if nothing matches."""
+    rows = _with_best(chunks, F.lit(True))
+    return rows.withColumn("topic", F.when(F.col("_best.n") > 0, F.col("_best.topic")).otherwise("general")).drop("_best")
 
 
 def backfill_topics(chunks: DataFrame) -> DataFrame:
     """Only chunks without a topic, or with the general one, are classified."""
     is_open = F.col("topic").isNull() | (F.col("topic") == "general")
-    rows = chunks.withColumn("_text", _text("section", "content")).withColumn("_best", F.when(is_open, _best(F.col("_text"))))
     new = F.when(F.col("_best.n") > 0, F.col("_best.topic")).otherwise("general")
-    return rows.withColumn("topic", F.when(is_open, new).otherwise(F.col("topic"))).drop("_text", "_best")
+    return _with_best(chunks, is_open).withColumn("topic", F.when(is_open, new).otherwise(F.col("topic"))).drop("_best")
 
 
 def infer_topics(questions: DataFrame, column: str = "text") -> DataFrame:
     """topics: every rule that matches, else every hint; empty means no filter."""
-    c = F.col(column)
-    by_rule = F.array_compact(F.array(*[F.when(F.rlike(c, F.lit("|".join(f"(?:{js_regex(p)})" for p in ps))), F.lit(t)) for t, ps in TOPICS]))
-    by_hint = F.array_compact(F.array(*[F.when(F.rlike(F.lower(c), F.lit(p)), F.lit(t)) for t, p in HINTS]))
-    return questions.withColumn("_rules", by_rule).withColumn("topics", F.when(F.size("_rules") > 0, F.col("_rules")).otherwise(by_hint)).drop("_rules")
+    some = lambda tests: reduce(lambda x, y: x | y, tests)
+    rule = lambda p: may_match("_folded", p) & F.rlike(F.col(column), F.lit(js_regex(p)))
+    by_rule = F.array_compact(F.array(*[F.when(some(map(rule, ps)), F.lit(t)) for t, ps in TOPICS]))
+    by_hint = F.array_compact(F.array(*[F.when(some(F.contains(F.col("_lower"), F.lit(w)) for w in words.split("|")), F.lit(t)) for t, words in HINTS]))
+    rows = questions.withColumns({"_folded": fold_letters(column), "_lower": F.lower(column)}).withColumn("_rules", by_rule)
+    return rows.withColumn("topics", F.when(F.size("_rules") > 0, F.col("_rules")).otherwise(by_hint)).drop("_rules", "_folded", "_lower")

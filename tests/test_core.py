@@ -173,3 +173,15 @@ def test_leaked_prompts_go(spark):
 
     text = "```markdown\n===== CONTEXT a ===== secret =====\n# Lesson\n* [Context: x]\nBody.\n\n\n\nMore.\n## Quiz\nWhat?\n```"
     assert spark.createDataFrame([(text,)], "t string").select(strip_prompt_leakage("t")).first()[0] == "# Lesson\nBody.\n\nMore."
+
+
+def test_topic_rules_are_only_tried_where_their_words_are(spark):
+    from lectern.operators import classify as N
+
+    assert X.needed_words(r"\bEXEC(UTE)?\s+\w+") == ["exec"] and X.needed_words(r"\bMODULO\b|%\s*\d+") == ["modulo", "%"] and X.needed_words(r"[+*]") == []
+    texts = ["LỊCH  SỬ", "lịch sử x", "triều đại.", "ĐỘ PHỨC TẠP", "xđệ quy", "exıt exec p", "ma trận ſố", "hàm ſốx", "IN ( SELECT a", "50 % 7", "@a as b", "c@a as b", "SP_x", "begin\n", "Kinh độx", "xİ gen"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("f", X.fold_letters("text"))
+    for _, patterns in N.TOPICS:
+        for p in patterns:  # wherever a rule matches, its words are there
+            assert rows.where(F.rlike("text", F.lit(X.js_regex(p))) & ~X.may_match("f", p)).isEmpty(), p
+    assert sum(bool(X.needed_words(p)) for _, ps in N.TOPICS for p in ps) > 90
