@@ -1,24 +1,29 @@
 """Documents into chunks: sections are merged when short and split when long; propositions, windows and the whole index job.
 
-Sections, merging and numbering are windows and aggregates by document; splitting is a fold over one section's lines.
+Sections, merging and numbering are windows and aggregates by document; splitting is one pass over a section's lines in the tasks.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import heading_level, line_kind, words
+from ..functions.text import heading_level, words
+from ..sources.files import small_batches
 from .classify import classify_topics
 from .windows import uniform_cap
 
 MIN_WORDS, MIN_NUMBERED, MAX_WORDS, OVERLAP = 40, 15, 350, 2
+#: Sections whose lines a task holds as Python's strings at once.
+SECTIONS = 100
 
 
 @F.pandas_udf(StringType())
@@ -70,57 +75,81 @@ def merge_sections(lines: DataFrame) -> DataFrame:
     return out.select("doc_id", position.alias("position"), "kind", "heading", "lines", "content", "word_count")
 
 
+#: White space as Spark's regular expressions see it, and what else can end a line for them.
+WHITE, ENDS = " \t\n\x0b\f\r", "\x85\u2028\u2029"
+_WORD = re.compile(f"[^{WHITE}]+")
+_SENTENCE_END = re.compile(f"(?<=[.!?])[{WHITE}]+")
+
+
+def _trimmed(text: str) -> str:
+    """trim, in a task: white space goes before a last line end as well."""
+    return text[:-1].strip(WHITE) + text[-1] if text and text[-1] in ENDS else text.strip(WHITE)
+
+
+def _words(text: str) -> int:
+    return len(_WORD.findall(text))
+
+
 def overlap_tail(c: Column, n: int = OVERLAP) -> Column:
     """The last n sentences of more than 20 characters."""
     sentences = F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: F.length(x) > 20)
     return let(sentences, lambda s: F.array_join(F.slice(s, F.greatest(F.size(s) - (n - 1), F.lit(1)), F.lit(n)), " "))
 
 
+def _last_sentences(text: str, n: int = OVERLAP) -> str:
+    """overlap_tail, in a task."""
+    return " ".join([x for x in (x.strip(" ") for x in _SENTENCE_END.split(text)) if len(x) > 20][-n:])
+
+
+def split_section(heading: str | None, lines: list[str]) -> list[tuple[str, int]]:
+    """The parts (content, words) of one long section."""
+    head, own = ([], 0) if heading is None else ([heading, ""], _words(heading))
+    done: list[tuple[str, int]] = []
+    buf, n, fence, table = [*head], own, False, False
+
+    def settle(least: int) -> None:
+        """The buffer becomes a new part, or is joined to the last one where it is short."""
+        content = _trimmed("\n".join(buf))
+        size = _words(content)
+        if size >= MIN_WORDS or (not done and size >= least):
+            done.append((content, size))
+        elif done and size:
+            done[-1] = (f"{done[-1][0]}\n{content}", done[-1][1] + size)
+
+    for line in lines:
+        start, blank = line.lstrip(WHITE), not line.strip(" ")
+        if not blank and start.startswith("```"):
+            fence = not fence
+        table = not blank and (table or (not fence and start.startswith("|")))
+        full = not fence and not table and n >= MAX_WORDS
+        if full or (blank and not fence and not table and n >= MIN_WORDS and n > own):
+            settle(10**6)
+            tail = _last_sentences(done[-1][0]) if done else ""
+            buf, n = [*head, tail] if tail else [*head], own + _words(tail)
+            if blank:
+                continue
+        buf.append(line)
+        n += _words(line)
+    settle(MIN_NUMBERED)
+    return done
+
+
 def split_long_sections(pieces: DataFrame) -> DataFrame:
     """Long pieces as parts: cut when 350 words are full outside code and tables, or at a blank line after 40; each part
-    begins with the heading and the last sentences of the part before; a short end joins the last part."""
-    rows = pieces.withColumn("hw", F.coalesce(count_words(F.col("heading")), F.lit(0)))
-    head = F.when(F.col("heading").isNull(), F.array().cast("array<string>")).otherwise(F.array("heading", F.lit("")))
-    rows = rows.withColumn("head", head)
-    part = lambda content, n: F.struct(content.alias("content"), n.alias("n"))
-    state = lambda done, buf, n, fence, table: F.struct(done.alias("done"), buf.alias("buf"), n.alias("n"), fence.alias("fence"), table.alias("table"))
-
-    def settled(done: Column, buf: Column, least: int) -> Column:
-        """done with the buffer as a new part, or joined to the last one where it is short."""
-
-        def put(p: Column) -> Column:
-            n = F.size(done)
-            joined = part(F.concat(F.element_at(done, -1)["content"], F.lit("\n"), p["content"]), F.element_at(done, -1)["n"] + p["n"])
-            return F.when(p["n"] >= MIN_WORDS, F.concat(done, F.array(p))).when((n > 0) & (p["n"] > 0), F.concat(F.slice(done, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(joined))).when(
-                (n == 0) & (p["n"] >= least), F.array(p)
-            ).otherwise(done)
-
-        return let(let(trim(F.array_join(buf, "\n")), lambda c: part(c, count_words(c))), put)
-
-    def flush(s: Column) -> Column:
-        def begin(done: Column) -> Column:
-            tail = F.when(F.size(done) > 0, overlap_tail(F.element_at(done, -1)["content"])).otherwise("")
-            return let(tail, lambda t: state(done, F.when(t != "", F.concat("head", F.array(t))).otherwise(F.col("head")), F.col("hw") + F.size(F.filter(F.split(t, r"\s+"), lambda x: x != "")), s["fence"], s["table"]))
-
-        return let(settled(s["done"], s["buf"], 10**6), begin)
-
-    def step(s: Column, line: Column) -> Column:
-        def with_kind(k: Column) -> Column:
-            fence = F.when(k == "fence", ~s["fence"]).otherwise(s["fence"])
-            table = F.when(k == "blank", False).when(~fence & (k == "table"), True).otherwise(s["table"])
-            now = state(s["done"], s["buf"], s["n"], fence, table)
-            free, blank = ~fence & ~table, k == "blank"
-            push = lambda x: state(x["done"], F.array_append(x["buf"], line), x["n"] + count_words(line), x["fence"], x["table"])
-            hard = free & (s["n"] >= MAX_WORDS)
-            soft = free & blank & (s["n"] >= MIN_WORDS) & (s["n"] > F.col("hw"))
-            return F.when(hard & blank, flush(now)).when(hard, let(flush(now), push)).when(soft, flush(now)).otherwise(push(now))
-
-        return let(line_kind(line), with_kind)
-
-    nothing = F.array().cast("array<struct<content:string,n:int>>")
-    end = F.aggregate("lines", state(nothing, F.col("head"), F.col("hw"), F.lit(False), F.lit(False)), step)
-    rows = rows.withColumn("end", end).withColumn("parts", settled(F.col("end.done"), F.col("end.buf"), MIN_NUMBERED))
-    return rows.select("doc_id", "position", "heading", F.posexplode("parts").alias("part", "p")).select("doc_id", "position", "part", "heading", F.col("p.content").alias("content"), F.col("p.n").alias("word_count"))
+    begins with the heading and the last sentences of the part before; a short end joins the last part. Every line is looked at once, in the tasks."""
+    small_batches(pieces.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, SECTIONS):
+                some = b.slice(k, SECTIONS)
+                rows = [(i, part, c, n) for i, (h, ls) in enumerate(zip(some.column(2).to_pylist(), some.column(3).to_pylist())) for part, (c, n) in enumerate(split_section(h, ls))]
+                at, part, content, words = zip(*rows) if rows else ((), (), (), ())
+                ids, positions, headings = (some.column(j).take(pa.array(at, pa.int64())) for j in range(3))
+                yield pa.RecordBatch.from_arrays([ids, positions, pa.array(part, pa.int32()), headings, pa.array(content, pa.string()), pa.array(words, pa.int32())], names=["doc_id", "position", "part", "heading", "content", "word_count"])
+
+    kinds = dict(pieces.dtypes)
+    return pieces.select("doc_id", "position", "heading", "lines").mapInArrow(work, f"doc_id {kinds['doc_id']}, position {kinds['position']}, part int, heading string, content string, word_count int")
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
@@ -143,7 +172,8 @@ def propositions(chunks: DataFrame) -> DataFrame:
     """Sentences of 6 to 120 words as chunks of their own, led by the section's name; code, headings and list marks go."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", r"(?s)```.*?```", ""), r"`([^`\n]+)`", "$1"), r"\.{3,}", " ")
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > 5) & ~x.startswith("#") & (x != F.trim("section")))
-    guarded = lambda x: F.regexp_replace(x, r"(?iu)(?<![A-Za-z0-9_])(" + "|".join(ABBREVIATIONS) + r")\.(?=\s)", "$1⟨DOT⟩")
+    # looked for behind each full stop, not at each letter
+    guarded = lambda x: F.regexp_replace(x, r"(?iu)\.(?=\s)(?<=(?<![A-Za-z0-9_])(?:" + "|".join(ABBREVIATIONS) + r")\.)", "⟨DOT⟩")
     parts = F.flatten(F.transform(lines, lambda x: F.split(guarded(x), r"(?<!\d)[.!?](?=\s|$)")))
     clean = F.filter(F.transform(parts, lambda x: F.trim(F.replace(x, F.lit("⟨DOT⟩"), F.lit(".")))), lambda x: F.length(x) >= 8)
     clean = F.transform(clean, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"^[-*+]\s+", ""), r"^\d+\.\s+", "")))

@@ -21,6 +21,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python workers hold. Plans are run after the operator has returned, so the session keeps these two settings."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, however many plans read it."""
     path = shared_path(df.sparkSession, name)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -121,3 +122,14 @@ def test_short_sections_wait(spark):
     lines = spark.createDataFrame([(1, doc)], "doc_id int, text string").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
     got = [(r.kind, r.content.split("\n")[0]) for r in sorted(C.merge_sections(lines).collect(), key=lambda r: r.position)]
     assert got == [("whole", "# Two"), ("long", "# Four"), ("merged", "# Five")]
+
+
+def test_long_sections_of_many_lines_are_split_in_one_pass(spark):
+    """Forty thousand lines of one section, half of them blank: copying what is done at each line would take hours."""
+    lines = [x for k in range(20_000) for x in (f"Line {k} has a few words in it.", "")]
+    rows = spark.createDataFrame([(1, 0, "# A", lines), (2, 0, None, ["a\x85", " b \x85"] * 30)], "doc_id int, position int, heading string, lines array<string>")
+    began = time.time()
+    got = C.split_long_sections(rows).orderBy("doc_id", "part").collect()
+    assert time.time() - began < 60
+    assert all(r.content.startswith("# A\n") and 40 <= r.word_count < 100 for r in got if r.doc_id == 1) and len(got) > 1000
+    assert [r.content for r in got if r.doc_id == 2] == ["\n".join(["a\x85", " b \x85"] * 30)[:-2] + "\x85"]
