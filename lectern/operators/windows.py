@@ -156,16 +156,46 @@ def market_courses(plans: DataFrame, enrollments: DataFrame, reviews: DataFrame,
     return out.select("plan_id", "created_rank", zero("students"), F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating"), zero("review_count"), zero("downloads"))
 
 
+#: Into how many groups the learners of a lesson are dealt, so that a lesson with many of them is no single task's.
+SHARES = 16
+
+
 def select_adaptive(pool: DataFrame, learners: DataFrame, n: int, seed: str) -> DataFrame:
-    """n questions for each learner and lesson, mixed by level, topped up from the rest, in a seeded order."""
+    """n questions for each learner and lesson, mixed by level, topped up from the rest, in a seeded order.
+
+    Only the first of each difficulty can be chosen: as many as its quota and as all quotas together lack. So a question is kept if its
+    place in the order, a hash, is below a bound that a few more than those are expected to be under; only the kept ones are moved and
+    ranked. A learner for whom too few of a difficulty are under it gets all of them instead, so nothing is lost."""
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), F.col("question_id").cast("string")))
-    q = learners.join(pool, "lesson_id").withColumn("o", order)
     quota = F.lit(0)
     for lv, mix in LEVEL_MIX.items():
         for d, share in zip(("easy", "medium", "hard"), mix):
             quota = F.when((F.col("level") == lv) & (F.col("difficulty") == d), F.floor(F.lit(n * share) + 0.5)).otherwise(quota)
+    asked = learners.select("user_id", "lesson_id", F.coalesce("level", F.lit("")).alias("level"))
+    questions = pool.select("lesson_id", "question_id", F.coalesce("difficulty", F.lit("")).alias("difficulty"))
+    # what a lesson has of each difficulty, and what learners of each level need of it
+    sizes = questions.groupBy("lesson_id", "difficulty").agg(F.count("*").alias("size"))
+    need = asked.select("lesson_id", "level").distinct().join(sizes, "lesson_id").withColumn("quota", quota.cast("long"))
+    missing = F.lit(n) - F.sum(F.least("quota", "size")).over(W.partitionBy("lesson_id", "level"))
+    need = need.withColumn("need", F.least(F.col("size"), F.col("quota") + F.greatest(missing, F.lit(0)))).where("need > 0")
+    under = F.floor((F.col("need") + 3 * F.sqrt("need") + 3) / F.col("size") * 2**32).cast("long")
+    bound = F.when(under < 2**32, F.lower(F.lpad(F.hex(under), 8, "0"))).otherwise("g")  # a hash begins with g never
+    need = written(need.select("lesson_id", "level", "difficulty", "quota", "need", bound.alias("bound")), "questions-needed")
+    asked = written(asked, "learners-of-lessons")
+
+    near = questions.join(need, ["lesson_id", "difficulty"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    dealt = asked.withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(SHARES)).cast("int"))
+    kept = dealt.join(near, ["lesson_id", "level", "share"]).withColumn("o", order).where(F.col("o") < F.col("bound"))
+    columns = ["user_id", "lesson_id", "difficulty", "question_id", "o", "quota", "need"]
+    kept = written(kept.select(*columns), "questions-near")
+    group = ["user_id", "lesson_id", "difficulty"]
+    have = kept.groupBy(*group).agg(F.count("*").alias("have"))
+    few = asked.join(need, ["lesson_id", "level"]).join(have, group, "left").where("coalesce(have, 0) < need").select(*group, "quota", "need")
+    few = written(few, "learners-with-few")
+    q = kept.join(few.select(*group), group, "left_anti").unionByName(few.join(questions, ["lesson_id", "difficulty"]).withColumn("o", order).select(*columns))
+
     who = W.partitionBy("user_id", "lesson_id")
-    q = q.withColumn("in_quota", F.row_number().over(W.partitionBy("user_id", "lesson_id", "difficulty").orderBy("o")) <= quota)
+    q = q.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("o"))).where("_n <= need").withColumn("in_quota", F.col("_n") <= F.col("quota"))
     q = q.withColumn("place", F.row_number().over(who.orderBy(F.desc("in_quota"), "o"))).where(F.col("place") <= n)
     return q.select("user_id", "lesson_id", "question_id", F.row_number().over(who.orderBy("o")).alias("position"))
 

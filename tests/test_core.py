@@ -185,3 +185,24 @@ def test_topic_rules_are_only_tried_where_their_words_are(spark):
         for p in patterns:  # wherever a rule matches, its words are there
             assert rows.where(F.rlike("text", F.lit(X.js_regex(p))) & ~X.may_match("f", p)).isEmpty(), p
     assert sum(bool(X.needed_words(p)) for _, ps in N.TOPICS for p in ps) > 90
+
+
+def test_adaptive_questions_are_ranked_where_they_can_be_chosen_only(spark):
+    import glob
+    import hashlib
+
+    pool = [(q % 3, q, "easy" if q % 3 == 2 and q > 8 else ("easy", "medium", "hard")[q // 3 % 3]) for q in range(3000)]
+    learners = [(u, u % 3, ("BEGINNER", "INTERMEDIATE", "EXPERT")[u % 4 % 3]) for u in range(60)]
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/questions-near-*"))
+    got = O.select_adaptive(spark.createDataFrame(pool, "lesson_id long, question_id long, difficulty string"), spark.createDataFrame(learners, "user_id long, lesson_id long, level string"), 5, "s")
+    want = set()
+    for user, lesson, level in learners:
+        seen, rows = {}, []
+        for o, q, d in sorted((hashlib.md5(f"s:{user}:{q}".encode()).hexdigest(), q, d) for at, q, d in pool if at == lesson):
+            seen[d] = seen.get(d, 0) + 1
+            rows.append((seen[d] > int(5 * dict(zip(("easy", "medium", "hard"), O.LEVEL_MIX[level]))[d] + 0.5), o, q))
+        want |= {(user, lesson, q, k + 1) for k, (_, q) in enumerate(sorted((o, q) for _, o, q in sorted(rows)[:5]))}
+    assert {tuple(r) for r in got.collect()} == want and len(want) == 300
+    (near,) = set(glob.glob(f"{folder}/questions-near-*")) - before
+    assert 0 < spark.read.parquet(near).count() < 60 * 1000 / 10
