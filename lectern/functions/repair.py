@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .cleaning import join_broken_tokens, split_camel
-from .text import col, trim_all
+from .text import col, fold_letters, trim_all
 
 #: Phrases that converters glue together, in the order in which they are taken apart.
 GLUED = (
@@ -83,10 +83,13 @@ def any_of(words: list[str]) -> str:
 
 
 def split_known_glued(c: str | Column) -> Column:
-    """Known phrases that are glued together stand apart; texts that hold none are passed by."""
+    """Known phrases that are glued together stand apart; texts that hold none are passed by, and of the others each phrase is
+    looked for only if the text held it at first: taking phrases apart glues none."""
     pairs, t = glued_pairs(), col(c)
-    fold = lambda y: reduce(lambda x, s: F.regexp_replace(x, f"(?iu){s[0]}", s[1]), pairs, y)
-    return F.when(F.lower(t).rlike(any_of([p for p, _ in pairs])), let(t, fold)).otherwise(t)
+    every = F.array(*[F.struct(F.lit(p).alias("glued"), F.lit(whole).alias("whole"), F.lit(" " in p).alias("apart")) for p, whole in pairs])
+    held = let(fold_letters(t), lambda f: F.filter(every, lambda s: s["apart"] | F.contains(f, s["glued"])))
+    fold = F.aggregate(held, t, lambda x, s: F.regexp_replace(x, F.concat(F.lit("(?iu)"), s["glued"]), s["whole"]))
+    return F.when(F.lower(t).rlike(any_of([p for p, _ in pairs])), fold).otherwise(t)
 
 
 def segment_pattern() -> str:

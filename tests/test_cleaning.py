@@ -105,3 +105,13 @@ def test_whole_chain(spark):
     assert whole[1] == "cơ sở dữ liệu & x\none column only\n\nab cd ef\nA sentence that is long."
     assert kept[1] == whole[1].replace("ab cd ef", "ab\ncd\nef\n") and whole[3] == whole[4] == light[3] == ""
     assert light[1] == whole[1] and light[2].startswith("cơ sở dữ liệu & x\none column only\n(5)\n\nab\ncd")
+
+
+def test_only_phrases_that_a_text_holds_are_taken_apart(spark):
+    from pyspark.sql import functions as F
+
+    from lectern.functions import repair as R
+
+    df = spark.createDataFrame([("x Thựchiện VÍ DỤ quátrìnhvídụ y",), ("KHÁINIỆM",), ("none",), (None,)], "t string").select(R.split_known_glued("t").alias("t"))
+    assert [r.t for r in df.collect()] == ["x thực hiện ví dụ quá trìnhví dụ y", "khái niệm", "none", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 5
