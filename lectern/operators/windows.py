@@ -214,19 +214,26 @@ def select_diverse(hits: DataFrame, key: str, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*best))).where(F.col("rank") <= k)
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """df for a join that never broadcasts either side. Files of few distinct values are much smaller than their rows, so Spark would take a
+    table that grows with the input for a small one and send it through the driver."""
+    return df.hint("merge")
+
+
 def contained(texts: DataFrame, needles: DataFrame, key: str, text: str, needle: str) -> DataFrame:
     """(key, needle) where the needle is in the text. An inverted index of the texts' character trigrams: a needle of which one is
     in no text is nowhere; any other meets the texts of its rarest one only, and is looked for in those. Needles of one or two characters
-    are their own index entry."""
+    are their own index entry. Equal texts are indexed once."""
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
     some = lambda c, n: F.when(F.length(c) >= n, grams(c, n)).otherwise(F.array().cast("array<string>"))
     wanted = needles.select(needle).where(F.length(needle) > 0).distinct()
     own = F.when(F.length(needle) < 3, F.array(needle)).otherwise(F.array_distinct(grams(F.col(needle), 3)))
     asked = wanted.select(needle, F.explode(own).alias("_gram"))
-    held = texts.select(key, text, F.explode(F.array_distinct(F.concat(some(F.col(text), 1), some(F.col(text), 2), some(F.col(text), 3)))).alias("_gram"))
+    held = texts.select(text).distinct().select(text, F.explode(F.array_distinct(F.concat(some(F.col(text), 1), some(F.col(text), 2), some(F.col(text), 3)))).alias("_gram"))
     counts = held.groupBy("_gram").agg(F.count("*").alias("_n"))
-    met = asked.join(counts, "_gram", "left").groupBy(needle).agg(F.min_by("_gram", "_n").alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_none"))
-    return held.join(met.where("_none = 0").select(needle, "_gram"), "_gram").where(F.contains(text, F.col(needle))).select(key, needle)
+    met = asked.join(unsent(counts), "_gram", "left").groupBy(needle).agg(F.min_by("_gram", "_n").alias("_gram"), F.count_if(F.col("_n").isNull()).alias("_none"))
+    found = held.join(unsent(met.where("_none = 0").select(needle, "_gram")), "_gram").where(F.contains(text, F.col(needle))).select(text, needle)
+    return texts.join(unsent(found), text).select(key, needle)
 
 
 def recommend_courses(users: DataFrame, plans: DataFrame, memory: DataFrame, students: DataFrame, ratings: DataFrame, top: int = 10, candidates: int = 40) -> DataFrame:
@@ -252,20 +259,20 @@ def recommend_courses(users: DataFrame, plans: DataFrame, memory: DataFrame, stu
     mine = written(mine, "interests-of-users")
     heads = held.withColumn("n", F.row_number().over(W.partitionBy("w", "word").orderBy("plan_id"))).where(F.col("n") <= candidates)
     lists = heads.groupBy("w", "word").agg(F.collect_list("plan_id").alias("plans"))  # at most 40
-    near = mine.join(lists, ["w", "word"]).select("user_id", F.explode("plans").alias("plan_id")).distinct()
+    near = mine.join(unsent(lists), ["w", "word"]).select("user_id", F.explode("plans").alias("plan_id")).distinct()
     near = near.withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("plan_id"))).where(F.col("n") <= candidates).drop("n")
-    first = near.join(held, "plan_id").join(mine, ["user_id", "w", "word"]).groupBy("user_id", "plan_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+    first = near.join(unsent(held), "plan_id").join(unsent(mine), ["user_id", "w", "word"]).groupBy("user_id", "plan_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
     first = written(first, "first-courses")
 
     better = [F.desc(F.coalesce("students", F.lit(0))), F.desc(F.coalesce("avg_rating", F.lit(0.0))), F.asc("plan_id")]
     standing = written(students.join(ratings.select("plan_id", "avg_rating"), "plan_id", "full"), "standing-of-courses")
-    known = lambda d: d.join(standing, "plan_id", "left")
+    known = lambda d: d.join(unsent(standing), "plan_id", "left")
     newest = [r.plan_id for r in known(live.orderBy(F.desc("created_rank"), "plan_id").limit(30).select("plan_id")).orderBy(*better).select("plan_id").collect()]
     offered = lambda ids: F.array(*map(F.lit, ids)).cast(f"array<{dict(live.dtypes)['plan_id']}>")
-    counts = users.select("user_id").join(first.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "left")
+    counts = users.select("user_id").join(unsent(first.groupBy("user_id").agg(F.count("*").alias("n"))), "user_id", "left")
     # without candidates everyone has the same list; with few, as many of it as can be among the best
     same = counts.where("n is null").select("user_id", F.posexplode(offered(newest[:top])).alias("place", "plan_id")).select("user_id", "plan_id", F.lit(0).cast("long").alias("score"), F.col("place") + 1)
-    more = counts.where("n < 6").select("user_id", F.explode(offered(newest[: top + 5])).alias("plan_id")).join(first, ["user_id", "plan_id"], "left_anti").select("user_id", "plan_id", F.lit(0).cast("long").alias("score"))
+    more = counts.where("n < 6").select("user_id", F.explode(offered(newest[: top + 5])).alias("plan_id")).join(unsent(first), ["user_id", "plan_id"], "left_anti").select("user_id", "plan_id", F.lit(0).cast("long").alias("score"))
     n = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("score"), *better))
     return known(first.unionByName(more)).select("user_id", "plan_id", "score", n.alias("place")).where(F.col("place") <= top).union(same)
 

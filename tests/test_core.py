@@ -206,3 +206,19 @@ def test_adaptive_questions_are_ranked_where_they_can_be_chosen_only(spark):
     assert {tuple(r) for r in got.collect()} == want and len(want) == 300
     (near,) = set(glob.glob(f"{folder}/questions-near-*")) - before
     assert 0 < spark.read.parquet(near).count() < 60 * 1000 / 10
+
+
+def test_courses_are_met_without_a_broadcast(spark):
+    """Files of few distinct values are small, the tables in them are not: none of them may be sent through the driver."""
+    texts = spark.range(300).selectExpr("id as plan_id", "concat('blue ring ', id % 3) as t")
+    needles = spark.createDataFrame([("ring 1",), ("g",), ("e r",), ("none",)], "topic string")
+    found = O.contained(texts, needles, "plan_id", "t", "topic")
+    assert {(r.plan_id, r.topic) for r in found.collect()} == {(k, n) for k in range(300) for n in ("ring 1", "g", "e r") if n in f"blue ring {k % 3}"}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    users = spark.range(20).toDF("user_id")
+    plans = spark.range(300).selectExpr(
+        "id as plan_id", "'blue ring' as title", "id % 7 as owner_id", "concat('c', id % 5) as category", "array('blue', 'ring') as tags", "true as is_public", "false as is_deleted", "id as created_rank"
+    )
+    memory = users.selectExpr("user_id", "'click' as topic", "1L as count")
+    got = O.recommend_courses(users, plans, memory, plans.selectExpr("plan_id", "1L as students"), plans.selectExpr("plan_id", "4.0D as avg_rating"))
+    assert got.count() == 200 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
