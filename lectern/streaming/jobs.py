@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,39 +27,60 @@ def topic_memory(stream: DataFrame) -> DataFrame:
 
 #: The user_id of rows that only move the watermark.
 NOBODY = -1
+#: What a null is while it waits.
+UNKNOWN = -(1 << 63)
+
+
+#: Groups of learners' courses that are folded together, so that a micro-batch costs a few calls for state for each group, not for each course.
+GROUPS = 1024
 
 
 class _Progress(StatefulProcessor):
-    """A learner's course: the rounded average, the number of quizzes, and a list of submissions that the watermark has not
-    passed yet. A timer at the earliest of them folds, in order of time, all that it has passed."""
+    """Of a group of learners' courses, by (user_id, plan_id): the rounded average, the number of quizzes and the unrounded one, and the
+    submissions that the watermark has not passed yet. Each is one value of packed columns. A timer at the earliest submission folds, in
+    order of time, all that it has passed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("progress", "avg double, n long, raw double")
-        self.waiting = handle.getListState("waiting", "at long, submission_id long, pct long")
+        self.state = handle.getValueState("progress", "keys binary, values binary")
+        self.waiting = handle.getValueState("waiting", "rows binary")
+
+    def _rest(self) -> np.ndarray:
+        """user_id, plan_id, at, submission_id and pct of what waits."""
+        return np.frombuffer(bytes(self.waiting.get()[0]), np.int64).reshape(-1, 5) if self.waiting.exists() else np.zeros((0, 5), np.int64)
+
+    def _wait(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.waiting.update((rows.tobytes(),))
+            self.handle.registerTimer(int(rows[:, 2].min()) // 1000)
+        else:
+            self.waiting.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows))
-        self.waiting.appendList([(int(a), int(s), int(p)) for a, s, p in zip(seen["at"], seen["submission_id"], seen["pct"])])
-        self.handle.registerTimer(int(seen["at"].min()) // 1000)
+        new = [r[["user_id", "plan_id", "at", "submission_id", "pct"]].to_numpy(np.int64) for r in rows]
+        self._wait(np.concatenate([self._rest(), *new]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        due, rest = [r for r in waiting if r[0] // 1000 < passed], [r for r in waiting if r[0] // 1000 >= passed]
-        if not due:
+        waiting = self._rest()
+        passed = waiting[:, 2] // 1000 < timerValues.getCurrentWatermarkInMs()
+        due = waiting[passed]
+        if not len(due):  # an earlier timer of this watermark has folded them
             return
-        avg, n, raw = self.state.get() if self.state.exists() else (0.0, 0, 0.0)
-        for _, _, pct in due:
+        course: dict[tuple[int, int], tuple[float, float, float]] = {}
+        if self.state.exists():
+            keys, values = self.state.get()
+            course = dict(zip(map(tuple, np.frombuffer(bytes(keys), np.int64).reshape(-1, 2).tolist()), map(tuple, np.frombuffer(bytes(values), np.float64).reshape(-1, 3).tolist())))
+        met = {}
+        for user, plan, _, _, pct in due[np.lexsort((due[:, 4], due[:, 3], due[:, 2]))].tolist():
+            avg, n, raw = course.get((user, plan), (0.0, 0.0, 0.0))
             raw = (avg * n + pct) / (n + 1)
-            avg, n = float(int(raw + 0.5)), n + 1
-        self.state.update((avg, n, raw))
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        if rest:
-            self.handle.registerTimer(rest[0][0] // 1000)
-        level = "EXPERT" if raw >= 85 else "BEGINNER" if raw < 60 else "INTERMEDIATE"
-        yield pd.DataFrame({"user_id": [key[0]], "plan_id": [key[1]], "average_score": [avg], "quizzes": [n], "level": [level]})
+            course[user, plan] = met[user, plan] = (float(int(raw + 0.5)), n + 1, raw)
+        self.state.update((np.array(list(course), np.int64).tobytes(), np.array(list(course.values()), np.float64).tobytes()))
+        self._wait(waiting[~passed])
+        levels = ["EXPERT" if raw >= 85 else "BEGINNER" if raw < 60 else "INTERMEDIATE" for _, _, raw in met.values()]
+        users, plans = zip(*met)
+        yield pd.DataFrame({"user_id": users, "plan_id": plans, "average_score": [a for a, _, _ in met.values()], "quizzes": [int(n) for _, n, _ in met.values()], "level": levels})
 
     def close(self) -> None:
         pass
@@ -70,11 +92,13 @@ def running_progress(stream: DataFrame, ts: str = "ts", late: str = "1 day") ->
     watermark; rows of NOBODY only move the watermark (a filter before it would be pushed below it, and they would not). Needs
     the RocksDB state store."""
     rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
-    rows = rows.select("user_id", "plan_id", ts, F.unix_micros(ts).alias("at"), "submission_id", F.col("pct").cast("long").alias("pct"))
-    folded = rows.groupBy("user_id", "plan_id").transformWithStateInPandas(
+    dealt = F.pmod(F.xxhash64("user_id", "plan_id"), F.lit(GROUPS)).cast("int").alias("dealt")
+    rows = rows.select(dealt, *[F.coalesce(F.col(c).cast("long"), F.lit(UNKNOWN)).alias(c) for c in ("user_id", "plan_id")], ts, F.unix_micros(ts).alias("at"), F.col("submission_id").cast("long").alias("submission_id"), F.col("pct").cast("long").alias("pct"))
+    folded = rows.groupBy("dealt").transformWithStateInPandas(
         statefulProcessor=_Progress(), outputStructType="user_id long, plan_id long, average_score double, quizzes long, level string", outputMode="Update", timeMode="EventTime"
     )
-    return folded.where(F.col("user_id") != NOBODY)
+    known = [F.nullif(c, F.lit(UNKNOWN)).alias(c) for c in ("user_id", "plan_id")]
+    return folded.select(*known, "average_score", "quizzes", "level").where(F.col("user_id") != NOBODY)
 
 
 def ingest_once(stream: DataFrame, owner: str, text: str, ts: str, late: str = "1 day") -> DataFrame:

@@ -222,3 +222,32 @@ def test_courses_are_met_without_a_broadcast(spark):
     memory = users.selectExpr("user_id", "'click' as topic", "1L as count")
     got = O.recommend_courses(users, plans, memory, plans.selectExpr("plan_id", "1L as students"), plans.selectExpr("plan_id", "4.0D as avg_rating"))
     assert got.count() == 200 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_courses_of_a_group_share_their_state(spark):
+    """A micro-batch costs a few calls for state, however many courses it meets, and the fold is that of each course alone."""
+    calls = []
+
+    class Value:
+        held = None
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"exists": lambda: self.held is not None, "get": lambda: self.held, "update": lambda v: setattr(self, "held", v), "clear": lambda: setattr(self, "held", None)}[name]
+
+    class Handle:
+        getValueState = lambda self, *a: Value()
+        getListState = lambda self, *a: Value()
+        registerTimer = lambda self, at: calls.append("timer")
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 3000
+
+    p = jobs._Progress()
+    p.init(Handle())
+    rows = [(u, 1, at * 1_000_000, u * 10 + at, (u * 37 + at) % 101) for u in range(500) for at in (2, 1, 5)]
+    list(p.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["user_id", "plan_id", "at", "submission_id", "pct"])]), Times()))
+    out = pd.concat(p.handleExpiredTimer((0,), Times(), None))
+    assert len(calls) < 20 and len(out) == 500 and set(out["quizzes"]) == {2}
+    first = lambda u: math.floor((u * 37 + 1) % 101 + 0.5)
+    assert list(out.sort_values("user_id")["average_score"]) == [math.floor((first(u) + (u * 37 + 2) % 101) / 2 + 0.5) for u in range(500)]
