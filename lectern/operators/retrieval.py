@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, rerank_keywords, reuse_keywords
 from .classify import infer_topics
-from .vectors import QuantisedIndex, candidates, file_chunks, fit_index, fit_pivots, meeting
+from .vectors import QuantisedIndex, candidates, file_chunks, fit_index, nearest_pairs
 
 
 #: Characters of a chunk that a search returns, and its score where there is none.
@@ -189,21 +189,25 @@ def context_of(sources: DataFrame) -> DataFrame:
 def reuse_candidates(requests: DataFrame, index: DataFrame, own: float = 0.88, public: float = 0.92, overlap: float = 0.15, near: int = 20) -> DataFrame:
     """For each request the first of the nearest earlier lessons that passes: the owner's own before other owners' public
     ones, of another plan, near enough in vector and keywords. Both: lesson_id, plan_id, owner_id, topic, vector; index
-    also is_public. Vectors meet by pivots (own ones within the owner as well), so few pairs are compared where few are alike. Of
-    index rows with one vector the first near + 1 can be among the nearest, so no others are compared."""
-    cols = ("lesson_id", "plan_id", "owner_id", "topic", "vector")
-    i = index.select(*[F.col(c).alias(f"i_{c}") for c in (*cols, "is_public")])
-    first = lambda df, *by: _best(df, ["i_vector", *by], near + 1, "copy", "i_lesson_id").drop("copy", "i_is_public")
-    asked = requests.select(*cols)
-    score, other = pair_cosine("vector", "i_vector"), F.col("lesson_id") != F.col("i_lesson_id")
-
-    def alike(rows: DataFrame, threshold: float, mine: bool) -> DataFrame:
-        pivots = fit_pivots(rows, "i_lesson_id", "i_vector", threshold)
-        pairs = meeting(with_length(asked, "vector"), with_length(rows, "i_vector"), pivots, also=(("owner_id", "i_owner_id"),) if mine else ())
-        scored = pairs.where(other).withColumn("score", score).where(F.col("score") >= threshold)
-        return scored.drop("vector", "i_vector", "vector_length", "i_vector_length").withColumn("own", F.lit(mine))
-
-    both = alike(first(i, "i_owner_id"), own, True).unionByName(alike(first(i.where("i_is_public")), public, False))
+    also is_public. Products of blocks of vectors choose the nearest (own ones within the owner), whose texts and exact scores are then
+    fetched. Of index rows with one vector the first near + 1 can be among the nearest, so no others are compared."""
+    asked = requests.select("lesson_id", "plan_id", "owner_id", "topic", "vector")
+    i = index.select(*[F.col(c).alias(f"i_{c}") for c in ("lesson_id", "plan_id", "owner_id", "topic", "vector", "is_public")])
+    bare = i.select("i_lesson_id", "i_owner_id", "i_vector", "i_is_public")
+
+    def nearest_of(rows: DataFrame, threshold: float, mine: bool) -> DataFrame:
+        part = (lambda c: F.col(c)) if mine else (lambda c: F.lit(0).cast(dict(bare.dtypes)["i_owner_id"]))
+        first = _best(rows, ["i_vector", "i_owner_id"] if mine else ["i_vector"], near + 1, "copy", "i_lesson_id")
+        pairs = nearest_pairs(
+            asked.select(F.col("lesson_id").alias("key"), "vector", part("owner_id").alias("part")),
+            first.select(F.col("i_lesson_id").alias("i_key"), "i_vector", part("i_owner_id").alias("i_part")), threshold, near,
+        )
+        return pairs.select(F.col("key").alias("lesson_id"), F.col("i_key").alias("i_lesson_id"), F.lit(mine).alias("own"))
+
+    pairs = nearest_of(bare, own, True).unionByName(nearest_of(bare.where("i_is_public"), public, False))
+    both = with_length(asked, "vector").join(pairs, "lesson_id").join(with_length(i, "i_vector"), "i_lesson_id").withColumn("score", pair_cosine("vector", "i_vector"))
+    ours = F.col("own") & (F.col("owner_id") == F.col("i_owner_id")) & (F.col("score") >= own)
+    both = both.where(ours | (~F.col("own") & F.col("i_is_public") & (F.col("score") >= public))).drop("vector", "i_vector", "vector_length", "i_vector_length", "i_is_public")
     order = [F.desc("score"), F.asc("i_lesson_id")]
     nearest = _best(both, ["lesson_id", "own"], near, "n", *order)
     passed = nearest.where((F.col("plan_id") != F.col("i_plan_id")) & (F.col("own") | (F.col("owner_id") != F.col("i_owner_id"))))

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import small_batches
+
 SAMPLE = 20_000
 
 
@@ -215,3 +217,83 @@ def meeting(requests: DataFrame, index: DataFrame, pivots: Pivots, vector: str =
     for c in on[1:]:
         same = same & c
     return asked.join(filed, same).drop("pivot", "ring", "block", "_pivot", "_ring", "_block")
+
+
+# ---- the nearest above a similarity
+
+#: Index rows that one cell of the search holds, and queries that are multiplied with them at a time.
+CELL, ASKED = 8192, 256
+#: Scores are rounded to six places after the cut, so what is that much below it can still count.
+ROUNDING = 2e-6
+
+
+def nearest_pairs(requests: DataFrame, index: DataFrame, threshold: float, near: int) -> DataFrame:
+    """(key, i_key) of each request's nearest index rows at a cosine of the threshold or more, near of them and what rounding could put
+    among them. requests: key, vector, part; index: i_key, i_vector, i_part. Pairs have equal parts and vector lengths, and unequal keys. The
+    index rows of a part and length are dealt to cells, each request goes to all cells of its part and length, and a cell is a product
+    of matrices: only the best pairs leave it, as ids. Zero vectors and such with nulls or other than finite numbers are near to none."""
+    small_batches(index.sparkSession)
+    dealt = index.where(F.size("i_vector") > 0).select("i_part", F.size("i_vector").alias("long"), F.col("i_key").alias("id"), F.col("i_vector").alias("v"))
+    cells = dealt.groupBy("i_part", "long").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    marked = lambda d, role: d.select("part", "long", "cell", F.lit(role).alias("role"), F.xxhash64("id").alias("mark"), "id", "v")
+    held = dealt.join(cells, ["i_part", "long"]).withColumn("cell", F.pmod(F.xxhash64("id"), "cells").cast("int")).withColumnRenamed("i_part", "part")
+    asked = requests.where(F.size("vector") > 0).select(F.col("part").alias("i_part"), F.size("vector").alias("long"), F.col("key").alias("id"), F.col("vector").alias("v")).join(cells, ["i_part", "long"])
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumnRenamed("i_part", "part")
+    kind = dict(dealt.dtypes)["id"]
+    names = ["key", "i_key", "near", "long"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, cell = None, [], None
+
+        def measured(rows: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+            """ids, marks, unit vectors and the lengths that they had."""
+            v, n = rows.column("v"), len(rows)
+            x = v.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(n, -1)
+            length = np.sqrt((x * x).sum(1))
+            good = np.flatnonzero(np.isfinite(length) & (length > 0))
+            return rows.column("id").take(pa.array(good)), rows.column("mark").to_numpy()[good], (x[good] / length[good, None]).astype(np.float32), length[good]
+
+        for b in batches:
+            where = np.stack([b.column(c).to_numpy() for c in ("place", "role")])
+            cuts = [0, *(np.flatnonzero((where[:, 1:] != where[:, :-1]).any(0)) + 1).tolist(), len(b)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi == lo:
+                    continue
+                if where[0, lo] != now:
+                    now, parts, cell = where[0, lo], [], None
+                if not where[1, lo]:
+                    parts.append(measured(b.slice(lo, hi - lo)))
+                    continue
+                if cell is None:
+                    ids, *rest = zip(*parts) if parts else ((), (), (), ())
+                    cell = (pa.concat_arrays(ids), *map(np.concatenate, rest)) if parts else ()
+                    parts = []
+                if not cell or not len(cell[0]):
+                    continue
+                for at in range(lo, hi, ASKED):
+                    own, mark, x, length = measured(b.slice(at, min(ASKED, hi - at)))
+                    if not len(x):
+                        continue
+                    score = x @ cell[2].T
+                    if length.min() * cell[3].min() < 0.01:  # the score's divisor has 1e-9 added, which such short vectors feel
+                        score /= (1 + 1e-9 / (length[:, None] * cell[3])).astype(np.float32)
+                    room = ROUNDING + 2.4e-7 * x.shape[1]  # single precision as well
+                    i, j = np.nonzero(score >= threshold - room)
+                    many = np.flatnonzero(np.bincount(i, minlength=len(x)) > near)
+                    if len(many):
+                        cut = np.full(len(x), -2.0, np.float32)
+                        other = np.where(mark[many, None] == cell[1], np.float32(-2), score[many])
+                        cut[many] = np.partition(other, -near, axis=1)[:, -near] - room
+                        best = score[i, j] >= cut[i]
+                        i, j = i[best], j[best]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([own.take(pa.array(i)), cell[0].take(pa.array(j)), pa.array(score[i, j].astype(np.float64)), pa.array(np.full(len(i), x.shape[1], np.int32))], names=names)
+
+    # index rows come before the requests of their cell
+    rows = marked(held, 0).union(marked(asked, 1)).repartition("part", "long", "cell").sortWithinPartitions("part", "long", "cell", "role")
+    # neighbouring cells of a task must differ: their own places as a hash of 64 bits
+    rows = rows.select(F.xxhash64("part", "long", "cell").alias("place"), "role", "mark", "id", "v")
+    pairs = rows.mapInArrow(work, f"key {kind}, i_key {kind}, near double, long int").where("key <> i_key")
+    nth = F.max(F.when(F.col("n") == near, F.col("near"))).over(W.partitionBy("key"))
+    ranked = pairs.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("near"))))
+    return ranked.withColumn("cut", nth).where(F.col("cut").isNull() | (F.col("near") >= F.col("cut") - ROUNDING - 2.4e-7 * F.col("long"))).select("key", "i_key").distinct()

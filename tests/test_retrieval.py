@@ -155,3 +155,23 @@ def test_vectors_pass_through_or_come_from_a_model(spark):
     got = {r.doc_id: r.embedding for r in V.vectorize(docs, "doc_id", "text", model=lambda texts: [[float(len(x))] for x in texts], given="own").collect()}
     assert got == {1: [3.0], 2: [0.0], 3: [7.0]}
     assert {r.doc_id for r in V.vectorize(docs, "doc_id", "text", given="own").collect()} == {1, 3}
+
+
+def test_texts_of_reusable_lessons_stay_out_of_python(spark):
+    """Only vectors go to Python, and what comes back are the nearest pairs, as many as a full comparison finds."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    x[100:140] = x[7]  # more copies than the list is long
+    rows = [(k, k % 5, k % 3, f"graph theory lesson {k % 4}", [float(v) for v in x[k]], k % 2 == 0) for k in range(300)] + [(900, 0, 0, "zero", [0.0] * 6, True), (901, 0, 0, "short", [1.0, 2.0], True), (902, 0, 0, "none", None, True)]
+    index = spark.createDataFrame(rows, "lesson_id long, plan_id long, owner_id long, topic string, vector array<double>, is_public boolean")
+    found = V.reuse_candidates(index.where("lesson_id % 10 = 0").drop("is_public"), index, own=0.3, public=0.35, overlap=0.01)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not any("topic" in line for line in plan.splitlines() if "MapInArrow" in line or "python_arrow" in line)
+    pairs = I.nearest_pairs(index.selectExpr("lesson_id as key", "vector", "0 as part"), index.selectExpr("lesson_id as i_key", "vector as i_vector", "0 as i_part"), 0.5, 5).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    score = np.round(u @ u.T, 6)
+    np.fill_diagonal(score, -1)
+    for k in range(300):
+        best = {j for j in np.lexsort((np.arange(300), -score[k]))[:5] if score[k, j] >= 0.5}
+        assert best <= {p.i_key for p in pairs if p.key == k} <= set(np.flatnonzero(score[k] >= 0.4999))
+    assert not {900, 901, 902} & {p.key for p in pairs if p.i_key != p.key}
