@@ -36,6 +36,11 @@ def of_length(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], x[good] / length[good, None]
 
 
+def lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as lists, without a Python object for each number."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)[: len(x) + 1]), pa.array(x.ravel()))
+
+
 def sample_of(vectors: DataFrame, key: str, vector: str, rows: int = SAMPLE) -> np.ndarray:
     """Unit vectors of a sample, so many rows at most."""
     some = vectors.where(F.size(vector) > 0).orderBy(F.xxhash64(key), key).limit(rows).select(vector)
@@ -107,9 +112,10 @@ def file_chunks(chunks: DataFrame, index: QuantisedIndex) -> DataFrame:
         for b in batches:
             rows, x = of_length(b.column(2), index.size)
             cell = index.cells(x)[:, 0]
-            code = pa.array(index.codes(x, cell).tolist(), pa.list_(pa.int8()))
+            code = lists(index.codes(x, cell))
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(rows)) for k in (0, 1)] + [pa.array(cell.astype(np.int32)), code], names=["chunk_id", "plan_id", "cell", "code"])
 
+    small_batches(chunks.sparkSession)
     kinds = dict(chunks.dtypes)
     return chunks.select("chunk_id", "plan_id", "embedding").mapInArrow(work, f"chunk_id {kinds['chunk_id']}, plan_id {kinds['plan_id']}, cell int, code array<tinyint>")
 
@@ -120,13 +126,16 @@ def candidates(queries: DataFrame, filed: DataFrame, index: QuantisedIndex, n: i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, q = of_length(b.column(2), index.size)
-            cell = index.cells(q)[:, : index.probes]
-            table, base = index.table(q), np.take_along_axis(q @ index.centres.T, cell, axis=1)
-            each = np.repeat(np.arange(len(q)), cell.shape[1])
-            cols = [b.column(k).take(pa.array(rows[each])) for k in (0, 1)] + [pa.array(cell.ravel().astype(np.int32)), pa.array(base.ravel())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(table[each].tolist(), pa.list_(pa.float32()))], names=["query_id", "plan_id", "cell", "base", "table"])
-
+            rows, every = of_length(b.column(2), index.size)
+            for at in range(0, len(rows), ASKED):
+                q, some = every[at : at + ASKED], rows[at : at + ASKED]
+                cell = index.cells(q)[:, : index.probes]
+                base = np.take_along_axis(q @ index.centres.T, cell, axis=1)
+                each = np.repeat(np.arange(len(q)), cell.shape[1])
+                cols = [b.column(k).take(pa.array(some[each])) for k in (0, 1)] + [pa.array(cell.ravel().astype(np.int32)), pa.array(base.ravel())]
+                yield pa.RecordBatch.from_arrays([*cols, lists(index.table(q)[each])], names=["query_id", "plan_id", "cell", "base", "table"])
+
+    small_batches(queries.sparkSession)
     kinds = dict(queries.dtypes)
     asked = queries.select("query_id", "plan_id", "vector").mapInArrow(work, f"query_id {kinds['query_id']}, plan_id {kinds['plan_id']}, cell int, base double, table array<float>")
     words = index.books.shape[1]

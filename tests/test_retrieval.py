@@ -175,3 +175,22 @@ def test_texts_of_reusable_lessons_stay_out_of_python(spark):
         best = {j for j in np.lexsort((np.arange(300), -score[k]))[:5] if score[k, j] >= 0.5}
         assert best <= {p.i_key for p in pairs if p.key == k} <= set(np.flatnonzero(score[k] >= 0.4999))
     assert not {900, 901, 902} & {p.key for p in pairs if p.i_key != p.key}
+
+
+def test_models_and_indexes_see_small_batches(spark):
+    """What goes to Python at a time is bounded, and so is what the codes' tables take there."""
+    name, rng = "spark.sql.execution.arrow.maxRecordsPerBatch", np.random.default_rng(5)
+    rows = [(k, 0, [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(700, 8)))]
+    chunks = spark.createDataFrame(rows, "chunk_id long, plan_id long, embedding array<float>")
+    asked = chunks.select(F.col("chunk_id").alias("query_id"), "plan_id", F.col("embedding").alias("vector")).coalesce(1)
+    x = I.fit_index(chunks)
+    spark.conf.set(name, "10000")
+    filed = I.file_chunks(chunks, x)
+    assert spark.conf.get(name) == "2000" and filed.count() == 700
+    hits = I.candidates(asked, filed, x, 5)
+    assert hits.groupBy("query_id").count().where("count = 5").count() == 700  # more queries than are worked on at a time
+    spark.conf.set(name, "10000")
+    made = V.vectorize(spark.createDataFrame([(1, "a b")], "id long, text string"), "id", "text", model=lambda texts: [[1.0] for _ in texts])
+    assert spark.conf.get(name) == "2000" and made.first().embedding == [1.0]
+    m = np.arange(12, dtype=np.float32).reshape(3, 4)
+    assert I.lists(m).to_pylist() == m.tolist() and len(I.lists(m[:0])) == 0
