@@ -111,9 +111,11 @@ def content_duplication(lessons: DataFrame, least: float = 0.35) -> DataFrame:
 
 
 def scope_compliance(lessons: DataFrame, repeats: int = 2, least: int = 3) -> DataFrame:
-    """Days that repeat an earlier day's title: three of its long words at least twice each in the text."""
-    title = lessons.select("plan_id", F.col("day_number").alias("earlier"), F.explode(F.filter(F.split(normalize_text("title"), " "), lambda x: F.length(x) > 4)).alias("w"))
-    text = lessons.select("plan_id", F.col("day_number").alias("day"), F.explode(F.split(normalize_text("content"), " ")).alias("w")).groupBy("plan_id", "day", "w").agg(F.count("*").alias("n"))
+    """Days that repeat an earlier day's title: three of its long words at least twice each in the text. Shorter words of a text can meet
+    none, so they are dropped before they are counted."""
+    words = lambda c: F.filter(F.split(normalize_text(c), " "), lambda x: F.length(x) > 4)
+    title = lessons.select("plan_id", F.col("day_number").alias("earlier"), F.explode(words("title")).alias("w"))
+    text = lessons.select("plan_id", F.col("day_number").alias("day"), F.explode(words("content")).alias("w")).groupBy("plan_id", "day", "w").agg(F.count("*").alias("n"))
     hits = text.where(F.col("n") >= repeats).join(title, ["plan_id", "w"]).where("earlier < day").groupBy("plan_id", "day", "earlier").agg(F.count("*").alias("hits"))
     return hits.where(F.col("hits") >= least)
 

@@ -251,3 +251,12 @@ def test_courses_of_a_group_share_their_state(spark):
     assert len(calls) < 20 and len(out) == 500 and set(out["quizzes"]) == {2}
     first = lambda u: math.floor((u * 37 + 1) % 101 + 0.5)
     assert list(out.sort_values("user_id")["average_score"]) == [math.floor((first(u) + (u * 37 + 2) % 101) / 2 + 0.5) for u in range(500)]
+
+
+def test_scope_counts_only_words_that_a_title_can_have(spark):
+    from lectern.operators import documents as D
+
+    rows = [(1, 1, "graph theory basics", "graph"), (1, 2, "more", "graph graph theory theory basics basics of of of"), (1, 2, "x", "graph graph"), (1, 3, "y", "of of graph graph")]
+    out = D.scope_compliance(spark.createDataFrame(rows, "plan_id long, day_number int, title string, content string"))
+    assert [tuple(r) for r in out.collect()] == [(1, 2, 1, 3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("> 4") >= 2
