@@ -76,9 +76,10 @@ def defrag_lines(lines: DataFrame, most: int = 8) -> DataFrame:
     begins = F.col("small") & ~(after_small & (F.col("blanks") < 2))
     rows = rows.where(~(F.col("blank") & after_small & (F.col("blanks") == 0)))  # a lone blank line among fragments
     rows = rows.withColumn("at", F.when(F.col("small"), F.last(F.when(begins, F.col("i")), ignorenulls=True).over(so_far())).otherwise(F.col("i")))
-    out = joined(rows.select("doc_id", "i", "at", F.when(F.col("small") | F.col("blank"), t).otherwise(F.col("line")).alias("line")), " ")
-    ends = rows.where("small").select("doc_id", F.col("at").alias("i"), F.lit(True).alias("many")).distinct()
-    return out.join(ends, ["doc_id", "i"], "left").select("doc_id", "i", F.when(F.col("many"), F.regexp_replace("line", r"\s{2,}", " ")).otherwise(F.col("line")).alias("line"))
+    parts = F.array_sort(F.collect_list(F.struct("i", F.when(F.col("small") | F.col("blank"), t).otherwise(F.col("line")).alias("line"))))
+    out = rows.groupBy("doc_id", "at").agg(parts.alias("p"), F.bool_or("small").alias("many"))  # a place has fragments only, or one other line
+    line = F.array_join(F.transform("p", lambda x: x["line"]), " ")
+    return out.select("doc_id", F.col("at").alias("i"), F.when(F.col("many"), F.regexp_replace(line, r"\s{2,}", " ")).otherwise(line).alias("line"))
 
 
 def clean_corpus(docs: DataFrame, preserve: bool = False) -> DataFrame:

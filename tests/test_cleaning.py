@@ -115,3 +115,10 @@ def test_only_phrases_that_a_text_holds_are_taken_apart(spark):
     df = spark.createDataFrame([("x Thựchiện VÍ DỤ quátrìnhvídụ y",), ("KHÁINIỆM",), ("none",), (None,)], "t string").select(R.split_known_glued("t").alias("t"))
     assert [r.t for r in df.collect()] == ["x thực hiện ví dụ quá trìnhví dụ y", "khái niệm", "none", None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") < 5
+
+
+def test_fragments_are_joined_without_a_second_pass(spark):
+    lines = spark.createDataFrame([(1, k, x) for k, x in enumerate(["a long line of text", "ab", "", "c  d", "", "", "another  long line"])], "doc_id long, i int, line string")
+    out = C.defrag_lines(lines)
+    assert [r.line for r in out.orderBy("i").collect()] == ["a long line of text", "ab c d", "", "another  long line"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
