@@ -1,6 +1,6 @@
-"""Vector indexes: a product-quantised inverted file for search, pivots for joins above a similarity.
+"""Vector indexes: a product-quantised inverted file for search, pivots for joins above a similarity, products of blocks for the nearest above one.
 
-Both are fitted on a bounded sample (so many rows of smallest hash of their id) and then hold every row.
+The first two are fitted on a bounded sample (so many rows of smallest hash of their id) and then hold every row.
 """
 
 from __future__ import annotations
