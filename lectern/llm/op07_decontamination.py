@@ -184,6 +184,23 @@ class Phrases:
         return out
 
 
+def shards(batches: Iterator[pa.RecordBatch], columns: list[str], limit: int) -> Iterator[tuple[list[pa.RecordBatch], list[list[bytes]]]]:
+    """Rows (only these columns of them) and their words, by shards that end with the document that reaches the limit; a batch may have several shards."""
+    held, words, size = [], [], 0
+    for b in batches:
+        begin, rows = 0, b.select(columns)
+        for k, text in enumerate(b.column("text"), 1):
+            words.append(words_of(text.as_py()))
+            size += len(words[-1])
+            if size >= limit:
+                held.append(rows.slice(begin, k - begin))
+                yield held, words
+                held, words, size, begin = [], [], 0, k
+        held.append(rows.slice(begin))
+    if words:
+        yield held, words
+
+
 SPANS = "doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
@@ -192,12 +209,10 @@ def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = (), cut: b
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(c).alias(f"keep_{c}") for c in keep])
     kept = [f"keep_{c}" for c in keep]
-    names = [x.split()[0] for x in SPANS.split(", ")] + kept
+    names, limit = [x.split()[0] for x in SPANS.split(", ")] + kept, SHARD_WORDS
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words, size = [], [], 0
-
-        def done():
+        for held, words in shards(batches, ["doc_id", *kept], limit):
             found = phrases.spans(words)
             cols = [
                 pa.array([len(w) for w in words], pa.int64()),
@@ -210,18 +225,7 @@ def _judge(docs: DataFrame, phrases: Phrases, keep: tuple[str, ...] = (), cut: b
             if cut:
                 texts = [t if t is None or not s else cut_spans(t, *zip(*s)) for t, (s, _) in zip(table["keep_text"].to_pylist(), found)]
                 table = table.set_column(names.index("keep_text"), "keep_text", pa.array(texts, pa.string()))
-            return table.to_batches(max_chunksize=1000)
-
-        for b in batches:
-            held.append(b.select(["doc_id", *kept]))
-            new = [words_of(t) for t in b.column("text").to_pylist()]
-            words += new
-            size += sum(map(len, new))
-            if size >= SHARD_WORDS:
-                yield from done()
-                held, words, size = [], [], 0
-        if words:
-            yield from done()
+            yield from table.to_batches(max_chunksize=1000)
 
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in kept)
     out = docs.mapInArrow(work, SPANS + kinds)

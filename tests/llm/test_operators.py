@@ -334,6 +334,15 @@ def test_fm_index_spans_match_brute_force(docs, rows, benchmark, monkeypatch, bl
     assert by_id(map(tuple, got)) == brute_hits(rows, [tuple(r) for r in benchmark.collect()])
 
 
+def test_shards_of_words_are_bounded_within_a_batch():
+    texts = [None, "", *(" ".join(["word"] * (1 + k % 90)) for k in range(300)), "x " * 5000, "last"]
+    batches = [o7.pa.RecordBatch.from_arrays([o7.pa.array(range(len(texts))), o7.pa.array(texts)], names=["doc_id", "text"])] * 2
+    got = list(o7.shards(iter(batches), ["doc_id"], 1000))
+    assert max(sum(map(len, words[:-1])) for _, words in got) < 1000 and len(got) > 20
+    assert [i for held, _ in got for b in held for i in b["doc_id"].to_pylist()] == [*range(len(texts))] * 2
+    assert [w for _, words in got for w in words] == [o7.words_of(t) for t in texts] * 2
+
+
 def test_fm_index_counts_and_locates():
     rng = np.random.default_rng(4)
     s = np.append(0, rng.integers(0, 4, 500))
