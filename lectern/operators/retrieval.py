@@ -73,6 +73,36 @@ def _first_chunks(queries: DataFrame, bare: DataFrame, k: int, stage: int, by: l
     return rows.select("query_id", "chunk_id", "_text", F.lit(None).cast("double").alias("score"), "n", F.lit(stage).alias("stage"))
 
 
+def _kind(vector: str) -> Column:
+    """0: a vector with a direction; 1: all zeros; 2: a null inside; 3: not all finite; 4: squares that leave the range of doubles."""
+    long, x = F.sqrt(_dot(F.col(vector), F.col(vector))), lambda test: F.exists(vector, lambda v: test(v.cast("double")))
+    infinite = lambda v: F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(long.isNull(), 2).when((long > 0) & (long < float("inf")), 0).when(~x(lambda v: v != 0), 1).when(x(infinite), 3).otherwise(4)
+
+
+def _nearest(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
+    """(query_id, chunk_id): pairs of a plan among which are each query's n best by score and chunk_id. queries: query_id, plan_id,
+    vector; chunks: chunk_id, plan_id, embedding, none of them empty. Products of blocks of vectors choose them, n of those that are equal at most; of chunks
+    whose score is one and the same whatever the direction (of another length, zero, not all numbers) each plan's first n are taken."""
+    asked, had = (dict(d.dtypes)[c] for d, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    common = had if asked == had else "string"
+    q = queries.select(F.col("query_id").cast(common).alias("key"), F.col("plan_id").alias("part"), "vector", _kind("vector").alias("kind"), F.size("vector").alias("long"))
+    c = chunks.select("chunk_id", F.col("plan_id").alias("i_part"), "embedding", _kind("embedding").alias("i_kind"), F.size("embedding").alias("i_long"))
+    some = _best(c.where("i_kind = 0"), ["i_part", "embedding"], n, "copy", "chunk_id")
+    found = nearest_pairs(
+        q.where("kind = 0").select("key", "vector", "part"),
+        some.select(F.col("chunk_id").cast(common).alias("i_key"), F.col("embedding").alias("i_vector"), "i_part"), -2.0, n, itself=True,
+    )
+    bare = c.drop("embedding")
+    heads = _best(bare.where("i_kind < 4"), ["i_part", "i_long", "i_kind"], n, "nth", "chunk_id").drop("nth").unionByName(bare.where("i_kind = 4"))
+    where = F.col("part") == F.col("i_part")
+    even = (F.col("kind") == 0) & (F.col("i_kind") == 0) & (F.col("long") == F.col("i_long"))
+    pair = lambda d: d.select("key", F.col("chunk_id").cast(common).alias("i_key"))
+    bounded, rest = q.drop("vector").where("kind < 4"), q.drop("vector").where("kind = 4")
+    out = found.unionByName(pair(bounded.join(heads, where).where(~even))).unionByName(pair(rest.join(bare, where)))
+    return out.select(F.col("key").cast(asked).alias("query_id"), F.col("i_key").cast(had).alias("chunk_id")).distinct()
+
+
 def vector_search_by_topic(queries: DataFrame, chunks: DataFrame, k: int, near_by: DataFrame | None = None) -> DataFrame:
     """The k best distinct chunks of each query's plan. queries: query_id, plan_id, vector, topics.
 
@@ -81,14 +111,13 @@ def vector_search_by_topic(queries: DataFrame, chunks: DataFrame, k: int, near_b
     empty vector has no nearest chunks, a chunk without an embedding is near to none. Then repeated contents go, and
     the first k of the others stay. All stages are bounded lists, so the first that has rows is chosen by one window over their union
     and nothing is searched twice. path says which one it was. near_by (query_id, chunk_id), if given, are the only pairs whose vectors
-    are compared, as an index chose them."""
+    are compared, as an index chose them; else products of blocks choose pairs among which the nearest are (_nearest), so that no list of all
+    pairs is moved."""
     asked = queries.select("query_id", "plan_id", "vector", F.coalesce("topics", F.array().cast("array<string>")).alias("topics"))
     bare, wide = _bare(chunks), F.size("topics") > 0
     near, able = asked.where(F.size("vector") > 0), bare.where(F.size("embedding") > 0)
-    on = ["plan_id"]
-    if near_by is not None:
-        near, on = near.join(near_by, "query_id"), ["plan_id", "chunk_id"]
-    pairs = _scored(near, able, on, "topics", "topic", "_text")
+    near_by = _nearest(near, able, 6 * k) if near_by is None else near_by
+    pairs = _scored(near.join(near_by, "query_id"), able, ["plan_id", "chunk_id"], "topics", "topic", "_text")
     near = _best(pairs, ["query_id"], F.when(wide, 6 * k).otherwise(2 * k), "n", F.desc("score"), "chunk_id")
     near = _best(near.where(~wide | F.array_contains("topics", F.col("topic"))), ["query_id"], 2 * k, "n", F.desc("score"), "chunk_id")
     listed = asked.select("query_id", "plan_id", F.explode("topics").alias("topic"))

@@ -236,9 +236,9 @@ CELL, ASKED = 8192, 256
 ROUNDING = 2e-6
 
 
-def nearest_pairs(requests: DataFrame, index: DataFrame, threshold: float, near: int) -> DataFrame:
+def nearest_pairs(requests: DataFrame, index: DataFrame, threshold: float, near: int, itself: bool = False) -> DataFrame:
     """(key, i_key) of each request's nearest index rows at a cosine of the threshold or more, near of them and what rounding could put
-    among them. requests: key, vector, part; index: i_key, i_vector, i_part. Pairs have equal parts and vector lengths, and unequal keys. The
+    among them. requests: key, vector, part; index: i_key, i_vector, i_part. Pairs have equal parts and vector lengths, and unequal keys, unless itself is set. The
     index rows of a part and length are dealt to cells, each request goes to all cells of its part and length, and a cell is a product
     of matrices: only the best pairs leave it, as ids. Zero vectors and such with nulls or other than finite numbers are near to none."""
     small_batches(index.sparkSession)
@@ -291,7 +291,7 @@ def nearest_pairs(requests: DataFrame, index: DataFrame, threshold: float, near:
                     many = np.flatnonzero(np.bincount(i, minlength=len(x)) > near)
                     if len(many):
                         cut = np.full(len(x), -2.0, np.float32)
-                        other = np.where(mark[many, None] == cell[1], np.float32(-2), score[many])
+                        other = score[many] if itself else np.where(mark[many, None] == cell[1], np.float32(-2), score[many])
                         cut[many] = np.partition(other, -near, axis=1)[:, -near] - room
                         best = score[i, j] >= cut[i]
                         i, j = i[best], j[best]
@@ -302,7 +302,7 @@ def nearest_pairs(requests: DataFrame, index: DataFrame, threshold: float, near:
     rows = marked(held, 0).union(marked(asked, 1)).repartition("part", "long", "cell").sortWithinPartitions("part", "long", "cell", "role")
     # neighbouring cells of a task must differ: their own places as a hash of 64 bits
     rows = rows.select(F.xxhash64("part", "long", "cell").alias("place"), "role", "mark", "id", "v")
-    pairs = rows.mapInArrow(work, f"key {kind}, i_key {kind}, near double, long int").where("key <> i_key")
+    pairs = rows.mapInArrow(work, f"key {kind}, i_key {kind}, near double, long int").where(F.lit(itself) | (F.col("key") != F.col("i_key")))
     nth = F.max(F.when(F.col("n") == near, F.col("near"))).over(W.partitionBy("key"))
     ranked = pairs.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy(F.desc("near"))))
     return ranked.withColumn("cut", nth).where(F.col("cut").isNull() | (F.col("near") >= F.col("cut") - ROUNDING - 2.4e-7 * F.col("long"))).select("key", "i_key").distinct()

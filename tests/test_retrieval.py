@@ -60,6 +60,32 @@ def test_fallbacks_one_by_one(spark):
     assert none.count() == 0 and V.vector_search_by_topic(asked, chunks.limit(0), 3).count() == 0
 
 
+def test_blocks_choose_what_all_pairs_would(spark):
+    rng = np.random.default_rng(11)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    x[200:260] = x[200]  # a vector that very many chunks have
+    odd = [[0.0] * 4, [None, 1.0, 0.0, 2.0], [float("nan"), 1.0, 0.0, 2.0], [float("inf"), 1.0, 0.0, 2.0], [1.0, 2.0], [3.0], [1e200, 1.0, 0.0, 0.0], [1e-200, 0.0, 0.0, 0.0], [1e-9, 1e-9, 0.0, 0.0], []]
+    v = x.tolist() + odd * 4 + [None]
+    chunks = spark.createDataFrame([(k, k % 2, -k, f"text {k}", "s", "t" if k % 3 else None, e) for k, e in enumerate(v)] + [(900 + k, 5, k, f"t {k}", "s", "t", e) for k, e in enumerate(odd[:8])], CHUNKS).repartition(3)
+    asked = [(k, k % 2, e, ["t"] if k % 5 == 0 else []) for k, e in enumerate([*v[::7], *odd])]
+    asked = [*asked, *((700 + k, 5, e, ["t"]) for k, e in enumerate(odd)), *((800 + k, 0, x[200].tolist(), []) for k in range(9))]
+    asked = spark.createDataFrame(asked, "query_id int, plan_id long, vector array<double>, topics array<string>")
+    shown = lambda d: sorted(map(str, d.collect()))
+    every = asked.select("query_id", "plan_id").join(chunks.select("plan_id", "chunk_id"), "plan_id").drop("plan_id")
+    got = shown(V.vector_search_by_topic(asked, chunks, 2))
+    assert got == shown(V.vector_search_by_topic(asked, chunks, 2, every)) and len(got) > 100
+    named = asked.withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    assert [r.replace("'q", "").replace("',", ",") for r in shown(V.vector_search_by_topic(named, chunks, 2).select("query_id", "chunk_id", "rank"))] == shown(V.vector_search_by_topic(asked, chunks, 2).select("query_id", "chunk_id", "rank"))
+
+
+@pytest.mark.parametrize("kind", ["one vector", "many"])
+def test_chosen_pairs_grow_with_queries_not_with_all_pairs(spark, kind):
+    x = np.ones((3000, 4)) if kind == "one vector" else np.random.default_rng(5).normal(size=(3000, 4))
+    chunks = spark.createDataFrame([(k, 1, v) for k, v in enumerate(x.tolist())], "chunk_id long, plan_id long, embedding array<double>")
+    queries = chunks.where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "plan_id", F.col("embedding").alias("vector"))
+    assert 60 * 12 <= V._nearest(queries, chunks, 12).count() <= 60 * 14  # all pairs: 180,000
+
+
 def test_budget_counts_the_section_lines(spark):
     rows = [(1, k, k, 0.9, "sec" if k else "", "y" * 10, "vector") for k in range(4)]
     ranked = spark.createDataFrame(rows, "query_id int, chunk_id int, rank int, final double, section string, content string, path string")
