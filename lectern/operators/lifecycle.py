@@ -89,12 +89,13 @@ def erase_users(users: DataFrame, ids: DataFrame, plans: DataFrame, reviews: Dat
 def take_reports(reports: DataFrame, plans: DataFrame, reviews: DataFrame, ratings: DataFrame, users: DataFrame) -> DataFrame:
     """New reports (report_id, target_type, target_id, reported_by, reason) with status and snapshot: of a reporter's reports of one target the
     first is pending, the others are rejected; those of an unknown kind or without a reason or target as well. The snapshot keeps a course's title
-    and owner, a review's text and writer, a rating's stars and learner."""
+    and owner, a review's text and writer, a rating's stars and learner; only what is reported meets the users' names."""
     fit = F.col("target_type").isin("course", "review", "instructorRating") & F.col("target_id").isNotNull() & F.coalesce(F.col("reason") != "", F.lit(False))
     first = reports.where(fit).groupBy("target_type", "target_id", "reported_by").agg(F.min("report_id").alias("report_id")).select("report_id", F.lit(True).alias("_first"))
-    name = users.select("user_id", "full_name")
+    name, asked = users.select("user_id", "full_name"), written(reports.select("target_type", "target_id").distinct(), "reported")
     kept = lambda kind, t, key, text, who: (
-        t.select(F.col(key).alias("target_id"), F.col(text).cast("string").alias("snapshot"), F.col(who).alias("user_id")).join(name, "user_id", "left")
+        t.select(F.col(key).alias("target_id"), F.col(text).cast("string").alias("snapshot"), F.col(who).alias("user_id"))
+        .join(asked.where(F.col("target_type") == kind).select("target_id"), "target_id", "left_semi").join(name, "user_id", "left")
         .select(F.lit(kind).alias("target_type"), "target_id", "snapshot", F.col("full_name").alias("snapshot_author"))
     )
     shots = kept("course", plans, "plan_id", "title", "owner_id").unionByName(kept("review", reviews, "review_id", "content", "user_id")).unionByName(kept("instructorRating", ratings, "rating_id", "stars", "learner_id"))
@@ -128,6 +129,7 @@ def moderate(reports: DataFrame, decisions: DataFrame, plans: DataFrame, reviews
     marked = reviews.join(of("review", "review_id"), "review_id", "left")
     hidden = F.col("down").isNotNull() & ~F.col("is_deleted")
     replies = marked.where("parent_id is not null and not is_deleted").select(F.col("parent_id").alias("review_id"), F.coalesce("down", F.lit(2**62)).alias("until"))
+    replies = replies.join(of("review", "review_id").select("review_id"), "review_id", "left_semi")  # others' replies do not matter
     live = replies.groupBy("review_id").agg(F.max("until").alias("until"))  # the reply that is there longest
     marked = marked.join(live, "review_id", "left")
     kept = hidden & F.col("parent_id").isNull() & F.coalesce(F.col("until") > F.col("down"), F.lit(False))

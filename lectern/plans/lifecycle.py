@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import lifecycle as L
+from ..sources.files import written
 from .registry import query
 
 #: Columns over the platform views, in SQL that both engines read; {A} and {Z} open and close an array.
@@ -143,8 +144,11 @@ f AS (SELECT instructor_id, coalesce(round(avg(stars) FILTER (down IS NULL), 1),
 
 @query("m6_apply_moderation", MODERATED)
 def moderation(t):
-    p, r, v, u = view(t.plans, COURSES), view(t.reviews, REVIEWS), view(t.submissions, RATINGS), view(t.users, PEOPLE)
-    out = L.moderate(L.take_reports(view(t.events, REPORTS), p, r, v, u), view(t.events, DECIDED), p, r, v, u.withColumn("avg_rating", F.col("avg_rating").cast("double")))
+    p, v, u = view(t.plans, COURSES), view(t.submissions, RATINGS), view(t.users, PEOPLE)
+    # several plans read both: reviews are grouped and ranked once, reports are taken once
+    r = written(view(t.reviews, REVIEWS).select("review_id", "parent_id", "user_id", "is_deleted", "content"), "reviews")
+    reports = written(L.take_reports(view(t.events, REPORTS), p, r, v, u), "reports")
+    out = L.moderate(reports, view(t.events, DECIDED), p, r, v, u.withColumn("avg_rating", F.col("avg_rating").cast("double")))
     return shown(
         reports=(out["reports"], "report_id", REPORTED), plans=(out["plans"], "plan_id", ("is_deleted", "is_public")), reviews=(out["reviews"], "review_id", ("is_deleted", "content")),
         ratings=(out["ratings"], "rating_id", ("instructor_id", "stars")), users=(out["users"], "user_id", ("round(avg_rating, 1)", "rating_count")),

@@ -110,3 +110,10 @@ def test_deletions_twice_are_deletions_once(spark, sf, name):
 def test_every_kind_of_copy_is_made(spark, sf):
     got = registry.queries()["m1_copy_courses"](spark, sf).where("part = 'plans'").select(F.split("state", r"\|")[0].alias("kind")).groupBy("kind").count().collect()
     assert {r.kind for r in got} == {"import", "market", "assign", "self"}
+
+
+def test_moderation_groups_the_reviews_once(spark, sf):
+    """Five tables' next states read the written reviews and reports, none of them the view's own tables again."""
+    out = registry.queries()["m6_apply_moderation"](spark, sf)
+    assert not any("lineitem" in f for f in out.inputFiles())
+    assert {r.part for r in out.select("part").distinct().collect()} == {"reports", "plans", "reviews", "ratings", "users"}
