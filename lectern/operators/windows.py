@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import title_keywords
+from ..functions.digests import smallest
 from ..functions.text import normalize_tag
-from ..sources.files import written
+from ..sources.files import small_batches, written
 
 LEVEL_MIX = {"BEGINNER": (0.6, 0.3, 0.1), "INTERMEDIATE": (0.2, 0.5, 0.3), "EXPERT": (0.1, 0.3, 0.6)}
 
@@ -156,46 +161,72 @@ def market_courses(plans: DataFrame, enrollments: DataFrame, reviews: DataFrame,
     return out.select("plan_id", "created_rank", zero("students"), F.coalesce("avg_rating", F.lit(0.0)).alias("avg_rating"), zero("review_count"), zero("downloads"))
 
 
-#: Into how many groups the learners of a lesson are dealt, so that a lesson with many of them is no single task's.
-SHARES = 16
+#: Learners and questions that are met in one cell.
+LEARNERS, QUESTIONS = 1024, 16384
+
+
+def first_of_cells(cells: DataFrame, ids: dict[str, str]) -> DataFrame:
+    """(lesson_id, difficulty, quota, need, user_id, question_id): of each cell's questions those that can be among the need first of a
+    learner by the hash of head and tail. cells: lesson_id, difficulty, quota, need, users (user_id, head), questions (question_id, tail)."""
+    rest = ["lesson_id", "difficulty", "quota", "need"]
+    names = [*rest, "user_id", "question_id"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):
+                row = b.slice(k, 1)
+                users, questions = row.column("users").flatten(), row.column("questions").flatten()
+                heads, tails = ([t.encode() for t in x.field(1).to_pylist()] for x in (users, questions))
+                i, j = smallest(heads, tails, row.column("need")[0].as_py())
+                for at in range(0, len(i), 65536):
+                    u, q = (pa.array(x[at : at + 65536]) for x in (i, j))
+                    same = [row.column(c).take(pa.array(np.zeros(len(u), np.int64))) for c in rest]
+                    yield pa.RecordBatch.from_arrays([*same, users.field(0).take(u), questions.field(0).take(q)], names=names)
+
+    return cells.mapInArrow(work, ", ".join(f"{c} {ids[c]}" for c in names))
 
 
 def select_adaptive(pool: DataFrame, learners: DataFrame, n: int, seed: str) -> DataFrame:
     """n questions for each learner and lesson, mixed by level, topped up from the rest, in a seeded order.
 
-    Only the first of each difficulty can be chosen: as many as its quota and as all quotas together lack. So a question is kept if its
-    place in the order, a hash, is below a bound that a few more than those are expected to be under; only the kept ones are moved and
-    ranked. A learner for whom too few of a difficulty are under it gets all of them instead, so nothing is lost."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("user_id").cast("string"), F.col("question_id").cast("string")))
+    Only the first of each difficulty can be chosen: as many as its quota and as all quotas together lack. The order is a hash of learner
+    and question, so every pair of a lesson is hashed, by whole arrays (digests): learners and questions of a lesson are dealt to blocks,
+    two blocks are a cell of a fixed size at most, and only the first questions of each learner leave it."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    head, tail = F.concat(F.lit(f"{seed}:"), text("user_id"), F.lit(":")), text("question_id")
     quota = F.lit(0)
     for lv, mix in LEVEL_MIX.items():
         for d, share in zip(("easy", "medium", "hard"), mix):
             quota = F.when((F.col("level") == lv) & (F.col("difficulty") == d), F.floor(F.lit(n * share) + 0.5)).otherwise(quota)
-    asked = learners.select("user_id", "lesson_id", F.coalesce("level", F.lit("")).alias("level"))
+    small_batches(pool.sparkSession)
+    asked = written(learners.select("user_id", "lesson_id", F.coalesce("level", F.lit("")).alias("level")), "learners-of-lessons")
     questions = pool.select("lesson_id", "question_id", F.coalesce("difficulty", F.lit("")).alias("difficulty"))
     # what a lesson has of each difficulty, and what learners of each level need of it
     sizes = questions.groupBy("lesson_id", "difficulty").agg(F.count("*").alias("size"))
-    need = asked.select("lesson_id", "level").distinct().join(sizes, "lesson_id").withColumn("quota", quota.cast("long"))
+    levels = asked.groupBy("lesson_id", "level").agg(F.ceil(F.count("*") / LEARNERS).cast("int").alias("blocks"))
+    need = levels.join(sizes, "lesson_id").withColumn("quota", quota.cast("long"))
     missing = F.lit(n) - F.sum(F.least("quota", "size")).over(W.partitionBy("lesson_id", "level"))
     need = need.withColumn("need", F.least(F.col("size"), F.col("quota") + F.greatest(missing, F.lit(0)))).where("need > 0")
-    under = F.floor((F.col("need") + 3 * F.sqrt("need") + 3) / F.col("size") * 2**32).cast("long")
-    bound = F.when(under < 2**32, F.lower(F.lpad(F.hex(under), 8, "0"))).otherwise("g")  # a hash begins with g never
-    need = written(need.select("lesson_id", "level", "difficulty", "quota", "need", bound.alias("bound")), "questions-needed")
-    asked = written(asked, "learners-of-lessons")
-
-    near = questions.join(need, ["lesson_id", "difficulty"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    dealt = asked.withColumn("share", F.pmod(F.xxhash64("user_id"), F.lit(SHARES)).cast("int"))
-    kept = dealt.join(near, ["lesson_id", "level", "share"]).withColumn("o", order).where(F.col("o") < F.col("bound"))
-    columns = ["user_id", "lesson_id", "difficulty", "question_id", "o", "quota", "need"]
-    kept = written(kept.select(*columns), "questions-near")
-    group = ["user_id", "lesson_id", "difficulty"]
-    have = kept.groupBy(*group).agg(F.count("*").alias("have"))
-    few = asked.join(need, ["lesson_id", "level"]).join(have, group, "left").where("coalesce(have, 0) < need").select(*group, "quota", "need")
-    few = written(few, "learners-with-few")
-    q = kept.join(few.select(*group), group, "left_anti").unionByName(few.join(questions, ["lesson_id", "difficulty"]).withColumn("o", order).select(*columns))
+    need = written(need.select("lesson_id", "level", "difficulty", "blocks", "size", "quota", "need"), "questions-needed")
+
+    dealt = lambda c, blocks: F.pmod(F.xxhash64(c), blocks).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), blocks - 1))
+    parts = F.ceil(F.col("size") / QUESTIONS).cast("int")
+    users = asked.join(unsent(levels), ["lesson_id", "level"]).groupBy("lesson_id", "level", dealt("user_id", F.col("blocks")).alias("block"))
+    users = users.agg(F.collect_list(F.struct("user_id", head.alias("head"))).alias("users"))
+    held = questions.join(unsent(sizes), ["lesson_id", "difficulty"]).groupBy("lesson_id", "difficulty", dealt("question_id", parts).alias("part"))
+    held = held.agg(F.collect_list(F.struct("question_id", tail.alias("tail"))).alias("questions"))
+    pairs = need.withColumn("block", every(F.col("blocks"))).withColumn("part", every(parts)).select("lesson_id", "level", "difficulty", "block", "part", "quota", "need")
+    cells = pairs.join(unsent(users), ["lesson_id", "level", "block"]).join(unsent(held), ["lesson_id", "difficulty", "part"])
+    # a cell is small and takes long, so it is dealt by number, which adaptive plans leave alone
+    tasks = max(int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * pool.sparkSession.sparkContext.defaultParallelism)
+    cells = cells.repartition(tasks, "lesson_id", "level", "difficulty", "block", "part").select("lesson_id", "difficulty", "quota", "need", "users", "questions")
+    kept = written(first_of_cells(cells, {**dict(asked.dtypes), **dict(questions.dtypes), **dict(need.dtypes)}), "questions-near")
 
     who = W.partitionBy("user_id", "lesson_id")
-    q = q.withColumn("_n", F.row_number().over(W.partitionBy(*group).orderBy("o"))).where("_n <= need").withColumn("in_quota", F.col("_n") <= F.col("quota"))
+    group = W.partitionBy("user_id", "lesson_id", "difficulty")
+    q = kept.withColumn("o", F.md5(F.concat(head, tail)))
+    q = q.withColumn("_n", F.row_number().over(group.orderBy("o"))).where("_n <= need").withColumn("in_quota", F.col("_n") <= F.col("quota"))
     q = q.withColumn("place", F.row_number().over(who.orderBy(F.desc("in_quota"), "o"))).where(F.col("place") <= n)
     return q.select("user_id", "lesson_id", "question_id", F.row_number().over(who.orderBy("o")).alias("position"))
 

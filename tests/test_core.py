@@ -208,6 +208,48 @@ def test_adaptive_questions_are_ranked_where_they_can_be_chosen_only(spark):
     assert 0 < spark.read.parquet(near).count() < 60 * 1000 / 10
 
 
+def test_digests_of_all_pairs_are_md5():
+    """Every length of a beginning, also such as fill more than one block, and beginnings for which the bound keeps too few."""
+    import hashlib
+
+    import numpy as np
+
+    from lectern.functions import digests as D
+
+    ends = [b"", b"-7", b"12345", "ợ9".encode(), b"1234567890123"]
+    for size in range(60):
+        begins = [bytes([97 + k]) * size for k in range(3)]
+        got = D.first_words(begins, D.Ends(ends), np.empty((7, 15), np.uint32))
+        assert got.tolist() == [[int(hashlib.md5(b + e).hexdigest()[:8], 16) for e in ends] for b in begins]
+    begins, ends = [f"s:{u}:".encode() for u in range(0, 4000, 7)], [str(q).encode() for q in range(900)]
+    for most in (1, 6, 2000):
+        i, j = D.smallest(begins, ends, most)
+        want = {(u, q) for u, b in enumerate(begins) for _, q in sorted((hashlib.md5(b + e).digest(), q) for q, e in enumerate(ends))[:most]}
+        assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_adaptive_cells_give_no_more_than_can_be_chosen(spark, monkeypatch):
+    """Blocks of any size give the same choice; a cell gives a learner as many of a difficulty as needed. A null id is an empty text, as in SQL."""
+    import glob
+    import hashlib
+
+    pool = spark.range(90).selectExpr("1L as lesson_id", "id as question_id", "elt(1 + int(id % 3), 'easy', 'medium', 'hard') as difficulty")
+    learners = spark.createDataFrame([(u, 1, "BEGINNER") for u in (None, *range(40))], "user_id long, lesson_id long, level string")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/questions-near-*"))
+    got = {tuple(r) for r in O.select_adaptive(pool, learners, 5, "s").collect()}
+    (near,) = set(glob.glob(f"{folder}/questions-near-*")) - before
+    assert spark.read.parquet(near).count() == 41 * (3 + 2 + 1)
+    for user in (None, *range(40)):
+        order = sorted((hashlib.md5(f"s:{'' if user is None else user}:{q}".encode()).hexdigest(), q) for q in range(90))
+        first = [(o, q) for d, most in enumerate((3, 2, 1)) for o, q in [x for x in order if x[1] % 3 == d][:most]]
+        want = [q for _, q in sorted(sorted(first)[:5])]
+        assert [q for _, _, q, _ in sorted((r for r in got if r[0] == user), key=lambda r: r[3])] == want
+    monkeypatch.setattr(O, "LEARNERS", 7)
+    monkeypatch.setattr(O, "QUESTIONS", 11)
+    assert {tuple(r) for r in O.select_adaptive(pool, learners, 5, "s").collect()} == got
+
+
 def test_courses_are_met_without_a_broadcast(spark):
     """Files of few distinct values are small, the tables in them are not: none of them may be sent through the driver."""
     texts = spark.range(300).selectExpr("id as plan_id", "concat('blue ring ', id % 3) as t")
