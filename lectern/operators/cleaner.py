@@ -1,21 +1,25 @@
 """The text cleaner: repairs that look at a document's lines together, and the whole chain.
 
-Runs of lines are gaps and islands: windows by document mark them, one aggregate on (document, place) joins them. All
-steps are dealt by document, so lines are shuffled once.
+Alone, a repair takes lines as rows: runs of lines are gaps and islands, windows by document mark them, one aggregate on (document,
+place) joins them. The chain takes whole documents, in one pass without a shuffle (onetext); its steps give what the repairs give.
 """
 
 from __future__ import annotations
 
 import html
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import onetext as T
 from ..functions import repair as R
 from ..functions.text import decode_entities, trim_all, unescape_markdown
+from ..sources.files import small_batches
 from .chunking import nfc
 from .documents import unwrap_single_column_tables
 
@@ -82,6 +86,21 @@ def defrag_lines(lines: DataFrame, most: int = 8) -> DataFrame:
     return out.select("doc_id", F.col("at").alias("i"), F.when(F.col("many"), F.regexp_replace(line, r"\s{2,}", " ")).otherwise(line).alias("line"))
 
 
+def cleaned(rows: DataFrame, preserve: bool = False) -> DataFrame:
+    """doc_id and the cleaned text of rows (doc_id, text, deep): the whole chain where deep is set, else the light one. One narrow pass:
+    a document is cleaned where it is, and lines are not shuffled."""
+    small_batches(rows.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = T.Words()
+        for b in batches:
+            pairs = zip(b.column("text").to_pylist(), b.column("deep").to_pylist())
+            texts = [T.clean(t, words, preserve) if deep else T.clean_lightly(t, words) for t, deep in pairs]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return rows.select("doc_id", "text", "deep").mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+
+
 def clean_corpus(docs: DataFrame, preserve: bool = False) -> DataFrame:
     """doc_id and the cleaned text, all steps in their fixed order; preserve leaves broken tables and fragments as they are."""
     text = R.drop_broken_urls(unescape_markdown(nfc(R.close_up_marks(decode_entities(nfc("text"))))))
@@ -114,21 +133,9 @@ def postprocess_markdown(docs: DataFrame) -> DataFrame:
 
 #: Defects of a document that ask for the whole chain.
 DEEP = ("slide_pdf_wrap", "glued_words", "accent_loss")
-#: References that the light chain decodes, in order.
-LIGHT = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"))
 
 
 def light_clean(docs: DataFrame) -> DataFrame:
     """doc_id and text of documents (doc_id, text, issues): the whole chain for deep defects, a light one for the rest."""
     deep = F.arrays_overlap(F.coalesce("issues", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in DEEP]))
-    rest = docs.where(~deep)
-    text = nfc("text")
-    for a, b in LIGHT:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    text = nfc(R.close_up_marks(text))
-    for s in "_*[]":
-        text = F.replace(text, F.lit("\\" + s), F.lit(s))
-    text = R.drop_junk(F.regexp_replace(text, R.BROKEN_URLS[1], ""))
-    light = text_of(rest, unwrap_single_column_tables(lines_of(rest.select("doc_id", F.coalesce(text, F.lit("")).alias("text")))))
-    light = light.select("doc_id", trim_all(R.fix_glued_words("text")).alias("text"))
-    return clean_corpus(docs.where(deep)).unionByName(light)
+    return cleaned(docs.withColumn("deep", F.coalesce(deep, F.lit(False))))

@@ -122,3 +122,50 @@ def test_fragments_are_joined_without_a_second_pass(spark):
     out = C.defrag_lines(lines)
     assert [r.line for r in out.orderBy("i").collect()] == ["a long line of text", "ab c d", "", "another  long line"]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chain_is_one_narrow_pass_that_gives_what_the_repairs_give(spark):
+    """The chain moves no lines between tasks; its steps over one text are those over lines as rows, also at ends of lines of every kind."""
+    from pyspark.sql import functions as F
+
+    from lectern.functions import onetext as T
+    from lectern.operators import documents as D
+
+    rng = random.Random(5)
+    parts = [
+        "\n", "\n", "\n", "\n\n\n", " ", "   ", "\t", "\r", "\r\n", "\x85", "\u2028", "a", "b c", "12", "12.", "(5)", "# head", "1.2 Part", "```", "| x |", "|---|---|", "| a | b |", "•Ab", " .", "&#65;", "&amp;lt;", "e\u0301 ", "\ufffd",
+        "https://x.y z", "abc path/x.py", "StoredProcedure", "HTTP_CODE", "đượcthựchiệntrong", "sosánh", "GhiLog", "VÍ DỤ", "khái niệm", "quátrìnhvídụ", "err or", "in for ma tion", "a line of more than eight", "the end.", "ợợợợ " * 10,
+    ]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = T.Words()
+    over = lambda f: [f(t) for t in texts]
+    of_lines = lambda f: over(lambda t: "\n".join(f(t.split("\n"))))
+    for step, brute in ((C.flatten_broken_tables, T.flatten_broken_tables), (C.tidy_lines, T.tidy_lines), (C.defrag_lines, T.defrag_lines), (D.unwrap_single_column_tables, T.unwrap_single_column_tables)):
+        assert [r.text for r in C.text_of(docs, step(C.lines_of(docs))).orderBy("doc_id").collect()] == of_lines(brute)
+    columns = {"entities": X.decode_entities("text"), "marks": R.close_up_marks("text"), "urls": R.drop_broken_urls("text"), "trimmed": X.trim_all("text"), "glued": R.fix_glued_words("text")}
+    rows = docs.select("doc_id", *[c.alias(n) for n, c in columns.items()]).orderBy("doc_id").collect()
+    for name, brute in (("entities", T.decode_entities), ("marks", T.close_up_marks), ("urls", T.drop_broken_urls), ("trimmed", T.trim), ("glued", lambda t: T.fix_glued_words(t, words))):
+        assert [r[name] for r in rows] == over(brute), name
+    out = C.light_clean(docs.withColumn("issues", F.array(F.lit("glued_words"))))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_light_chain_keeps_documents_without_an_id_or_with_a_null_issue(spark):
+    rows = [(None, "dữliệu", []), (1, "a\nb", []), (1, "c", []), (2, "x", [None]), (3, "ab\ncd", ["glued_words", None])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, issues array<string>")
+    got = sorted((r.doc_id or 0, r.text) for r in C.light_clean(docs).collect())
+    assert got == [(0, "dữ liệu"), (1, "a\nb"), (1, "c"), (2, "x"), (3, "ab cd")]
+
+
+def test_forgotten_words_and_letters_of_other_case_give_the_same(monkeypatch):
+    from lectern.functions import onetext as T
+
+    text = "Thựchiện StoredProcedure x\nđượcthựchiệntrong LongerWords2go plainwords\n" * 3
+    whole = T.fix_glued_words(text, T.Words())
+    monkeypatch.setattr(T, "REMEMBERED", 2)
+    monkeypatch.setattr(T, "LONGEST", 9)
+    words = T.Words()
+    assert T.fix_glued_words(text, words) == whole and len(words.any) <= 2 and len(words.long) <= 2
+    # as SQL folds letters: a dotted capital is no i, a long s is an s
+    assert T.fix_glued_words("Kháİ nİệm giátrị ſosánh", words) == "Kháİ nİệm giá trị so sánh"
