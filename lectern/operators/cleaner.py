@@ -18,10 +18,9 @@ from pyspark.sql.types import StringType
 
 from ..functions import onetext as T
 from ..functions import repair as R
-from ..functions.text import decode_entities, trim_all, unescape_markdown
+from ..functions.text import trim_all
 from ..sources.files import small_batches
 from .chunking import nfc
-from .documents import unwrap_single_column_tables
 
 
 def in_order() -> W:
@@ -103,18 +102,7 @@ def cleaned(rows: DataFrame, preserve: bool = False) -> DataFrame:
 
 def clean_corpus(docs: DataFrame, preserve: bool = False) -> DataFrame:
     """doc_id and the cleaned text, all steps in their fixed order; preserve leaves broken tables and fragments as they are."""
-    text = R.drop_broken_urls(unescape_markdown(nfc(R.close_up_marks(decode_entities(nfc("text"))))))
-    begun = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
-    lines = unwrap_single_column_tables(lines_of(begun))
-    t = trim_all("line")
-    lines = lines.where((t == "") | ~t.rlike("|".join(f"(?:{p})" for p in R.GARBAGE)))
-    lines = tidy_lines(lines if preserve else flatten_broken_tables(lines))
-    out = text_of(docs, lines)
-    tidy = F.regexp_replace(F.regexp_replace("text", r"\n{3,}", "\n\n"), r"(?m)^[0-9]+\.\s*$", "")
-    out = out.select("doc_id", F.replace(F.replace(F.translate(tidy, "�\u0000", ""), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")).alias("text"))
-    if not preserve:
-        out = text_of(docs, defrag_lines(lines_of(out)))
-    return out.select("doc_id", R.fix_glued_words(trim_all(F.regexp_replace("text", r"\n{3,}", "\n\n"))).alias("text"))
+    return cleaned(docs.withColumn("deep", F.lit(True)), preserve)
 
 
 @F.pandas_udf(StringType())

@@ -147,8 +147,8 @@ def test_chain_is_one_narrow_pass_that_gives_what_the_repairs_give(spark):
     rows = docs.select("doc_id", *[c.alias(n) for n, c in columns.items()]).orderBy("doc_id").collect()
     for name, brute in (("entities", T.decode_entities), ("marks", T.close_up_marks), ("urls", T.drop_broken_urls), ("trimmed", T.trim), ("glued", lambda t: T.fix_glued_words(t, words))):
         assert [r[name] for r in rows] == over(brute), name
-    out = C.light_clean(docs.withColumn("issues", F.array(F.lit("glued_words"))))
-    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for out in (C.clean_corpus(docs), C.light_clean(docs.withColumn("issues", F.array(F.lit("glued_words"))))):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_light_chain_keeps_documents_without_an_id_or_with_a_null_issue(spark):
